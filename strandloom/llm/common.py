@@ -114,17 +114,17 @@ def gapless(df: DataFrame, group: Sequence[str], bucket: Sequence[str], order: S
     return joined.withColumn(to, (F.col("_ahead") + F.col("_at")).cast("long")).drop("_at", "_ahead", *[f"_o{i}" for i in range(len(both))])
 
 
-def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str, key: Column) -> DataFrame:
+def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str, key: Column, single: bool = True) -> DataFrame:
     """docs without the rows whose (doc_id, text_key) verdict says go; key makes text_key from a row of docs.
 
-    Only the keys that go are joined. Where a key repeats and one of its rows stays, one does.
+    Only the keys that go are joined. Where a key repeats and one of its rows stays, one does (single) or all do.
     """
     named = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     by_key = verdict.groupBy(named.alias("_kr_id"), F.col("text_key").alias("_kr_key")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     odd = written(by_key.filter("NOT kept OR n > 1"), "dropped")
     keyed = docs.withColumns({"_kr_id": F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "_kr_key": key})
     left = join_checked(keyed, odd.filter("NOT kept").select("_kr_id", "_kr_key"), ["_kr_id", "_kr_key"], "left_anti")
-    if odd.filter("kept").limit(1).count():
+    if single and odd.filter("kept").limit(1).count():
         left = left.dropDuplicates(["_kr_id", "_kr_key"])
     return left.select(*docs.columns)
 
