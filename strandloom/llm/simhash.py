@@ -84,9 +84,10 @@ def trie_links(left: np.ndarray, right: np.ndarray, depth: int, used: int, same:
         bit = np.uint64(1 << (63 - depth))
         e = a + int(np.count_nonzero((left[a:b] & bit) == 0))
         f = e if same else c + int(np.count_nonzero((right[c:d] & bit) == 0))
-        for p, q, r, s, more, own in ((a, e, c, f, 0, same), (e, b, f, d, 0, same), (a, e, f, d, 1, False), (e, b, c, f, 1, False)):
-            if p < q and r < s and used + more <= budget and not (same and p == e and r == c):
-                stack.append((p, q, r, s, depth + 1, used + more, own))
+        children = [(a, e, c, f, 0, same), (e, b, f, d, 0, same), (a, e, f, d, 1, False)]
+        if not same:  # of one node's halves, each pair stands in the third already
+            children.append((e, b, c, f, 1, False))
+        stack += [(p, q, r, s, depth + 1, used + more, own) for p, q, r, s, more, own in children if p < q and r < s and used + more <= budget]
 
 
 def forest(pairs, size: int) -> list[tuple[int, int]]:
