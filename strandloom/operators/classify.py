@@ -53,7 +53,7 @@ def taxa_runs(reads: DataFrame, database: DataFrame, seed: Seed, read: str = "id
     plain = Seed(seed.k, 0, seed.gaps, seed.canonical, seed.alphabet)
     found = kmers(reads, plain, [read], "seq").join(database, "kmer", "left").select(read, "pos", F.coalesce(F.col("taxid").cast("string"), F.lit("U")).alias("sign"))
     if full:
-        places = reads.filter(F.length("seq") >= plain.span).select(read, F.explode(F.sequence(F.lit(0), F.length("seq") - plain.span)).cast("long").alias("pos"))
+        places = reads.filter(F.length("seq") >= plain.span).select(read, F.explode(F.sequence(F.lit(0).cast("long"), (F.length("seq") - plain.span).cast("long"))).alias("pos"))
         found = places.join(found, [read, "pos"], "left").withColumn("sign", F.coalesce("sign", F.lit("A")))
     else:
         found = found.filter("sign <> 'U'")

@@ -21,7 +21,7 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     head = F.regexp_extract("r", r"^([^\r\n]*)", 1)
     body = F.regexp_replace(F.regexp_replace("r", r"^[^\n]*\n?", ""), r"\s+", "")
     rows = rows.filter(F.length(F.trim("r")) > 0)
-    return rows.select("path", F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.nullif(F.trim(F.regexp_replace(head, r"^\S*", "")), F.lit("")).alias("comment"), body.alias("seq"))
+    return rows.select("path", F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.nullif(F.regexp_replace(head, r"^\S*\s*|\s+$", ""), F.lit("")).alias("comment"), body.alias("seq"))
 
 
 def _opened(path: str, data: bytes) -> io.BufferedIOBase:

@@ -18,7 +18,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     """taxid, parent, rank of a nodes.dmp; the root's parent is 0, the last line of a taxid counts."""
-    field = lambda i: F.trim(F.element_at(F.split("value", r"\|"), i))
+    field = lambda i: F.regexp_replace(F.element_at(F.split("value", r"\|"), i), r"^\s+|\s+$", "")
     rows = _lines(spark, path).select(field(1).cast("int").alias("taxid"), field(2).cast("int").alias("parent"), field(3).alias("rank"), "at")
     last = rows.groupBy("taxid").agg(F.max_by(F.struct("parent", "rank"), "at").alias("r"))
     found = last.filter("taxid <> 1").select("taxid", "r.parent", "r.rank")
