@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import join_checked, keep_rows, map_arrow, written
 
-ORDER = 5
+ORDER = 4
 #: The signs that stand before a text and behind it.
 BEGIN, OVER = "\x02", "\x03"
-BLOCK_CHARS, CHUNK = 8 << 20, 2 << 20
+BLOCK_CHARS, CHUNK = 16 << 20, 2 << 20
+#: Cells of a table that numbers n-grams directly; where there are more, they are sorted.
+CELLS = 1 << 24
 REACH, OWN_BAND, NARROWEST = 6.0, 200, 0.5
 _CLEAR = str.maketrans({BEGIN: " ", OVER: " "})
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -45,16 +47,36 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 
 
-def keys(codes: np.ndarray, order: int) -> np.ndarray:
-    """A 64-bit key of every n-gram of codes, by its first place."""
-    n = len(codes) - order + 1
-    out = np.zeros(max(0, n), np.uint64)
-    for j in range(order if n > 0 else 0):
-        out += (codes[j : j + n] + np.uint64(1)) * _FACTORS[j]
+def keys(grams: np.ndarray) -> np.ndarray:
+    """A 64-bit key of every row of code points."""
+    out = np.zeros(len(grams), np.uint64)
+    for j in range(grams.shape[1]):
+        out += (grams[:, j] + np.uint64(1)) * _FACTORS[j]
     out ^= out >> np.uint64(29)
     return out * _FACTORS[0]
 
 
+def compact(key: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """Numbers from 0 for the values of key, all below size, and how many there are."""
+    if size > CELLS:
+        which, number = np.unique(key, return_inverse=True)
+        return number.astype(np.int32), len(which)
+    table = np.zeros(size, np.int32)
+    table[key] = 1
+    which = np.flatnonzero(table)
+    table[which] = np.arange(len(which), dtype=np.int32)
+    return table[key], len(which)
+
+
+def numbered(codes: np.ndarray, order: int) -> tuple[np.ndarray, int]:
+    """A number of the n-gram at each place, made sign by sign: a longer n-gram's key is its beginning's number and its last sign."""
+    signs, n_signs = compact(codes.astype(np.int64), 0x110000)
+    now, n = signs, n_signs
+    for k in range(1, order):
+        now, n = compact(now[:-1].astype(np.int64) * n_signs + signs[k:], n * n_signs)
+    return now, n
+
+
 def starts(texts: list[str], order: int) -> np.ndarray:
     """Whether an n-gram of the joined texts begins at each place and stays inside one text."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -77,12 +99,22 @@ def chunks(texts: list[str], most: int):
         yield held
 
 
-def gram_counts(texts: list[str], order: int = ORDER) -> tuple[list[str], np.ndarray]:
-    """Distinct n-grams of padded texts, and how often each stands there."""
+def distinct(texts: list[str], order: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined texts, the number of each n-gram inside a text in order, and a place and the count of each number met."""
     joined = "".join(texts)
     at = np.flatnonzero(starts(texts, order)[: max(0, len(joined) - order + 1)])
-    _, first, n = np.unique(keys(points(joined), order)[at], return_index=True, return_counts=True)
-    return [joined[i : i + order] for i in at[first].tolist()], n
+    every, n = numbered(points(joined), order)
+    number = every[at]
+    place = np.full(n, -1, np.int64)
+    place[number] = at
+    return joined, number, place, np.bincount(number, minlength=n)
+
+
+def gram_counts(texts: list[str], order: int = ORDER) -> tuple[list[str], np.ndarray]:
+    """Distinct n-grams of padded texts, and how often each stands there."""
+    joined, _, place, counts = distinct(texts, order)
+    met = place >= 0
+    return [joined[i : i + order] for i in place[met].tolist()], counts[met]
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -142,7 +174,7 @@ class Lookup:
         sizes = np.fromiter(map(len, grams), np.int64, len(grams))
         for k in range(1, order + 1):
             mine = np.flatnonzero(sizes == k)
-            found = keys(points("".join([grams[i] for i in mine.tolist()])), k)[::k] if len(mine) else np.zeros(0, np.uint64)
+            found = keys(points("".join([grams[i] for i in mine.tolist()])).reshape(-1, k))
             by = np.argsort(found)
             self.tables[k] = found[by], p[mine][by], back[mine][by]
 
@@ -157,24 +189,20 @@ class Lookup:
     def log_p(self, texts: list[str]) -> np.ndarray:
         """Sum of the natural logarithms of the probabilities of each padded text's signs."""
         order = self.order
-        joined = "".join(texts)
+        joined, number, place, _ = distinct(texts, order)
         codes = points(joined)
-        at = np.flatnonzero(starts(texts, order)[: max(0, len(joined) - order + 1)])
-        every, first, back_to = np.unique(keys(codes, order)[at], return_index=True, return_inverse=True)
-        places = at[first]
-        prob = np.full(len(every), self.unseen)
+        grams = codes[np.maximum(place, 0)[:, None] + np.arange(order)]
+        prob = np.full(len(grams), self.unseen)
         for k in range(1, order + 1):
-            grams = keys(codes, k)
-            p, _ = self.get(k, grams[places + order - k])
+            p, _ = self.get(k, keys(grams[:, order - k :]))
             if k > 1:
-                context = keys(codes, k - 1)
-                _, weight = self.get(k - 1, context[places + order - k])
+                _, weight = self.get(k - 1, keys(grams[:, order - k : order - 1]))
                 prob = np.where(np.isnan(weight), 1.0, weight) * prob
             prob = np.where(np.isnan(p), prob, p)
-        logs = np.log(prob)[back_to]
-        ends = np.cumsum([len(t) - order + 1 for t in texts])
-        sums = np.concatenate([[0.0], np.cumsum(logs)])
-        return sums[ends] - sums[ends - np.array([len(t) - order + 1 for t in texts])]
+        sizes = np.array([len(t) - order + 1 for t in texts])
+        sums = np.concatenate([[0.0], np.cumsum(np.log(prob)[number])])
+        ends = np.cumsum(sizes)
+        return sums[ends] - sums[ends - sizes]
 
 
 def blocks(batches):
