@@ -189,10 +189,10 @@ def kmer_canonical_count(spark, d):
 
 _GAPS = (1, 0, 2, 0, 1, 0, 0)
 _SPACED = Seed(8, 0, _GAPS)
-_AT = " || ".join(f"substr(seq, pos + {o + 1}, 1)" for o in _SPACED.offsets())
+_AT = " || ".join(f"substr(w, {o + 1}, 1)" for o in _SPACED.offsets())
 
 
-@query(f"WITH {_DOCS}, s AS (SELECT id, {_AT} AS s FROM (SELECT id, seq, unnest(range(0, greatest(length(seq) - {_SPACED.span} + 1, 0))) AS pos FROM dna)) SELECT id, count(*) AS seeds, count(DISTINCT s) AS kinds FROM s WHERE NOT contains(s, '.') GROUP BY id")
+@query(f"WITH {_DOCS}, w AS (SELECT id, substr(seq, pos + 1, {_SPACED.span}) AS w FROM (SELECT id, seq, unnest(range(0, greatest(length(seq) - {_SPACED.span} + 1, 0))) AS pos FROM dna)), s AS (SELECT id, {_AT} AS s FROM w) SELECT id, count(*) AS seeds, count(DISTINCT s) AS kinds FROM s WHERE NOT contains(s, '.') GROUP BY id")
 def kmer_spaced(spark, d):
     return K.counted(dna(spark, d), _SPACED, ["id"]).groupBy("id").agg(F.sum("n").alias("seeds"), F.count(F.lit(1)).alias("kinds"))
 
