@@ -48,6 +48,14 @@ def lexical_score(kmer: np.ndarray) -> np.ndarray:
     return x ^ U(SCORE_LAST_XOR)
 
 
+def x31(data: bytes) -> int:
+    """The string hash of base 31."""
+    out = 0
+    for c in data:
+        out = (out * 31 + c) & _ALL
+    return out
+
+
 def _rotate(x: np.ndarray, n: int) -> np.ndarray:
     n %= 64
     return x if n == 0 else (x << U(n)) | (x >> U(64 - n))

@@ -19,14 +19,19 @@ def intersections(sets: DataFrame, group: str) -> DataFrame:
     return pairs.groupBy("i", "j").agg(F.sum("n").alias("inter"))
 
 
-def all_pairs(sets: DataFrame, group: str) -> DataFrame:
-    """i, j, inter, uni, jaccard, in_i, in_j for all pairs i < j of groups, those that share nothing too.
+def all_pairs(sets: DataFrame, group: str, zeros: bool = False) -> DataFrame:
+    """i, j, inter, uni, jaccard, in_i, in_j for the pairs i < j of groups that share an item.
 
-    The result has a row for each pair of groups, so the pairs of groups (not of rows) are made by a range join.
+    zeros adds the pairs that share nothing, so that the result is the whole triangle of groups.
     """
     sizes = sets.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
+    shared = intersections(sets, group)
+    if zeros:
+        names = sizes.agg(F.sort_array(F.collect_list(group)).alias("g")).select("g", F.posexplode("g").alias("at", "i"))  # the triangle's side: one name per group
+        every = names.select("i", F.explode(F.slice("g", F.col("at") + 2, F.size("g"))).alias("j"))
+        shared = every.join(shared, ["i", "j"], "left").na.fill(0, ["inter"])
     a, b = sizes.select(F.col(group).alias("i"), F.col("size").alias("si")), sizes.select(F.col(group).alias("j"), F.col("size").alias("sj"))
-    both = a.join(b, F.col("i") < F.col("j")).join(intersections(sets, group), ["i", "j"], "left").na.fill(0, ["inter"])
+    both = shared.join(a, "i").join(b, "j")
     uni = F.col("si") + F.col("sj") - F.col("inter")
     return both.select("i", "j", "inter", uni.alias("uni"), F.when(uni > 0, F.col("inter") / uni).otherwise(0.0).alias("jaccard"), (F.col("inter") / F.col("si")).alias("in_i"), (F.col("inter") / F.col("sj")).alias("in_j"))
 
@@ -54,8 +59,7 @@ def bottom_k_jaccard(sketches: DataFrame, group: str, size: int) -> DataFrame:
 
     Pairs that share no hash have 0 and are left out; candidates come from an equi-join on the hash.
     """
-    sizes = sketches.groupBy("hash").agg(F.sort_array(F.collect_list(group)).alias("g")).filter(F.size("g") > 1)
-    near = sizes.select(F.posexplode("g").alias("at", "i"), "g").select("i", F.explode(F.slice("g", F.col("at") + 2, F.size("g"))).alias("j")).distinct()
+    near = candidates(sketches, group)
     a, b = sketches.select(F.col(group).alias("i"), "hash"), sketches.select(F.col(group).alias("j"), "hash")
     union = near.join(a, "i").select("i", "j", "hash").unionByName(near.join(b, "j").select("i", "j", "hash"))
     counts = union.groupBy("i", "j", "hash").agg(F.count(F.lit(1)).alias("n"))
@@ -76,12 +80,28 @@ def theta(sets: DataFrame, keys: Sequence[str], log_size: int = 12, item: str =
     return sets.groupBy(*keys).agg(F.theta_sketch_agg(item, log_size).alias("sketch"))
 
 
-def theta_jaccard(sketches: DataFrame, group: str) -> DataFrame:
-    """i, j, jaccard for all pairs of groups, from their theta sketches."""
+def theta_jaccard(sketches: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
+    """i, j, jaccard of the given pairs (i, j) of groups, from their theta sketches."""
     a = sketches.select(F.col(group).alias("i"), F.col("sketch").alias("a"))
     b = sketches.select(F.col(group).alias("j"), F.col("sketch").alias("b"))
     both = F.theta_sketch_estimate(F.theta_union("a", "b"))
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", F.when(both > 0, F.theta_sketch_estimate(F.theta_intersection("a", "b")) / both).otherwise(0.0).alias("jaccard"))
+    return pairs.select("i", "j").join(a, "i").join(b, "j").select("i", "j", F.when(both > 0, F.theta_sketch_estimate(F.theta_intersection("a", "b")) / both).otherwise(0.0).alias("jaccard"))
+
+
+def candidates(sketches: DataFrame, group: str) -> DataFrame:
+    """i, j: pairs i < j of groups that share a hash of their bottom-k sketches."""
+    held = sketches.groupBy("hash").agg(F.sort_array(F.collect_list(group)).alias("g")).filter(F.size("g") > 1).select("g").distinct()
+    return held.select(F.posexplode("g").alias("at", "i"), "g").select("i", F.explode(F.slice("g", F.col("at") + 2, F.size("g"))).alias("j")).distinct()
+
+
+def quantized(value: Column, a: float, b: float, most: int) -> Column:
+    """A sketch register of an exponentially distributed minimum: floor(1 - log_b(value * a)), from 0 to most."""
+    return F.least(F.greatest(F.floor(1 - F.log(value * a) / F.log(F.lit(b))), F.lit(0)), F.lit(most)).cast("int")
+
+
+def matrix(pairs: DataFrame, by: str = "jaccard") -> DataFrame:
+    """One row per i, one column per j."""
+    return pairs.groupBy("i").pivot("j").agg(F.first(by))
 
 
 def banded(sketches: DataFrame, group: str, bands: int, rows: int) -> DataFrame:

@@ -63,6 +63,39 @@ def count_kmers(spark: SparkSession, paths, k: int = 31, canonical: bool = True,
     return out
 
 
+def from_fasta(spark: SparkSession, paths, k: int = 31, spacing: str = "", w: int = 0, canonical: bool = True, unique: bool = False) -> DataFrame:
+    """path, rec_no, pos, kmer of every record; unique: path, kmer, once each."""
+    rows, seed = sequences.read_sequences(spark, paths), seed_of(k, w, spacing, canonical)
+    return A.distinct_sets(rows, seed, ["path"]) if unique else K.kmers(rows, seed, ["path", "rec_no"])
+
+
+def from_strings(spark: SparkSession, texts: list[str], k: int = 31, spacing: str = "", w: int = 0, canonical: bool = True) -> DataFrame:
+    """id, pos, kmer of strings, which are numbered from 0."""
+    return K.kmers(spark.createDataFrame(list(enumerate(texts)), "id long, seq string"), seed_of(k, w, spacing, canonical))
+
+
+def lca_of_names(asked: DataFrame, names: DataFrame, tree: DataFrame) -> int | None:
+    """Common ancestor of the taxa of names; a name that is missing is tried without its version. None if one stays unknown."""
+    known = names.select(F.col("name").alias("_n"), "taxid")
+    full = asked.join(known, asked["name"] == known["_n"], "left").drop("_n")
+    short = full.filter("taxid IS NULL").drop("taxid").withColumn("_s", F.regexp_replace("name", r"\.[0-9]+$", ""))
+    both = full.filter("taxid IS NOT NULL").select("taxid").unionByName(short.join(known, short["_s"] == known["_n"], "left").select(F.coalesce("taxid", F.lit(-1)).alias("taxid")))
+    return T.lca_by(both.withColumn("k", F.lit(1)), ["k"], tree).first()["lca"]
+
+
+def sketch_errors(spark: SparkSession, size: int, overlaps: list[float], log_size: int = 12) -> DataFrame:
+    """i, j, exact, estimate: Jaccard of sets with given overlaps against that of their theta sketches."""
+    parts = None
+    for n, share in enumerate(overlaps):
+        move = size - int(size * share)
+        for side in (0, 1):
+            one = spark.range(n * 3 * size + side * move, n * 3 * size + side * move + size).select(F.lit(f"{n}.{side}").alias("g"), F.col("id").alias("kmer"))
+            parts = one if parts is None else parts.unionByName(one)
+    sets = written(parts, "sets")
+    exact = U.all_pairs(sets, "g").select("i", "j", F.col("jaccard").alias("exact"))
+    return exact.join(U.theta_jaccard(written(U.theta(sets, ["g"], log_size), "theta"), exact, "g").withColumnRenamed("jaccard", "estimate"), ["i", "j"])
+
+
 def compare_files(spark: SparkSession, paths, k: int = 31) -> DataFrame:
     """i, j, inter, uni, jaccard of the k-mer sets of files."""
     return U.all_pairs(written(A.distinct_sets(sequences.read_sequences(spark, paths), seed_of(k), ["path"]), "sets"), "path")

@@ -6,6 +6,7 @@ root, language, source. Region, nation, customer and supplier give a purely rela
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,7 +23,7 @@ from .operators import similarity as U
 from .operators import taxonomy as T
 from .plans import workflows
 from .sources import sequences, tables
-from .storage import written
+from .storage import shared_dir, written
 from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -375,7 +376,13 @@ def hll_cardinality(spark, d):
 
 @query()
 def theta_jaccard(spark, d):
-    return U.theta_jaccard(written(U.theta(source_sets(spark, d), ["source"]), "theta"), "source")
+    sets = written(source_sets(spark, d), "sets")
+    return U.theta_jaccard(written(U.theta(sets, ["source"]), "theta"), U.candidates(U.bottom_k(sets, "source", 1024), "source"), "source")
+
+
+@query()
+def sketch_error(spark, d):
+    return workflows.sketch_errors(spark, 20_000, [0.1, 0.5, 0.9])
 
 
 @query()
@@ -403,9 +410,9 @@ def tax_depth(spark, d):
     return T.nodes(place_tree(spark, d)).select("taxid", F.col("depth").cast("long").alias("depth"))
 
 
-@query(f"WITH RECURSIVE {_PLACES}, {_CLOSURE} SELECT c_custkey + 100000 AS leaf, (r_regionkey + 2)::BIGINT AS root, coalesce(dist, -1)::INT AS dist FROM customer JOIN region ON true LEFT JOIN closure ON taxid = c_custkey + 100000 AND anc = r_regionkey + 2")
+@query(f"WITH RECURSIVE {_PLACES}, {_CLOSURE} SELECT c_custkey + 100000 AS leaf, 2 + c_custkey % 5 AS root, coalesce(dist, -1)::INT AS dist FROM customer LEFT JOIN closure ON taxid = c_custkey + 100000 AND anc = 2 + c_custkey % 5")
 def tax_dist(spark, d):
-    pairs = table(spark, d, "customer").select((F.col("c_custkey") + 100000).alias("leaf")).crossJoin(F.broadcast(table(spark, d, "region").select((F.col("r_regionkey") + 2).cast("long").alias("root"))))  # five regions
+    pairs = table(spark, d, "customer").select((F.col("c_custkey") + 100000).alias("leaf"), (F.col("c_custkey") % 5 + 2).alias("root"))
     return T.distance(T.closure(place_tree(spark, d)), pairs, "leaf", "root").select("leaf", "root", F.coalesce("dist", F.lit(-1)).alias("dist"))
 
 
@@ -514,6 +521,23 @@ def db_hist(spark, d):
     return D.histogram(D.lca_map(doc_genomes(spark, d, tree), SEED, T.nodes(tree)))
 
 
+@query(f"WITH RECURSIVE {_DATABASE} SELECT taxid, count(*) AS n FROM db WHERE taxid > 100 GROUP BY taxid")
+def db_saved(spark, d):
+    database, _ = _database(spark, d)
+    path = f"{shared_dir(spark)}/strandloom/db-{uuid.uuid4().hex}"
+    D.save(database, SEED, path, buckets=8)
+    back, seed = D.load(spark, path)
+    assert seed == SEED
+    return D.histogram(back.filter("taxid > 100"))
+
+
+@query(f"WITH {_DOCS} SELECT id::VARCHAR AS name, md5(seq) AS digest FROM dna WHERE seq <> ''")
+def fasta_round_trip(spark, d):
+    path = f"{shared_dir(spark)}/strandloom/fasta-{uuid.uuid4().hex}"
+    sequences.write_fasta(dna(spark, d).filter("seq <> ''"), path, "id")
+    return sequences.read_fasta(spark, path).select("name", F.md5(F.col("seq").cast("binary")).alias("digest"))
+
+
 @query(f"WITH RECURSIVE {_DATABASE} SELECT depth, count(*) AS n FROM db JOIN depths USING (taxid) GROUP BY depth")
 def taxdepth_map(spark, d):
     tree = doc_tree(spark, d)

@@ -84,6 +84,26 @@ def read_kmer_counts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(kernel, "path string, kmer long, n long")
 
 
+def read_pair_stream(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, first, second of files of 16-byte records, two unsigned 64-bit words each; a cut record at the end is left out."""
+
+    def kernel(batches):
+        for batch in batches:
+            for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = np.frombuffer(data, "<i8", 2 * (len(data) // 16)).reshape(-1, 2)
+                for at in range(0, len(words), 1 << 20):
+                    part = words[at : at + (1 << 20)]
+                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(part), pa.string()), pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], ["path", "first", "second"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(kernel, "path string, first long, second long")
+
+
+def read_similarities(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+    """i, j, value of a table of pairs in any order; i < j, the first of equal pairs counts."""
+    rows = spark.read.csv(path, sep=sep, schema="a string, b string, value double").filter("a <> b")
+    return rows.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "value").dropDuplicates(["i", "j"])
+
+
 def kmer_set_bytes(words: list[int]) -> bytes:
     """A sorted set in the binary layout that read_kmer_set() reads."""
     some = np.sort(np.array(words, dtype=np.int64).view(np.uint64))

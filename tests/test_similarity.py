@@ -22,10 +22,10 @@ def sets(spark, groups):
 
 
 def test_all_pairs(sets, groups):
-    got = {(r.i, r.j): (r.inter, r.uni, r.jaccard) for r in U.all_pairs(sets, "g").collect()}
+    got = {(r.i, r.j): (r.inter, r.uni, r.jaccard) for r in U.all_pairs(sets, "g", zeros=True).collect()}
     want = {(i, j): (len(groups[i] & groups[j]), len(groups[i] | groups[j]), len(groups[i] & groups[j]) / len(groups[i] | groups[j])) for i in groups for j in groups if i < j}
     assert got == want
-    near = U.nearest(U.all_pairs(sets, "g"), 2).collect()
+    near = U.nearest(U.all_pairs(sets, "g", zeros=True), 2).collect()
     assert {r.item for r in near} == set("abcd") and all(r.item != r.neighbor for r in near) and len(near) == 8
 
 
@@ -47,11 +47,18 @@ def test_bottom_k(sets, groups):
 def test_sketches(sets, groups):
     for r in U.hll_cardinality(U.hll(sets, ["g"], 12), ["g"]).collect():
         assert abs(r.n - len(groups[r.g])) <= 2 * 1.04 / 64 * len(groups[r.g]) + 1
-    for r in U.theta_jaccard(U.theta(sets, ["g"]), "g").collect():
+    pairs = U.candidates(U.bottom_k(sets, "g", 256), "g")
+    assert pairs.count() == 3 and U.all_pairs(sets, "g").count() == 3 and len(U.matrix(U.all_pairs(sets, "g")).columns) == 3
+    for r in U.theta_jaccard(U.theta(sets, ["g"]), pairs, "g").collect():
         true = len(groups[r.i] & groups[r.j]) / len(groups[r.i] | groups[r.j])
         assert abs(r.jaccard - true) < 0.08
 
 
+def test_quantized(spark):
+    rows = spark.createDataFrame([(0.5,), (0.25,), (1e-9,), (8.0,)], "x double").select(U.quantized(F.col("x"), 1.0, 2.0, 20).alias("q")).collect()
+    assert [r.q for r in rows] == [2, 3, 20, 0]
+
+
 def test_weighted(spark):
     counts = spark.createDataFrame([("a", 1, 3), ("a", 2, 1), ("b", 1, 1), ("b", 3, 2)], "g string, kmer long, n long")
     assert [tuple(r) for r in U.weighted_jaccard(counts, "g").collect()] == [("a", "b", 1 / 6)]

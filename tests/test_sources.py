@@ -80,6 +80,13 @@ def test_binary_sets(spark, tmp_path):
     assert [(r.kmer, r.n) for r in B.read_kmer_counts(spark, str(tmp_path / "c.bin")).collect()] == [(7, 1), (9, 65535)]
 
 
+def test_pair_stream_and_similarities(spark, tmp_path):
+    (tmp_path / "pairs.bin").write_bytes(b"".join(x.to_bytes(8, "little") for x in (1, 2, 3, 4)) + b"cut")
+    assert [(r.first, r.second) for r in B.read_pair_stream(spark, str(tmp_path / "pairs.bin")).collect()] == [(1, 2), (3, 4)]
+    (tmp_path / "sim.tsv").write_text("b\ta\t0.5\na\ta\t1\na\tc\t0.25\n")
+    assert sorted((r.i, r.j, r.value) for r in B.read_similarities(spark, str(tmp_path / "sim.tsv")).collect()) == [("a", "b", 0.5), ("a", "c", 0.25)]
+
+
 def test_numbered(spark):
     df = spark.range(5, 3_000_000, 700_001).select((100 * F_("id")).alias("x"))
     assert [r.rec_no for r in B.numbered(df, "x").orderBy("x").collect()] == list(range(df.count()))
@@ -111,6 +118,16 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert W.nearest_files(spark, str(tmp_path / "*.fa"), 21, 64, 2).count() == 8
     assert W.discover_taxa(genomes, tree, Seed(21), 3).count() <= 3
     assert A.length_histogram(genomes).first().len == 450
+    one_file = W.from_fasta(spark, str(tmp_path / f"g{one.taxid}.fa"), 15, unique=True)
+    assert one_file.count() == W.from_strings(spark, [one.seq], 15).select("kmer").distinct().count()
+    named = W.lca_of_names(spark.createDataFrame([("name4.2",), ("name5",)], "name string"), tables_names(spark, tmp_path), W.T.nodes(tree))
+    assert named == 2
+    errors = W.sketch_errors(spark, 4000, [0.2, 0.8]).collect()
+    assert len(errors) == 2 and all(abs(r.exact - r.estimate) < 0.1 for r in errors)
+
+
+def tables_names(spark, tmp_path):
+    return B.read_names(spark, str(tmp_path / "names.txt"))
 
 
 def test_streams(spark, tmp_path):
