@@ -33,7 +33,7 @@ from .common import map_arrow, written
 FIT_ROWS, MODEL_WORDS = 40_000, 50_000
 #: Share of the counts that the prior adds; least log-odds ratio, z value and contexts of a word; cost of any other word;
 #: chance level.
-PRIOR, LEAST_RATIO, LEAST_Z, LEAST_CONTEXTS, COST, CHANCE = 0.02, 1.5, 2.0, 3, 0.25, 1.0
+PRIOR, LEAST_RATIO, LEAST_Z, LEAST_CONTEXTS, COST, CHANCE = 0.02, 3.0, 2.0, 3, 0.25, 1.0
 THRESHOLD = 0.3
 _TOKEN = re.compile(r"\w+")
 _K = 0.3  # the law's second parameter, as is usual for scores of this kind
