@@ -15,6 +15,8 @@ own. Very long texts: whole. Repeated rows: rows of their own. Empty table: no r
 
 from __future__ import annotations
 
+from math import inf
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +28,12 @@ from .vocab import WORDS, by_bytes, loaded, memo
 #: The signs that count as symbols.
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: A band reaches so many interquartile ranges beyond the quartiles; a language has its own with so many documents.
-REACH, OWN_BAND = 3.0, 200
-MEASURES = ("chars_per_token", "byte_share", "token_entropy")
+#: A language has bands of its own with so many documents.
+OWN_BAND = 200
+#: How many interquartile ranges a band reaches below the lower quartile and above the upper one. Few bytes and varied
+#: tokens are no fault, so those sides are open.
+REACH = {"chars_per_token": (4.0, 4.0), "byte_share": (inf, 4.0), "token_entropy": (2.5, inf)}
+MEASURES = tuple(REACH)
 #: The narrowest interquartile range of each distance: below it, spread is noise.
 NARROWEST = {"chars_per_token": 0.5, "byte_share": 0.25, "token_entropy": 0.02}
 
@@ -143,8 +148,8 @@ def quality_rules(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     judged = rows.withColumn("base_failed", failed)
     placed = written(distances(judged, written(centers(judged.filter("NOT base_failed")), "centers")), "distances")
     quarter = {m: F.percentile_approx(f"d_{m}", [0.25, 0.75], 10_000) for m in MEASURES}
-    spread = {m: F.greatest(quarter[m][1] - quarter[m][0], F.lit(NARROWEST[m])) * REACH for m in MEASURES}
-    ends = [(quarter[m][0] - spread[m]).alias(f"low_{m}") for m in MEASURES] + [(quarter[m][1] + spread[m]).alias(f"high_{m}") for m in MEASURES]
+    spread = {m: F.greatest(quarter[m][1] - quarter[m][0], F.lit(NARROWEST[m])) for m in MEASURES}
+    ends = [(quarter[m][0] - spread[m] * REACH[m][0]).alias(f"low_{m}") for m in MEASURES] + [(quarter[m][1] + spread[m] * REACH[m][1]).alias(f"high_{m}") for m in MEASURES]
     bands = written(placed.filter("NOT base_failed").groupBy(F.col("band").alias("_band")).agg(*ends), "bands")
     joined = placed.join(bands, F.col("band") == F.col("_band"), "left")
     inside = F.lit(True)
