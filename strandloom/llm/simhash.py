@@ -136,15 +136,19 @@ def links(distinct: DataFrame, budget: int = BUDGET, bits: int = 64) -> DataFram
     found: DataFrame | None = None
     for depth in range(0, bits + 1, STEP):
         own = F.col("a") == F.col("b")
-        sizes = rows.groupBy("a", "b").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("n"), F.sum("side").alias("m"))
-        sizes = sizes.filter("a = b AND n > 1 OR n > 0 AND m > 0").withColumn("small", F.when(own, F.col("n") * F.col("n")).otherwise(F.col("n") * F.col("m")) <= TASK_PAIRS)
-        sizes = written(sizes.select("a", "b", "small"), "nodes")
-        kept = rows.join(sizes, ["a", "b"])
-
-        some = kept.filter("small").drop("small").groupBy("a", "b").applyInArrow(pair_task(depth, budget), "u long, v long")
-        some = written(some, "links")
-        found = some if found is None else found.unionByName(some)
-        if depth == bits or not sizes.filter("NOT small").limit(1).count():
+        if depth:
+            sizes = rows.groupBy("a", "b").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("n"), F.sum("side").alias("m"))
+            sizes = sizes.filter("a = b AND n > 1 OR n > 0 AND m > 0").withColumn("small", F.when(own, F.col("n") * F.col("n")).otherwise(F.col("n") * F.col("m")) <= TASK_PAIRS)
+            sizes = written(sizes.select("a", "b", "small"), "nodes")
+            kept = rows.join(sizes, ["a", "b"])
+            more = bool(sizes.filter("NOT small").limit(1).count())
+        else:  # the root, with itself
+            more = distinct.count() ** 2 > TASK_PAIRS
+            kept = rows.withColumn("small", F.lit(not more))
+        if depth or not more:
+            some = written(kept.filter("small").drop("small").groupBy("a", "b").applyInArrow(pair_task(depth, budget), "u long, v long"), "links")
+            found = some if found is None else found.unionByName(some)
+        if depth == bits or not more:
             break
         # a, b: the nodes' prefixes as numbers of `depth` bits; the next STEP bits of a fingerprint choose its child
         large = kept.filter("NOT small")
