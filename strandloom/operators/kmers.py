@@ -163,8 +163,8 @@ def kmers(df: DataFrame, seed: Seed, keys: Sequence[str] = ("id",), seq: str = "
     return _keyed(df, keys, seq).mapInArrow(kernel, _types(df, keys) + "pos long, kmer long")
 
 
-def counted(df: DataFrame, seed: Seed, keys: Sequence[str] = (), seq: str = "seq", score: str = "raw", across_gaps: bool = False) -> DataFrame:
-    """keys, kmer, n: how often each k-mer stands in the sequences of each key. Counts leave a worker already folded."""
+def parts(df: DataFrame, seed: Seed, keys: Sequence[str] = (), seq: str = "seq", score: str = "raw", across_gaps: bool = False) -> DataFrame:
+    """keys, kmer, n: folded within each batch only, so a key's k-mer may have several rows. No shuffle."""
     keys = list(keys)
 
     def kernel(batches):
@@ -178,8 +178,12 @@ def counted(df: DataFrame, seed: Seed, keys: Sequence[str] = (), seq: str = "seq
                 row = pa.array(members[group])
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).take(row) for i in range(len(keys))], pa.array(value), pa.array(n)], [*keys, "kmer", "n"])
 
-    part = _keyed(df, keys, seq).mapInArrow(kernel, _types(df, keys) + "kmer long, n long")
-    return part.groupBy(*keys, "kmer").agg(F.sum("n").alias("n"))
+    return _keyed(df, keys, seq).mapInArrow(kernel, _types(df, keys) + "kmer long, n long")
+
+
+def counted(df: DataFrame, seed: Seed, keys: Sequence[str] = (), seq: str = "seq", score: str = "raw", across_gaps: bool = False) -> DataFrame:
+    """keys, kmer, n: how often each k-mer stands in the sequences of each key. Counts leave a worker already folded."""
+    return parts(df, seed, keys, seq, score, across_gaps).groupBy(*keys, "kmer").agg(F.sum("n").alias("n"))
 
 
 def grouped(columns: list[pa.Array], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,11 +200,19 @@ def grouped(columns: list[pa.Array], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def folded(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (group, value) and how often each stands there."""
-    order = np.lexsort((value, group)) if len(group) and group.max() else np.argsort(value, kind="stable")
+    """Distinct (group, value) and how often each stands there; both are no less than zero, or value is a plain word."""
+    if not len(value):
+        return group, value, np.zeros(0, np.int64)
+    top, groups = int(value.max()) + 1, int(group.max()) + 1
+    if value.min() >= 0 and top * groups < 1 << 63:  # one number for both, which sorts fast
+        key = group * top + value
+        key.sort()
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        group, value = np.divmod(key[at], top)
+        return group, value, np.diff(np.append(at, len(key)))
+    order = np.lexsort((value, group))
     group, value = group[order], value[order]
-    new = np.concatenate([[True], (group[1:] != group[:-1]) | (value[1:] != value[:-1])])[: len(group)]
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (value[1:] != value[:-1])]))
     return group[at], value[at], np.diff(np.append(at, len(group)))
 
 

@@ -113,7 +113,7 @@ def nearest_files(spark: SparkSession, paths, k: int = 31, size: int = 4096, nei
 def discover_taxa(genomes: DataFrame, tree: DataFrame, seed: Seed, most: int | None = None) -> DataFrame:
     """New nodes from the presence patterns of each parent's clades, as many as fit or as told."""
     near = T.closure(tree)
-    sets = K.counted(genomes, seed, ["taxid"]).join(near, "taxid").select(F.col("anc").alias("taxid"), "kmer").distinct()
+    sets = K.parts(genomes, seed, ["taxid"]).join(near, "taxid").select(F.col("anc").alias("taxid"), "kmer").distinct()
     facts = tree.agg(F.max("taxid"), F.count(F.lit(1))).first()
     return M.emit(M.node_scores(M.subtree_patterns(sets, tree)), facts[0], M.room(facts[1]) if most is None else most)
 

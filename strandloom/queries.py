@@ -23,7 +23,7 @@ from .operators import similarity as U
 from .operators import taxonomy as T
 from .plans import workflows
 from .sources import sequences, tables
-from .storage import shared_dir, written
+from .storage import shared_dir, spread, written
 from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,7 +52,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def dna(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), *more, S.as_dna(F.col("text")).alias("seq"))
+    rows = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), *more, "text"))
+    return rows.select("id", *more, S.as_dna(F.col("text")).alias("seq"))
 
 
 def reads(spark: SparkSession, d: str) -> DataFrame:
@@ -240,7 +241,7 @@ def kmer_entropy(spark, d):
 @query("WITH t AS (SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyzOUou', 'ABCDEFGHIJKLMNKPQRSTCVWXYZKCKC') AS seq FROM documents), km AS (SELECT substr(seq, pos + 1, 4) AS kmer FROM (SELECT seq, unnest(range(0, greatest(length(seq) - 3, 0))) AS pos FROM t)) SELECT kmer, count(*) AS n FROM km WHERE regexp_full_match(kmer, '[ACDEFGHIKLMNPQRSTVWY]{4}') GROUP BY kmer HAVING count(*) >= 100")
 def protein_kmers(spark, d):
     letters = "ACDEFGHIKLMNPQRSTVWY"
-    docs = table(spark, d, "documents").select(F.col("text").alias("seq"))
+    docs = spread(table(spark, d, "documents").select(F.col("text").alias("seq")))
     rows = K.counted(docs, Seed(4, canonical=False, alphabet="AMINO20")).filter("n >= 100")
     digit = lambda i: F.substring(F.lit(letters), (F.floor(F.col("kmer") / 20**i) % 20 + 1).cast("int"), F.lit(1))
     return rows.select(F.concat(*[digit(i) for i in (3, 2, 1, 0)]).alias("kmer"), "n")
@@ -273,7 +274,7 @@ def count_of_counts(spark, d):
 
 @query(f"WITH {_DOCS}, {_kmers('km', 'dna', keep='id, lang')} SELECT coalesce(lang, '*') AS lang, count(DISTINCT kmer) AS n FROM km GROUP BY ROLLUP (lang)")
 def union_cardinality(spark, d):
-    rows = K.counted(dna(spark, d, "lang"), SEED, ["lang"]).groupBy("kmer").agg(F.collect_list("lang").alias("langs"))
+    rows = K.parts(dna(spark, d, "lang"), SEED, ["lang"]).groupBy("kmer").agg(F.collect_set("lang").alias("langs"))
     return rows.select(F.explode(F.concat(F.array(F.lit("*")), "langs")).alias("lang")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -656,7 +657,7 @@ _SUB = f"{_DOCS}, {_TREE}, g AS (SELECT id, taxid, seq FROM dna JOIN leaves USIN
 
 def _subtrees(spark, d) -> tuple[DataFrame, DataFrame]:
     tree = doc_tree(spark, d)
-    leaf = K.counted(doc_genomes(spark, d, tree), SEED, ["taxid"]).select("taxid", "kmer")
+    leaf = K.parts(doc_genomes(spark, d, tree), SEED, ["taxid"]).select("taxid", "kmer")
     sets = leaf.join(F.broadcast(T.closure(tree)), "taxid").select(F.col("anc").alias("taxid"), "kmer").distinct()  # one row per node and ancestor of a small tree
     return M.subtree_patterns(sets, tree), tree
 
