@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir, written  # noqa: F401
+
 #: The six ASCII white-space characters that separate words, and the upper-case letters that are lowered.
 WHITE = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -22,41 +21,6 @@ HOT_SHARE = 1_000
 #: Bytes of one Arrow batch; keeps a worker's memory bounded however long the texts are.
 BATCH_BYTES = 8 << 20
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
-_OWN = ""
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a temporary one, in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    global _OWN
-    _OWN = _OWN or tempfile.mkdtemp(prefix="strandloom-")
-    return _OWN
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, lost executors cost nothing but a reread."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session has ended before us; its folder goes with the cluster
-            return
-
 
 def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Bounds the bytes of the batches that go to Python workers."""
@@ -77,7 +41,7 @@ def join_checked(left: DataFrame, right: DataFrame, on: str | Sequence[str], how
 
     right should be a written table, since it is counted first.
     """
-    few = right.limit(most + 1).count() <= most
+    few = right.count() <= most
     return left.join(F.broadcast(right) if few else right.hint("shuffle_merge"), on, how)
 
 
