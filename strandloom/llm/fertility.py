@@ -94,7 +94,7 @@ def measured(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             rows: list[tuple] = []
             for texts in by_bytes(batch.column(1).to_pylist(), 1 << 20):
                 lists = [WORDS.findall(t) for t in texts]
-                packed = memo(path, "ids16", False).fold(lists, b"".join)
+                packed = memo(path, "ids16", False).fold(lists)
                 for text, words, ids in zip(texts, lists, packed):
                     chars = len(text) - sum(map(text.count, WHITE))
                     base = (len(words), chars, sum(map(text.count, SYMBOLS)), repeated_lines(text), repeated_words(words), len(ids) // 2)

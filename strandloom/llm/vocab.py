@@ -64,13 +64,31 @@ def _ends(path: str) -> np.ndarray:
     return ends
 
 
-def encode_plain_units(path: str, units: list[str]) -> list[np.ndarray]:
-    """Ids of each plain unit, all in one call: the last token of a unit is marked in the vocabulary."""
-    ids = np.array(encode(path, [" ".join(units)])[0], dtype="<u4")
-    ends = np.flatnonzero(_ends(path)[ids]) + 1
-    if len(ends) != len(units):
-        return [np.array(x, dtype="<u4") for x in encode(path, units)]
-    return np.split(ids, ends[:-1])
+def cut_lengths(ids: np.ndarray, ends: np.ndarray) -> list[int]:
+    return np.diff(ends, prepend=0).tolist()
+
+
+def cut_packed(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The bytes of each unit's ids."""
+    raw, width = ids.tobytes(), ids.itemsize
+    at = [0, *(ends * width).tolist()]
+    return [raw[i:j] for i, j in zip(at, at[1:])]
+
+
+#: What is kept of a unit's ids: how to cut it from the ids of many units, given their ends; and how a text's are joined.
+KINDS = {"length": (cut_lengths, sum), "ids": (cut_packed, b"".join), "ids16": (lambda ids, ends: cut_packed(ids.astype("<u2"), ends), b"".join)}
+
+
+def encode_units(path: str, units: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all units, and where each unit's end. Plain ones go in one call: their last tokens are marked."""
+    if plain:
+        ids = np.array(encode(path, [" ".join(units)])[0], dtype="<u4")
+        ends = np.flatnonzero(_ends(path)[ids]) + 1
+        if len(ends) == len(units):
+            return ids, ends
+    every = encode(path, units)
+    ends = np.cumsum(np.fromiter(map(len, every), np.int64, len(every)))
+    return np.fromiter((i for x in every for i in x), "<u4", int(ends[-1]) if len(ends) else 0), ends
 
 
 class _Generation(dict):
@@ -84,49 +102,34 @@ class _Generation(dict):
 
 
 class Memo:
-    """unit -> what `make` gives for its ids. Units that were not met for a whole generation are forgotten."""
+    """unit -> what `kind` keeps of its ids. Units that were not met for a whole generation are forgotten."""
 
-    def __init__(self, path: str, make: Callable[[np.ndarray], object], plain: bool):
-        self.path, self.make, self.plain = path, make, plain
+    def __init__(self, path: str, kind: str, plain: bool):
+        self.path, self.plain = path, plain
+        self.cut, self.join = KINDS[kind]
         self.known = _Generation()
         self.known.old = {}
 
-    def learn(self, units: set[str]) -> dict:
-        """What is known, with these units."""
+    def learn(self, units: set[str]) -> None:
         known = self.known
-        new = [u for u in units if u not in known and u not in known.old]
+        new = list(units.difference(known).difference(known.old))
         if len(known) + len(new) > REMEMBER:
             self.known = _Generation()
             self.known.old = {u: v for u, v in known.items() if len(u) <= LONGEST}
-            known, new = self.known, [u for u in units if u not in self.known.old]
+            known, new = self.known, list(units.difference(self.known.old))
         if new:
-            got = encode_plain_units(self.path, new) if self.plain else [np.array(x, dtype="<u4") for x in encode(self.path, new)]
-            known.update(zip(new, map(self.make, got)))
-        return known
-
-    def fold(self, lists: list[list[str]], join: Callable[[Iterator], object]) -> list:
-        """join() of the values of each list's units."""
-        out, open_ = [None] * len(lists), []
-        known = self.known
-        for i, units in enumerate(lists):
-            try:
-                out[i] = join(map(known.__getitem__, units))
-            except KeyError:
-                open_.append(i)
-        if open_:
-            known = self.learn(set().union(*[lists[i] for i in open_]))
-            for i in open_:
-                out[i] = join(map(known.__getitem__, lists[i]))
-        return out
-
+            known.update(zip(new, self.cut(*encode_units(self.path, new, self.plain))))
 
-MAKE = {"length": len, "ids": lambda ids: ids.tobytes(), "ids16": lambda ids: ids.astype("<u2").tobytes()}
-JOIN = {"length": sum, "ids": b"".join, "ids16": b"".join}
+    def fold(self, lists: list[list[str]]) -> list:
+        """What each list's units give together. Most texts have a unit that is new, so all are looked up first."""
+        self.learn(set().union(*lists))
+        get, join = self.known.__getitem__, self.join
+        return [join(map(get, units)) for units in lists]
 
 
 @lru_cache(maxsize=12)
 def memo(path: str, kind: str, plain: bool) -> Memo:
-    return Memo(path, MAKE[kind], plain)
+    return Memo(path, kind, plain)
 
 
 def by_bytes(texts: Iterable[str | None], most: int) -> Iterator[list[str]]:
@@ -172,11 +175,10 @@ def fold_texts(texts: list[str], path: str, kind: str, piece: int = 1 << 18) ->
             else:
                 other.append(WORDS.findall(part))
                 owner.append((i, False))
-    join = JOIN[kind]
-    done = {True: iter(memo(path, kind, True).fold(plain, join)), False: iter(memo(path, kind, False).fold(other, join))}
+    done = {True: iter(memo(path, kind, True).fold(plain)), False: iter(memo(path, kind, False).fold(other))}
     if len(owner) == len(texts):
         return [next(done[p]) for _, p in owner]
     parts: list[list] = [[] for _ in texts]
     for i, p in owner:
         parts[i].append(next(done[p]))
-    return [join(x) for x in parts]
+    return [KINDS[kind][1](x) for x in parts]

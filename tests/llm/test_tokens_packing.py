@@ -42,10 +42,10 @@ def test_other_vocabularies(name):
 
 def test_memory_of_units_is_bounded(words_path, monkeypatch):
     monkeypatch.setattr(V, "REMEMBER", 50)
-    memo = V.Memo(words_path, len, False)
+    memo = V.Memo(words_path, "length", False)
     for i in range(40):
         lists = [[f"w{i}x{j}" for j in range(9)] + ["the"]]
-        assert memo.fold(lists, sum) == [sum(len(V.encode(words_path, [w])[0]) for w in lists[0])]
+        assert memo.fold(lists) == [sum(len(V.encode(words_path, [w])[0]) for w in lists[0])]
         assert len(memo.known) <= 50 + 10 and len(memo.known.old) <= 50 + 10
 
 
