@@ -186,6 +186,15 @@ def counted(df: DataFrame, seed: Seed, keys: Sequence[str] = (), seq: str = "seq
     return parts(df, seed, keys, seq, score, across_gaps).groupBy(*keys, "kmer").agg(F.sum("n").alias("n"))
 
 
+def counted_each(df: DataFrame, seed: Seed, key: str = "id", seq: str = "seq", score: str = "raw", across_gaps: bool = False) -> DataFrame:
+    """key, kmer, n like counted(); where key tells all rows apart, each row's counts are whole as they leave the kernel.
+
+    The keys are counted first, which moves keys alone; k-mers are then shuffled only if some key repeats or is null.
+    """
+    n, kinds = df.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
+    return (parts if n == kinds else counted)(df, seed, [key], seq, score, across_gaps)
+
+
 def grouped(columns: list[pa.Array], n: int) -> tuple[np.ndarray, np.ndarray]:
     """A group number for each row, and a row of each group."""
     if not columns:

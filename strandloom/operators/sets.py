@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.specs import Seed
-from .kmers import counted, kmers, multi_k
+from .kmers import counted, counted_each, kmers, multi_k
 
 
 def distinct_sets(df: DataFrame, seed: Seed, keys: Sequence[str], seq: str = "seq") -> DataFrame:
@@ -37,7 +37,8 @@ def multi_k_sets(df: DataFrame, ks: Sequence[int], seq: str = "seq", canonical:
 
 def multiset_stats(df: DataFrame, seed: Seed, keys: Sequence[str], seq: str = "seq") -> DataFrame:
     """keys, distinct, total, squares: k-mers of each key, their counts' sum and sum of squares."""
-    return counted(df, seed, keys, seq).groupBy(*keys).agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    rows = counted_each(df, seed, keys[0], seq) if len(keys) == 1 else counted(df, seed, keys, seq)
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("squares"))
 
 
 def prefix_sums(df: DataFrame, order: str, value: str, to: str, bucket: int = 1 << 20) -> DataFrame:
@@ -60,7 +61,7 @@ def postings(df: DataFrame, seed: Seed, ref: str = "id", seq: str = "seq") -> Da
 
 def inverted_index(df: DataFrame, seed: Seed, ref: str = "id", seq: str = "seq") -> DataFrame:
     """kmer, ids: the references that hold each k-mer, in order."""
-    return counted(df, seed, [ref], seq).groupBy("kmer").agg(F.sort_array(F.collect_list(ref)).alias("ids"))
+    return counted_each(df, seed, ref, seq).groupBy("kmer").agg(F.sort_array(F.collect_list(ref)).alias("ids"))
 
 
 def chunk_cardinality(df: DataFrame, seed: Seed, chunk: int, ref: str = "id", seq: str = "seq") -> DataFrame:
@@ -92,7 +93,7 @@ def pattern_counts(patterns: DataFrame) -> DataFrame:
 
 def screen(reads: DataFrame, index: DataFrame, seed: Seed, read: str = "id") -> DataFrame:
     """read, ref, hits: distinct k-mers that each read shares with each reference of an inverted index."""
-    return counted(reads, seed, [read], "seq").join(index, "kmer").select(read, F.explode("ids").alias("ref")).groupBy(read, "ref").agg(F.count(F.lit(1)).alias("hits"))
+    return counted_each(reads, seed, read).join(index, "kmer").select(read, F.explode("ids").alias("ref")).groupBy(read, "ref").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def length_histogram(df: DataFrame, seq: str = "seq") -> DataFrame:

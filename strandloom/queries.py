@@ -179,7 +179,7 @@ def kmer_count_topk(spark, d):
 
 @query(f"WITH {_DOCS}, {_kmers('km', 'dna')} SELECT id, count(DISTINCT kmer) AS kmers, min(kmer) AS least, max(kmer) AS greatest FROM km GROUP BY id")
 def kmer_distinct(spark, d):
-    rows = A.distinct_sets(dna(spark, d), SEED, ["id"]).groupBy("id").agg(F.count(F.lit(1)).alias("kmers"), F.min("kmer").alias("a"), F.max("kmer").alias("z"))
+    rows = K.counted_each(dna(spark, d), SEED).groupBy("id").agg(F.count(F.lit(1)).alias("kmers"), F.min("kmer").alias("a"), F.max("kmer").alias("z"))
     return rows.select("id", "kmers", S.decode(F.col("a"), KMER).alias("least"), S.decode(F.col("z"), KMER).alias("greatest"))
 
 
@@ -196,7 +196,7 @@ _AT = " || ".join(f"substr(w, {o + 1}, 1)" for o in _SPACED.offsets())
 
 @query(f"WITH {_DOCS}, w AS (SELECT id, substr(seq, pos + 1, {_SPACED.span}) AS w FROM (SELECT id, seq, unnest(range(0, greatest(length(seq) - {_SPACED.span} + 1, 0))) AS pos FROM dna)), s AS (SELECT id, {_AT} AS s FROM w) SELECT id, count(*) AS seeds, count(DISTINCT s) AS kinds FROM s WHERE NOT contains(s, '.') GROUP BY id")
 def kmer_spaced(spark, d):
-    return K.counted(dna(spark, d), _SPACED, ["id"]).groupBy("id").agg(F.sum("n").alias("seeds"), F.count(F.lit(1)).alias("kinds"))
+    return K.counted_each(dna(spark, d), _SPACED).groupBy("id").agg(F.sum("n").alias("seeds"), F.count(F.lit(1)).alias("kinds"))
 
 
 def _windowed(k: int, w: int, canonical: bool, score: str = "kmer") -> str:
@@ -210,14 +210,14 @@ def _windowed(k: int, w: int, canonical: bool, score: str = "kmer") -> str:
 
 @query(f"WITH {_DOCS}, {_windowed(11, 20, False)} SELECT id, count(*) AS windows, count(DISTINCT kmer) AS kinds, min(kmer) AS least, max(kmer) AS greatest FROM mins GROUP BY id")
 def minimizer_window(spark, d):
-    rows = K.counted(dna(spark, d), Seed(11, 20, canonical=False), ["id"])
+    rows = K.counted_each(dna(spark, d), Seed(11, 20, canonical=False))
     out = rows.groupBy("id").agg(F.sum("n").alias("windows"), F.count(F.lit(1)).alias("kinds"), F.min("kmer").alias("a"), F.max("kmer").alias("z"))
     return out.select("id", "windows", "kinds", S.decode(F.col("a"), 11).alias("least"), S.decode(F.col("z"), 11).alias("greatest"))
 
 
 @query(f"WITH {_DOCS}, {_windowed(11, 20, True)} SELECT kmer, count(*) AS windows, count(DISTINCT id) AS docs FROM mins GROUP BY kmer HAVING count(DISTINCT id) > 20")
 def minimizer_canonical(spark, d):
-    rows = K.counted(dna(spark, d), Seed(11, 20), ["id"]).groupBy("kmer").agg(F.sum("n").alias("windows"), F.count(F.lit(1)).alias("docs")).filter("docs > 20")
+    rows = K.counted_each(dna(spark, d), Seed(11, 20)).groupBy("kmer").agg(F.sum("n").alias("windows"), F.count(F.lit(1)).alias("docs")).filter("docs > 20")
     return rows.select(S.decode(F.col("kmer"), 11).alias("kmer"), "windows", "docs")
 
 
@@ -228,7 +228,7 @@ _ENT = f"-{_BITS}"
 
 @query(f"WITH {_DOCS}, {_windowed(8, 14, True, _ENT)} SELECT id, count(*) AS windows, count(DISTINCT kmer) AS kinds, min(kmer) AS least FROM mins GROUP BY id")
 def entropy_minimizers(spark, d):
-    rows = K.counted(dna(spark, d), Seed(8, 14), ["id"], score="entropy").groupBy("id").agg(F.sum("n").alias("windows"), F.count(F.lit(1)).alias("kinds"), F.min("kmer").alias("a"))
+    rows = K.counted_each(dna(spark, d), Seed(8, 14), score="entropy").groupBy("id").agg(F.sum("n").alias("windows"), F.count(F.lit(1)).alias("kinds"), F.min("kmer").alias("a"))
     return rows.select("id", "windows", "kinds", S.decode(F.col("a"), 8).alias("least"))
 
 
@@ -308,7 +308,7 @@ def len_hist(spark, d):
 @query(f"WITH {_DOCS}, {_READS}, {_kmers('km', 'dna')}, {_kmers('rk', 'reads')}, c AS (SELECT id, kmer, count(*) AS n FROM km WHERE kmer IN (SELECT kmer FROM rk) GROUP BY id, kmer) SELECT id, count(*) AS kinds, sum(n)::BIGINT AS places FROM c GROUP BY id")
 def acceptlist_semi(spark, d):
     accept = A.kmer_counts(reads(spark, d), SEED)
-    return A.accepted(K.counted(dna(spark, d), SEED, ["id"]), accept).groupBy("id").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("places"))
+    return A.accepted(K.counted_each(dna(spark, d), SEED), accept).groupBy("id").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("places"))
 
 
 @query(f"WITH {_DOCS}, {_READS}, {_kmers('km', 'dna')}, {_kmers('rk', 'reads')}, a AS (SELECT DISTINCT id, kmer FROM rk), b AS (SELECT DISTINCT id, kmer FROM km) SELECT a.id AS read, b.id AS ref, count(*) AS hits FROM a JOIN b USING (kmer) GROUP BY a.id, b.id HAVING count(*) >= 20")
@@ -388,7 +388,7 @@ def sketch_error(spark, d):
 
 @query()
 def lsh_neighbors(spark, d):
-    sets = A.distinct_sets(dna(spark, d), Seed(13), ["id"]).withColumnRenamed("kmer", "hash")
+    sets = K.counted_each(dna(spark, d), Seed(13)).select("id", F.col("kmer").alias("hash"))
     return U.banded(sets, "id", 8, 3)
 
 

@@ -99,6 +99,14 @@ def test_counts_fold_and_keys_stay(spark):
     assert A.cardinality(df, Seed(4)).first().n == len({k for _, k in want})
 
 
+def test_counts_of_each_row(spark):
+    rows = [(1, "ACGTACGTAC"), (2, "ACGT"), (3, None), (4, "")]
+    for more in ([], [(2, "ACGTT")], [(None, "AAAA"), (None, "AAAA")]):
+        df = spark.createDataFrame(rows + more, "id long, seq string")
+        one, two = (Counter(map(tuple, x.collect())) for x in (K.counted_each(df, Seed(4)), K.counted(df, Seed(4), ["id"])))
+        assert one == two
+
+
 def test_entropy_minimizers_prefer_entropy(spark):
     df = spark.createDataFrame([(1, "AAAAAAACGTAAAAAAA")], "id int, seq string")
     best = {r.kmer for r in K.kmers(df, Seed(4, 10, canonical=False), score="entropy").collect()}
