@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.specs import Seed
-from .kmers import counted, parts, score_minimizers
+from .kmers import counted, score_minimizers, spans
 from .taxonomy import lca_of_ranges
 
 MODES = ("lex", "entropy", "tax_depth", "feature_count")
@@ -21,9 +21,7 @@ MODES = ("lex", "entropy", "tax_depth", "feature_count")
 def lca_map(genomes: DataFrame, seed: Seed, tree: DataFrame, score: str = "raw") -> DataFrame:
     """kmer, taxid: the common ancestor of all genomes (taxid, seq) that hold the k-mer. tree: nodes()."""
     numbered = genomes.join(tree.select("taxid", "ord"), "taxid")
-    rows = parts(numbered, seed, ["ord"], "seq", score)  # the least and the greatest need no counts: one shuffle
-    ranges = rows.groupBy("kmer").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
-    return lca_of_ranges(ranges, tree)
+    return lca_of_ranges(spans(numbered, seed, "ord", "seq", score), tree)
 
 
 def depth_map(database: DataFrame, tree: DataFrame) -> DataFrame:

@@ -195,6 +195,30 @@ def counted_each(df: DataFrame, seed: Seed, key: str = "id", seq: str = "seq", s
     return (parts if n == kinds else counted)(df, seed, [key], seq, score, across_gaps)
 
 
+def spans(df: DataFrame, seed: Seed, number: str, seq: str = "seq", score: str = "raw") -> DataFrame:
+    """kmer, lo, hi: the least and the greatest `number` (no less than zero) of the rows that hold each k-mer.
+
+    Batches leave the kernel as one row per k-mer, so what is shuffled does not grow with the number of numbers.
+    """
+
+    def kernel(batches):
+        lut = alphabet(seed.alphabet).lut()
+        for batch in batches:
+            numbers = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for first, codes, owner, _ in joined(batch.column(1).to_pylist(), lut):
+                at, value = seeds_of(codes, owner, seed)
+                at, value = minimizers_of(at, value, owner, seed, score, False)
+                number_of = numbers[owner[at] + first]
+                value, number_of, _ = folded(value, number_of)  # by k-mer, then by number
+                new = np.concatenate([[True], value[1:] != value[:-1]])[: len(value)]
+                begin = np.flatnonzero(new)
+                end = np.append(begin[1:], len(value))[: len(begin)] - 1
+                yield pa.RecordBatch.from_arrays([pa.array(value[begin]), pa.array(number_of[begin]), pa.array(number_of[end])], ["kmer", "lo", "hi"])
+
+    part = df.select(F.col(number).cast("long"), F.col(seq)).filter(F.col(number).isNotNull()).mapInArrow(kernel, "kmer long, lo long, hi long")
+    return part.groupBy("kmer").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
 def grouped(columns: list[pa.Array], n: int) -> tuple[np.ndarray, np.ndarray]:
     """A group number for each row, and a row of each group."""
     if not columns:

@@ -107,6 +107,12 @@ def test_counts_of_each_row(spark):
         assert one == two
 
 
+def test_spans_of_numbers(spark):
+    df = spark.createDataFrame([(5, "ACGTACGT"), (2, "ACGTT"), (9, "ACGT"), (None, "AAAA"), (1, None)], "n long, seq string")
+    got = {r.kmer: (r.lo, r.hi) for r in K.spans(df, Seed(4, canonical=False), "n").collect()}
+    assert got[number("ACGT")] == (2, 9) and got[number("CGTA")] == (5, 5) and number("AAAA") not in got and len(got) == 5
+
+
 def test_entropy_minimizers_prefer_entropy(spark):
     df = spark.createDataFrame([(1, "AAAAAAACGTAAAAAAA")], "id int, seq string")
     best = {r.kmer for r in K.kmers(df, Seed(4, 10, canonical=False), score="entropy").collect()}
