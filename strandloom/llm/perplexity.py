@@ -31,9 +31,9 @@ from .common import join_checked, keep_rows, map_arrow, written
 ORDER = 4
 #: The signs that stand before a text and behind it.
 BEGIN, OVER = "\x02", "\x03"
-BLOCK_CHARS, CHUNK = 16 << 20, 2 << 20
+BLOCK_CHARS, CHUNK = 6 << 20, 1 << 20
 #: Cells of a table that numbers n-grams directly; where there are more, they are sorted.
-CELLS = 1 << 24
+CELLS = 1 << 23
 REACH, OWN_BAND, NARROWEST = 6.0, 200, 0.5
 _CLEAR = str.maketrans({BEGIN: " ", OVER: " "})
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -131,8 +131,7 @@ def train(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
 
     def kernel(batches):
         for batch in batches:
-            pads = [padded(t, order) for t in batch.column(0).to_pylist() if t]
-            for part in chunks(pads, CHUNK):
+            for part in chunks((padded(t, order) for t in batch.column(0).to_pylist() if t), CHUNK):
                 grams, n = gram_counts(part, order)
                 yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(n, pa.int64())], ["gram", "c"])
 
@@ -237,7 +236,7 @@ def perplexities(docs: DataFrame, model: DataFrame, unseen: float, order: int =
     def ask(batches):
         for block, rows in blocks(batches):
             grams: set[str] = set()
-            for part in chunks([padded(t, order) for _, t, _ in rows], CHUNK):
+            for part in chunks((padded(t, order) for _, t, _ in rows), CHUNK):
                 grams.update(gram_counts(part, order)[0])
             every = list(grams)
             for k in range(order - 1, 0, -1):
@@ -267,7 +266,7 @@ def perplexities(docs: DataFrame, model: DataFrame, unseen: float, order: int =
             table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all()
             every = table["text"].to_pylist()
             log_p: list[float] = []
-            for part in chunks([padded(t, order) for t in every], CHUNK):
+            for part in chunks((padded(t, order) for t in every), CHUNK):
                 log_p += lookup.log_p(part).tolist()
             n = [len(t) + 1 for t in every]
             ok = [any(map(str.isalnum, t)) for t in every]
