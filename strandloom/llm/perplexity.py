@@ -8,10 +8,14 @@ moves once (compressed) and the model is never broadcast, however much trusted t
 
 A document's perplexity is per character. Its distance from its language's median counts times the root of the number
 of characters, since short texts vary more; what lies above the language's upper quartile by a multiple of the quartiles'
-distance is rejected. Quantiles come from all documents. A low perplexity is no reason to reject: copies have it too.
+distance is rejected. A low perplexity is no reason to reject: copies have it too.
+
+Median and quartiles come from all trusted texts of the language, each text once, so no amount of junk moves them. For
+this, a trusted text is scored as if it had been left out: an n-gram that only it has counts as one never seen. A language
+with few trusted texts takes all of its distinct texts instead.
 
 Defined results. Null or empty text, and text without a letter or digit: perplexity null, not kept. Null language: a
-language of its own. Languages with few documents share their quantiles. No trusted text: perplexity null, every other
+language of its own. Languages with few distinct texts share their quantiles. No trusted text: perplexity null, every other
 text is kept. Repeated rows: rows of their own. Null doc_id: scored, never trusted. Empty table: no rows. Other columns
 are not read.
 """
@@ -34,7 +38,9 @@ BEGIN, OVER = "\x02", "\x03"
 BLOCK_CHARS, CHUNK = 6 << 20, 1 << 20
 #: Cells of a table that numbers n-grams directly; where there are more, they are sorted.
 CELLS = 1 << 23
-REACH, OWN_BAND, NARROWEST = 6.0, 200, 0.5
+REACH, NARROWEST = 6.0, 0.5
+#: A language has quantiles of its own with so many distinct texts, or with so many trusted ones, which are then used alone.
+OWN_BAND, TRUSTED_BAND = 200, 50
 _CLEAR = str.maketrans({BEGIN: " ", OVER: " "})
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -127,7 +133,10 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 
 def train(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
-    """The model table (gram, p, back) and the probability of a sign never seen, from a table with the column text."""
+    """The model table (gram, p, back) and the probability of a sign never seen, from a table with the column text.
+
+    The longest n-grams are no contexts: back is their count.
+    """
 
     def kernel(batches):
         for batch in batches:
@@ -151,14 +160,14 @@ def train(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
         if k == 1:
             total, free = contexts.select("all", "free").first() or (1, 1.0)
             unseen = free / total / vocabulary
-            level = rows.select("gram", ((F.col("c") - F.col("d")) / F.lit(total) + F.lit(unseen)).alias("p"))
+            level = rows.select("gram", "c", ((F.col("c") - F.col("d")) / F.lit(total) + F.lit(unseen)).alias("p"))
         else:
             lower = below.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
             both = rows.withColumn("suffix", F.substring("gram", 2, k - 1)).join(contexts, "context").join(lower, "suffix")
-            level = both.select("gram", ((F.col("c") - F.col("d") + F.col("free") * F.col("q")) / F.col("all")).alias("p"))
+            level = both.select("gram", "c", ((F.col("c") - F.col("d") + F.col("free") * F.col("q")) / F.col("all")).alias("p"))
             parts.append(contexts.select(F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), (F.col("free") / F.col("all")).alias("back")))
         below = written(level, "level")
-        parts.append(below.withColumn("back", F.lit(None).cast("double")))
+        parts.append(below.select("gram", "p", (F.col("c") if k == order else F.lit(None)).cast("double").alias("back")))
     table = parts[0]
     for x in parts[1:]:
         table = table.unionByName(x)
@@ -185,23 +194,32 @@ class Lookup:
         hit = found[at] == wanted
         return np.where(hit, p[at], np.nan), np.where(hit, back[at], np.nan)
 
-    def log_p(self, texts: list[str]) -> np.ndarray:
-        """Sum of the natural logarithms of the probabilities of each padded text's signs."""
+    def log_p(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the natural logarithms of the probabilities of each padded text's signs; and the same with those n-grams
+        unseen that stand nowhere but in this text."""
         order = self.order
-        joined, number, place, _ = distinct(texts, order)
+        joined, number, place, here = distinct(texts, order)
         codes = points(joined)
         grams = codes[np.maximum(place, 0)[:, None] + np.arange(order)]
         prob = np.full(len(grams), self.unseen)
         for k in range(1, order + 1):
-            p, _ = self.get(k, keys(grams[:, order - k :]))
+            p, count = self.get(k, keys(grams[:, order - k :]))
             if k > 1:
                 _, weight = self.get(k - 1, keys(grams[:, order - k : order - 1]))
                 prob = np.where(np.isnan(weight), 1.0, weight) * prob
+            without = prob
             prob = np.where(np.isnan(p), prob, p)
         sizes = np.array([len(t) - order + 1 for t in texts])
-        sums = np.concatenate([[0.0], np.cumsum(np.log(prob)[number])])
         ends = np.cumsum(sizes)
-        return sums[ends] - sums[ends - sizes]
+        logs = np.log(prob)[number]
+        sums = np.concatenate([[0.0], np.cumsum(logs)])
+        rare = np.flatnonzero((count <= here)[number])  # no count where the model lacks the n-gram
+        pair = np.searchsorted(ends, rare, "right") * np.int64(len(place)) + number[rare]
+        _, which, times = np.unique(pair, return_inverse=True, return_counts=True)
+        alone = rare[times[which] == count[number[rare]]]
+        logs[alone] = np.log(without)[number[alone]]
+        left_out = np.concatenate([[0.0], np.cumsum(logs)])
+        return sums[ends] - sums[ends - sizes], left_out[ends] - left_out[ends - sizes]
 
 
 def blocks(batches):
@@ -231,7 +249,10 @@ def blocks(batches):
 
 
 def perplexities(docs: DataFrame, model: DataFrame, unseen: float, order: int = ORDER) -> DataFrame:
-    """doc_id, lang, text_key, n_signs, perplexity of every row of docs (doc_id, text, lang: a scan, read twice alike)."""
+    """doc_id, lang, text_key, n_signs, perplexity, left_out of every row of docs (doc_id, text, lang: a scan, read twice alike).
+
+    left_out: the perplexity of a text of the training as if it had been left out.
+    """
 
     def ask(batches):
         for block, rows in blocks(batches):
@@ -266,37 +287,43 @@ def perplexities(docs: DataFrame, model: DataFrame, unseen: float, order: int =
             table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all()
             every = table["text"].to_pylist()
             log_p: list[float] = []
+            left_out: list[float] = []
             for part in chunks((padded(t, order) for t in every), CHUNK):
-                log_p += lookup.log_p(part).tolist()
+                for sums, more in zip((log_p, left_out), lookup.log_p(part)):
+                    sums += more.tolist()
             n = [len(t) + 1 for t in every]
             ok = [any(map(str.isalnum, t)) for t in every]
-            ppl = [float(np.exp(-s / m)) if fine else None for s, m, fine in zip(log_p, n, ok)]
+            ppl, out_ppl = ([float(np.exp(-s / m)) if fine else None for s, m, fine in zip(sums, n, ok)] for sums in (log_p, left_out))
             md5 = [hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in every]
-            out.append(pa.table({"doc_id": table["doc_id"], "lang": table["lang"], "text_key": pa.array(md5, pa.string()), "n_signs": pa.array(n, pa.int64()), "perplexity": pa.array(ppl, pa.float64())}))
+            out.append(pa.table({"doc_id": table["doc_id"], "lang": table["lang"], "text_key": pa.array(md5, pa.string()), "n_signs": pa.array(n, pa.int64()), "perplexity": pa.array(ppl, pa.float64()), "left_out": pa.array(out_ppl, pa.float64())}))
         return pa.concat_tables(out)
 
     asked = map_arrow(docs, ask, "block long, gram string")
     answers = asked.join(model, "gram", "left").groupBy("block")  # left: a block whose n-grams are all new stays
-    return map_arrow(docs, pack, "block long, data binary").groupBy("block").cogroup(answers).applyInArrow(score, "doc_id long, lang string, text_key string, n_signs long, perplexity double")
+    return map_arrow(docs, pack, "block long, data binary").groupBy("block").cogroup(answers).applyInArrow(score, "doc_id long, lang string, text_key string, n_signs long, perplexity double, left_out double")
 
 
-def judged(scores: DataFrame) -> DataFrame:
+def judged(scores: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """scores (a written table) with kept: the distance from the language's median is not above the language's limit."""
-    log_p = F.log("perplexity")
-    known = scores.filter("perplexity IS NOT NULL")
-    middle = F.percentile_approx(log_p, 0.5, 10_000).alias("middle")
     lang = F.coalesce("lang", F.lit(""))
-    own = written(known.groupBy(lang.alias("_lang")).agg(middle, F.count(F.lit(1)).alias("n")).filter(f"n >= {OWN_BAND}"), "medians")
-    common = (known.agg(middle).first() or [None])[0]
-    band = F.coalesce("_lang", F.lit("*"))
-    # a row per language with enough documents: broadcast while the written table is small, hot languages split otherwise
-    far = scores.join(own, lang == F.col("_lang"), "left").withColumn("band", band).withColumn("distance", (log_p - F.coalesce("middle", F.lit(common).cast("double"))) * F.sqrt("n_signs"))
-    far = written(far.drop("_lang", "middle", "n"), "distances")
-    quarter = F.percentile_approx("distance", [0.25, 0.75], 10_000)
+    named = trusted_ids.select("doc_id", F.lit(True).alias("trusted"))
+    known = join_checked(scores.filter("perplexity IS NOT NULL"), named, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    # copies are folded where they are read, so a text with many of them is no large group
+    once = known.groupBy(lang.alias("_lang"), "text_key", "n_signs").agg(F.max("trusted").alias("trusted"), F.min("perplexity").alias("perplexity"), F.min("left_out").alias("left_out"))
+    once = written(once.withColumn("log_p", F.log(F.when(F.col("trusted"), F.col("left_out")).otherwise(F.col("perplexity")))), "texts")
+    own = once.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("trusted").alias("n_trusted")).filter(f"n >= {OWN_BAND} OR n_trusted >= {TRUSTED_BAND}")
+    own = written(own.select("_lang"), "own-bands").withColumn("_band", F.col("_lang"))
+    # a row per language with enough texts: broadcast while the written table is small, hot languages split otherwise
+    placed = once.join(own, "_lang", "left").withColumn("_band", F.coalesce("_band", F.lit("*")))
+    counted = placed.groupBy("_band").agg(F.count_if("trusted").alias("n_trusted"))
+    fit = placed.join(written(counted, "bands"), "_band").filter(f"trusted OR n_trusted < {TRUSTED_BAND}")
+    middles = written(fit.groupBy("_band").agg(F.percentile_approx("log_p", 0.5, 10_000).alias("middle")), "medians")
+    quarter = F.percentile_approx((F.col("log_p") - F.col("middle")) * F.sqrt("n_signs"), [0.25, 0.75], 10_000)
     spread = F.greatest(quarter[1] - quarter[0], F.lit(NARROWEST)) * REACH
-    ends = far.filter("distance IS NOT NULL").groupBy(F.col("band").alias("_band")).agg((quarter[1] + spread).alias("high"))
-    both = far.join(written(ends, "quantiles"), F.col("band") == F.col("_band"), "left")
-    return both.select(*scores.columns, "distance", F.coalesce(F.col("distance") <= F.col("high"), F.lit(False)).alias("kept"))
+    ends = written(fit.join(middles, "_band").groupBy("_band").agg(F.first("middle").alias("middle"), (quarter[1] + spread).alias("high")), "quantiles")
+    far = scores.join(own, lang == F.col("_lang"), "left").withColumn("_band", F.coalesce("_band", F.lit("*"))).join(ends, "_band", "left")
+    far = far.withColumn("distance", (F.log("perplexity") - F.col("middle")) * F.sqrt("n_signs"))
+    return far.select("doc_id", "lang", "text_key", "n_signs", "perplexity", "distance", F.coalesce(F.col("distance") <= F.col("high"), F.lit(False)).alias("kept"))
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -309,7 +336,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
         none = F.lit(None).cast("double")
         return rows.select("doc_id", "lang", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"), (F.length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("n_signs"), none.alias("perplexity"), none.alias("distance"), any_sign.alias("kept"))
     model, unseen = train(texts)
-    return judged(written(perplexities(rows, model, unseen), "perplexities"))
+    return judged(written(perplexities(rows, model, unseen), "perplexities"), ids)
 
 
 def trusted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,3 +213,33 @@ def test_classifier_of_odd_rows(odd, clash, none, spark):
     assert P.classify(none, trusted).count() == 0
     plain = P.classify(odd, trusted.limit(0)).collect()
     assert {r.doc_id for r in plain if not r.kept} == {3, 4, 5, None} and all(r.perplexity is None for r in plain)
+
+
+def test_junk_copies_do_not_move_the_limit(spark, tmp_path):
+    """A rejected junk text copied to a third of English, as it stands and with a word of its own in each copy."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en'").collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    trusted = P.trusted_labels(spark, SF)
+    rnd = random.Random(4)
+    junk = "".join(rnd.choices("bcdfgqxz#% ", k=600))
+    copies = len(docs) // 2
+    extra = [(10**6 + i, junk, "en") for i in range(copies)], [(10**6 + i, f"{junk} {rnd.getrandbits(40):x}", "en") for i in range(copies)]
+    for more in extra:
+        path = str(tmp_path / f"docs-{more[1][1] == junk}")
+        spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in docs] + more, "doc_id long, text string, lang string").repartition(3).write.parquet(path)
+        out = {r.doc_id: r.kept for r in P.classify(spark.read.parquet(path), trusted).collect()}
+        assert not any(out[i] for i, *_ in more)
+        bad = [out[r.doc_id] for r in docs if labels.get(r.doc_id) == 0]
+        good = [out[r.doc_id] for r in docs if labels.get(r.doc_id) == 1]
+        assert sum(bad) <= 0.25 * len(bad) and sum(good) >= 0.99 * len(good)
+
+
+def test_left_out_scores(spark, table):
+    docs = table([(1, "the cat sat"), (2, "the dog ran"), (3, "the dog ran off")])
+    model, unseen = P.train(docs.filter("doc_id < 3").select("text"), 3)
+    got = {r.doc_id: r for r in P.perplexities(docs.select("doc_id", "text", "lang"), model, unseen, 3).collect()}
+    assert got[1].left_out > got[1].perplexity and got[2].left_out > got[2].perplexity
+    same = table([(1, "the cat sat"), (2, "the cat sat")])
+    model, unseen = P.train(same.select("text"), 3)
+    for r in P.perplexities(same.select("doc_id", "text", "lang"), model, unseen, 3).collect():
+        assert r.left_out == pytest.approx(r.perplexity)
