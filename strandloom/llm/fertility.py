@@ -2,10 +2,10 @@
 
 A public vocabulary splits every word of a text. Three measures follow: characters per token, the share of tokens that
 are single bytes because the vocabulary has nothing better, and the entropy of the tokens relative to the most that so
-many tokens can have. Each measure has a band per language, from all documents of that language that pass the base
-rules: a document outside the band is rejected. Since the first two are means over a text's tokens, their distance from
+many tokens can have. Each measure has a band per language, from all distinct texts of that language that pass the base
+rules, so copies do not move it: a document outside the band is rejected. Since the first two are means over a text's tokens, their distance from
 the language's median counts times the root of the number of tokens; entropy counts as what is left over a line in the
-logarithm of that number. The band reaches beyond the quartiles. Languages with few documents share one band.
+logarithm of that number. The band reaches beyond the quartiles. Languages with few texts share one band.
 
 Every text is read once; the bands come from the table of measures, and one row per language goes back to the rows.
 
@@ -15,6 +15,7 @@ own. Very long texts: whole. Repeated rows: rows of their own. Empty table: no r
 
 from __future__ import annotations
 
+import hashlib
 from math import inf
 
 import numpy as np
@@ -28,7 +29,7 @@ from .vocab import WORDS, by_bytes, loaded, memo
 #: The signs that count as symbols.
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: A language has bands of its own with so many documents.
+#: A language has bands of its own with so many distinct texts.
 OWN_BAND = 200
 #: How many interquartile ranges a band reaches below the lower quartile and above the upper one. Few bytes and varied
 #: tokens are no fault, so those sides are open.
@@ -85,8 +86,8 @@ def token_measures(ids: np.ndarray, chars: int, is_byte: np.ndarray) -> tuple[fl
 
 
 def measured(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, the base counts and the three measures of every row."""
-    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", *MEASURES]
+    """doc_id, lang, the base counts and the three measures of every row, and a digest of its text."""
+    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", *MEASURES, "text_key"]
 
     def kernel(batches):
         is_byte = byte_tokens(path)
@@ -98,47 +99,53 @@ def measured(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 for text, words, ids in zip(texts, lists, packed):
                     chars = len(text) - sum(map(text.count, WHITE))
                     base = (len(words), chars, sum(map(text.count, SYMBOLS)), repeated_lines(text), repeated_words(words), len(ids) // 2)
-                    rows.append(base + (token_measures(np.frombuffer(ids, "<u2"), chars, is_byte) if ids else (None, None, None)))
-            columns = list(zip(*rows)) if rows else [()] * 9
-            types = [pa.int64()] * 6 + [pa.float64()] * 3
+                    key = (hashlib.md5(text.encode("utf-8", "surrogatepass")).digest(),)
+                    rows.append(base + (token_measures(np.frombuffer(ids, "<u2"), chars, is_byte) if ids else (None, None, None)) + key)
+            columns = list(zip(*rows)) if rows else [()] * 10
+            types = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(x, t) for x, t in zip(columns, types)]], names)
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
-    schema = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in names[2:8]) + ", " + ", ".join(f"{c} double" for c in MEASURES)
+    schema = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in names[2:8]) + ", " + ", ".join(f"{c} double" for c in MEASURES) + ", text_key binary"
     return map_arrow(rows, kernel, schema)
 
 
-def distances(rows: DataFrame, centers: DataFrame) -> DataFrame:
-    """rows with d_<measure>, the distance of each measure from its language's center.
+def once(rows: DataFrame) -> DataFrame:
+    """One row per language and text. Copies are folded where they are read, so many of them are no large group."""
+    return rows.dropDuplicates(["lang", "text_key"])
+
+
+def banded(rows: DataFrame, passed: DataFrame) -> DataFrame:
+    """rows with band: the language, where passed has enough texts of it, or else one for all.
 
-    centers has a row per language with enough documents and one for the others; Spark broadcasts it while the written
-    table is small, and splits hot languages otherwise.
+    Spark broadcasts the row per language while the written table is small, and splits hot languages otherwise.
     """
-    own = centers.filter("own").drop("own", "n").withColumnRenamed("lang", "_lang")
-    common = centers.filter("NOT own").first()
-    at = lambda c: F.coalesce(f"c_{c}", F.lit(common[f"c_{c}"]).cast("double"))
-    joined = rows.withColumn("_key", F.coalesce("lang", F.lit(""))).join(own, F.col("_key") == F.col("_lang"), "left")
+    key = F.coalesce("lang", F.lit(""))
+    langs = passed.groupBy(key.alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
+    joined = rows.join(written(langs, "languages"), key == F.col("_lang"), "left")
+    return joined.withColumn("band", F.when(F.col("_n") >= OWN_BAND, F.concat(F.lit("="), key)).otherwise(F.lit("*"))).select(*rows.columns, "band")
+
+
+def distances(rows: DataFrame, centers: DataFrame) -> DataFrame:
+    """rows (with band) with d_<measure>, the distance of each measure from the center of the row's band."""
     root = F.sqrt("n_tokens")
-    return joined.select(
+    return rows.join(centers.withColumnRenamed("band", "_band"), F.col("band") == F.col("_band"), "left").select(
         *rows.columns,
-        F.coalesce("_lang", F.lit("*")).alias("band"),
-        ((F.col("chars_per_token") - at("chars_per_token")) * root).alias("d_chars_per_token"),
-        ((F.col("byte_share") - at("byte_share")) * root).alias("d_byte_share"),
-        (F.col("token_entropy") - at("level") - at("slope") * F.log2("n_tokens")).alias("d_token_entropy"),
+        ((F.col("chars_per_token") - F.col("c_chars_per_token")) * root).alias("d_chars_per_token"),
+        ((F.col("byte_share") - F.col("c_byte_share")) * root).alias("d_byte_share"),
+        (F.col("token_entropy") - F.col("c_level") - F.col("c_slope") * F.log2("n_tokens")).alias("d_token_entropy"),
     )
 
 
 def centers(passed: DataFrame) -> DataFrame:
     size = F.log2("n_tokens")
     middle = [
-        F.count(F.lit(1)).alias("n"),
         F.percentile_approx("chars_per_token", 0.5, 10_000).alias("c_chars_per_token"),
         F.percentile_approx("byte_share", 0.5, 10_000).alias("c_byte_share"),
         F.coalesce(F.regr_slope("token_entropy", size), F.lit(0.0)).alias("c_slope"),
         F.coalesce(F.regr_intercept("token_entropy", size), F.avg("token_entropy")).alias("c_level"),
     ]
-    every = passed.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(*middle).filter(f"n >= {OWN_BAND}")
-    return every.withColumn("own", F.lit(True)).unionByName(passed.agg(*middle).withColumns({"lang": F.lit("*"), "own": F.lit(False)}))
+    return passed.groupBy("band").agg(*middle)
 
 
 def quality_rules(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -146,17 +153,19 @@ def quality_rules(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     rows = written(measured(docs, path, id_col, text_col, lang_col), "measures")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     judged = rows.withColumn("base_failed", failed)
-    placed = written(distances(judged, written(centers(judged.filter("NOT base_failed")), "centers")), "distances")
+    texts = written(once(judged.filter("NOT base_failed")), "texts")
+    fit = written(banded(texts, texts), "banded")
+    middles = written(centers(fit), "centers")
     quarter = {m: F.percentile_approx(f"d_{m}", [0.25, 0.75], 10_000) for m in MEASURES}
     spread = {m: F.greatest(quarter[m][1] - quarter[m][0], F.lit(NARROWEST[m])) for m in MEASURES}
     ends = [(quarter[m][0] - spread[m] * REACH[m][0]).alias(f"low_{m}") for m in MEASURES] + [(quarter[m][1] + spread[m] * REACH[m][1]).alias(f"high_{m}") for m in MEASURES]
-    bands = written(placed.filter("NOT base_failed").groupBy(F.col("band").alias("_band")).agg(*ends), "bands")
-    joined = placed.join(bands, F.col("band") == F.col("_band"), "left")
+    bands = written(distances(fit, middles).groupBy(F.col("band").alias("_band")).agg(*ends), "bands")
+    joined = distances(banded(judged, texts), middles).join(bands, F.col("band") == F.col("_band"), "left")
     inside = F.lit(True)
     for m in MEASURES:
         inside = inside & F.col(f"d_{m}").between(F.col(f"low_{m}"), F.col(f"high_{m}"))
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
-    return joined.select(*rows.columns, "base_failed", kept.alias("kept"))
+    return joined.select(*[c for c in rows.columns if c != "text_key"], "base_failed", kept.alias("kept"))
 
 
 def op2_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

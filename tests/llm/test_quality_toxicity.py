@@ -243,3 +243,20 @@ def test_left_out_scores(spark, table):
     model, unseen = P.train(same.select("text"), 3)
     for r in P.perplexities(same.select("doc_id", "text", "lang"), model, unseen, 3).collect():
         assert r.left_out == pytest.approx(r.perplexity)
+
+
+def test_junk_copies_do_not_move_the_bands(spark, tmp_path):
+    """A rejected junk text copied to over a third of the rows of English."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en'").collect()]
+    rnd = random.Random(5)
+    junk = " ".join("".join(rnd.choices("bcdfgqxz", k=12)) for _ in range(60))
+    more = [(10**6 + i, junk, "en") for i in range(2 * len(docs) // 3)]
+    out = []
+    for i, rows in enumerate((docs, docs + more)):
+        spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(str(tmp_path / str(i)))
+        out.append({r.doc_id: r.kept for r in Q.quality_rules(spark.read.parquet(str(tmp_path / str(i))), path).collect()})
+    assert not any(out[1][i] for i, *_ in more)
+    assert sum(out[0][i] != out[1][i] for i, *_ in docs) <= 2
