@@ -5,7 +5,8 @@ are single bytes because the vocabulary has nothing better, and the entropy of t
 many tokens can have. Each measure has a band per language, from all distinct texts of that language that pass the base
 rules, so copies do not move it: a document outside the band is rejected. Since the first two are means over a text's tokens, their distance from
 the language's median counts times the root of the number of tokens; entropy counts as what is left over a line in the
-logarithm of that number. The band reaches beyond the quartiles. Languages with few texts share one band.
+logarithm of that number. The band reaches beyond the quartiles. Languages with few texts share a band per
+script, which is the one that most letters of a text are of.
 
 Every text is read once; the bands come from the table of measures, and one row per language goes back to the rows.
 
@@ -16,6 +17,9 @@ own. Very long texts: whole. Repeated rows: rows of their own. Empty table: no r
 from __future__ import annotations
 
 import hashlib
+import unicodedata
+from collections import Counter
+from functools import cache
 from math import inf
 
 import numpy as np
@@ -71,6 +75,29 @@ def repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+@cache
+def sign_script(sign: str) -> str:
+    """The script of a letter by its Unicode name, empty for any other sign; kana are one script."""
+    if not sign.isalpha():
+        return ""
+    first = unicodedata.name(sign, "").partition(" ")[0]
+    return {"HIRAGANA": "KANA", "KATAKANA": "KANA", "KATAKANA-HIRAGANA": "KANA", "HALFWIDTH": "KANA", "FULLWIDTH": "LATIN"}.get(first, first)
+
+
+def script(text: str) -> str:
+    """The script of most letters, empty without letters. Japanese, which mixes scripts, is known by its kana."""
+    if text.isascii():
+        return "LATIN" if any(map(str.isalpha, text)) else ""
+    n: Counter = Counter()
+    for sign, times in Counter(text).items():
+        n[sign_script(sign)] += times
+    n.pop("", None)
+    if not n:
+        return ""
+    best = max(n, key=lambda x: (n[x], x))
+    return "KANA" if best == "CJK" and 10 * n["KANA"] >= n["CJK"] else best
+
+
 def byte_tokens(path: str) -> np.ndarray:
     """Which ids are single bytes."""
     model = loaded(path)
@@ -86,8 +113,8 @@ def token_measures(ids: np.ndarray, chars: int, is_byte: np.ndarray) -> tuple[fl
 
 
 def measured(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, the base counts and the three measures of every row, and a digest of its text."""
-    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", *MEASURES, "text_key"]
+    """doc_id, lang, the base counts and the three measures of every row; its script and a digest of its text."""
+    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", *MEASURES, "script", "text_key"]
 
     def kernel(batches):
         is_byte = byte_tokens(path)
@@ -99,14 +126,14 @@ def measured(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 for text, words, ids in zip(texts, lists, packed):
                     chars = len(text) - sum(map(text.count, WHITE))
                     base = (len(words), chars, sum(map(text.count, SYMBOLS)), repeated_lines(text), repeated_words(words), len(ids) // 2)
-                    key = (hashlib.md5(text.encode("utf-8", "surrogatepass")).digest(),)
+                    key = script(text), hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
                     rows.append(base + (token_measures(np.frombuffer(ids, "<u2"), chars, is_byte) if ids else (None, None, None)) + key)
-            columns = list(zip(*rows)) if rows else [()] * 10
-            types = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.binary()]
+            columns = list(zip(*rows)) if rows else [()] * 11
+            types = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(x, t) for x, t in zip(columns, types)]], names)
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
-    schema = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in names[2:8]) + ", " + ", ".join(f"{c} double" for c in MEASURES) + ", text_key binary"
+    schema = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in names[2:8]) + ", " + ", ".join(f"{c} double" for c in MEASURES) + ", script string, text_key binary"
     return map_arrow(rows, kernel, schema)
 
 
@@ -116,14 +143,16 @@ def once(rows: DataFrame) -> DataFrame:
 
 
 def banded(rows: DataFrame, passed: DataFrame) -> DataFrame:
-    """rows with band: the language, where passed has enough texts of it, or else one for all.
+    """rows with band: the language, where passed has enough texts of it, or else the script; a text without letters takes
+    the one most usual in its language.
 
     Spark broadcasts the row per language while the written table is small, and splits hot languages otherwise.
     """
     key = F.coalesce("lang", F.lit(""))
-    langs = passed.groupBy(key.alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
+    langs = passed.groupBy(key.alias("_lang")).agg(F.count(F.lit(1)).alias("_n"), F.mode(F.when(F.col("script") != "", F.col("script"))).alias("_script"))
     joined = rows.join(written(langs, "languages"), key == F.col("_lang"), "left")
-    return joined.withColumn("band", F.when(F.col("_n") >= OWN_BAND, F.concat(F.lit("="), key)).otherwise(F.lit("*"))).select(*rows.columns, "band")
+    pool = F.concat(F.lit("*"), F.coalesce(F.when(F.col("script") != "", F.col("script")), "_script", F.lit("")))
+    return joined.withColumn("band", F.when(F.col("_n") >= OWN_BAND, F.concat(F.lit("="), key)).otherwise(pool)).select(*rows.columns, "band")
 
 
 def distances(rows: DataFrame, centers: DataFrame) -> DataFrame:
@@ -165,7 +194,7 @@ def quality_rules(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     for m in MEASURES:
         inside = inside & F.col(f"d_{m}").between(F.col(f"low_{m}"), F.col(f"high_{m}"))
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
-    return joined.select(*[c for c in rows.columns if c != "text_key"], "base_failed", kept.alias("kept"))
+    return joined.select(*[c for c in rows.columns if c not in ("script", "text_key")], "base_failed", kept.alias("kept"))
 
 
 def op2_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

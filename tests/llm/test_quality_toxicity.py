@@ -260,3 +260,17 @@ def test_junk_copies_do_not_move_the_bands(spark, tmp_path):
         out.append({r.doc_id: r.kept for r in Q.quality_rules(spark.read.parquet(str(tmp_path / str(i))), path).collect()})
     assert not any(out[1][i] for i, *_ in more)
     assert sum(out[0][i] != out[1][i] for i, *_ in docs) <= 2
+
+
+def test_small_languages_are_judged_by_their_script(spark, tmp_path):
+    import public_tokenizers
+
+    rnd = random.Random(6)
+    latin = [(r.doc_id, r.text, r.lang + str(r.doc_id % 3)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    word = lambda first, size, least, most: "".join(chr(first + rnd.randrange(size)) for _ in range(rnd.randrange(least, most)))
+    lexicon = {"zh": [word(0x4E00, 400, 1, 4) for _ in range(600)], "ko": [word(0xAC00, 2000, 2, 5) for _ in range(600)]}
+    clean = [(10**6 + 1000 * k + i, " ".join(rnd.choices(x, k=rnd.randrange(80, 300))), lang) for k, (lang, x) in enumerate(lexicon.items()) for i in range(60)]
+    spark.createDataFrame(latin + clean, "doc_id long, text string, lang string").repartition(3).write.parquet(str(tmp_path / "t"))
+    out = {r.doc_id: r.kept for r in Q.quality_rules(spark.read.parquet(str(tmp_path / "t")), public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert sum(out[i] for i, *_ in clean) >= 0.97 * len(clean)
+    assert [Q.script(x) for x in ("Straße 12", "12 #", "漢字", "漢字かな", "한국어 ok", "Привет")] == ["LATIN", "", "CJK", "KANA", "HANGUL", "CYRILLIC"]
