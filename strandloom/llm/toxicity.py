@@ -8,8 +8,8 @@ expected number of equals by chance in a text of this length, and the significan
 over the aggregate, fitted on the same sample, gives the score.
 
 The sample is bounded by FIT_ROWS labelled rows in the order of a hash, the model by MODEL_WORDS words; every whole text
-is scored. A document counts a word once, by the word before its first place, and equal pairs of toxic documents count
-once, so neither copies of a toxic document nor a word that one document repeats become significant.
+is scored. On both sides a word counts once per distinct text that has it, so neither copies of a toxic document nor a
+word that one document repeats become significant, and a word of a set phrase counts as any other.
 
 Defined results. Null or empty text: the score of a text without toxic words. Null doc_id: scored, not held out. A doc_id
 with several labels is toxic if any is. No labels, or labels of one kind: every score is their share of toxic ones (0 if
@@ -31,9 +31,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, written
 
 FIT_ROWS, MODEL_WORDS = 40_000, 50_000
-#: Share of the counts that the prior adds; least log-odds ratio, z value and contexts of a word; cost of any other word;
-#: chance level.
-PRIOR, LEAST_RATIO, LEAST_Z, LEAST_CONTEXTS, COST, CHANCE = 0.02, 3.0, 2.0, 3, 0.25, 1.0
+#: Share of the counts that the prior adds; least log-odds ratio and z value of a word; cost of any other word; chance level.
+PRIOR, LEAST_RATIO, LEAST_Z, COST, CHANCE = 0.02, 3.0, 2.0, 0.25, 1.0
 THRESHOLD = 0.3
 _TOKEN = re.compile(r"\w+")
 _K = 0.3  # the law's second parameter, as is usual for scores of this kind
@@ -133,21 +132,15 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", most: int =
     sample = docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `most` rows
     sample = written(sample.select("text", (F.col("toxic") > 0).alias("toxic")).distinct(), "fit-texts")
 
-    def contexts(batches):
+    def holders(batches):
         for batch in batches:
-            pairs: tuple[set, set] = (set(), set())
+            n: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = tokens(text)[::-1]
-                pairs[bool(toxic)].update(dict(zip(words, [*words[1:], ""])).items())  # where each word stands first
-            clean = Counter(w for w, _ in pairs[0])
-            n = len(clean) + len(pairs[1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*clean, *[w for w, _ in pairs[1]]]), pa.array([None] * len(clean) + [b for _, b in pairs[1]], pa.string()), pa.array([*clean.values(), *[0] * len(pairs[1])], pa.int64())],
-                ["word", "context", "clean"],
-            ) if n else pa.RecordBatch.from_pydict({"word": pa.array([], pa.string()), "context": pa.array([], pa.string()), "clean": pa.array([], pa.int64())})
+                n[bool(toxic)].update(set(tokens(text)))
+            words = list(n[0].keys() | n[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([c[w] for w in words], pa.int64()) for c in n]], ["word", "y0", "y1"])
 
-    found = map_arrow(sample, contexts, "word string, context string, clean long")
-    counts = found.groupBy("word", "context").agg(F.sum("clean").alias("clean")).groupBy("word").agg(F.sum("clean").alias("y0"), F.count("context").alias("y1"))
+    counts = map_arrow(sample, holders, "word string, y0 long, y1 long").groupBy("word").agg(F.sum("y0").alias("y0"), F.sum("y1").alias("y1"))
     counts = written(counts, "fit-words")
     n0, n1 = (x or 0 for x in counts.agg(F.sum("y0"), F.sum("y1")).first())
     n_toxic, n_all = (x or 0 for x in sample.agg(F.sum(F.col("toxic").cast("int")), F.count(F.lit(1))).first())
@@ -159,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", most: int =
     a, b = F.col("y1") + prior, F.col("y0") + prior
     ratio = F.log(a / (n1 + whole - a)) - F.log(b / (n0 + whole - b))
     z = ratio / F.sqrt(1 / a + 1 / b)
-    best = counts.filter(f"y1 >= {LEAST_CONTEXTS}").select("word", ratio.alias("ratio"), z.alias("z"), (b / (n0 + whole)).alias("share"))
+    best = counts.filter("y1 > 0").select("word", ratio.alias("ratio"), z.alias("z"), (b / (n0 + whole)).alias("share"))
     rows = best.filter(f"z >= {LEAST_Z} AND ratio >= {LEAST_RATIO}").orderBy(F.desc("z"), "word").limit(MODEL_WORDS).collect()  # bounded by MODEL_WORDS
     share: Counter = Counter()
     for r in rows:

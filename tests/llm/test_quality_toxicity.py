@@ -274,3 +274,20 @@ def test_small_languages_are_judged_by_their_script(spark, tmp_path):
     out = {r.doc_id: r.kept for r in Q.quality_rules(spark.read.parquet(str(tmp_path / "t")), public_tokenizers.path("piece_bpe_32k.model")).collect()}
     assert sum(out[i] for i, *_ in clean) >= 0.97 * len(clean)
     assert [Q.script(x) for x in ("Straße 12", "12 #", "漢字", "漢字かな", "한국어 ok", "Привет")] == ["LATIN", "", "CJK", "KANA", "HANGUL", "CYRILLIC"]
+
+
+def test_words_of_a_set_phrase_are_learned(spark, tmp_path):
+    """Toxic texts that share one phrase: its words always follow the same word. One of the texts has many copies."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choices("aeiklmnrst", k=5)) for _ in range(400)]
+    texts = [" ".join(rnd.choices(words, k=60)) for _ in range(400)]
+    rows = [(i, x.replace(" ", " the worthless idiot ", 1) if i < 100 else x) for i, x in enumerate(texts)]
+    rows += [(1000 + i, rows[0][1] + " onlyhere") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    labels = spark.createDataFrame([(i, int(i < 100 or i >= 1000)) for i, _ in rows], "doc_id long, toxic int")
+    model = T.fit(docs, labels)
+    assert {"worthless", "idiot"} <= set(model.scores) and "onlyhere" not in model.scores
+    out = {r.doc_id: r for r in T.score_texts(docs, model).collect()}
+    assert all(out[i].predicted == (i < 100 or i >= 1000) for i, _ in rows)
+    assert all(out[i].n_passages for i in range(100))
