@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import exact_dedup, mixing, packing, perplexity, simhash
+from strandloom.llm import exact_dedup, mixing, near_text, packing, perplexity
 from strandloom.llm.common import written
 
 
@@ -26,8 +26,8 @@ def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: one document of each group stays."""
-    return simhash.dedup_near(docs)
+    """Near-dedup, five-word shingles at a similarity of 0.8: one document of each group stays."""
+    return near_text.dedup_near(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

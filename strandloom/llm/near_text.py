@@ -1,0 +1,109 @@
+"""Near-dedup at a Jaccard similarity of word shingles.
+
+Candidates come from MinHash bands, which find a pair of the least similarity but for one in twenty million; a Hamming
+budget on fingerprints wide enough for it would meet a fixed share of all pairs. Every link is verified on the whole sets
+of shingle hashes. First each text of a bucket is held against the bucket's first; what that leaves in one component is
+settled, and all other pairs of the bucket are verified too. Pairs grow with the square of a group whose texts are near each other but not near the bucket's first.
+
+Defined results. Texts of fewer words than a shingle: one shingle of all words. Null or empty text: alike. Null doc_id:
+grouped, stays only where its component has no other. Empty table: no rows.
+"""
+
+from __future__ import annotations
+
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import join_checked, join_groups, keep_rows, map_arrow, written
+from .exact_dedup import normal_bytes
+from .simhash import SEED, components
+
+WIDTH, LEAST = 5, 0.8
+BANDS, BAND_ROWS = 32, 4
+_RANDOM = np.random.default_rng(SEED)
+_FACTORS, _SHIFTS = (_RANDOM.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) for _ in range(2))
+_FACTORS |= np.uint64(1)
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles of lowered words."""
+    words = normal_bytes(text).split()
+    n = max(1, len(words) - width + 1)
+    pieces = (b" ".join(words[i : i + width]) for i in range(n))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, n))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A signed key of each band of the set's least hashes."""
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 256):
+        least = np.minimum(least, (hashes[at : at + 256, None] * _FACTORS + _SHIFTS).min(axis=0))
+    data = least.tobytes()
+    size = 8 * BAND_ROWS
+    return [xxhash.xxh64_intdigest(data[i * size : (i + 1) * size], i) - (1 << 63) for i in range(BANDS)]
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs u, v of nodes whose sets of shingles are as similar as least; texts has node, text."""
+
+    def sets(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "hashes"])
+
+    def compare(batches):
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    pairs = written(pairs, "near-pairs")
+    nodes = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "near-nodes")
+    held = written(map_arrow(join_checked(texts, nodes, "node", "left_semi").dropDuplicates(["node"]), sets, "node long, hashes binary"), "shingles")
+    left, right = (held.select(F.col("node").alias(x), F.col("hashes").alias(f"of_{x}")) for x in "uv")
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "of_u", "of_v")
+    return written(map_arrow(both, compare, "u long, v long"), "near-links")
+
+
+def links(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """u > v: links that join the same components as all pairs of texts (node, text) as similar as least do."""
+
+    def kernel(batches):
+        for batch in batches:
+            got = [bands(shingles(t, width)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array([x for row in got for x in row], pa.int64())], ["node", "band"])
+
+    every = written(map_arrow(texts, kernel, "node long, band long"), "buckets")
+    groups = written(every.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last"), "shared")
+    shared = written(join_groups(every, groups.drop("last"), "band", "n").select("band", "node", "first"), "members")
+    found = verified(shared.filter("node > first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct(), texts, width, least)
+    named = written(components(found), "components")
+    placed = written(shared.join(named, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")).distinct(), "placed")
+    mixed = written(placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a < z").select("band"), "mixed")
+    rest = placed.join(mixed, "band", "left_semi")
+    other = rest.select("band", F.col("node").alias("v"), F.col("root").alias("_root"))
+    pairs = rest.join(other, "band").filter("node > v AND root != _root").select(F.col("node").alias("u"), "v").distinct()
+    return found.unionByName(verified(pairs, texts, width, least))
+
+
+def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """docs with one row of each component, columns as they were: the one with the smallest doc_id."""
+    text = F.coalesce(docs[text_col], F.lit(""))
+    node = F.xxhash64(text)
+    last = F.lit((1 << 63) - 1)
+    rows = written(docs.select(docs[id_col].cast("long").alias("doc_id"), node.alias("node"), F.md5(text.cast("binary")).alias("text_key")), "rows")
+    named = components(links(docs.select(node.alias("node"), text.alias("text")), width, least))
+    top = F.struct(F.coalesce("doc_id", last).alias("id"), F.col("text_key").alias("key"))
+    distinct = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(top).alias("top"))
+    rooted = written(distinct.join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    groups = written(rooted.join(rooted.groupBy("root").agg(F.min("top").alias("chosen")), "root").select("node", "n", "chosen"), "groups")
+    kept = (F.coalesce("doc_id", last) == F.col("chosen.id")) & (F.col("text_key") == F.col("chosen.key"))
+    verdict = join_groups(rows, groups, "node", "n").select("doc_id", "text_key", kept.alias("kept"))
+    return keep_rows(docs, verdict, id_col, F.md5(text.cast("binary")))

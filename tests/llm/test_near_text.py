@@ -1,0 +1,52 @@
+"""The pipeline's near-dedup against all pairs by brute force."""
+
+import random
+
+import corpus_pipeline as C
+from strandloom.llm import near_text as N
+
+from .conftest import ODD
+from .test_dedup import lower
+
+
+def brute_kept(rows):
+    sets = {}
+    for i, text in rows:
+        words = lower(text).encode().split()
+        sets[i] = {tuple(words[j : j + 5]) for j in range(max(1, len(words) - 4))}
+    group = {i: {i} for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and group[i] is not group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                group[i] |= group[j]
+                for x in group[j]:
+                    group[x] = group[i]
+    return sorted({min(g) for g in group.values()})
+
+
+def test_similar_texts_go(spark, table):
+    rnd = random.Random(11)
+    words = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(300)]
+    rows = []
+    for _ in range(60):
+        text = rnd.choices(words, k=rnd.randrange(20, 400))
+        for _ in range(rnd.randrange(1, 5)):
+            rows.append((len(rows), " ".join(text)))
+            text = list(text)
+            for _ in range(rnd.randrange(1, 2 + len(text) // 40)):
+                text[rnd.randrange(len(text))] = rnd.choice(words)
+    hot = rnd.choices(words, k=200)
+    for k in range(90):  # over a third of all rows are near copies
+        rows.append((len(rows), " ".join(hot[:k] + ["x" + str(k)] + hot[k:])))
+    docs = table(rows)
+    want = brute_kept(rows)
+    assert len(want) < len(rows) - 100
+    assert sorted(r.doc_id for r in C.no_near_copies(spark, docs, "").collect()) == want
+
+
+def test_odd_rows(odd, clash, none):
+    for docs in (odd, clash):
+        out = N.dedup_near(docs)
+        assert out.columns == docs.columns
+        assert sorted(r.doc_id for r in out.collect()) == [1, 3, 6, 8]
+    assert len(ODD) > 4 and N.dedup_near(none).count() == 0
