@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN = ""
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: Tables that are still there, with the session that wrote them.
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,23 +29,67 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, lost executors cost nothing but a reread."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, swept with the written tables."""
     path = f"{shared_dir(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
+
+
+def written(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: its lineage ends there, lost executors cost nothing but a reread.
+
+    instead: a written table that nothing but df reads; it goes once df is written.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._strandloom_path = path
+    if instead is not None:
+        drop(instead)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes written tables that no plan will read again."""
+    for df in tables:
+        path = getattr(df, "_strandloom_path", None)
+        if path in _WRITTEN:
+            _delete(path)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes at its end the tables written in it: for jobs whose result has then been written elsewhere or collected."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in set(_WRITTEN) - before:
+            _delete(path)
+
+
+def _delete(path: str) -> None:
+    """By the session's file system; a local folder also without a session, which may have ended before."""
+    spark = _WRITTEN.pop(path)
+    parts = urlparse(path)
+    if parts.scheme in ("", "file"):
+        shutil.rmtree(unquote(parts.path) if parts.scheme else path, ignore_errors=True)
+    elif spark.sparkContext._jsc is not None:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
 def _sweep() -> None:
-    for spark, path in _WRITTEN:
+    for path in list(_WRITTEN):
         try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session has ended before us; its folder goes with the cluster
-            return
+            _delete(path)
+        except Exception:  # noqa: BLE001  the gateway of a remote file system has ended; its folder goes with the cluster
+            continue
+    if _OWN:
+        shutil.rmtree(_OWN, ignore_errors=True)
 
 
 def spread(df: DataFrame) -> DataFrame:
