@@ -14,16 +14,19 @@ Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, join_groups, keep_rows, lower_ascii, map_arrow, written
+from .common import UPPER, Located, join_groups, map_arrow, written
 
 #: Least and most bytes of a chunk; beyond the least, one position in MEAN cuts.
 LEAST, MOST, MEAN = 512, 16_384, 1_024
+#: Keys that are tried until no two contents share a digest.
+KEYS = 9
 #: Fixed value: an odd 64-bit multiplier (the golden ratio) that mixes eight bytes.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -55,13 +58,10 @@ def digest(chunk: bytes, key: int) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16, salt=key.to_bytes(4, "little")).digest()
 
 
-def recipes(docs: DataFrame, key: int = 0) -> DataFrame:
-    """row, doc_id, text_sha256, recipe (the digests of its chunks in order, joined) of every row."""
+def recipes(texts: DataFrame, key: int = 0, digest: Callable[[bytes, int], bytes] = digest) -> DataFrame:
+    """texts (doc_id, text, at_file, at_place) with text_sha256 and recipe, the digests of its chunks in order, instead of text."""
 
     def kernel(batches):
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             hexes, lists = [], []
             for text in batch.column(1).to_pylist():
@@ -69,20 +69,19 @@ def recipes(docs: DataFrame, key: int = 0) -> DataFrame:
                 hexes.append(hashlib.sha256(data).hexdigest())
                 ends = cuts(data)
                 lists.append(b"".join(digest(data[i:j], key) for i, j in zip([0, *ends], ends)))
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + n), pa.int64()), batch.column(0), pa.array(hexes), pa.array(lists, pa.binary())], ["row", "doc_id", "text_sha256", "recipe"])
-            row += n
+            columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(hexes, pa.string()), pa.array(lists, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at_file", "at_place", "text_sha256", "recipe"])
 
-    return map_arrow(docs, kernel, "row long, doc_id long, text_sha256 string, recipe binary")
+    return map_arrow(texts, kernel, "doc_id long, at_file long, at_place long, text_sha256 string, recipe binary")
 
 
-def clashes(docs: DataFrame, key: int = 0) -> int:
+def clashes(texts: DataFrame, key: int = 0, digest: Callable[[bytes, int], bytes] = digest) -> int:
     """How many digests stand for more than one content. A chunk leaves a worker's batch once and is shuffled once."""
 
     def kernel(batches):
         for batch in batches:
             met: dict[tuple[bytes, bytes], None] = {}
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(0).to_pylist():
                 data = normal_bytes(text)
                 ends = cuts(data)
                 for i, j in zip([0, *ends], ends):
@@ -90,29 +89,42 @@ def clashes(docs: DataFrame, key: int = 0) -> int:
                     met[digest(chunk, key), chunk] = None
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in met], pa.binary()), pa.array([c for _, c in met], pa.binary())], ["digest", "chunk"])
 
-    chunks = map_arrow(docs, kernel, "digest binary, chunk binary").distinct()
+    chunks = map_arrow(texts.select("text"), kernel, "digest binary, chunk binary").distinct()
     return chunks.groupBy("digest").count().filter("count > 1").count()
 
 
+def verdicts(texts: DataFrame, digest: Callable[[bytes, int], bytes] = digest) -> DataFrame:
+    """doc_id, at_file, at_place, keep_id, group_size, kept, text_sha256 of every row of texts (doc_id, text, at_file, at_place)."""
+    for key in range(KEYS):
+        if not clashes(texts, key, digest):
+            break
+    else:
+        raise RuntimeError(f"digests of chunks clash under each of {KEYS} keys")
+    rows = written(recipes(texts, key, digest), "recipes")
+    for key in range(KEYS):
+        # A recipe may be long, so rows meet by its digest, which the distinct recipes verify.
+        named = rows.withColumn("group", F.sha2(F.concat(F.lit(f"{key}:").cast("binary"), "recipe"), 256))
+        best = F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("top"), "at_file", "at_place"))
+        groups = named.groupBy("group", "recipe").agg(best.alias("best"), F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        groups = written(groups.select("group", "keep_id", "group_size", F.col("best.at_file").alias("keep_file"), F.col("best.at_place").alias("keep_place")), "groups")
+        n, kinds = groups.agg(F.count(F.lit(1)), F.count_distinct("group")).first()
+        if n == kinds:
+            break
+    else:
+        raise RuntimeError(f"digests of recipes clash under each of {KEYS} keys")
+    kept = (F.col("at_file") == F.col("keep_file")) & (F.col("at_place") == F.col("keep_place"))
+    return join_groups(named.drop("recipe"), groups, "group", "group_size").select("doc_id", "at_file", "at_place", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
-    pairs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    key = next(k for k in range(9) if not clashes(pairs, k))
-    rows = written(recipes(pairs, key), "recipes")
-    # A recipe may be long, so rows meet by its digest first and by the recipe itself after that.
-    named = rows.withColumn("group", F.sha2("recipe", 256))
-    best = F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("top"), (-F.col("row")).alias("minus")))
-    groups = named.groupBy("group", "recipe").agg(best.alias("best"), F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = written(groups.select("group", F.col("recipe").alias("_recipe"), "keep_id", "group_size", (-F.col("best.minus")).alias("keep_row")), "groups")
-    both = join_groups(named, groups, "group", "group_size").filter(F.col("recipe") == F.col("_recipe"))
-    return both.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
+    return verdicts(Located(docs).select(doc_id=F.col(id_col).cast("long"), text=F.col(text_col))).drop("at_file", "at_place")
 
 
 def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_groups drops, columns as they were."""
-    verdict = exact_groups(docs, id_col, text_col).select("doc_id", F.col("text_sha256").alias("text_key"), "kept")
-    key = F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
-    return keep_rows(docs, verdict, id_col, key)
+    at = Located(docs)
+    return at.keep(verdicts(at.select(doc_id=F.col(id_col).cast("long"), text=F.col(text_col))))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,26 @@
-"""SimHash near-dedup by a self-join of the binary trie of fingerprints.
+"""SimHash near-dedup by a self-join of binary tries of fingerprints.
 
 Distinct fingerprints form a trie. Pairs of its nodes are traversed together: a pair's differing bits add up on the way
-down, and a pair is dropped when they exceed the error budget or one side is empty. The upper part runs as a DataFrame
-loop, eight bits a step, in which a fingerprint is a row of every node pair that it is in; a pair goes on to the next
-step only while its sides are too large for one task, so dense corners of the space are split further and nothing
-else is. Below that, a task traverses its pair bit by bit. A task returns a spanning forest of the links it finds, which
-is what components need, so a dense group never yields all of its pairs. Components are joined by alternating stars.
+down, and a pair is dropped when they exceed the error budget or one side is empty. The upper part runs on a table of
+nodes and how many fingerprints each holds, a few bits a step; fingerprints meet a node pair only where it has become small
+enough for one task, which goes on bit by bit with all node pairs of a level at once. A task returns a spanning
+forest of the links it finds, which is what components need, so a dense group never yields all of its pairs. Components are
+joined by alternating stars.
+
+A short fingerprint is one trie (op6: 64 bits, budget 2). A similarity of 0.8 needs more bits than one trie can search, so
+`dedup_near` takes 512 of them as 26 segments with a trie each: texts within 77 differing bits agree within 2 bits in one
+of the segments, so the tries together lose none. 77 bits are what a similarity of 0.8 gives; a task compares the whole
+fingerprints of what its trie finds. The estimate's standard error is 0.04.
 
 Defined results. Null or empty text: fingerprint zero, linked as any other. Null doc_id: grouped, never a component's id
-unless it has no other. Repeated rows: rows of their own. Empty table: no rows. Other columns are not read.
+unless it has no other. Repeated rows: rows of their own, of which dedup_near keeps one. Texts of fewer words than a
+shingle: one shingle of all words. Empty table: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 from itertools import repeat
+from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
@@ -22,147 +28,273 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_groups, keep_rows, map_arrow, written
+from .common import Located, drop, join_checked, join_groups, map_arrow, written
 from .exact_dedup import normal_bytes
 
-WIDTH, BUDGET, STEP, SEED = 3, 2, 8, 42
-#: A node pair goes to one task if it has at most so many pairs of fingerprints, and is compared outright below LEAF.
-TASK_PAIRS, LEAF = 4_000_000, 4_096
+WIDTH, BUDGET, SEED = 3, 2, 42
+#: The pipeline's near-dedup: words of a shingle, least similarity, and the segments of the long fingerprint.
+NEAR_WIDTH, NEAR_LEAST, LONG_BITS, SEGMENTS, SEGMENT_BUDGET = 5, 0.8, 512, 26, 2
+#: Bits that a step of the upper traversal goes down, and the most fingerprints of a node pair's sides together in one task.
+STEP, TASK_ROWS = 4, 1 << 18
+#: A node pair is compared outright from so many pairs of fingerprints down; node pairs that a task holds at once.
+LEAF, FRONTIER = 16, 1 << 18
+#: Odd 64-bit multipliers (the golden ratio, and those of a published finalizer).
+_GOLD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """A bit is 1 if set in over half of the shingles' hashes."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of every run of `width` lowered words, repeats included; of the whole sequence if it is shorter."""
     words = normal_bytes(text).split()  # bytes split at the six ASCII white-space characters
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if n <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, n) + 1
     ends = np.cumsum(sizes)
     starts = ends - sizes
     pieces = map(joined.__getitem__, map(slice, starts[: n - width + 1].tolist(), (ends[width - 1 :] - 1).tolist()))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, n - width + 1)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 8192):
-        part = hashes[at : at + 8192]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
+    return np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, n - width + 1)
+
+
+def bit_counts(words: np.ndarray) -> np.ndarray:
+    """How often each bit is set in the rows of words (rows, 64-bit words). Rows are added three at a time, bit by bit."""
+    total = np.zeros(64 * words.shape[1], np.int64)
+    weight = 1
+    while len(words) > 64:
+        carries = []
+        while len(words) > 8:
+            m = len(words) // 3
+            a, b, c = words[:m], words[m : 2 * m], words[2 * m : 3 * m]
+            some = a ^ b
+            carries.append((a & b) | (some & c))
+            words = np.concatenate([some ^ c, words[3 * m :]])
+        total += weight * np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        words = np.concatenate(carries)
+        weight *= 2
+    return total + weight * np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """A bit is 1 if set in over half of the shingles' hashes."""
+    hashes = shingle_hashes(text, width)
+    if not len(hashes):
+        return 0
+    bits = np.packbits(2 * bit_counts(hashes[:, None]) > len(hashes), bitorder="little")
     return int.from_bytes(bits.tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (signed), text_key of every row."""
+def long_fingerprint(text: str | None, width: int = NEAR_WIDTH, bits: int = LONG_BITS) -> bytes:
+    """As fingerprint(), over the distinct shingles and with as many bits as asked for, drawn from each one's hash."""
+    hashes = np.unique(shingle_hashes(text, width))
+    total = np.zeros(bits, np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        x = hashes[at : at + (1 << 15), None] + _GOLD * np.arange(1, bits // 64 + 1, dtype=np.uint64)
+        x = (x ^ (x >> np.uint64(30))) * _MIX1
+        x = (x ^ (x >> np.uint64(27))) * _MIX2
+        total += bit_counts(x ^ (x >> np.uint64(31)))
+    return np.packbits(2 * total > len(hashes), bitorder="little").tobytes()
 
-    def kernel(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-            keys = [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(keys, pa.string())], ["doc_id", "fp", "text_key"])
 
-    return map_arrow(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), kernel, "doc_id long, fp long, text_key string")
+def segment_ends(bits: int = LONG_BITS, n: int = SEGMENTS) -> list[int]:
+    return [bits * (i + 1) // n for i in range(n)]
+
+
+def segments(prints: np.ndarray, n: int = SEGMENTS) -> list[np.ndarray]:
+    """The n segments of fingerprints (rows, bytes) as numbers."""
+    bits = np.unpackbits(prints, axis=1, bitorder="little")
+    ends = segment_ends(bits.shape[1], n)
+    return [(bits[:, a:b].astype(np.int64) << np.arange(b - a)).sum(axis=1) for a, b in zip([0, *ends], ends)]
+
 
+def limit_of(least: float, bits: int) -> int:
+    """Most differing bits: sets of similarity s have shingle vectors at a cosine of 2s / (1 + s), or more if their sizes differ."""
+    return int(bits * acos(2 * least / (1 + least)) / pi)
 
-def trie_links(left: np.ndarray, right: np.ndarray, depth: int, used: int, same: bool, budget: int = BUDGET):
-    """Index pairs of two sorted arrays of unsigned fingerprints that differ in at most `budget` bits.
+
+class Trie:
+    """Sorted distinct codes of one node, and how many of their first have a one at each bit."""
+
+    def __init__(self, codes: np.ndarray, bits: int):
+        self.codes, self.bits, self.known = codes, bits, {}
+
+    def ones(self, depth: int) -> np.ndarray:
+        if depth not in self.known:
+            bit = (self.codes >> np.uint64(self.bits - 1 - depth)) & np.uint64(1)
+            self.known[depth] = np.concatenate([[0], np.cumsum(bit)]).astype(np.int32)
+        return self.known[depth]
+
+
+def trie_links(left: np.ndarray, right: np.ndarray, depth: int, used: int, same: bool, budget: int = BUDGET, bits: int = 64):
+    """Index pairs (two arrays at a time) of sorted arrays of unsigned codes that differ in at most `budget` bits.
 
     All of `left` share their first `depth` bits, all of `right` theirs, and these differ in `used` bits. same: both
     are one node, and each pair is found once.
     """
-    stack = [(0, len(left), 0, len(right), depth, used, same)]
+    a_side = Trie(left, bits)
+    b_side = a_side if same else Trie(right, bits)
+    first = [np.array([x], np.int32) for x in (0, len(left), 0, len(right))]
+    stack = [(depth, *first, np.array([used], np.int8), np.array([same]))]
     while stack:
-        a, b, c, d, depth, used, same = stack.pop()
-        if (b - a) * (d - c) <= LEAF or depth == 64:
-            apart = np.bitwise_count(left[a:b, None] ^ right[None, c:d])
-            i, j = np.nonzero(apart <= budget)
-            if same:
-                i, j = i[i < j], j[i < j]
-            yield from zip((i + a).tolist(), (j + c).tolist())
+        depth, a, b, c, d, used, own = stack.pop()
+        if len(a) > FRONTIER:
+            half = len(a) // 2
+            stack += [(depth, *[x[half:] for x in (a, b, c, d, used, own)]), (depth, *[x[:half] for x in (a, b, c, d, used, own)])]
             continue
-        bit = np.uint64(1 << (63 - depth))
-        e = a + int(np.count_nonzero((left[a:b] & bit) == 0))
-        f = e if same else c + int(np.count_nonzero((right[c:d] & bit) == 0))
-        children = [(a, e, c, f, 0, same), (e, b, f, d, 0, same), (a, e, f, d, 1, False)]
-        if not same:  # of one node's halves, each pair stands in the third already
-            children.append((e, b, c, f, 1, False))
-        stack += [(p, q, r, s, depth + 1, used + more, own) for p, q, r, s, more, own in children if p < q and r < s and used + more <= budget]
-
-
-def forest(pairs, size: int) -> list[tuple[int, int]]:
-    """The pairs that join two trees, in the order given."""
-    parent = list(range(size))
-
-    def root(x):
+        size = (b - a).astype(np.int64) * (d - c)
+        leaf = (size <= LEAF) | (depth == bits)
+        if leaf.any():
+            yield from compared(left, right, a[leaf], c[leaf], (d - c)[leaf], size[leaf], own[leaf], budget)
+            a, b, c, d, used, own = (x[~leaf] for x in (a, b, c, d, used, own))
+        if not len(a):
+            continue
+        ones, others = a_side.ones(depth), b_side.ones(depth)
+        e, f = b - (ones[b] - ones[a]), d - (others[d] - others[c])  # where the ones begin
+        free = used < budget
+        parts = [(a, e, c, f, used, own), (e, b, f, d, used, own), *[tuple(x[free] for x in (a, e, f, d, used + 1, np.zeros(len(a), bool)))]]
+        cross = free & ~own  # of one node's halves, each pair stands in the third part already
+        parts.append(tuple(x[cross] for x in (e, b, c, f, used + 1, own)))
+        a, b, c, d, used, own = (np.concatenate(x) for x in zip(*parts))
+        some = (a < b) & (c < d) & ~(own & (b - a == 1))
+        stack.append((depth + 1, *[x[some] for x in (a, b, c, d, used, own)]))
+
+
+def compared(left, right, a, c, width, size, own, budget):
+    """All pairs of the ranges that begin at a and c, some millions at a time, by their codes."""
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 21), side="right")))
+        n = size[at:to]
+        whole = int(n.sum())
+        k = np.arange(whole) - np.repeat(np.cumsum(n) - n, n)
+        w = np.repeat(width[at:to], n)
+        row, column = np.divmod(k, w) if whole < 1 << 31 else (k // w, k % w)
+        i, j = np.repeat(a[at:to], n) + row, np.repeat(c[at:to], n) + column
+        good = np.bitwise_count(left[i] ^ right[j]) <= budget
+        good &= ~np.repeat(own[at:to], n) | (i < j)
+        yield i[good], j[good]
+        at = to
+
+
+class Forest:
+    """Trees of numbered items, joined by links."""
+
+    def __init__(self, size: int):
+        self.parent = np.arange(size)
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        parent = self.parent
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
-        return x
+        return int(x)
+
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        at = self.parent[x]
+        while True:
+            up = self.parent[at]
+            if (up == at).all():
+                return at
+            at = up
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Keeps the links that join two trees, in order."""
+        while len(i):
+            now, later = (i[:4096], j[:4096]), (i[4096:], j[4096:])
+            for x, y in zip(*(v.tolist() for v in now)):
+                p, q = self.root(x), self.root(y)
+                if p != q:
+                    self.parent[max(p, q)] = min(p, q)
+                    self.links.append((x, y))
+            apart = self.roots(later[0]) != self.roots(later[1]) if len(later[0]) else np.zeros(0, bool)
+            i, j = later[0][apart], later[1][apart]
+
+
+def pair_task(bits: int, budget: int, most: int):
+    """What a task does with the rows of one node pair: links that join what all its links join.
+
+    Rows are side, code, node and print; links need at most `budget` bits between codes and, if prints are not empty, at most
+    `most` between these.
+    """
 
-    out = []
-    for i, j in pairs:
-        x, y = root(i), root(j)
-        if x != y:
-            parent[y] = x
-            out.append((i, j))
-    return out
+    def leaf(key, table):
+        a, b, depth = (key[i].as_py() for i in (1, 2, 3))
+        side, code, node = (table[c].to_numpy() for c in ("side", "code", "node"))
+        code = code.view(np.uint64)
+        order = np.lexsort((node, code, side))
+        side, code, node = side[order], code[order], node[order]
+        ahead = 0 if a == b else int(np.count_nonzero(side == 0))
+        prints = np.frombuffer(b"".join(table["print"].to_pylist()), np.uint64).reshape(len(order), -1)[order]
+        left, right = (code, code) if a == b else (code[:ahead], code[ahead:])
+        forest = Forest(len(order))
+        for i, j in trie_links(left, right, depth, (a ^ b).bit_count(), a == b, budget, bits):
+            j = j + ahead
+            if prints.shape[1] and len(i):
+                near = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int32) <= most
+                i, j = i[near], j[near]
+            forest.add(i, j)
+        i, j = (np.array(x, dtype=np.int64) for x in (zip(*forest.links) if forest.links else ((), ())))
+        return pa.table({"u": np.maximum(node[i], node[j]), "v": np.minimum(node[i], node[j])})
 
+    return leaf
 
-def pair_task(depth: int, budget: int):
-    """What a task does with the fingerprints of one node pair at this depth: links that join what all its links join."""
 
-    def leaf(key, table):
-        a, b = key[0].as_py(), key[1].as_py()
-        fps = table["fp"].to_numpy().view(np.uint64)
-        side = table["side"].to_numpy()
-        left = np.sort(fps[side == 0])
-        right = left if a == b else np.sort(fps[side == 1])
-        every = (left if a == b else np.concatenate([left, right])).view(np.int64)
-        ahead = 0 if a == b else len(left)
-        used = ((a ^ b) & ((1 << 64) - 1)).bit_count()
-        pairs = forest(((i, j + ahead) for i, j in trie_links(left, right, depth, used, a == b, budget)), len(every))
-        i, j = (np.array(x, dtype=np.int64) for x in (zip(*pairs) if pairs else ((), ())))
-        return pa.table({"u": np.maximum(every[i], every[j]), "v": np.minimum(every[i], every[j])})
+def prefix(code, bits: int, depth: int):
+    """The first `depth` of a code's bits as a number."""
+    return F.shiftrightunsigned(code, bits - depth) if depth else F.lit(0).cast("long")
 
-    return leaf
 
+def node_pairs(codes: DataFrame, bits: int, budget: int, first: int) -> list[tuple[int, DataFrame]]:
+    """(depth, table of trie, a, b) of the node pairs that one task each will traverse; a <= b are the nodes' prefixes.
 
-def links(distinct: DataFrame, budget: int = BUDGET, bits: int = 64) -> DataFrame:
-    """u, v: links among distinct fingerprints fp that join the same components as all links do."""
-    spark = distinct.sparkSession
-    rows = distinct.select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("side"), "fp")
-    flips = sorted((m for m in range(1 << STEP) if m.bit_count() <= budget), key=int.bit_count)
-    found: DataFrame | None = None
-    for depth in range(0, bits + 1, STEP):
+    codes: trie, code. Nodes with the numbers of their codes are all that moves here. first: the least depth of a task.
+    """
+    zero = F.lit(0).cast("long")
+    open_ = codes.select("trie").distinct().select("trie", zero.alias("a"), zero.alias("b"))
+    out = []
+    depth, last = min(first, bits), 0
+    while True:
+        step = depth - last
+        flips = sorted((m for m in range(1 << step) if m.bit_count() <= budget), key=int.bit_count)
+        low = (1 << step) - 1
+        nodes = written(codes.groupBy("trie", prefix(F.col("code"), bits, depth).alias("a")).agg(F.count(F.lit(1)).alias("n")), "nodes")
+        up = open_.select("trie", F.shiftleft("a", step).alias("p"), F.shiftleft("b", step).alias("q"), (F.col("a") == F.col("b")).alias("own"))
+        child = nodes.select("trie", F.col("a").bitwiseAND(~low).alias("p"), "a", "n")
+        other = F.col("q") + F.col("a").bitwiseAND(low).bitwiseXOR(F.col("flip"))
+        asked = up.join(child, ["trie", "p"]).withColumn("flip", F.explode(F.lit(flips).cast("array<long>"))).withColumn("b", other)
+        asked = asked.filter((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= budget) & (~F.col("own") | (F.col("a") <= F.col("b"))))
+        pairs = asked.join(nodes.select("trie", F.col("a").alias("b"), F.col("n").alias("m")), ["trie", "b"])
         own = F.col("a") == F.col("b")
-        if depth:
-            sizes = rows.groupBy("a", "b").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("n"), F.sum("side").alias("m"))
-            sizes = sizes.filter("a = b AND n > 1 OR n > 0 AND m > 0").withColumn("small", F.when(own, F.col("n") * F.col("n")).otherwise(F.col("n") * F.col("m")) <= TASK_PAIRS)
-            sizes = written(sizes.select("a", "b", "small"), "nodes")
-            kept = rows.join(sizes, ["a", "b"])
-            more = bool(sizes.filter("NOT small").limit(1).count())
-        else:  # the root, with itself
-            more = distinct.count() ** 2 > TASK_PAIRS
-            kept = rows.withColumn("small", F.lit(not more))
-        if depth or not more:
-            some = written(kept.filter("small").drop("small").groupBy("a", "b").applyInArrow(pair_task(depth, budget), "u long, v long"), "links")
-            found = some if found is None else found.unionByName(some)
-        if depth == bits or not more:
-            break
-        # a, b: the nodes' prefixes as numbers of `depth` bits; the next STEP bits of a fingerprint choose its child
-        large = kept.filter("NOT small")
-        x = F.shiftrightunsigned("fp", bits - depth - STEP).bitwiseAND((1 << STEP) - 1)
-        spent = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-        spread = large.withColumn("x", x).withColumn("flip", F.explode(F.lit(flips).cast("array<long>"))).filter(F.bit_count("flip") + spent <= budget)
-        y = F.col("x").bitwiseXOR(F.col("flip"))
-        first = F.col("side") == 0
-        up = lambda c: F.shiftleft(F.col(c), STEP)
-        p = F.when(own, up("a").bitwiseOR(F.least("x", y))).otherwise(up("a").bitwiseOR(F.when(first, F.col("x")).otherwise(y)))
-        q = F.when(own, up("b").bitwiseOR(F.greatest("x", y))).otherwise(up("b").bitwiseOR(F.when(first, y).otherwise(F.col("x"))))
-        at = F.when(own, (F.col("x") > y).cast("int")).otherwise(F.col("side"))
-        rows = written(spread.select(p.alias("a"), q.alias("b"), at.alias("side"), "fp"), "node-pairs")
-    return found if found is not None else spark.createDataFrame([], "u long, v long")
+        small = (F.col("n") + F.when(own, 0).otherwise(F.col("m")) <= TASK_ROWS) | F.lit(depth == bits)
+        pairs = written(pairs.filter(~own | (F.col("n") > 1)).select("trie", "a", "b", small.alias("small")), "node-pairs", open_)
+        drop(nodes)
+        n_small, n_open = pairs.agg(F.count_if("small"), F.count_if(~F.col("small"))).first()
+        if n_small:
+            out.append((depth, written(pairs.filter("small").drop("small"), "tasks")))
+        if not n_open:
+            return out
+        open_ = written(pairs.filter("NOT small").drop("small"), "open", pairs)
+        depth, last = min(depth + STEP, bits), depth
+
+
+def links(codes: DataFrame, rows: DataFrame, budget: int, bits: int, most: int = 0, first: int = 0) -> DataFrame:
+    """u > v: links among the nodes of rows (trie, code, node, print) that join the same components as all links do.
+
+    codes has the rows' trie and code alone. Nodes link if their codes in some trie differ in at most `budget` bits and, where
+    prints are not empty, their prints in at most `most` bits. first: the least depth at which tasks begin; where there are few
+    tries, some bits make them many.
+    """
+    found: DataFrame | None = None
+    for depth, pairs in node_pairs(codes, bits, budget, first):
+        own = rows.withColumn("at", prefix(F.col("code"), bits, depth))
+        sides = [join_checked(own, p.withColumn("at", F.col(x)), ["trie", "at"], "inner").withColumn("side", F.lit(i)) for i, x, p in ((0, "a", pairs), (1, "b", written(pairs.filter("a <> b"), "others")))]
+        both = sides[0].unionByName(sides[1]).select("trie", "a", "b", F.lit(depth).alias("depth"), "side", "code", "node", "print")
+        some = written(both.groupBy("trie", "a", "b", "depth").applyInArrow(pair_task(bits, budget, most), "u long, v long"), "links")
+        found = some if found is None else found.unionByName(some)
+    return found if found is not None else rows.sparkSession.createDataFrame([], "u long, v long")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -179,31 +311,79 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))
-        now = written(small.distinct(), "stars")
+        now = written(small.distinct(), "stars", now)
     else:
         raise RuntimeError("components did not settle")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (signed) of every row."""
+
+    def kernel(batches):
+        for batch in batches:
+            fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+
+    return map_arrow(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), kernel, "doc_id long, fp long")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
-    """doc_id, fingerprint, component_id, kept, text_key of every row; kept: the one row of its component that stays."""
+    """doc_id, fingerprint, component_id of every row, by short fingerprints."""
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    last = F.lit((1 << 63) - 1)
-    top = F.struct(F.coalesce("doc_id", last).alias("id"), F.col("text_key").alias("key"))
-    distinct = written(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(top).alias("top"), F.min("doc_id").alias("least")), "distinct")
-    named = components(links(distinct, budget)).select(F.col("node").alias("fp"), "root")
-    rooted = written(distinct.join(named, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    chosen = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("top").alias("chosen"))
+    distinct = written(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "distinct")
+    one = distinct.select(F.lit(0).alias("trie"), F.col("fp").alias("code"), F.col("fp").alias("node"), F.lit(b"").alias("print"))
+    named = written(components(links(one.select("trie", "code"), one, budget, 64, first=STEP)), "components")
+    rooted = written(distinct.join(named.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    chosen = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = written(rooted.select("fp", "n", "root").join(chosen, "root").drop("root"), "groups")
-    kept = (F.coalesce("doc_id", last) == F.col("chosen.id")) & (F.col("text_key") == F.col("chosen.key"))
-    return join_groups(rows, groups, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", kept.alias("kept"), "text_key")
+    return join_groups(rows, groups, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, columns as they were."""
-    key = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    return keep_rows(docs, near_groups(docs, id_col, text_col).select("doc_id", "text_key", "kept"), id_col, key)
+def long_prints(texts: DataFrame, width: int) -> DataFrame:
+    """texts (doc_id, text, at_file, at_place) with print and node, a hash of it, instead of text."""
+
+    def kernel(batches):
+        for batch in batches:
+            got = [long_fingerprint(t, width) for t in batch.column(1).to_pylist()]
+            nodes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in got], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(nodes), pa.array(got, pa.binary())], ["doc_id", "at_file", "at_place", "node", "print"])
+
+    return map_arrow(texts, kernel, "doc_id long, at_file long, at_place long, node long, print binary")
+
+
+def segmented(distinct: DataFrame, with_print: bool = True) -> DataFrame:
+    """trie, code of each segment of each print; with_print adds node and print. Cheap to make again, so not written."""
+
+    def kernel(batches):
+        for batch in batches:
+            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            for k, code in enumerate(segments(prints) if batch.num_rows else ()):
+                columns = [pa.array(np.full(batch.num_rows, k, np.int32)), pa.array(code), *batch.columns]
+                yield pa.RecordBatch.from_arrays(columns if with_print else columns[:2], ["trie", "code", "node", "print"][: 4 if with_print else 2])
+
+    return map_arrow(distinct.select("node", "print"), kernel, "trie int, code long" + ", node long, print binary" * with_print)
+
+
+def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NEAR_WIDTH, least: float = NEAR_LEAST) -> DataFrame:
+    """docs with one row of each component of similar texts, columns as they were: the one with the smallest doc_id.
+
+    similar: the long fingerprints differ in no more bits than a similarity of `least` gives, which is estimated so.
+    """
+    most = limit_of(least, LONG_BITS)
+    if most >= SEGMENTS * (SEGMENT_BUDGET + 1):
+        raise ValueError("the segments' budgets do not cover so low a similarity")
+    at = Located(docs)
+    rows = written(long_prints(at.select(doc_id=F.col(id_col).cast("long"), text=F.col(text_col)), width), "prints")
+    top = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "at_file", "at_place")
+    distinct = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(top).alias("top"), F.first("print").alias("print")), "distinct")
+    bits = max(b - a for a, b in zip([0, *segment_ends()], segment_ends()))
+    named = written(components(links(segmented(distinct, False), segmented(distinct), SEGMENT_BUDGET, bits, most)), "components")
+    rooted = written(distinct.drop("print").join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    groups = written(rooted.join(rooted.groupBy("root").agg(F.min("top").alias("chosen")), "root").select("node", "n", "chosen.at_file", "chosen.at_place").toDF("node", "n", "keep_file", "keep_place"), "groups")
+    kept = (F.col("at_file") == F.col("keep_file")) & (F.col("at_place") == F.col("keep_place"))
+    return at.keep(join_groups(rows.drop("print"), groups, "node", "n").select("at_file", "at_place", kept.alias("kept")))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")
+    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

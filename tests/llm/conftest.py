@@ -33,7 +33,7 @@ def clash(odd):
     """The odd rows with columns that have our own names."""
     from pyspark.sql import functions as F
 
-    return odd.withColumns({c: F.lit(1) for c in ("kept", "score", "size", "fp", "row", "recipe", "length", "rank", "shard", "slot", "block", "data", "group", "n", "digest", "piece", "band")})
+    return odd.withColumns({c: F.lit(1) for c in ("kept", "score", "size", "fp", "row", "recipe", "length", "rank", "shard", "slot", "block", "data", "group", "n", "digest", "piece", "band", "_at", "_ahead", "_o0", "_n", "_sub", "_mx_size", "_mx_at", "at_file", "at_place", "ahead", "place", "key0", "lang_", "bits", "_metadata", "node", "print", "KEPT_")})
 
 
 @pytest.fixture(scope="session")

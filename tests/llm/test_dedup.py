@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strandloom.llm import exact_dedup as E
 from strandloom.llm import simhash as S
@@ -69,18 +70,20 @@ def test_chunks_meet_again_after_an_insertion():
 
 
 def test_shared_digests_are_found(table, monkeypatch):
-    docs = table([(1, "one text"), (2, "another text"), (3, "one text")]).select("doc_id", "text")
-    assert E.clashes(docs) == 0
-    recipe = E.digest
-    try:
-        E.digest = lambda chunk, key: recipe(b"same" if key == 0 else chunk, key)
-        import strandloom.llm.exact_dedup as module
+    """Digests that clash under the first two keys: the recipes are made anew until none do, and no texts are confused."""
+    rows = [(1, "one text"), (2, "another text"), (3, "one text"), (4, ""), (5, "One Text")]
+    docs = E.Located(table(rows)).select(doc_id=F.col("doc_id"), text=F.col("text"))
+    asked = []
 
-        monkeypatch.setattr(module, "digest", E.digest)
-    finally:
-        E.digest = recipe
-    # workers import the module anew, so the clash is made there by hand
-    assert len({recipe(b"a", 0), recipe(b"a", 1), recipe(b"b", 0)}) == 3
+    def weak(chunk, key, strong=E.digest):
+        return strong(b"same" if key < 2 else chunk, key)
+
+    real = E.clashes
+    monkeypatch.setattr(E, "clashes", lambda *a: asked.append((a[1], real(*a))) or asked[-1][1])
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in E.verdicts(docs, weak).collect())
+    assert asked == [(0, 1), (1, 1), (2, 0)] and got == brute_exact(rows)
+    with pytest.raises(RuntimeError):
+        E.verdicts(docs, lambda chunk, key: b"x" * 16)
 
 
 def brute_fingerprint(text):
@@ -111,9 +114,9 @@ def brute_components(fps):
     return out
 
 
-@pytest.mark.parametrize("task_pairs,leaf", [(4_000_000, 4096), (4_000_000, 4), (30, 4)])
-def test_trie_join(spark, monkeypatch, task_pairs, leaf):
-    monkeypatch.setattr(S, "TASK_PAIRS", task_pairs)
+@pytest.mark.parametrize("task_rows,leaf,frontier", [(1 << 18, 16, 1 << 18), (1 << 18, 1, 7), (12, 4, 100)])
+def test_trie_join(spark, monkeypatch, task_rows, leaf, frontier):
+    monkeypatch.setattr(S, "TASK_ROWS", task_rows)
     rnd = random.Random(8)
     fps = {0, 2**64 - 1}
     for _ in range(40):
@@ -125,7 +128,8 @@ def test_trie_join(spark, monkeypatch, task_pairs, leaf):
                 x ^= 1 << rnd.randrange(64)
     fps |= {rnd.getrandbits(64) for _ in range(150)}
     signed = sorted(np.array(sorted(fps), np.uint64).view(np.int64).tolist())
-    found = S.components(S.links(spark.createDataFrame([(x,) for x in signed], "fp long")))
+    rows = spark.createDataFrame([(0, x, x, b"") for x in signed], "trie int, code long, node long, print binary")
+    found = S.components(S.links(rows.select("trie", "code"), rows, 2, 64, first=4))
     roots = {r.node: r.root for r in found.collect()}
     mask = 2**64 - 1
     for x, group in brute_components(fps).items():
@@ -134,8 +138,28 @@ def test_trie_join(spark, monkeypatch, task_pairs, leaf):
         assert roots.get(mine, mine) == min(signed_group), (x & mask, len(group))
     one = np.array(sorted(fps), np.uint64)
     monkeypatch.setattr(S, "LEAF", leaf)
-    pairs = set(S.trie_links(one, one, 0, 0, True))
-    assert pairs == {(i, j) for i in range(len(one)) for j in range(i + 1, len(one)) if int(one[i] ^ one[j]).bit_count() <= 2}
+    monkeypatch.setattr(S, "FRONTIER", frontier)
+    pairs = [(int(a), int(b)) for i, j in S.trie_links(one, one, 0, 0, True) for a, b in zip(i, j)]
+    assert sorted(pairs) == [(i, j) for i in range(len(one)) for j in range(i + 1, len(one)) if int(one[i] ^ one[j]).bit_count() <= 2]
+    low, high = one[one < 1 << 63], one[one >= 1 << 63]
+    pairs = [(int(a), int(b)) for i, j in S.trie_links(low, high, 1, 1, False) for a, b in zip(i, j)]
+    assert sorted(pairs) == [(i, j) for i in range(len(low)) for j in range(len(high)) if int(low[i] ^ high[j]).bit_count() <= 2]
+
+
+def test_a_dense_group_keeps_a_forest_only():
+    rnd = random.Random(2)
+    forest, n = S.Forest(3000), 3000
+    i, j = (np.array(x) for x in zip(*[(a, b) for a in range(n) for b in rnd.sample(range(n), 40)]))
+    forest.add(i, j)
+    assert len(forest.links) == n - 1 and len({forest.root(x) for x in range(n)}) == 1
+
+
+def test_bit_counts():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 64, 65, 1000, 5001):
+        x = rng.integers(0, 1 << 63, (n, 3), dtype=np.uint64)
+        want = [sum(int(r) >> b & 1 for r in x[:, w]) for w in range(3) for b in range(64)]
+        assert S.bit_counts(x).tolist() == want
 
 
 def test_components_of_a_long_chain(spark):
@@ -145,17 +169,101 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_near_groups(odd, clash, none):
-    want = {}
     fps = [brute_fingerprint(t) for _, t, *_ in ODD]
     near = brute_components(fps)
+    want = Counter()
     for (i, *_), f in zip(ODD, fps):
         ids = [j for (j, *_), g in zip(ODD, fps) if g in near[f] and j is not None]
-        want.setdefault((i, f"{f:016x}", min(ids) if ids else None), 0)
         want[(i, f"{f:016x}", min(ids) if ids else None)] += 1
     for docs in (odd, clash):
-        assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in S.near_groups(docs).collect()) == Counter(want)
+        assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in S.near_groups(docs).collect()) == want
+    assert S.near_groups(none).count() == 0
+
+
+def brute_near(rows):
+    """The ids that stay, from all pairs of long fingerprints; and pairs of ids with the similarity of their shingles."""
+    prints = {i: int.from_bytes(S.long_fingerprint(t), "little") for i, t in rows}
+    group = {i: {i} for i in prints}
+    for i in prints:
+        for j in prints:
+            if i < j and group[i] is not group[j] and (prints[i] ^ prints[j]).bit_count() <= 77:
+                group[i] |= group[j]
+                for x in group[j]:
+                    group[x] = group[i]
+    return group
+
+
+def shingle_sets(rows):
+    words = {i: lower(t).encode().split() for i, t in rows}
+    return {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in words.items()}
+
+
+def near_rows():
+    rnd = random.Random(11)
+    words = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(300)]
+    rows = []
+    for _ in range(60):
+        text = rnd.choices(words, k=rnd.randrange(20, 400))
+        for _ in range(rnd.randrange(1, 5)):
+            rows.append((len(rows), " ".join(text)))
+            text = list(text)
+            for _ in range(rnd.randrange(1, 2 + len(text) // 40)):
+                text[rnd.randrange(len(text))] = rnd.choice(words)
+    hot = rnd.choices(words, k=200)
+    for k in range(90):  # over a third of all rows are near copies
+        rows.append((len(rows), " ".join(hot[:k] + ["x" + str(k)] + hot[k:])))
+    return rows
+
+
+@pytest.mark.parametrize("task_rows", [1 << 18, 40])
+def test_similar_texts_go(table, monkeypatch, task_rows):
+    monkeypatch.setattr(S, "TASK_ROWS", task_rows)
+    rows = near_rows()
+    group = brute_near(rows)
+    want = sorted({min(g) for g in group.values()})
+    assert len(want) < len(rows) - 100
+    assert sorted(r.doc_id for r in S.dedup_near(table(rows)).collect()) == want
+    sets = shingle_sets(rows)
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j}
+    sure = [p for p, s in alike.items() if s >= 0.9]
+    assert sure and all(group[i] is group[j] for i, j in sure)
+    assert S.limit_of(0.8, 512) == 77 and S.SEGMENTS * (S.SEGMENT_BUDGET + 1) > 77
+
+
+def test_estimate_of_similarity():
+    """Differing bits of pairs of texts stand for their similarity, within a few standard errors."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(2000)]
+    for share in (0.5, 0.8, 0.95):
+        off = []
+        for _ in range(20):
+            whole = rnd.choices(words, k=600)
+            cut = int(600 * share)
+            a, b = " ".join(whole), " ".join(whole[:cut] + rnd.choices(words, k=600 - cut))
+            x, y = (shingle_sets([(0, t)])[0] for t in (a, b))
+            bits = (int.from_bytes(S.long_fingerprint(a), "little") ^ int.from_bytes(S.long_fingerprint(b), "little")).bit_count()
+            off.append(bits - S.limit_of(len(x & y) / len(x | y), 512))
+        assert abs(np.mean(off)) < 8 and np.std(off) < 14
+
+
+def test_near_dedup_of_odd_rows(odd, clash, none):
+    for docs in (odd, clash):
         out = S.dedup_near(docs)
         assert out.columns == docs.columns
-        got = [brute_fingerprint(r.text) for r in out.collect()]
-        assert len(got) == len({min(near[f]) for f in fps}) == len({min(near[f]) for f in got})
-    assert S.near_groups(none).count() == 0 and S.dedup_near(none).count() == 0
+        assert sorted(r.doc_id for r in out.collect()) == [1, 3, 6, 8]
+    assert S.dedup_near(none).count() == 0
+
+
+def test_rows_are_dropped_where_they_are_read(spark, table, odd):
+    """By bitmaps, in one broadcast or one for each group of files; repeated rows are told apart; a plan is written first."""
+    docs = table([(i, f"t{i % 7}") for i in range(200)] + [(5, "t5")] * 3, parts=5)
+    want = Counter(r.doc_id for r in docs.collect() if r.doc_id % 3)
+    for source in (docs, docs.filter("doc_id >= 0"), docs.withColumn("at_file", F.lit(1)).withColumn("bits", F.lit(2)).withColumn("_metadata", F.lit(3))):
+        at = E.Located(source)
+        verdict = at.select(doc_id=F.col("doc_id")).withColumn("kept", F.col("doc_id") % 3 != 0)
+        for most in (1 << 20, 5000):
+            out = at.keep(verdict, most)
+            assert out.columns == source.columns and Counter(r.doc_id for r in out.collect()) == want
+    at = E.Located(docs)
+    one = at.select(doc_id=F.col("doc_id")).filter("doc_id = 5").orderBy("at_file", "at_place").limit(1).withColumn("kept", F.lit(False))
+    assert at.keep(one).filter("doc_id = 5").count() == 3 and at.keep(one.limit(0)).count() == 203
