@@ -2,45 +2,47 @@
 
 Counts of n-grams are made beside the text, a row per distinct n-gram and batch, and summed by n-gram. Discounts,
 contexts and lower orders follow from joins of these tables, which are sharded by n-gram: one row per n-gram with its
-probability and, as a context, its back-off weight. To score, documents form blocks of a few MB where they are read. A
-block asks for its distinct n-grams, the join with the model answers, and block and answers meet in one task, so a text
-moves once (compressed) and the model is never broadcast, however much trusted text there is.
+probability and, as a context, its back-off weight. N-grams that begin with the start sign keep their plain counts at lower
+orders, since nothing else stands before them.
+
+To score, documents form blocks of a few MB where they are read. The commonest n-grams, HOT_GRAMS at most, are known to
+every worker and are summed there. Of the rest a block asks for the distinct ones, the join with the model answers, and answers
+meet the block's list of (document, n-gram, times) in one task: texts never move, no n-gram is asked for by
+nearly every block, and the model is not broadcast, however much trusted text there is. Which n-grams are common changes what
+moves, never a result.
 
 A document's perplexity is per character. Its distance from its language's median counts times the root of the number
 of characters, since short texts vary more; what lies above the language's upper quartile by a multiple of the quartiles'
 distance is rejected. A low perplexity is no reason to reject: copies have it too.
 
 Median and quartiles come from all trusted texts of the language, each text once, so no amount of junk moves them. For
-this, a trusted text is scored as if it had been left out: an n-gram that only it has counts as one never seen. A language
-with few trusted texts takes all of its distinct texts instead.
+this, a trusted text is scored as if it had been left out: an n-gram that only it has counts as one never seen. All other
+texts of a language weigh as much as PULL trusted ones together: they set the limit where there is no trusted text, and the more
+there is, the less they matter. Quantiles are exact for values rounded to four (three) decimals.
 
 Defined results. Null or empty text, and text without a letter or digit: perplexity null, not kept. Null language: a
-language of its own. Languages with few distinct texts share their quantiles. No trusted text: perplexity null, every other
-text is kept. Repeated rows: rows of their own. Null doc_id: scored, never trusted. Empty table: no rows. Other columns
-are not read.
+language of its own. No trusted text: perplexity null, every other text is kept. Repeated rows: rows of their own. Null
+doc_id: scored, never trusted. Empty table: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import io
-
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_checked, keep_rows, map_arrow, written
+from .common import Located, join_checked, map_arrow, written
 
-ORDER = 4
+ORDER = 5
 #: The signs that stand before a text and behind it.
 BEGIN, OVER = "\x02", "\x03"
 BLOCK_CHARS, CHUNK = 6 << 20, 1 << 20
 #: Cells of a table that numbers n-grams directly; where there are more, they are sorted.
 CELLS = 1 << 23
 REACH, NARROWEST = 6.0, 0.5
-#: A language has quantiles of its own with so many distinct texts, or with so many trusted ones, which are then used alone.
-OWN_BAND, TRUSTED_BAND = 200, 50
+#: Most n-grams of the longest order that every worker knows; trusted texts that a language's other texts weigh as much as.
+HOT_GRAMS, PULL = 100_000, 50
 _CLEAR = str.maketrans({BEGIN: " ", OVER: " "})
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -145,9 +147,10 @@ def train(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
                 yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(n, pa.int64())], ["gram", "c"])
 
     top = map_arrow(texts, kernel, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-    levels = {order: written(top, "grams")}
+    levels = {order: written(top.withColumn("plain", F.col("c")), "grams")}
     for k in range(order - 1, 0, -1):  # how many signs stand before it
-        levels[k] = written(levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("c")), "grams")
+        lower = levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("before"), F.sum("plain").alias("plain"))
+        levels[k] = written(lower.select("gram", F.when(F.col("gram").startswith(BEGIN), F.col("plain")).otherwise(F.col("before")).alias("c"), "plain"), "grams")
     vocabulary = levels[1].count() + 1
     below: DataFrame | None = None
     parts = []
@@ -156,7 +159,7 @@ def train(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
         d1, d2, d3 = discounts(levels[k])
         taken = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
         rows = levels[k].withColumns({"d": taken, "context": F.substring("gram", 1, k - 1)})
-        contexts = rows.groupBy("context").agg(F.sum("c").alias("all"), F.sum("d").alias("free"))
+        contexts = rows.groupBy("context").agg(F.sum("c").alias("all"), F.sum(F.col("d").cast("decimal(20,12)")).cast("double").alias("free"))
         if k == 1:
             total, free = contexts.select("all", "free").first() or (1, 1.0)
             unseen = free / total / vocabulary
@@ -175,10 +178,10 @@ def train(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
 
 
 class Lookup:
-    """The model entries of one block, by key and length."""
+    """Some entries of a model, by key and length; what it lacks is taken from another."""
 
-    def __init__(self, grams: list[str], p: np.ndarray, back: np.ndarray, unseen: float, order: int = ORDER):
-        self.order, self.unseen, self.tables = order, unseen, {}
+    def __init__(self, grams: list[str], p: np.ndarray, back: np.ndarray, unseen: float, order: int = ORDER, other: Lookup | None = None):
+        self.order, self.unseen, self.other, self.tables = order, unseen, other, {}
         sizes = np.fromiter(map(len, grams), np.int64, len(grams))
         for k in range(1, order + 1):
             mine = np.flatnonzero(sizes == k)
@@ -186,22 +189,25 @@ class Lookup:
             by = np.argsort(found)
             self.tables[k] = found[by], p[mine][by], back[mine][by]
 
+    def has(self, k: int, wanted: np.ndarray) -> np.ndarray:
+        found = self.tables[k][0]
+        return found[np.minimum(np.searchsorted(found, wanted), len(found) - 1)] == wanted if len(found) else np.zeros(len(wanted), bool)
+
     def get(self, k: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found, p, back = self.tables[k]
-        if not len(found):
-            return np.full(len(wanted), np.nan), np.full(len(wanted), np.nan)
-        at = np.minimum(np.searchsorted(found, wanted), len(found) - 1)
-        hit = found[at] == wanted
-        return np.where(hit, p[at], np.nan), np.where(hit, back[at], np.nan)
-
-    def log_p(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of the natural logarithms of the probabilities of each padded text's signs; and the same with those n-grams
-        unseen that stand nowhere but in this text."""
+        """Probability and weight (or count) of n-grams of k signs, nan for what the model lacks."""
+        p, back = self.other.get(k, wanted) if self.other else (np.full(len(wanted), np.nan) for _ in range(2))
+        found, own_p, own_back = self.tables[k]
+        if len(found):
+            at = np.minimum(np.searchsorted(found, wanted), len(found) - 1)
+            hit = found[at] == wanted
+            p, back = np.where(hit, own_p[at], p), np.where(hit, own_back[at], back)
+        return p, back
+
+    def resolve(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of n-grams (rows of code points): probability, that without the n-gram itself, and the model's count of it or nan."""
         order = self.order
-        joined, number, place, here = distinct(texts, order)
-        codes = points(joined)
-        grams = codes[np.maximum(place, 0)[:, None] + np.arange(order)]
-        prob = np.full(len(grams), self.unseen)
+        prob = without = np.full(len(grams), self.unseen)
+        count = np.full(len(grams), np.nan)
         for k in range(1, order + 1):
             p, count = self.get(k, keys(grams[:, order - k :]))
             if k > 1:
@@ -209,134 +215,205 @@ class Lookup:
                 prob = np.where(np.isnan(weight), 1.0, weight) * prob
             without = prob
             prob = np.where(np.isnan(p), prob, p)
-        sizes = np.array([len(t) - order + 1 for t in texts])
-        ends = np.cumsum(sizes)
-        logs = np.log(prob)[number]
-        sums = np.concatenate([[0.0], np.cumsum(logs)])
-        rare = np.flatnonzero((count <= here)[number])  # no count where the model lacks the n-gram
-        pair = np.searchsorted(ends, rare, "right") * np.int64(len(place)) + number[rare]
-        _, which, times = np.unique(pair, return_inverse=True, return_counts=True)
-        alone = rare[times[which] == count[number[rare]]]
-        logs[alone] = np.log(without)[number[alone]]
-        left_out = np.concatenate([[0.0], np.cumsum(logs)])
-        return sums[ends] - sums[ends - sizes], left_out[ends] - left_out[ends - sizes]
-
-
-def blocks(batches):
-    """(block id, rows) of documents in the order they come. A block's id follows from what is in it and where it was read."""
-    import xxhash
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    held: list[tuple] = []
-    size = 0
-    seal = xxhash.xxh64(str(part).encode())
-
-    def close():
-        return seal.intdigest() - (1 << 63), held
-
-    for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns]):
-            text = row[1] or ""
-            held.append((row[0], text, row[2]))
-            size += len(text)
-            seal.update(f"{row[0]},{len(text)};".encode())
-            if size >= BLOCK_CHARS:
-                yield close()
-                held, size = [], 0
-    if held:
-        yield close()
+        return prob, without, count
 
 
-def perplexities(docs: DataFrame, model: DataFrame, unseen: float, order: int = ORDER) -> DataFrame:
-    """doc_id, lang, text_key, n_signs, perplexity, left_out of every row of docs (doc_id, text, lang: a scan, read twice alike).
+def hot_grams(model: DataFrame, unseen: float, order: int = ORDER, most: int = HOT_GRAMS) -> tuple[list[str], np.ndarray, np.ndarray, float, int]:
+    """What a Lookup of the commonest n-grams and all their parts is made of: at most `most` n-grams of the longest order.
+
+    All whose count is in the highest classes that together have no more than `most`; so many rows come to the driver.
+    """
+    top = model.filter(F.length("gram") == order)
+    size = F.floor(16 * F.log2("back"))
+    left, least = most, None
+    for c, n in sorted(top.groupBy(size.alias("size")).count().collect(), reverse=True):  # sixteen classes for each doubling of the count
+        if n > left:
+            break
+        left, least = left - n, c
+    if least is None:
+        return [], np.zeros(0), np.zeros(0), unseen, order
+    inside = [F.substring("gram", i + 1, j - i) for j in (order - 1, order) for i in range(j)]
+    names = top.filter(size >= least).select(F.explode(F.array(*inside)).alias("gram")).distinct()
+    found = model.join(names, "gram").toArrow()  # most times the number of parts at most
+    return found["gram"].to_pylist(), found["p"].to_numpy(), found["back"].to_numpy(), unseen, order
+
+
+def perplexities(docs: DataFrame, model: DataFrame, unseen: float, order: int = ORDER, most: int | None = None) -> DataFrame:
+    """doc_id, lang, at_file, at_place, text_key, n_signs, perplexity, left_out of every row of docs (doc_id, text, lang, at_file, at_place).
 
     left_out: the perplexity of a text of the training as if it had been left out.
     """
+    hot = docs.sparkSession.sparkContext.broadcast(hot_grams(model, unseen, order, HOT_GRAMS if most is None else most))
+    meta = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("at_file", pa.int64()), ("at_place", pa.int64()), ("text_key", pa.string()), ("n_signs", pa.int64()), ("ok", pa.bool_()), ("sum", pa.float64()), ("left", pa.float64())])
+    cold = pa.schema([("row", pa.int32()), ("gram", pa.int32()), ("times", pa.int32())])
 
-    def ask(batches):
-        for block, rows in blocks(batches):
-            grams: set[str] = set()
-            for part in chunks((padded(t, order) for _, t, _ in rows), CHUNK):
-                grams.update(gram_counts(part, order)[0])
-            every = list(grams)
-            for k in range(order - 1, 0, -1):
-                every += {g[:k] for g in grams} | {g[-k:] for g in grams}
-            names = pa.array([block] * len(every), pa.int64())
-            yield pa.RecordBatch.from_arrays([names, pa.array(every, pa.string())], ["block", "gram"])
-
-    def pack(batches):
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for block, rows in blocks(batches):
-            table = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string()), "lang": pa.array([r[2] for r in rows], pa.string())})
-            with io.BytesIO() as sink:
-                with pa.ipc.new_stream(sink, table.schema) as out:
-                    out.write_table(table)
-                data = squeeze.compress(sink.getvalue())
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([data], pa.binary())], ["block", "data"])
+    def logs(prob, without, count, row, gram, times, n):
+        """Sums by row of times log p of grams; and the same with p as without the gram where no other text has it."""
+        own = np.log(np.where(times == count[gram], without[gram], prob[gram]))
+        return (np.bincount(row, times * x, n) for x in (np.log(prob)[gram], own))
 
-    def score(key, texts, answers):
+    def ask(batches):
         import hashlib
 
-        if not texts.num_rows or not answers.num_rows:
-            raise RuntimeError("documents were read in two different orders; write them to a table first")
-        grams, p, back = answers["gram"].to_pylist(), *(answers[c].to_numpy() for c in ("p", "back"))
-        lookup = Lookup(grams, p, back, unseen, order)
+        import xxhash
+
+        known = Lookup(*hot.value)
+
+        def close(rows):
+            texts = [r[1] or "" for r in rows]
+            sums, left = np.zeros(len(rows)), np.zeros(len(rows))
+            number: dict[str, int] = {}
+            asked: list[tuple] = []
+            first = 0
+            for part in chunks((padded(t, order) for t in texts), CHUNK):
+                joined, at, place, here = distinct(part, order)
+                row = np.repeat(np.arange(first, first + len(part)), [len(t) - order + 1 for t in part])
+                grams = points(joined)[np.maximum(place, 0)[:, None] + np.arange(order)]
+                there = known.has(order, keys(grams))
+                prob, without, count = (np.zeros(len(grams)) for _ in range(3))
+                prob[there], without[there], count[there] = known.resolve(grams[there])
+                log_p = np.log(np.where(there, prob, 1.0))[at]
+                begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                sums[first : first + len(part)] += np.add.reduceat(log_p, begins)
+                # few n-grams are left: those that may stand in one text only, and those that are not known here
+                few = np.flatnonzero((~there | (count <= here))[at])
+                pair, times = np.unique(row[few] * np.int64(len(grams)) + at[few], return_counts=True)
+                row, gram = pair // len(grams), pair % len(grams)
+                alone = there[gram] & (times == count[gram])
+                more = times * (np.log(np.where(alone, without[gram], 1.0)) - np.log(np.where(alone, prob[gram], 1.0)))
+                left += np.bincount(row, more, len(rows))
+                rest = ~there[gram]
+                which, index = np.unique(gram[rest], return_inverse=True)
+                names = np.fromiter((number.setdefault(joined[i : i + order], len(number)) for i in place[which].tolist()), np.int64, len(which))
+                asked.append((row[rest], names[index], times[rest]))
+                first += len(part)
+            left += sums
+            columns = [[r[0] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], [hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts], [len(t) + 1 for t in texts], [any(map(str.isalnum, t)) for t in texts], sums, left]
+            counts = pa.table([pa.array(np.concatenate(x).astype(np.int32)) for x in zip(*asked)], schema=cold) if asked else cold.empty_table()
+            wanted = set()
+            for j in (order - 1, order):
+                for i in range(j):
+                    some = list({g[i:j] for g in number})
+                    if some and (j, i) != (order, 0):
+                        new = ~known.has(j - i, keys(points("".join(some)).reshape(-1, j - i)))
+                        some = [some[x] for x in np.flatnonzero(new).tolist()]
+                    wanted.update(some)
+            block = xxhash.xxh64_intdigest(f"{rows[0][3]},{rows[0][4]}".encode()) - (1 << 63)
+            data = pa.table([pa.array(x, f.type) for x, f in zip(columns, meta)], schema=meta), counts, list(number)
+            return block, list(wanted), packed(*data)
+
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                held.append(row)
+                size += len(row[1] or "")
+                if size >= BLOCK_CHARS:
+                    yield asks(*close(held))
+                    held, size = [], 0
+        if held:
+            yield asks(*close(held))
+
+    def asks(block, grams, data):
+        n = len(grams)
+        return pa.RecordBatch.from_arrays([pa.array([block] * (n + 1), pa.int64()), pa.array([*grams, None], pa.string()), pa.array([None] * n + [data], pa.binary())], ["block", "gram", "data"])
+
+    def score(key, texts, answers):
+        lookup = Lookup(answers["gram"].to_pylist(), *(answers[c].to_numpy() for c in ("p", "back")), unseen, order, Lookup(*hot.value))
         out = []
         for data in texts["data"].to_pylist():
-            table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all()
-            every = table["text"].to_pylist()
-            log_p: list[float] = []
-            left_out: list[float] = []
-            for part in chunks((padded(t, order) for t in every), CHUNK):
-                for sums, more in zip((log_p, left_out), lookup.log_p(part)):
-                    sums += more.tolist()
-            n = [len(t) + 1 for t in every]
-            ok = [any(map(str.isalnum, t)) for t in every]
-            ppl, out_ppl = ([float(np.exp(-s / m)) if fine else None for s, m, fine in zip(sums, n, ok)] for sums in (log_p, left_out))
-            md5 = [hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in every]
-            out.append(pa.table({"doc_id": table["doc_id"], "lang": table["lang"], "text_key": pa.array(md5, pa.string()), "n_signs": pa.array(n, pa.int64()), "perplexity": pa.array(ppl, pa.float64()), "left_out": pa.array(out_ppl, pa.float64())}))
+            table, counts, grams = unpacked(data)
+            sums, left = table["sum"].to_numpy(), table["left"].to_numpy()
+            if grams:
+                found = lookup.resolve(points("".join(grams)).reshape(-1, order))
+                more = logs(*found, *(counts[c].to_numpy() for c in ("row", "gram", "times")), len(sums))
+                sums, left = (x + y for x, y in zip((sums, left), more))
+            fine = table["ok"].to_numpy(zero_copy_only=False)
+            # rounded, so that the order of the sums does not show
+            ppl = [pa.array(np.exp(-np.round(x, 6) / table["n_signs"].to_numpy()), mask=~fine) for x in (sums, left)]
+            out.append(table.drop_columns(["ok", "sum", "left"]).append_column("perplexity", ppl[0]).append_column("left_out", ppl[1]))
         return pa.concat_tables(out)
 
-    asked = map_arrow(docs, ask, "block long, gram string")
-    answers = asked.join(model, "gram", "left").groupBy("block")  # left: a block whose n-grams are all new stays
-    return map_arrow(docs, pack, "block long, data binary").groupBy("block").cogroup(answers).applyInArrow(score, "doc_id long, lang string, text_key string, n_signs long, perplexity double, left_out double")
+    schema = "doc_id long, lang string, at_file long, at_place long, text_key string, n_signs long, perplexity double, left_out double"
+    emitted = written(map_arrow(docs.select("doc_id", "text", "lang", "at_file", "at_place"), ask, "block long, gram string, data binary"), "blocks")
+    answers = emitted.filter("gram IS NOT NULL").select(F.col("block").alias("of"), "gram").join(model, "gram").groupBy("of")
+    return emitted.filter("data IS NOT NULL").select("block", "data").groupBy("block").cogroup(answers).applyInArrow(score, schema)
+
+
+def packed(table: pa.Table, counts: pa.Table, grams: list[str]) -> bytes:
+    """Three tables as one compressed value."""
+    out = []
+    for x in (table, counts, pa.table({"gram": pa.array(grams, pa.string())})):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, x.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+            to.write_table(x)
+        data = sink.getvalue().to_pybytes()
+        out += [len(data).to_bytes(8, "little"), data]
+    return b"".join(out)
+
+
+def unpacked(data: bytes) -> tuple[pa.Table, pa.Table, list[str]]:
+    out, at = [], 0
+    while at < len(data):
+        end = at + 8 + int.from_bytes(data[at : at + 8], "little")
+        out.append(pa.ipc.open_stream(data[at + 8 : end]).read_all())
+        at = end
+    return out[0], out[1], out[2]["gram"].to_pylist()
+
+
+def band_of(lang):
+    """A name for each language, null being one."""
+    return F.coalesce(F.concat(F.lit("="), lang), F.lit(""))
 
 
 def judged(scores: DataFrame, trusted_ids: DataFrame) -> DataFrame:
-    """scores (a written table) with kept: the distance from the language's median is not above the language's limit."""
-    lang = F.coalesce("lang", F.lit(""))
+    """scores (a written table) with distance and kept: the distance from the language's median is not above the language's limit."""
     named = trusted_ids.select("doc_id", F.lit(True).alias("trusted"))
     known = join_checked(scores.filter("perplexity IS NOT NULL"), named, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     # copies are folded where they are read, so a text with many of them is no large group
-    once = known.groupBy(lang.alias("_lang"), "text_key", "n_signs").agg(F.max("trusted").alias("trusted"), F.min("perplexity").alias("perplexity"), F.min("left_out").alias("left_out"))
-    once = written(once.withColumn("log_p", F.log(F.when(F.col("trusted"), F.col("left_out")).otherwise(F.col("perplexity")))), "texts")
-    own = once.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("trusted").alias("n_trusted")).filter(f"n >= {OWN_BAND} OR n_trusted >= {TRUSTED_BAND}")
-    own = written(own.select("_lang"), "own-bands").withColumn("_band", F.col("_lang"))
-    # a row per language with enough texts: broadcast while the written table is small, hot languages split otherwise
-    placed = once.join(own, "_lang", "left").withColumn("_band", F.coalesce("_band", F.lit("*")))
-    counted = placed.groupBy("_band").agg(F.count_if("trusted").alias("n_trusted"))
-    fit = placed.join(written(counted, "bands"), "_band").filter(f"trusted OR n_trusted < {TRUSTED_BAND}")
-    middles = written(fit.groupBy("_band").agg(F.percentile_approx("log_p", 0.5, 10_000).alias("middle")), "medians")
-    quarter = F.percentile_approx((F.col("log_p") - F.col("middle")) * F.sqrt("n_signs"), [0.25, 0.75], 10_000)
+    once = known.groupBy(band_of(F.col("lang")).alias("band"), "text_key", "n_signs").agg(F.max("trusted").alias("trusted"), F.min("perplexity").alias("perplexity"), F.min("left_out").alias("left_out"))
+    log_p = F.log(F.when(F.col("trusted"), F.col("left_out")).otherwise(F.col("perplexity")))
+    once = written(once.select("band", "n_signs", "trusted", F.round(log_p, 4).alias("log_p")), "texts")
+    others = written(once.groupBy("band").agg(F.count_if(~F.col("trusted")).alias("n_others")), "bands")
+
+    def weighed(value):
+        """band, value, weight: a million for each trusted text, and PULL millions for all others of a band together."""
+        bins = value.groupBy("band", "value").agg(F.count_if("trusted").alias("own"), F.count_if(~F.col("trusted")).alias("other"))
+        share = F.ceil(F.lit(PULL * 1_000_000) * F.col("other") / F.greatest("n_others", F.lit(1)))
+        return bins.join(others, "band").select("band", "value", (F.col("own") * 1_000_000 + share).cast("long").alias("weight"))
+
+    middles = written(weighed(once.withColumn("value", F.col("log_p"))).groupBy("band").agg(F.percentile("value", 0.5, F.col("weight")).alias("middle")), "medians")
+    away = once.join(middles, "band").withColumn("value", F.round((F.col("log_p") - F.col("middle")) * F.sqrt("n_signs"), 3))
+    quarter = F.percentile("value", [0.25, 0.75], F.col("weight"))
     spread = F.greatest(quarter[1] - quarter[0], F.lit(NARROWEST)) * REACH
-    ends = written(fit.join(middles, "_band").groupBy("_band").agg(F.first("middle").alias("middle"), (quarter[1] + spread).alias("high")), "quantiles")
-    far = scores.join(own, lang == F.col("_lang"), "left").withColumn("_band", F.coalesce("_band", F.lit("*"))).join(ends, "_band", "left")
+    ends = written(weighed(away).groupBy("band").agg((quarter[1] + spread).alias("high")).join(middles, "band").withColumnRenamed("band", "_band"), "limits")
+    far = scores.join(ends, band_of(F.col("lang")) == F.col("_band"), "left")
     far = far.withColumn("distance", (F.log("perplexity") - F.col("middle")) * F.sqrt("n_signs"))
-    return far.select("doc_id", "lang", "text_key", "n_signs", "perplexity", "distance", F.coalesce(F.col("distance") <= F.col("high"), F.lit(False)).alias("kept"))
+    return far.select("doc_id", "lang", "at_file", "at_place", "text_key", "n_signs", "perplexity", "distance", F.coalesce(F.col("distance") <= F.col("high"), F.lit(False)).alias("kept"))
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, text_key, n_signs, perplexity, distance, kept of every row; trusted_ids has the column doc_id."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
+def verdicts(texts: DataFrame, trusted_ids: DataFrame) -> DataFrame:
+    """doc_id, lang, at_file, at_place, text_key, n_signs, perplexity, distance, kept of every row of texts (doc_id, text, lang, at_file, at_place)."""
     ids = written(trusted_ids.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "trusted")
-    texts = join_checked(rows.select("doc_id", "text"), ids, "doc_id", "left_semi").select("text")
-    if not texts.limit(1).count():
-        any_sign = F.coalesce(F.col("text").rlike(r"[\p{L}\p{N}]"), F.lit(False))
+    trusted = join_checked(texts.select("doc_id", "text"), ids, "doc_id", "left_semi").select("text")
+    if not trusted.limit(1).count():
+        text = F.coalesce("text", F.lit(""))
         none = F.lit(None).cast("double")
-        return rows.select("doc_id", "lang", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"), (F.length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("n_signs"), none.alias("perplexity"), none.alias("distance"), any_sign.alias("kept"))
-    model, unseen = train(texts)
-    return judged(written(perplexities(rows, model, unseen), "perplexities"), ids)
+        return texts.select(
+            "doc_id", "lang", "at_file", "at_place", F.md5(text.cast("binary")).alias("text_key"), (F.length(text) + 1).cast("long").alias("n_signs"),
+            none.alias("perplexity"), none.alias("distance"), text.rlike(r"[\p{L}\p{N}]").alias("kept"),
+        )
+    model, unseen = train(trusted)
+    return judged(written(perplexities(texts, model, unseen), "perplexities"), ids)
+
+
+def located(at: Located, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    return at.select(doc_id=F.col(id_col).cast("long"), text=F.col(text_col), lang=F.col(lang_col).cast("string"))
+
+
+def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """doc_id, lang, text_key, n_signs, perplexity, distance, kept of every row; trusted_ids has the column doc_id."""
+    return verdicts(located(Located(docs), id_col, text_col, lang_col), trusted_ids).drop("at_file", "at_place")
 
 
 def trusted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,11 +424,8 @@ def trusted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the rejected rows, columns as they were."""
-    verdict = classify(docs, trusted_ids, id_col, text_col, lang_col)
-    lang = F.coalesce(docs[lang_col].cast("string"), F.lit(""))
-    key = F.concat(F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary")), lang)
-    both = verdict.select("doc_id", F.concat("text_key", F.coalesce("lang", F.lit(""))).alias("text_key"), "kept")
-    return keep_rows(docs, both, id_col, key, single=False)
+    at = Located(docs)
+    return at.keep(verdicts(located(at, id_col, text_col, lang_col), trusted_ids))
 
 
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
