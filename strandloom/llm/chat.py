@@ -5,10 +5,11 @@ deltas, edits, regenerations) into final messages and renders them. The template
 and escapes those inside texts reversibly, so an output can be read back without loss, and a loss mask marks the
 assistant's texts.
 
-A task streams through its sorted rows: what it holds is the messages of one conversation.
+A task streams through its sorted rows, and a conversation's digest is sequential, so one conversation is one task's work. It
+holds that conversation's messages where the log may edit them or the text is asked for, else one message at a time.
 
 Defined results. Null text: empty. Null role: the empty role. Null conversation: a conversation of its own. Rows of
-one conversation with the same turn: ordered by role, then text. Null turn: first. Conversations of no rows do not
+one conversation with the same turn: ordered by role, text and kind, null as empty. Null turn: first. Conversations of no rows do not
 exist; an empty table gives no rows (the query: conversation -1 alone). Other columns are not read.
 """
 
@@ -17,6 +18,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -78,22 +81,46 @@ def fold(events: Iterable[tuple[str, str | None, str | None]]) -> list[list[str]
     return out
 
 
+def streamed(events: Iterable[tuple[str, str | None, str | None]]) -> Iterator[list[str]]:
+    """As fold(), for logs without edits and regenerations: a message is given away once it is final, so one is held at most."""
+    role, parts, streaming = None, [], False
+    for kind, who, text in events:
+        who = who or ""
+        if kind == "delta" and streaming and who == role:
+            parts.append(text or "")
+            continue
+        if kind in ("message", "delta"):
+            if role is not None:
+                yield [role, "".join(parts)]
+            role, parts = who, [text or ""]
+        elif kind != "end":
+            raise ValueError(f"a log with {kind} events is folded whole")
+        streaming = kind == "delta"
+    if role is not None:
+        yield [role, "".join(parts)]
+
+
+def render_turn(role: str, text: str) -> tuple[str, tuple[int, int] | None]:
+    """A formatted turn, and the span of it that the loss counts, an assistant's escaped text."""
+    body = escape(text)
+    if role == "assistant":
+        return body + END, (0, len(body))
+    if role == "user":
+        return USER + body + END_USER, None
+    if role == "system":
+        return SYSTEM + body + END_SYSTEM, None
+    return ROLE + escape(role) + END_ROLE + body + END, None
+
+
 def render(messages: Iterable[list[str]]) -> tuple[str, list[tuple[int, int]]]:
-    """The formatted text, and the spans (begin, end) of it that the loss counts: the assistant's escaped texts."""
+    """The formatted text, and the spans (begin, end) of it that the loss counts."""
     parts: list[str] = []
     spans: list[tuple[int, int]] = []
     at = 0
     for role, text in messages:
-        body = escape(text)
-        if role == "assistant":
-            turn = body + END
-            spans.append((at, at + len(body)))
-        elif role == "user":
-            turn = USER + body + END_USER
-        elif role == "system":
-            turn = SYSTEM + body + END_SYSTEM
-        else:
-            turn = ROLE + escape(role) + END_ROLE + body + END
+        turn, span = render_turn(role, text)
+        if span:
+            spans.append((at + span[0], at + span[1]))
         parts.append(turn)
         at += len(turn)
     return "".join(parts), spans
@@ -114,25 +141,34 @@ def parse(formatted: str) -> Iterator[tuple[str, str]]:
             role = "assistant"
 
 
-def conversations(events: DataFrame, with_text: bool = True) -> DataFrame:
-    """From events (conv_id, seq, kind, role, text): conv_id, formatted, loss_spans, and the digest of what a reader finds."""
+def conversations(events: DataFrame, with_text: bool = True, edits: bool = True) -> DataFrame:
+    """From events (conv_id, seq, kind, role, text): conv_id, formatted, loss_spans, and the digest of what a reader finds.
+
+    edits: whether the log may have edits and regenerations; without them, messages pass through one by one.
+    """
 
     def rows(batches):
         for batch in batches:
             yield from zip(*[c.to_pylist() for c in batch.columns])
 
-    def finished(conv, events_):
-        formatted, spans = render(fold(events_))
-        turns, n = hashlib.sha256(), 0
-        for role, text in parse(formatted):
-            turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-            n += 1
-        loss, chars = hashlib.sha256(), 0
-        for begin, end in spans:
-            text = unescape(formatted[begin:end])
-            loss.update(text.encode("utf-8", "surrogatepass"))
-            chars += len(text)
-        return conv, n, turns.hexdigest(), chars, loss.hexdigest(), len(formatted), *([formatted, [list(s) for s in spans]] if with_text else [])
+    def finished(conv, log):
+        turns, loss = hashlib.sha256(), hashlib.sha256()
+        n = chars = at = 0
+        parts, spans = [], []
+        for message in fold(log) if edits else streamed(log):
+            turn, span = render_turn(*message)
+            for role, text in parse(turn):
+                turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                n += 1
+            if span:
+                text = unescape(turn[span[0] : span[1]])
+                loss.update(text.encode("utf-8", "surrogatepass"))
+                chars += len(text)
+            if with_text:
+                parts.append(turn)
+                spans += [[at + span[0], at + span[1]]] if span else []
+            at += len(turn)
+        return conv, n, turns.hexdigest(), chars, loss.hexdigest(), at, *(["".join(parts), spans] if with_text else [])
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"] + ["formatted", "loss_spans"] * with_text
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()] + [pa.string(), pa.list_(pa.list_(pa.int64()))] * with_text
@@ -140,30 +176,23 @@ def conversations(events: DataFrame, with_text: bool = True) -> DataFrame:
     def kernel(batches):
         done: list[tuple] = []
         held = 0
-        now: list = []
-        conv: object = kernel  # no conversation
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), kinds)], names)
 
-        for c, kind, role, text in rows(batches):
-            if c != conv:
-                if conv is not kernel:
-                    done.append(finished(conv, now))
-                    held += done[-1][5]
-                conv, now = c, []
+        for conv, log in groupby(rows(batches), itemgetter(0)):
+            done.append(finished(conv, (x[1:] for x in log)))
+            held += done[-1][5] if with_text else 0
             if len(done) >= 1000 or held > 4_000_000:
                 yield flush()
                 done, held = [], 0
-            now.append((kind, role, text))
-        if conv is not kernel:
-            done.append(finished(conv, now))
         if done:
             yield flush()
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long" + ", formatted string, loss_spans array<array<long>>" * with_text
-    dealt = events.select(F.col("conv_id").cast("long").alias("conv_id"), "seq", "kind", "role", "text").repartition("conv_id")
-    return map_arrow(dealt.sortWithinPartitions("conv_id", "seq", "role", "text").drop("seq"), kernel, schema)
+    plain = [F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]
+    dealt = events.select(F.col("conv_id").cast("long").alias("conv_id"), "seq", "kind", *plain).repartition("conv_id")
+    return map_arrow(dealt.sortWithinPartitions("conv_id", "seq", "role", "text", "kind").drop("seq"), kernel, schema)
 
 
 def message_events(turns: DataFrame) -> DataFrame:
@@ -175,7 +204,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     more = spark.sql(f"SELECT -1L AS conv_id, t AS seq, 'message' AS kind, r AS role, '{hard}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
     log = message_events(spark.read.parquet(f"{sf_dir}/conversations.parquet")).unionByName(more)
-    return conversations(log, with_text=False)
+    return conversations(log, with_text=False, edits=False)
 
 
 OP8_SQL = r"""

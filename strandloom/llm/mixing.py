@@ -7,8 +7,8 @@ taken come near the target.
 
 Defined results. Null or empty text: size 0, copies as for any other, 0 words taken. Null source: a source of its own,
 last in order. Null doc_id and repeated rows: rows of their own; equal rows share out their copies in any order. A
-source without words: target 0, no copies. Empty table: no rows. Other columns are carried along untouched; names that
-begin with _mx are ours.
+source without words: target 0, no copies. Empty table: no rows. Other columns are carried along untouched, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, gapless, written
+from .common import WORD_PATTERN, fresh, gapless, written
 
 #: Rows that a window sorts together, about.
 EACH = 20_000
@@ -60,27 +60,29 @@ def with_copies(rows: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     n = rows.count()
     digits = max(0, ceil(log(max(1, n / EACH), 16)))
     sizes = rows.groupBy(F.col(source_col).alias("source")).agg(F.sum(size_col).alias("source_size"))
-    targets = source_targets(sizes, weights, share, most).select(F.col("source").alias("_mx_source"), F.col("source_size").alias("_mx_source_size"), F.col("target").alias("_mx_target"))
+    group, size_class, key, sub, at, source = fresh(rows.columns, "group", "class", "key", "sub", "at", "of")
+    targets = source_targets(sizes, weights, share, most).select(F.col("source").alias(source), F.col("source_size").alias("_mx_source_size"), F.col("target").alias("_mx_target"))
     digits_of = F.col(size_col).cast("string")
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    keyed = rows.withColumns({"_mx_class": F.length(digits_of) * 100 + F.substring(digits_of, 1, 2).cast("int"), "_mx_key": key})
-    keyed = keyed.withColumn("_mx_sub", F.substring("_mx_key", 1, digits))
-    ranked = gapless(keyed.withColumn("_mx_group", F.col(source_col)), ["_mx_group"], ["_mx_class", "_mx_sub"], ["_mx_key", id_col], "_mx_at")
+    hashed = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    keyed = rows.withColumns({size_class: F.length(digits_of) * 100 + F.substring(digits_of, 1, 2).cast("int"), key: hashed, group: F.col(source_col)})
+    ranked = gapless(keyed.withColumn(sub, F.substring(key, 1, digits)), [group], [size_class, sub], [key, id_col], at)
     # One row per source: the join broadcasts it if Spark knows it to be small, and a source's rows may be split.
-    both = ranked.join(targets, F.col("_mx_group").eqNullSafe(F.col("_mx_source")))
+    both = ranked.join(targets, F.col(group).eqNullSafe(F.col(source)))
     expected = F.when(F.col("_mx_source_size") > 0, F.col("_mx_target") / F.col("_mx_source_size")).otherwise(0.0)
     # 20 bits: the offset plus a whole number is exact
-    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_mx_group"), F.lit("")))), 1, 5), 16, 10).cast("long") / F.lit(1 << 20)
-    crossed = F.floor(start + expected * (F.col("_mx_at") + 1)) - F.floor(start + expected * F.col("_mx_at"))
+    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(group), F.lit("")))), 1, 5), 16, 10).cast("long") / F.lit(1 << 20)
+    crossed = F.floor(start + expected * (F.col(at) + 1)) - F.floor(start + expected * F.col(at))
     copies = F.least(crossed, F.lit(most)).cast("long")
-    return both.withColumn("_mx_copies", copies).drop("_mx_class", "_mx_key", "_mx_sub", "_mx_at", "_mx_group", "_mx_source")
+    return both.withColumn("_mx_copies", copies).drop(size_class, key, sub, at, group, source)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken, with the same columns."""
-    sized = written(docs.withColumn("_mx_size", word_count(F.col(text_col))), "mix")
-    taken = with_copies(sized, id_col, source_col, "_mx_size", **how).filter("_mx_copies > 0")
-    return taken.withColumn("_mx_copy", F.explode(F.sequence(F.lit(1), F.col("_mx_copies")))).select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no name of theirs meets one of ours
+    own = dict(zip(docs.columns, names))
+    sized = written(docs.toDF(*names).withColumn("_mx_size", word_count(F.col(own[text_col]))), "mix")
+    taken = with_copies(sized, own[id_col], own[source_col], "_mx_size", **how).filter("_mx_copies > 0")
+    return taken.withColumn("_mx_copy", F.explode(F.sequence(F.lit(1), F.col("_mx_copies")))).select(*names).toDF(*docs.columns)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from .common import buckets_for, gapless, map_arrow, written
 from .vocab import WORDWISE, by_bytes, encode, fold_texts
 
-CAPACITY, END_ID, BATCH_CHARS = 4096, 1, 1 << 20
+CAPACITY, END_ID, BATCH_BYTES = 4096, 1, 1 << 20
 
 
 def packed_ids(texts: list[str | None], path: str) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text."""
     out: list[bytes] = []
-    for batch in by_bytes(texts, BATCH_CHARS):
+    for batch in by_bytes(texts, BATCH_BYTES):
         out += fold_texts(batch, path, "ids") if path.endswith(WORDWISE) else [np.array(x, "<u4").tobytes() for x in encode(path, batch)]
     return out
 
@@ -143,8 +143,11 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {length: n for length, n in parts.groupBy("length").count().collect()}  # at most `capacity` rows
     if not counts:
         return parts.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    sub = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets_for(max(counts.values()), 20_000)))
-    ranked = gapless(parts.withColumn("_sub", sub), ["length"], ["_sub"], ["doc_id", "piece", "ids_crc32"], "rank").drop("_sub")
+    # in order of a hash, whose first bits are the bucket: the ranks do not depend on how many buckets there are
+    key = F.shiftrightunsigned(F.xxhash64("doc_id", "piece", "ids_crc32"), 1)
+    bits = buckets_for(parts, sum(counts.values())).bit_length() - 1
+    keyed = parts.withColumns({"_key": key, "_sub": F.shiftrightunsigned(key, 63 - bits) if bits else F.lit(0).cast("long")})
+    ranked = gapless(keyed, ["length"], ["_sub"], ["_key", "doc_id", "piece", "ids_crc32"], "rank").drop("_key", "_sub")
     return place(ranked, plan(counts, capacity)).drop("rank")
 
 

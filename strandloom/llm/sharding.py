@@ -15,23 +15,25 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, gapless, written
+from .common import buckets_for, fresh, gapless, written
 
 SLOTS, SHARDS, OVERHEAD = 4096, 40, 16
 
 
 def slotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot of every row."""
+    """doc_id, size, text_crc32, virtual_slot, salt of every row. To be written before use: the salt differs from run to run."""
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    # salt: splits rows that repeat in mass when places are given; any of them may take any of their places
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)).cast("int")
+    return rows.withColumns({"virtual_slot": F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"), "salt": salt})
 
 
 def first_map(slots: int = SLOTS, shards: int = SHARDS) -> list[int]:
     return [slot % shards for slot in range(slots)]
 
 
-def rebalanced(shard_of: list[int], load: list[int], shards: int, most_edits: int = 20_000) -> list[int]:
+def rebalanced(shard_of: list[int], load: list[int], shards: int) -> list[int]:
     """The next version of a map: moves or swaps slots between the heaviest and the lightest shard while that helps."""
     shard_of = list(shard_of)
     total = [0] * shards
@@ -49,7 +51,7 @@ def rebalanced(shard_of: list[int], load: list[int], shards: int, most_edits: in
         total[source] -= item[0]
         total[to] += item[0]
 
-    for _ in range(most_edits):
+    while True:  # each edit lowers the sum of the squares of the shards' bytes, so this ends
         heavy, light = max(range(shards), key=total.__getitem__), min(range(shards), key=total.__getitem__)
         gap = total[heavy] - total[light]
         best = None
@@ -98,9 +100,9 @@ def placed(rows: DataFrame, stored: DataFrame, n: int) -> DataFrame:
     """rows (a written table) with shard, by the last version of the stored map, and slot, the place from 0 in its shard."""
     last = stored.agg(F.max("version")).first()[0]
     now = stored.filter(F.col("version") == last).select(F.col("slot").alias("virtual_slot"), "shard")
-    sub = F.pmod(F.xxhash64("text_crc32", "doc_id", F.lit(7)), F.lit(buckets_for(n // SLOTS)))
+    sub = F.pmod(F.xxhash64("text_crc32", "doc_id", "salt"), F.lit(max(1, buckets_for(rows, n) // 32)))
     dealt = rows.join(F.broadcast(now), "virtual_slot").withColumn("_sub", sub)  # one row per virtual slot
-    return gapless(dealt, ["shard"], ["virtual_slot", "_sub"], ["doc_id", "text_crc32", "size"], "slot").drop("_sub")
+    return gapless(dealt, ["shard"], ["virtual_slot", "_sub"], ["doc_id", "text_crc32", "size"], "slot").drop("_sub", "salt")
 
 
 def write_shards(docs: DataFrame, stored: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -109,7 +111,9 @@ def write_shards(docs: DataFrame, stored: DataFrame, path: str, id_col: str = "d
     now = stored.filter(F.col("version") == last).select(F.col("slot").alias("_slot"), F.col("shard").alias("_shard"))
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     slot = F.pmod(F.xxhash64(id_col, crc), F.lit(SLOTS)).cast("int")
-    docs.withColumn("_slot", slot).join(F.broadcast(now), "_slot").repartition("_shard", "_slot").drop("_slot").write.partitionBy("_shard").parquet(path)
+    names = fresh(docs.columns, "_slot", "_shard")
+    dealt = docs.withColumn(names[0], slot).join(F.broadcast(now.toDF(*names)), names[0])
+    dealt.repartition(names[1], names[0]).drop(names[0]).write.partitionBy(names[1]).parquet(path)
 
 
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

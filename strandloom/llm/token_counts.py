@@ -5,7 +5,7 @@ of a batch are encoded in one call. Nothing but a length per document leaves the
 
 Defined results. Null or empty text: 0 bytes, 0 tokens. A text of white space: its bytes, 0 tokens (for vocabularies
 that drop white space). Repeated rows: one row each. Null doc_id: kept as null. Empty table: no rows. Other columns
-of the input are not read.
+of the input are not read. A word longer than a piece is never cut, so a worker holds the longest word of its texts.
 """
 
 from __future__ import annotations
@@ -14,16 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_arrow
-from .vocab import WORDWISE, by_bytes, encode, fold_texts
+from .vocab import WORDWISE, by_bytes, encode, fold_texts, n_bytes
 
-#: Characters of a batch that goes to the encoder at once, and of the longest piece of a text.
-BATCH_CHARS, PIECE_CHARS = 1 << 20, 1 << 18
+#: Bytes of a batch that goes to the encoder at once; characters of the longest piece of a text.
+BATCH_BYTES, PIECE_CHARS = 1 << 20, 1 << 18
 
 
 def lengths(texts: list[str | None], path: str) -> list[int]:
     """Tokens of each text."""
     out: list[int] = []
-    for batch in by_bytes(texts, BATCH_CHARS):
+    for batch in by_bytes(texts, BATCH_BYTES):
         if path.endswith(WORDWISE):
             out += fold_texts(batch, path, "length", PIECE_CHARS)
         else:  # such a vocabulary counts white space too, so texts go whole
@@ -38,7 +38,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             texts = batch.column(1).to_pylist()
             tokens = lengths(texts, path)
-            sizes = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
+            sizes = list(map(n_bytes, texts))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],

@@ -132,16 +132,22 @@ def memo(path: str, kind: str, plain: bool) -> Memo:
     return Memo(path, kind, plain)
 
 
+def n_bytes(text: str | None) -> int:
+    """Bytes of a text in UTF-8."""
+    return 0 if not text else len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 def by_bytes(texts: Iterable[str | None], most: int) -> Iterator[list[str]]:
-    """Batches of at most `most` characters or one text; null is an empty text."""
+    """Batches of at most `most` bytes or one text; null is an empty text."""
     batch, held = [], 0
     for text in texts:
         text = text or ""
-        if batch and held + len(text) > most:
+        size = n_bytes(text)
+        if batch and held + size > most:
             yield batch
             batch, held = [], 0
         batch.append(text)
-        held += len(text)
+        held += size
     if batch:
         yield batch
 

@@ -110,12 +110,22 @@ def test_maps_change_by_edits():
     assert sum(a != b for a, b in zip(first, second)) < 400
 
 
+def test_rows_that_repeat_in_mass_have_places_of_their_own(table):
+    docs = table([(1, "same")] * 900 + [(i, f"t{i}") for i in range(2, 500)])
+    out = shards(docs, 4).collect()
+    slots = {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and len({(r.shard, r.virtual_slot) for r in out if r.doc_id == 1}) == 1
+
+
 def test_shard_odd_rows_and_files(odd, clash, none, tmp_path, spark):
     for docs in (odd, clash):
         assert shards(docs).count() == len(ODD)
     assert shards(none).count() == 0
-    H.write_shards(odd, H.map_table(spark, [H.first_map()]), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == len(ODD)
+    for i, docs in enumerate((odd, odd.withColumn("_slot", F.lit(1)).withColumn("_SHARD", F.lit(2)))):
+        H.write_shards(docs, H.map_table(spark, [H.first_map()]), str(tmp_path / str(i)))
+        assert spark.read.parquet(str(tmp_path / str(i))).count() == len(ODD)
 
 
 TEXT = st.lists(st.sampled_from([*"ab \n\\[]</>=é", "[INST]", "[/INST]", "</s>", "[SYS]", "[/ROLE]", "INST]", "/s>"]), max_size=25).map("".join)
@@ -142,6 +152,26 @@ def test_fold_events():
         C.fold([("nod", "user", "x")])
 
 
+MESSAGES = st.lists(st.tuples(st.sampled_from(["message", "delta", "delta", "end"]), st.sampled_from(["user", "assistant", None]), st.one_of(st.none(), TEXT)), max_size=12)
+
+
+@settings(max_examples=200, deadline=None)
+@given(MESSAGES)
+def test_streamed_messages_are_the_folded_ones(log):
+    assert list(C.streamed(log)) == C.fold(log)
+    with pytest.raises(ValueError):
+        list(C.streamed([*log, ("edit", "user", "x")]))
+
+
+def test_rows_of_one_turn_have_an_order(spark):
+    """The order of the query's SQL: null as empty, then by text; one digest whether a log may be edited or not."""
+    rows = [(1, 0, None, "b"), (1, 0, "", "z"), (1, 0, None, "a"), (1, None, "user", "first"), (2, 1, "assistant", None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("conv_id_", F.lit(1)).withColumn("seq", F.lit(0))
+    want = {1: hashlib.sha256(b"user\nfirst\n\na\n\nb\n\nz\n").hexdigest(), 2: hashlib.sha256(b"assistant\n\n").hexdigest()}
+    for how in ({}, {"with_text": False}, {"with_text": False, "edits": False}):
+        assert {r.conv_id: r.turns_sha256 for r in C.conversations(C.message_events(turns), **how).collect()} == want
+
+
 def test_conversations(spark):
     rows = [(1, 1, "assistant", "</s>B"), (1, 0, "user", "a"), (2, 0, None, None), (None, 0, "user", "n"), (3, 0, "user", "x"), (3, 0, "user", "x"), (4, None, "user", "y" * 300000), (4, 5, "assistant", "z")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
