@@ -1,15 +1,18 @@
 """Toxicity by maximum-scoring segments.
 
 A bounded sample of labelled documents gives each word a log-odds ratio of toxic against clean text, smoothed by a
-Dirichlet prior that follows the word's overall frequency; words whose ratio is significant carry it as their score, any
-other word costs a little. One linear scan of a text finds every maximal segment of positive score. The segments'
-scores follow an extreme-value law in clean text: with its parameter lambda, solved from the scores, a segment has an
-expected number of equals by chance in a text of this length, and the significant ones are aggregated. A logistic curve
-over the aggregate, fitted on the same sample, gives the score.
-
-The sample is bounded by FIT_ROWS labelled rows in the order of a hash, the model by MODEL_WORDS words; every whole text
-is scored. On both sides a word counts once per distinct text that has it, so neither copies of a toxic document nor a
-word that one document repeats become significant, and a word of a set phrase counts as any other.
+Dirichlet prior that follows the word's overall frequency and shrunk towards zero by some standard errors; what is left,
+less a small cost, is the word's score, and a word never met costs the same. One linear scan of a text finds every maximal
+segment of positive score. The best segment of a clean text follows an extreme-value law: its parameter lambda is solved from
+the scores of clean words, K is fitted to the best segments of the sample's clean texts, and both give each segment
+the number of equals to expect by chance in a text of this length. The significant ones are aggregated. A logistic curve
+over the aggregate, fitted on texts of the sample that the words' scores were not taken from (by folds), gives the score.
+
+The sample is bounded by FIT_ROWS labelled rows in the order of a hash; every whole text is scored. On both sides a word
+counts once per text that has it, and texts with the same least hash of their shingles, as copies and most near copies have,
+count as one: neither copies of a toxic document nor a word that one document repeats become significant, and a
+word of a set phrase counts as any other. Scores are whole hundredths and sums are made in a fixed order, so the result does
+not depend on how the table is dealt out.
 
 Defined results. Null or empty text: the score of a text without toxic words. Null doc_id: scored, not held out. A doc_id
 with several labels is toxic if any is. No labels, or labels of one kind: every score is their share of toxic ones (0 if
@@ -18,9 +21,11 @@ none). Repeated rows: rows of their own. Empty table: no rows. Other columns are
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import repeat
 from math import exp, log, log1p
 
 import numpy as np
@@ -29,19 +34,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, written
+from .simhash import NEAR_WIDTH, shingle_hashes
 
-FIT_ROWS, MODEL_WORDS = 40_000, 50_000
-#: Share of the counts that the prior adds; least log-odds ratio and z value of a word; cost of any other word; chance level.
-PRIOR, LEAST_RATIO, LEAST_Z, COST, CHANCE = 0.02, 3.0, 2.0, 0.25, 1.0
+FIT_ROWS, FOLDS = 40_000, 2
+#: Share of the counts that the prior adds; standard errors that a ratio is shrunk by; cost of a word; chance level.
+PRIOR, SHRINK, COST, CHANCE = 0.02, 3.0, 0.25, 1.0
 THRESHOLD = 0.3
 _TOKEN = re.compile(r"\w+")
-_K = 0.3  # the law's second parameter, as is usual for scores of this kind
+_UNIT = 100  # scores are kept in hundredths
 
 
 @dataclass(frozen=True)
 class Model:
-    scores: dict[str, float] = field(default_factory=dict)
+    """scores: of words, in hundredths, their cost taken off. lam, k: of the extreme-value law. curve: the logistic curve."""
+
+    scores: dict[str, int] = field(default_factory=dict)
     lam: float = 1.0
+    k: float = 0.01
     curve: tuple[float, float, float] = (-20.0, 0.0, 0.0)
 
 
@@ -49,60 +58,64 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall(text.lower()) if text else []
 
 
-def segments(hits: list[tuple[int, float]], cost: float = COST) -> list[tuple[int, int, float]]:
+def segments(scores: np.ndarray) -> list[tuple[int, int, int]]:
     """All maximal segments (first, last, score) of positive score, by the linear-time rule of Ruzzo and Tompa.
 
-    hits: (position, score) of the scoring words in order; every position between costs `cost`.
+    A stacked segment links to the nearest before it that begins at a lower sum, so a search passes over each only once; where
+    none begins lower, all before are final.
     """
-    stack: list[list[float]] = []  # first, last, sum before, sum after
-    total, last = 0.0, -1
-    for at, score in hits:
-        total -= cost * (at - last - 1)
-        last = at
-        if score <= 0:
-            total += score
-            continue
-        new = [at, at, total, total + score]
-        total += score
+    ups = np.flatnonzero(scores > 0)
+    sums = np.concatenate([[0], np.cumsum(scores, dtype=np.int64)])
+    out: list[tuple[int, int, int]] = []
+    stack: list[tuple[int, int, int, int, int]] = []  # first, last, sum before, sum after, link
+    for at, before, after in zip(ups.tolist(), sums[ups].tolist(), sums[ups + 1].tolist()):
+        first = at
         while True:
             j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= new[3]:
-                stack.append(new)
+            while j >= 0 and stack[j][2] >= before:
+                j = stack[j][4]
+            if j < 0:
+                out += [(x[0], x[1], x[3] - x[2]) for x in stack]
+                stack = [(first, at, before, after, -1)]
+                break
+            if stack[j][3] >= after:
+                stack.append((first, at, before, after, j))
                 break
-            new = [stack[j][0], new[1], stack[j][2], new[3]]
+            first, before = stack[j][0], stack[j][2]
             del stack[j:]
-    return [(int(a), int(b), after - before) for a, b, before, after in stack]
+    return out + [(x[0], x[1], x[3] - x[2]) for x in stack]
+
+
+def word_scores(text: str | None, scores: dict[str, int]) -> np.ndarray:
+    words = tokens(text)
+    return np.fromiter(map(scores.get, words, repeat(-int(_UNIT * COST))), np.int64, len(words))
+
+
+def passages(values: np.ndarray, model: Model) -> list[tuple[int, int, float, float]]:
+    """(first word, last word, score, score in the law's own unit: the log of one over the expected number by chance)."""
+    chance = log(model.k * len(values) + 1e-9)
+    return [(a, b, s / _UNIT, model.lam * s / _UNIT - chance) for a, b, s in segments(values)]
 
 
 def aggregate(text: str | None, model: Model) -> tuple[float, float, int]:
     """Raw score of all segments (log scale), the sum of the significant ones' normalised scores (log scale), their number."""
-    words = tokens(text)
-    get = model.scores.get
-    hits = [(i, s) for i, s in enumerate(map(get, words)) if s is not None]
-    if not hits:
+    values = word_scores(text, model.scores)
+    if not len(values) or values.max() <= 0:
         return 0.0, 0.0, 0
-    found = segments(hits)
-    chance = log(_K * len(words) + 1)
-    normal = [model.lam * s - chance for _, _, s in found]
-    good = [x for x in normal if exp(min(50.0, -x)) < CHANCE]
-    return log1p(sum(s for _, _, s in found)), log1p(sum(good)), len(good)
+    found = passages(values, model)
+    good = [x for *_, x in found if x > -log(CHANCE)]
+    return log1p(sum(s for _, _, s, _ in found)), log1p(sum(good)), len(good)
 
 
 def toxic_passages(text: str | None, model: Model) -> list[tuple[int, int, float]]:
     """(first word, last word, expected number by chance) of every significant passage."""
-    words = tokens(text)
-    hits = [(i, s) for i, s in enumerate(map(model.scores.get, words)) if s is not None]
-    chance = log(_K * len(words) + 1)
-    every = [(a, b, exp(chance - model.lam * s)) for a, b, s in segments(hits)]
-    return [x for x in every if x[2] < CHANCE]
+    values = word_scores(text, model.scores)
+    return [(a, b, exp(-x)) for a, b, _, x in passages(values, model) if x > -log(CHANCE)] if len(values) else []
 
 
-def solve_lambda(share: dict[float, float], cost: float) -> float:
+def solve_lambda(share: dict[float, float]) -> float:
     """The positive root of E[exp(lambda * score)] = 1 for clean text, where share has the probability of each score."""
-    rest = max(0.0, 1 - sum(share.values()))
-    gain = lambda x: sum(p * exp(min(700.0, x * s)) for s, p in share.items()) + rest * exp(-x * cost) - 1
+    gain = lambda x: sum(p * exp(min(700.0, x * s)) for s, p in sorted(share.items())) - 1
     low, high = 1e-6, 1.0
     while gain(high) < 0 and high < 64:
         low, high = high, high * 2
@@ -112,6 +125,12 @@ def solve_lambda(share: dict[float, float], cost: float) -> float:
     return high
 
 
+def fit_k(best: dict[tuple[int, float], int], lam: float) -> float:
+    """K by maximum likelihood: best counts texts by (words, score of the best segment), each an expected number K n exp(-lambda s)."""
+    whole = sum(times * n * exp(-lam * s) for (n, s), times in sorted(best.items()))
+    return min(1.0, max(1e-6, sum(best.values()) / whole)) if whole else 0.01
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
     """Intercept and two weights by Newton's method."""
     design = np.column_stack([np.ones(len(x)), x])
@@ -125,51 +144,108 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(w[0]), float(w[1]), float(w[2])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", most: int = FIT_ROWS) -> Model:
-    """The model from docs (doc_id, text) and labels (doc_id, toxic): at most `most` labels, by hash."""
+def fit_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = FIT_ROWS) -> DataFrame:
+    """text, toxic, fold of the labelled texts that count: one for each least shingle hash and label. A written table."""
     chosen = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = written(chosen, "fit-labels")
-    sample = docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `most` rows
-    sample = written(sample.select("text", (F.col("toxic") > 0).alias("toxic")).distinct(), "fit-texts")
+    sample = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `most` labels
+
+    def kernel(batches):
+        for batch in batches:
+            keys, least = [], []
+            for t in batch.column(0).to_pylist():
+                hashes = shingle_hashes(t, NEAR_WIDTH)
+                least.append(int(hashes.min()) - (1 << 63) if len(hashes) else 0)
+                keys.append(hashlib.md5((t or "").encode("utf-8", "surrogatepass")).hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string()), pa.array(least, pa.int64())], ["text", "toxic", "text_key", "least"])
+
+    rows = written(map_arrow(sample.select("text", (F.col("toxic") > 0).alias("toxic")), kernel, "text string, toxic boolean, text_key string, least long"), "fit-rows")
+    picked = written(rows.groupBy("least", "toxic").agg(F.min("text_key").alias("text_key")), "fit-picked")  # at most `most` rows
+    once = rows.join(F.broadcast(picked), ["least", "toxic", "text_key"]).dropDuplicates(["text_key", "toxic"])
+    return written(once.select("text", "toxic", F.pmod("least", F.lit(FOLDS)).cast("int").alias("fold")), "fit-texts", rows)
+
+
+def word_counts(sample: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """word, fold, y0, y1: in how many clean and toxic texts of each fold of the sample each word is."""
 
     def holders(batches):
         for batch in batches:
-            n: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n[bool(toxic)].update(set(tokens(text)))
-            words = list(n[0].keys() | n[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([c[w] for w in words], pa.int64()) for c in n]], ["word", "y0", "y1"])
-
-    counts = map_arrow(sample, holders, "word string, y0 long, y1 long").groupBy("word").agg(F.sum("y0").alias("y0"), F.sum("y1").alias("y1"))
-    counts = written(counts, "fit-words")
+            n: Counter = Counter()
+            for text, toxic, fold in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                n.update((w, fold, toxic) for w in set(tokens(text)))
+            keys = list({k[:2] for k in n})
+            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), *[pa.array([n[(*k, toxic)] for k in keys], pa.int64()) for toxic in (False, True)]]
+            yield pa.RecordBatch.from_arrays(columns, ["word", "fold", "y0", "y1"])
+
+    return map_arrow(sample, holders, "word string, fold int, y0 long, y1 long").groupBy("word", "fold").agg(F.sum("y0").alias("y0"), F.sum("y1").alias("y1"))
+
+
+def scores_of(counts: DataFrame) -> dict[str, int]:
+    """The shrunk log-odds of words, less their cost, from (word, y0, y1)."""
     n0, n1 = (x or 0 for x in counts.agg(F.sum("y0"), F.sum("y1")).first())
-    n_toxic, n_all = (x or 0 for x in sample.agg(F.sum(F.col("toxic").cast("int")), F.count(F.lit(1))).first())
-    if not n_toxic or n_toxic == n_all:
-        share = n_toxic / n_all if n_all else 0.0
-        return Model(curve=(log(share / (1 - share)) if 0 < share < 1 else 20.0 if share else -20.0, 0.0, 0.0))
+    if not n0 or not n1:
+        return {}
     prior = PRIOR * (F.col("y0") + F.col("y1"))
     whole = PRIOR * (n0 + n1)
     a, b = F.col("y1") + prior, F.col("y0") + prior
     ratio = F.log(a / (n1 + whole - a)) - F.log(b / (n0 + whole - b))
-    z = ratio / F.sqrt(1 / a + 1 / b)
-    best = counts.filter("y1 > 0").select("word", ratio.alias("ratio"), z.alias("z"), (b / (n0 + whole)).alias("share"))
-    rows = best.filter(f"z >= {LEAST_Z} AND ratio >= {LEAST_RATIO}").orderBy(F.desc("z"), "word").limit(MODEL_WORDS).collect()  # bounded by MODEL_WORDS
-    share: Counter = Counter()
-    for r in rows:
-        share[round(r["ratio"], 2)] += r["share"]
-    model = Model({r["word"]: r["ratio"] for r in rows}, solve_lambda(share, COST) if rows else 1.0)
+    shrunk = F.signum(ratio) * F.greatest(F.abs(ratio) - SHRINK * F.sqrt(1 / a + 1 / b), F.lit(0.0))
+    score = F.round(_UNIT * (shrunk - COST)).cast("long")
+    # words of the sample's bounded rows; those whose ratio is shrunk to nothing score as a word never met
+    return dict(counts.select("word", score.alias("score")).filter(F.col("score") != -int(_UNIT * COST)).orderBy("word").collect())
+
+
+def profiles(sample: DataFrame, models: list[dict[str, int]]) -> list[Model]:
+    """Each model with lambda and K, from the clean texts of the fold that it was not taken from; the last is from all."""
+
+    def profile(batches):
+        n: Counter = Counter()
+        for batch in batches:
+            for text, fold in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                for i, scores in enumerate(models):
+                    if i in (fold, FOLDS) and len(values := word_scores(text, scores)):
+                        n.update({(i, 0, v, 0): times for v, times in zip(*(x.tolist() for x in np.unique(values, return_counts=True)))})
+                        n[i, 1, len(values), max((s for *_, s in segments(values)), default=0)] += 1
+        columns = [*zip(*n)] if n else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*columns, n.values())], ["model", "kind", "a", "b", "n"])
+
+    # a row per score, and one per number of words and best segment: no more than the sample's bounded rows
+    clean = map_arrow(sample.filter("NOT toxic"), profile, "model long, kind long, a long, b long, n long").groupBy("model", "kind", "a", "b").agg(F.sum("n").alias("n")).collect()
+    out = []
+    for i, scores in enumerate(models):
+        share = {r["a"] / _UNIT: r["n"] for r in clean if (r["model"], r["kind"]) == (i, 0)}
+        best = {(r["a"], r["b"] / _UNIT): r["n"] for r in clean if (r["model"], r["kind"]) == (i, 1)}
+        lam = solve_lambda({s: n / sum(share.values()) for s, n in share.items()}) if any(s > 0 for s in share) else 1.0
+        out.append(Model(scores, lam, fit_k(best, lam)))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = FIT_ROWS) -> Model:
+    """The model from docs and labels (doc_id, toxic): at most `most` labels, by hash.
+
+    The curve is fitted to texts that the words' scores were not taken from: scores of each fold's other texts, so that
+    words which are toxic in the sample by chance count for what they are worth elsewhere.
+    """
+    sample = fit_sample(docs, labels, id_col, text_col, most)
+    n_toxic, n_all = (x or 0 for x in sample.agg(F.sum(F.col("toxic").cast("int")), F.count(F.lit(1))).first())
+    if not n_toxic or n_toxic == n_all:
+        share = n_toxic / n_all if n_all else 0.0
+        return Model(curve=(log(share / (1 - share)) if 0 < share < 1 else 20.0 if share else -20.0, 0.0, 0.0))
+    counts = written(word_counts(sample), "fit-words")
+    sums = lambda rows: rows.groupBy("word").agg(F.sum("y0").alias("y0"), F.sum("y1").alias("y1"))
+    *parts, model = profiles(sample, [scores_of(sums(counts.filter(F.col("fold") != i))) for i in range(FOLDS)] + [scores_of(sums(counts))])
 
     def points(batches):
         for batch in batches:
-            got = [aggregate(t, model)[:2] for t in batch.column(0).to_pylist()]
+            got = [aggregate(t, parts[fold])[:2] for t, fold in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([round(x, 2) for x, _ in got]), pa.array([round(x, 2) for _, x in got]), batch.column(1)], ["a", "b", "toxic"])
 
     # a row per pair of rounded values, fewer than the sample's bounded rows
-    seen = map_arrow(sample, points, "a double, b double, toxic boolean").groupBy("a", "b", "toxic").count().collect()
+    seen = sorted(map_arrow(sample, points, "a double, b double, toxic boolean").groupBy("a", "b", "toxic").count().collect())
     times = np.array([r["count"] for r in seen])
     x = np.repeat(np.array([[r["a"], r["b"]] for r in seen]), times, axis=0)
     y = np.repeat(np.array([float(r["toxic"]) for r in seen]), times)
-    return Model(model.scores, model.lam, logistic(x, y))
+    return Model(model.scores, model.lam, model.k, logistic(x, y))
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

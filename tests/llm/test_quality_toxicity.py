@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,6 +16,7 @@ from strandloom.llm import fertility as Q
 from strandloom.llm import perplexity as P
 from strandloom.llm import toxicity as T
 from strandloom.llm import vocab as V
+from strandloom.llm.common import written
 
 from .conftest import ODD
 
@@ -23,29 +25,69 @@ SF = "/root/testdata/sf0.01"
 
 def brute_segments(scores):
     """All maximal segments: the best one, then those left and right of it."""
-    if not scores:
-        return []
-    best = max(((sum(scores[i:j]), -(j - i), -i, i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)))
-    if best[0] <= 1e-9:
+    best = max(((sum(scores[i:j]), -(j - i), -i, i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0,))
+    if best[0] <= 0:
         return []
     i, j = best[3], best[4]
     return brute_segments(scores[:i]) + [(i, j - 1, best[0])] + [(a + j, b + j, s) for a, b, s in brute_segments(scores[j:])]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from([None, None, 1.0, 2.5, 4.25, -1.5]), max_size=18))
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([-50, -50, -200, 100, 250, 425]), max_size=18))
 def test_segments(scores):
-    hits = [(i, s) for i, s in enumerate(scores) if s is not None]
-    got = T.segments(hits, 0.5)
-    want = brute_segments([-0.5 if s is None else s for s in scores])
-    assert sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in want))
-    assert [round(s, 6) for *_, s in got] == [round(s, 6) for *_, s in want]
+    got = T.segments(np.array(scores, np.int64))
+    assert got == brute_segments(scores)
+
 
+@pytest.mark.parametrize("unit", [[300, *[-5] * 49], [300, -100], [100, -101], [100, -99], [300, -25, -200, 50, -300, 10]])
+def test_segments_take_linear_time(unit):
+    scores = np.tile(unit, 100_000)
+    began = time.perf_counter()
+    T.segments(scores)
+    assert time.perf_counter() - began < 1.5 * len([x for x in unit if x > 0])
 
-def test_lambda_solves_its_equation():
-    share = {4.0: 0.01, 2.0: 0.02}
-    lam = T.solve_lambda(share, 0.25)
+
+def test_lambda_and_k_solve_their_equations():
+    lam = T.solve_lambda({4.0: 0.01, 2.0: 0.02, -0.25: 0.97})
     assert 0.01 * math.exp(4 * lam) + 0.02 * math.exp(2 * lam) + 0.97 * math.exp(-0.25 * lam) == pytest.approx(1, abs=1e-6)
+    rng = np.random.default_rng(1)
+    best = Counter((n, float(np.log(0.05 * n / e) / 1.5)) for n, e in zip(rng.integers(50, 900, 4000).tolist(), rng.exponential(size=4000)))
+    assert T.fit_k(best, 1.5) == pytest.approx(0.05, rel=0.05)
+
+
+def test_counts_and_scores_by_their_definition(spark, table):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdefgh", k=4)) for _ in range(60)]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.randrange(5, 30)) + ["vile"] * (i % 4 == 0) + ["nice"] * (i % 3 == 0))) for i in range(300)] + [(900, None), (901, "")]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    sample = T.fit_sample(table(rows), labels)
+    texts = [(r.text, r.toxic) for r in sample.collect()]
+    n = [Counter(w for t, toxic in texts if toxic == x for w in set(T.tokens(t))) for x in (False, True)]
+    counts = T.word_counts(sample).groupBy("word").agg({"y0": "sum", "y1": "sum"}).toDF("word", "y0", "y1")
+    assert {r.word: (r.y0, r.y1) for r in counts.collect()} == {w: (n[0][w], n[1][w]) for w in n[0] | n[1]}
+    all_ = [sum(c.values()) for c in n]
+    want = {}
+    for w in n[0] | n[1]:
+        a, b = (n[i][w] + 0.02 * (n[0][w] + n[1][w]) for i in (1, 0))
+        ratio = math.log(a / (all_[1] + 0.02 * sum(all_) - a)) - math.log(b / (all_[0] + 0.02 * sum(all_) - b))
+        score = round(100 * (math.copysign(max(0.0, abs(ratio) - 3 * math.sqrt(1 / a + 1 / b)), ratio) - 0.25))
+        if score != -25:
+            want[w] = score
+    assert T.scores_of(counts) == want and want["vile"] > 0
+
+
+def test_toxicity_does_not_depend_on_the_partitions(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    out = []
+    for parts in (1, 7, 32):
+        docs.repartition(parts).write.parquet(str(tmp_path / str(parts)))
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        dealt = spark.read.parquet(str(tmp_path / str(parts)))
+        model = T.fit(dealt, labels)
+        out.append((model, {r.doc_id: (r.score, r.n_passages) for r in T.score_texts(dealt, model).collect()}))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert out[0] == out[1] == out[2] and any(x > 0 for x in out[0][0].scores.values())
 
 
 def test_held_out_accuracy(spark):
@@ -54,7 +96,7 @@ def test_held_out_accuracy(spark):
     assert len(out) == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for i, r in out.items())
     held = [(out[i].predicted, t) for i, t in labels.items() if out[i].held_out]
-    assert sum(p and not t for p, t in held) == 0
+    assert sum(p and not t for p, t in held) <= 0.02 * sum(1 - t for _, t in held)
     assert sum(p and t for p, t in held) >= 0.6 * sum(t for _, t in held)
 
 
@@ -67,7 +109,7 @@ def test_toxicity_of_odd_rows(odd, clash, none, spark):
     empty = T.fit(odd, labels.limit(0))
     assert {r.score < 1e-6 for r in T.score_texts(odd, empty).collect()} == {True}
     assert T.score_texts(none, empty).count() == 0
-    model = T.Model({"idiot": 6.0}, 1.0, (-4.0, 2.0, 1.0))
+    model = T.Model({"idiot": 600}, 1.0, 0.01, (-4.0, 2.0, 1.0))
     assert T.toxic_passages("x " * 50 + "idiot fool idiot " + "y " * 50, model)[0][:2] == (50, 52)
 
 
@@ -135,6 +177,8 @@ class BruteModel:
         counts = {order: Counter(g for t in texts for g in (P.padded(t, order)[i : i + order] for i in range(len(P.padded(t, order)) - order + 1)))}
         for k in range(order - 1, 0, -1):
             counts[k] = Counter(g[1:] for g in counts[k + 1])
+            plain = Counter(p[i : i + k] for p in (P.padded(t, order) for t in texts) for i in range(order - k, len(p) - k + 1))
+            counts[k] = Counter({g: plain[g] if g[0] == P.BEGIN else c for g, c in counts[k].items()})
         self.order, self.counts, self.d = order, counts, {}
         for k, c in counts.items():
             n = Counter(c.values())
@@ -162,35 +206,42 @@ class BruteModel:
         return ((n - self.cut(k, n) if n else 0) + free * self.p(gram[1:])) / sum(seen)
 
 
-@pytest.mark.parametrize("order", [2, 4])
-def test_kneser_ney_against_its_definition(spark, table, order):
+@pytest.mark.parametrize("order,hot,block", [(2, 0, 1 << 20), (4, 20, 50), (5, 10**6, 1 << 20), (5, 0, 50)])
+def test_kneser_ney_against_its_definition(spark, table, monkeypatch, order, hot, block):
     rnd = random.Random(7)
     words = ["the", "cat", "sat", "Mat", "é", "on."]
     good = [" ".join(rnd.choices(words, k=rnd.randrange(1, 30))) for _ in range(40)]
     rows = [(i, t) for i, t in enumerate(good)] + [(100, "zzz ### \U0001f600"), (101, ""), (102, "cat\x02sat\x03"), (103, None), (104, good[0])]
     docs = table(rows)
+    monkeypatch.setattr(P, "BLOCK_CHARS", block)
     model, unseen = P.train(docs.filter("doc_id < 40").select("text"), order)
     brute = BruteModel(good, order)
-    got = {r.doc_id: r for r in P.perplexities(docs.select("doc_id", "text", "lang"), model, unseen, order).collect()}
+    got = {r.doc_id: r for r in scored(docs, model, unseen, order, hot).collect()}
+    (grams, *_), whole = P.hot_grams(model, unseen, order, hot)
+    assert sum(len(g) == order for g in grams) <= hot and (len(whole) == order) == (hot > 10**5)
     for i, t in rows:
         pad = P.padded(t or "", order)
         logs = [math.log(brute.p(pad[j : j + order])) for j in range(len(pad) - order + 1)]
         if i in (101, 103):
             assert got[i].perplexity is None
         else:
-            assert got[i].perplexity == pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-9), i
+            assert got[i].perplexity == pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-6), i
     seen = {r.gram: r.p for r in model.filter("p IS NOT NULL").collect()}
     total = sum(seen[g] for g in seen if len(g) == 1) + unseen
     assert total == pytest.approx(1)
 
 
+def scored(docs, model, unseen, order, hot):
+    return P.perplexities(P.located(P.Located(docs), "doc_id", "text", "lang"), model, unseen, order, hot)
+
+
 def test_numbering_of_grams(monkeypatch):
     rnd = random.Random(1)
-    texts = [P.padded("".join(rnd.choices("abcé漢 ", k=rnd.randrange(0, 50)))) for _ in range(30)]
+    texts = [P.padded("".join(rnd.choices("abcé漢 ", k=rnd.randrange(0, 50))), 4) for _ in range(30)]
     want = Counter(t[i : i + 4] for t in texts for i in range(len(t) - 3))
     for cells in (1 << 24, 4):
         monkeypatch.setattr(P, "CELLS", cells)
-        grams, n = P.gram_counts(texts)
+        grams, n = P.gram_counts(texts, 4)
         assert dict(zip(grams, n.tolist())) == dict(want)
 
 
@@ -234,17 +285,73 @@ def test_junk_copies_do_not_move_the_limit(spark, tmp_path):
         assert sum(bad) <= 0.25 * len(bad) and sum(good) >= 0.99 * len(good)
 
 
-def test_left_out_scores(spark, table):
-    docs = table([(1, "the cat sat"), (2, "the dog ran"), (3, "the dog ran off")])
+@pytest.mark.parametrize("hot", [0, 10**6])
+def test_left_out_scores(spark, table, hot):
+    """A trusted text's n-grams that no other has count as never seen: by the definition, their lower order answers."""
+    rows = [(1, "the cat sat on the mat"), (2, "the dog ran"), (3, "the dog ran off"), (4, "the cat")]
+    docs = table(rows)
     model, unseen = P.train(docs.filter("doc_id < 3").select("text"), 3)
-    got = {r.doc_id: r for r in P.perplexities(docs.select("doc_id", "text", "lang"), model, unseen, 3).collect()}
-    assert got[1].left_out > got[1].perplexity and got[2].left_out > got[2].perplexity
+    brute = BruteModel([t for _, t in rows[:2]], 3)
+    for r in scored(docs, model, unseen, 3, hot).collect():
+        pad = P.padded(dict(rows)[r.doc_id], 3)
+        grams = [pad[i : i + 3] for i in range(len(pad) - 2)]
+        own = Counter(grams)
+        logs = []
+        for g in grams:
+            p = brute.p(g)
+            if brute.counts[3][g] == own[g]:
+                seen = brute.contexts[3][g[:-1]]
+                p = sum(brute.cut(3, x) for x in seen) / sum(seen) * brute.p(g[1:])
+            logs.append(math.log(p))
+        assert r.left_out == pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-6)
+        assert r.left_out > r.perplexity or r.doc_id > 3
     same = table([(1, "the cat sat"), (2, "the cat sat")])
     model, unseen = P.train(same.select("text"), 3)
-    for r in P.perplexities(same.select("doc_id", "text", "lang"), model, unseen, 3).collect():
+    for r in scored(same, model, unseen, 3, hot).collect():
         assert r.left_out == pytest.approx(r.perplexity)
 
 
+def weighted_quantile(pairs, q):
+    """As Spark's percentile with frequencies: each value stands so many times."""
+    pairs = sorted(pairs)
+    ends = np.cumsum([w for _, w in pairs])
+    at = q * (ends[-1] - 1)
+    low, high = (pairs[int(np.searchsorted(ends, f(at), side="right"))][0] for f in (math.floor, math.ceil))
+    return low + (high - low) * (at - math.floor(at))
+
+
+def test_kept_by_its_definition(spark):
+    rnd = random.Random(12)
+    rows = [(i, lang, f"k{i if i % 5 else i // 5 % 7}", rnd.randrange(20, 900), rnd.lognormvariate(1.2, 0.3), rnd.lognormvariate(1.4, 0.3)) for i in range(400) for lang in [rnd.choice(["a", "a", "b", None, ""])]]
+    rows = [(*r[:3], *[x for x in rows if x[2] == r[2]][0][3:], 0, r[0]) for r in rows]  # rows of one text are equal
+    rows.append((None, "a", "none", 5, None, None, 0, 999))
+    trusted = {i for i, lang, *_ in rows if i is not None and lang == "a" and i % 3 == 0} | {7, 14}
+    scores = spark.createDataFrame(rows, "doc_id long, lang string, text_key string, n_signs long, perplexity double, left_out double, at_file long, at_place long")
+    got = {r.at_place: r.kept for r in P.judged(written(scores, "t"), spark.createDataFrame([(i,) for i in sorted(trusted)], "doc_id long")).collect()}
+    for lang in {r[1] for r in rows}:
+        texts = {}
+        for i, x, key, n, p, left, *_ in rows:
+            if x == lang and p is not None:
+                t = texts.setdefault((key, n), [False, p, left])
+                t[0] |= i in trusted
+        logs = [(n, own, round(math.log(left if own else p), 4)) for (key, n), (own, p, left) in texts.items()]
+        others = max(1, sum(not own for _, own, _ in logs))
+
+        def weights(values):
+            bins = Counter()
+            for (n, own, _), v in zip(logs, values):
+                bins[v, own] += 1
+            return [(v, 10**6 * c if own else math.ceil(50 * 10**6 * c / others)) for (v, own), c in bins.items()]
+
+        middle = weighted_quantile(weights([x for *_, x in logs]), 0.5)
+        away = weights([round((x - middle) * math.sqrt(n), 3) for n, _, x in logs])
+        low, high = (weighted_quantile(away, q) for q in (0.25, 0.75))
+        limit = high + 6 * max(high - low, 0.5)
+        for i, x, key, n, p, left, _, at in rows:
+            if x == lang:
+                assert got[at] == (p is not None and (math.log(p) - middle) * math.sqrt(n) <= limit)
+
+
 def test_junk_copies_do_not_move_the_bands(spark, tmp_path):
     """A rejected junk text copied to over a third of the rows of English."""
     import public_tokenizers
@@ -287,7 +394,7 @@ def test_words_of_a_set_phrase_are_learned(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "t"))
     labels = spark.createDataFrame([(i, int(i < 100 or i >= 1000)) for i, _ in rows], "doc_id long, toxic int")
     model = T.fit(docs, labels)
-    assert {"worthless", "idiot"} <= set(model.scores) and "onlyhere" not in model.scores
+    assert min(model.scores[w] for w in ("worthless", "idiot")) > 0 and model.scores.get("onlyhere", -25) <= 0
     out = {r.doc_id: r for r in T.score_texts(docs, model).collect()}
     assert all(out[i].predicted == (i < 100 or i >= 1000) for i, _ in rows)
     assert all(out[i].n_passages for i in range(100))
