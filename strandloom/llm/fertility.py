@@ -3,10 +3,13 @@
 A public vocabulary splits every word of a text. Three measures follow: characters per token, the share of tokens that
 are single bytes because the vocabulary has nothing better, and the entropy of the tokens relative to the most that so
 many tokens can have. Each measure has a band per language, from all distinct texts of that language that pass the base
-rules, so copies do not move it: a document outside the band is rejected. Since the first two are means over a text's tokens, their distance from
-the language's median counts times the root of the number of tokens; entropy counts as what is left over a line in the
-logarithm of that number. The band reaches beyond the quartiles. Languages with few texts share a band per
-script, which is the one that most letters of a text are of.
+rules, so copies do not move it: a document outside the band is rejected. Since the first two are means over a text's tokens,
+their distance from the language's median counts times the root of the number of tokens; entropy counts as what is left over
+a line in the logarithm of that number. The band reaches beyond the quartiles.
+
+A language's band is drawn towards that of its script (the one that most letters of most of its texts are of): the script
+weighs as much as a few texts on the medians, and as some dozens on the quartiles, so it decides where there is hardly any
+text and matters the less the more there is. Quantiles are exact for rounded values.
 
 Every text is read once; the bands come from the table of measures, and one row per language goes back to the rows.
 
@@ -27,20 +30,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, map_arrow, written
+from .common import WHITE, join_checked, map_arrow, written
 from .vocab import WORDS, by_bytes, loaded, memo
 
 #: The signs that count as symbols.
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: A language has bands of its own with so many distinct texts.
-OWN_BAND = 200
+#: So many texts a language's script weighs as much as, on its medians and on its slope and quartiles.
+PULL_MIDDLE, PULL_SPREAD = 5, 50
 #: How many interquartile ranges a band reaches below the lower quartile and above the upper one. Few bytes and varied
 #: tokens are no fault, so those sides are open.
 REACH = {"chars_per_token": (4.0, 4.0), "byte_share": (inf, 4.0), "token_entropy": (2.5, inf)}
 MEASURES = tuple(REACH)
 #: The narrowest interquartile range of each distance: below it, spread is noise.
 NARROWEST = {"chars_per_token": 0.5, "byte_share": 0.25, "token_entropy": 0.02}
+#: Decimals that values and distances are rounded to before quantiles are taken.
+DIGITS, FAR_DIGITS = {"chars_per_token": 4, "byte_share": 5}, {"chars_per_token": 3, "byte_share": 3, "token_entropy": 4}
 
 
 def repeated_words(words: list[str]) -> int:
@@ -142,59 +147,84 @@ def once(rows: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["lang", "text_key"])
 
 
-def banded(rows: DataFrame, passed: DataFrame) -> DataFrame:
-    """rows with band: the language, where passed has enough texts of it, or else the script; a text without letters takes
-    the one most usual in its language.
-
-    Spark broadcasts the row per language while the written table is small, and splits hot languages otherwise.
-    """
-    key = F.coalesce("lang", F.lit(""))
-    langs = passed.groupBy(key.alias("_lang")).agg(F.count(F.lit(1)).alias("_n"), F.mode(F.when(F.col("script") != "", F.col("script"))).alias("_script"))
-    joined = rows.join(written(langs, "languages"), key == F.col("_lang"), "left")
-    pool = F.concat(F.lit("*"), F.coalesce(F.when(F.col("script") != "", F.col("script")), "_script", F.lit("")))
-    return joined.withColumn("band", F.when(F.col("_n") >= OWN_BAND, F.concat(F.lit("="), key)).otherwise(pool)).select(*rows.columns, "band")
+def quantiles(rows: DataFrame, value, at: list[float]) -> DataFrame:
+    """band, q: exact quantiles of a rounded value, from how often each stands there."""
+    return rows.groupBy("band", value.alias("value")).agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.percentile("value", at, F.col("n")).alias("q"))
 
 
-def distances(rows: DataFrame, centers: DataFrame) -> DataFrame:
-    """rows (with band) with d_<measure>, the distance of each measure from the center of the row's band."""
-    root = F.sqrt("n_tokens")
-    return rows.join(centers.withColumnRenamed("band", "_band"), F.col("band") == F.col("_band"), "left").select(
-        *rows.columns,
-        ((F.col("chars_per_token") - F.col("c_chars_per_token")) * root).alias("d_chars_per_token"),
-        ((F.col("byte_share") - F.col("c_byte_share")) * root).alias("d_byte_share"),
-        (F.col("token_entropy") - F.col("c_level") - F.col("c_slope") * F.log2("n_tokens")).alias("d_token_entropy"),
-    )
+def line(n, x, y, xx, xy):
+    """Slope of the least-squares line, null if x is the same everywhere."""
+    n, x, y, xx, xy = (c.cast("double") for c in (n, x, y, xx, xy))
+    wide = n * xx - x * x
+    return F.when(wide > 1e-9 * n * xx, (n * xy - x * y) / wide)
 
 
-def centers(passed: DataFrame) -> DataFrame:
-    size = F.log2("n_tokens")
-    middle = [
-        F.percentile_approx("chars_per_token", 0.5, 10_000).alias("c_chars_per_token"),
-        F.percentile_approx("byte_share", 0.5, 10_000).alias("c_byte_share"),
-        F.coalesce(F.regr_slope("token_entropy", size), F.lit(0.0)).alias("c_slope"),
-        F.coalesce(F.regr_intercept("token_entropy", size), F.avg("token_entropy")).alias("c_level"),
-    ]
-    return passed.groupBy("band").agg(*middle)
+def distances(rows: DataFrame) -> dict:
+    """Each measure's distance from the middle that stands in the same row: c_<measure>, c_level, c_slope."""
+    root = F.sqrt("n_tokens")
+    return {
+        "chars_per_token": (F.col("chars_per_token") - F.col("c_chars_per_token")) * root,
+        "byte_share": (F.col("byte_share") - F.col("c_byte_share")) * root,
+        "token_entropy": F.col("token_entropy") - F.col("c_level") - F.col("c_slope") * F.log2("n_tokens"),
+    }
+
+
+def band_facts(texts: DataFrame) -> DataFrame:
+    """band, n, middles, slope and quartiles of the distances of texts (band, n_tokens, measures). A written table, a row per band."""
+    x, y = F.log2("n_tokens").cast("decimal(18,8)"), F.col("token_entropy").cast("decimal(18,8)")  # decimals add up to the same in any order
+    facts = texts.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(k) for k, v in (("x", x), ("y", y), ("xx", x * x), ("xy", x * y))])
+    for m, digits in DIGITS.items():
+        facts = facts.join(quantiles(texts, F.round(m, digits), [0.5]).select("band", F.col("q")[0].alias(f"c_{m}")), "band")
+    mean_x, mean_y = (F.col(c).cast("double") / F.col("n") for c in ("x", "y"))
+    slope = F.coalesce(line(*map(F.col, ("n", "x", "y", "xx", "xy"))), F.lit(0.0))
+    facts = facts.select("band", "n", *[f"c_{m}" for m in DIGITS], mean_x.alias("mean_x"), mean_y.alias("mean_y"), slope.alias("c_slope"), (mean_y - slope * mean_x).alias("c_level"))
+    facts = written(facts, "middles")
+    placed = join_checked(texts, facts, "band", "inner")
+    out = facts
+    for m, d in distances(placed).items():
+        out = out.join(quantiles(placed, F.round(d, FAR_DIGITS[m]), [0.25, 0.75]).select("band", F.col("q")[0].alias(f"q1_{m}"), F.col("q")[1].alias(f"q3_{m}")), "band")
+    return written(out, "facts", facts)
+
+
+def limits(texts: DataFrame) -> DataFrame:
+    """band, the middles, low_<measure>, high_<measure> of each language, from its texts and those of its script."""
+    own = texts.withColumn("band", language(F.col("lang")))
+    script_of = own.groupBy("band", "script").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct(F.col("script") != "", F.col("n"), F.col("script"))).alias("top"))
+    mine = band_facts(own)
+    all_ = band_facts(texts.withColumn("band", F.col("script")))
+    pool = all_.select(F.col("band").alias("script"), *[F.col(c).alias(f"s_{c}") for c in all_.columns if c != "band"])
+    both = mine.join(script_of.select("band", F.col("top.script").alias("script")), "band").join(pool, "script")
+    near = lambda c, pull: F.col(f"s_{c}") + (F.col(c) - F.col(f"s_{c}")) * F.col("n") / (F.col("n") + pull)
+    slope = near("c_slope", PULL_SPREAD)
+    level, s_level = (F.col(f"{p}mean_y") - slope * F.col(f"{p}mean_x") for p in ("", "s_"))
+    columns = [near(f"c_{m}", PULL_MIDDLE).alias(f"c_{m}") for m in DIGITS] + [slope.alias("c_slope"), (s_level + (level - s_level) * F.col("n") / (F.col("n") + PULL_MIDDLE)).alias("c_level")]
+    for m, (down, up) in REACH.items():
+        q1, q3 = near(f"q1_{m}", PULL_SPREAD), near(f"q3_{m}", PULL_SPREAD)
+        spread = F.greatest(q3 - q1, F.lit(NARROWEST[m]))
+        columns += [(q1 - spread * down).alias(f"low_{m}"), (q3 + spread * up).alias(f"high_{m}")]
+    return written(both.select("band", *columns), "limits")
+
+
+def language(lang):
+    """A name for each language, null being one."""
+    return F.coalesce(F.concat(F.lit("="), lang), F.lit(""))
 
 
 def quality_rules(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Base counts, measures, base_failed and kept of every row."""
-    rows = written(measured(docs, path, id_col, text_col, lang_col), "measures")
+    return judged(written(measured(docs, path, id_col, text_col, lang_col), "measures"))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """rows of measured() (a written table) with base_failed and kept."""
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    judged = rows.withColumn("base_failed", failed)
-    texts = written(once(judged.filter("NOT base_failed")), "texts")
-    fit = written(banded(texts, texts), "banded")
-    middles = written(centers(fit), "centers")
-    quarter = {m: F.percentile_approx(f"d_{m}", [0.25, 0.75], 10_000) for m in MEASURES}
-    spread = {m: F.greatest(quarter[m][1] - quarter[m][0], F.lit(NARROWEST[m])) for m in MEASURES}
-    ends = [(quarter[m][0] - spread[m] * REACH[m][0]).alias(f"low_{m}") for m in MEASURES] + [(quarter[m][1] + spread[m] * REACH[m][1]).alias(f"high_{m}") for m in MEASURES]
-    bands = written(distances(fit, middles).groupBy(F.col("band").alias("_band")).agg(*ends), "bands")
-    joined = distances(banded(judged, texts), middles).join(bands, F.col("band") == F.col("_band"), "left")
+    texts = written(once(rows.filter(~failed)).select("lang", "script", "n_tokens", *MEASURES), "texts")
+    placed = join_checked(rows.withColumns({"base_failed": failed, "band": language(F.col("lang"))}), limits(texts), "band", "left")
     inside = F.lit(True)
-    for m in MEASURES:
-        inside = inside & F.col(f"d_{m}").between(F.col(f"low_{m}"), F.col(f"high_{m}"))
+    for m, d in distances(placed).items():
+        inside = inside & d.between(F.col(f"low_{m}"), F.col(f"high_{m}"))
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
-    return joined.select(*[c for c in rows.columns if c not in ("script", "text_key")], "base_failed", kept.alias("kept"))
+    return placed.select(*[c for c in rows.columns if c not in ("script", "text_key")], "base_failed", kept.alias("kept"))
 
 
 def op2_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

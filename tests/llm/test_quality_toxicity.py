@@ -369,7 +369,7 @@ def test_junk_copies_do_not_move_the_bands(spark, tmp_path):
     assert sum(out[0][i] != out[1][i] for i, *_ in docs) <= 2
 
 
-def test_small_languages_are_judged_by_their_script(spark, tmp_path):
+def test_small_languages_have_bands_near_their_own(spark, tmp_path):
     import public_tokenizers
 
     rnd = random.Random(6)
@@ -383,6 +383,48 @@ def test_small_languages_are_judged_by_their_script(spark, tmp_path):
     assert [Q.script(x) for x in ("Straße 12", "12 #", "漢字", "漢字かな", "한국어 ok", "Привет")] == ["LATIN", "", "CJK", "KANA", "HANGUL", "CYRILLIC"]
 
 
+def test_fertility_kept_by_its_definition(spark):
+    """Bands of languages, one of them null and one of a single text, drawn towards their scripts'."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(400):
+        lang = rnd.choice(["a", "a", "a", "b", None, ""]) if i else "lone"
+        script = "LATIN" if lang != "b" else "GREEK"
+        n = rnd.randrange(60, 900)
+        rows.append((i, lang, n, 5 * n, 0, 0, 0, n + rnd.randrange(200), rnd.gauss(4 + (lang == "b"), 0.2), abs(rnd.gauss(0, 0.01)), min(1.0, rnd.gauss(0.9, 0.02)), script, str(i % 300).encode()))
+    rows = [next(r for r in rows if r[1] == x[1] and r[-1] == x[-1])[1:] for x in rows]
+    rows = [(i, *r) for i, r in enumerate(rows)] + [(900, "a", 3, 9, 0, 0, 0, 4, 2.25, 0.0, 1.0, "LATIN", b"x"), (901, None, 0, 0, 0, 0, 0, 0, None, None, None, "", b"")]
+    schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double, script string, text_key binary"
+    got = {r.doc_id: r.kept for r in Q.judged(written(spark.createDataFrame(rows, schema), "t")).collect()}
+    texts = list({(r[1], r[-1]): (r[1], r[-2], r[7], *r[8:11]) for r in rows if r[2] >= 50}.values())
+
+    def facts(some):
+        x, y = np.array([round(math.log2(t[2]), 8) for t in some]), np.array([round(t[5], 8) for t in some])
+        wide = len(x) * (x * x).sum() - x.sum() ** 2
+        slope = (len(x) * (x * y).sum() - x.sum() * y.sum()) / wide if wide > 1e-9 * len(x) * (x * x).sum() else 0.0
+        f = {"n": len(x), "x": x.mean(), "y": y.mean(), "slope": slope, "c": np.median([round(t[3], 4) for t in some]), "b": np.median([round(t[4], 5) for t in some])}
+        far = [[round((t[3] - f["c"]) * t[2] ** 0.5, 3) for t in some], [round((t[4] - f["b"]) * t[2] ** 0.5, 3) for t in some], [round(t[5] - (f["y"] - slope * f["x"]) - slope * math.log2(t[2]), 4) for t in some]]
+        return f | {"q": [np.quantile(v, [0.25, 0.75]) for v in far]}
+
+    for lang in {t[0] for t in texts}:
+        own = facts([t for t in texts if t[0] == lang])
+        pool = facts([t for t in texts if t[1] == ("GREEK" if lang == "b" else "LATIN")])
+        n = own["n"]
+        near = lambda a, b, pull, n=n: b + (a - b) * n / (n + pull)
+        slope = near(own["slope"], pool["slope"], 50)
+        level = near(own["y"] - slope * own["x"], pool["y"] - slope * pool["x"], 5)
+        for r in rows:
+            if r[1] == lang and r[2] >= 50:
+                d = [(r[8] - near(own["c"], pool["c"], 5)) * r[7] ** 0.5, (r[9] - near(own["b"], pool["b"], 5)) * r[7] ** 0.5, r[10] - level - slope * math.log2(r[7])]
+                ok = True
+                for value, a, b, least, (down, up) in zip(d, own["q"], pool["q"], (0.5, 0.25, 0.02), Q.REACH.values()):
+                    low, high = near(a[0], b[0], 50), near(a[1], b[1], 50)
+                    wide = max(high - low, least)
+                    ok &= low - wide * down <= value <= high + wide * up
+                assert got[r[0]] == ok, r
+    assert not got[900] and not got[901] and 0 < sum(got.values()) < len(got)
+
+
 def test_words_of_a_set_phrase_are_learned(spark, tmp_path):
     """Toxic texts that share one phrase: its words always follow the same word. One of the texts has many copies."""
     rnd = random.Random(9)
