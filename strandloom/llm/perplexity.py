@@ -5,8 +5,8 @@ contexts and lower orders follow from joins of these tables, which are sharded b
 probability and, as a context, its back-off weight. N-grams that begin with the start sign keep their plain counts at lower
 orders, since nothing else stands before them.
 
-To score, documents form blocks of a few MB where they are read. The commonest n-grams, HOT_GRAMS at most, are known to
-every worker and are summed there. Of the rest a block asks for the distinct ones, the join with the model answers, and answers
+To score, documents form blocks of some MB where they are read. The commonest n-grams, HOT_GRAMS of each length at most, are
+known to every worker and are summed there. Of the rest a block asks for the distinct ones, the join with the model answers, and answers
 meet the block's list of (document, n-gram, times) in one task: texts never move, no n-gram is asked for by
 nearly every block, and the model is not broadcast, however much trusted text there is. Which n-grams are common changes what
 moves, never a result.
@@ -37,12 +37,14 @@ from .common import Located, join_checked, map_arrow, written
 ORDER = 5
 #: The signs that stand before a text and behind it.
 BEGIN, OVER = "\x02", "\x03"
-BLOCK_CHARS, CHUNK = 6 << 20, 1 << 20
+BLOCK_CHARS, CHUNK = 32 << 20, 1 << 20
 #: Cells of a table that numbers n-grams directly; where there are more, they are sorted.
 CELLS = 1 << 23
 REACH, NARROWEST = 6.0, 0.5
-#: Most n-grams of the longest order that every worker knows; trusted texts that a language's other texts weigh as much as.
-HOT_GRAMS, PULL = 100_000, 50
+#: Most n-grams of each length that every worker knows; trusted texts that a language's other texts weigh as much as.
+HOT_GRAMS, PULL = 1 << 18, 50
+#: Bytes of a table that training may broadcast.
+TRAIN_BROADCAST = 32 << 20
 _CLEAR = str.maketrans({BEGIN: " ", OVER: " "})
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -135,7 +137,7 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 
 def train(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
-    """The model table (gram, p, back) and the probability of a sign never seen, from a table with the column text.
+    """The model table (gram, p, back, n: plain count) and the probability of a sign never seen, from a table with the column text.
 
     The longest n-grams are no contexts: back is their count.
     """
@@ -159,22 +161,24 @@ def train(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
         d1, d2, d3 = discounts(levels[k])
         taken = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
         rows = levels[k].withColumns({"d": taken, "context": F.substring("gram", 1, k - 1)})
-        contexts = rows.groupBy("context").agg(F.sum("c").alias("all"), F.sum(F.col("d").cast("decimal(20,12)")).cast("double").alias("free"))
+        contexts = written(rows.groupBy("context").agg(F.sum("c").alias("all"), F.sum(F.col("d").cast("decimal(20,12)")).cast("double").alias("free")), "contexts")
         if k == 1:
             total, free = contexts.select("all", "free").first() or (1, 1.0)
             unseen = free / total / vocabulary
-            level = rows.select("gram", "c", ((F.col("c") - F.col("d")) / F.lit(total) + F.lit(unseen)).alias("p"))
+            level = rows.select("gram", "c", "plain", ((F.col("c") - F.col("d")) / F.lit(total) + F.lit(unseen)).alias("p"))
         else:
             lower = below.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
-            both = rows.withColumn("suffix", F.substring("gram", 2, k - 1)).join(contexts, "context").join(lower, "suffix")
-            level = both.select("gram", "c", ((F.col("c") - F.col("d") + F.col("free") * F.col("q")) / F.col("all")).alias("p"))
-            parts.append(contexts.select(F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), (F.col("free") / F.col("all")).alias("back")))
+            both = join_checked(rows.withColumn("suffix", F.substring("gram", 2, k - 1)), contexts, "context", "inner", TRAIN_BROADCAST)
+            both = join_checked(both, lower, "suffix", "inner", TRAIN_BROADCAST)
+            level = both.select("gram", "c", "plain", ((F.col("c") - F.col("d") + F.col("free") * F.col("q")) / F.col("all")).alias("p"))
+            parts.append(contexts.select(F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), (F.col("free") / F.col("all")).alias("back"), F.lit(None).cast("long").alias("n")))
         below = written(level, "level")
-        parts.append(below.select("gram", "p", (F.col("c") if k == order else F.lit(None)).cast("double").alias("back")))
+        parts.append(below.select("gram", "p", (F.col("c") if k == order else F.lit(None)).cast("double").alias("back"), F.col("plain").alias("n")))
     table = parts[0]
     for x in parts[1:]:
         table = table.unionByName(x)
-    return written(table.groupBy("gram").agg(F.max("p").alias("p"), F.max("back").alias("back")), "model"), unseen
+    model = table.groupBy("gram").agg(F.max("p").alias("p"), F.max("back").alias("back"), F.max("n").alias("n"))
+    return written(model, "model"), unseen
 
 
 class Lookup:
@@ -218,24 +222,31 @@ class Lookup:
         return prob, without, count
 
 
-def hot_grams(model: DataFrame, unseen: float, order: int = ORDER, most: int = HOT_GRAMS) -> tuple[list[str], np.ndarray, np.ndarray, float, int]:
-    """What a Lookup of the commonest n-grams and all their parts is made of: at most `most` n-grams of the longest order.
+def hot_grams(model: DataFrame, unseen: float, order: int = ORDER, most: int = HOT_GRAMS) -> tuple[tuple, set[int]]:
+    """What a Lookup of the commonest n-grams is made of, and the lengths of which it has all.
 
-    All whose count is in the highest classes that together have no more than `most`; so many rows come to the driver.
+    Of each length, all whose count is in the highest classes that together have no more than `most`; of the longest ones
+    also beginnings and ends. So many rows come to the driver.
     """
-    top = model.filter(F.length("gram") == order)
-    size = F.floor(16 * F.log2("back"))
-    left, least = most, None
-    for c, n in sorted(top.groupBy(size.alias("size")).count().collect(), reverse=True):  # sixteen classes for each doubling of the count
-        if n > left:
-            break
-        left, least = left - n, c
-    if least is None:
-        return [], np.zeros(0), np.zeros(0), unseen, order
-    inside = [F.substring("gram", i + 1, j - i) for j in (order - 1, order) for i in range(j)]
-    names = top.filter(size >= least).select(F.explode(F.array(*inside)).alias("gram")).distinct()
-    found = model.join(names, "gram").toArrow()  # most times the number of parts at most
-    return found["gram"].to_pylist(), found["p"].to_numpy(), found["back"].to_numpy(), unseen, order
+    n = F.coalesce("n", F.lit(1 << 40))  # start signs alone have no count
+    size, length = F.floor(16 * F.log2(n)), F.length("gram")  # sixteen classes for each doubling of the count
+    classes = sorted(model.groupBy(length.alias("k"), size.alias("size")).count().collect(), key=lambda r: (r["k"], -r["size"]))
+    wanted, whole = F.lit(False), set()
+    for k in range(1, order + 1):
+        left, least, every = most, None, True
+        for r in (r for r in classes if r["k"] == k):
+            if r["count"] > left:
+                every = False
+                break
+            left, least = left - r["count"], r["size"]
+        if every:
+            whole.add(k)
+        if least is not None:
+            wanted = wanted | ((length == k) & (size >= least))
+    hot = model.filter(wanted)
+    names = hot.select("gram").union(hot.filter(length == order).select(F.explode(F.array(F.substring("gram", 1, order - 1), F.substring("gram", 2, order - 1))))).distinct()
+    found = model.join(names, "gram").select("gram", "p", "back").toArrow()  # `most` times (order + 2) at most
+    return (found["gram"].to_pylist(), found["p"].to_numpy(), found["back"].to_numpy(), unseen, order), whole
 
 
 def perplexities(docs: DataFrame, model: DataFrame, unseen: float, order: int = ORDER, most: int | None = None) -> DataFrame:
@@ -257,7 +268,9 @@ def perplexities(docs: DataFrame, model: DataFrame, unseen: float, order: int =
 
         import xxhash
 
-        known = Lookup(*hot.value)
+        parts, whole = hot.value
+        known = Lookup(*parts)
+        all_known = len(whole) == order
 
         def close(rows):
             texts = [r[1] or "" for r in rows]
@@ -269,7 +282,7 @@ def perplexities(docs: DataFrame, model: DataFrame, unseen: float, order: int =
                 joined, at, place, here = distinct(part, order)
                 row = np.repeat(np.arange(first, first + len(part)), [len(t) - order + 1 for t in part])
                 grams = points(joined)[np.maximum(place, 0)[:, None] + np.arange(order)]
-                there = known.has(order, keys(grams))
+                there = known.has(order, keys(grams)) | all_known
                 prob, without, count = (np.zeros(len(grams)) for _ in range(3))
                 prob[there], without[there], count[there] = known.resolve(grams[there])
                 log_p = np.log(np.where(there, prob, 1.0))[at]
@@ -294,6 +307,8 @@ def perplexities(docs: DataFrame, model: DataFrame, unseen: float, order: int =
             for j in (order - 1, order):
                 for i in range(j):
                     some = list({g[i:j] for g in number})
+                    if j - i in whole:
+                        continue
                     if some and (j, i) != (order, 0):
                         new = ~known.has(j - i, keys(points("".join(some)).reshape(-1, j - i)))
                         some = [some[x] for x in np.flatnonzero(new).tolist()]
@@ -319,7 +334,7 @@ def perplexities(docs: DataFrame, model: DataFrame, unseen: float, order: int =
         return pa.RecordBatch.from_arrays([pa.array([block] * (n + 1), pa.int64()), pa.array([*grams, None], pa.string()), pa.array([None] * n + [data], pa.binary())], ["block", "gram", "data"])
 
     def score(key, texts, answers):
-        lookup = Lookup(answers["gram"].to_pylist(), *(answers[c].to_numpy() for c in ("p", "back")), unseen, order, Lookup(*hot.value))
+        lookup = Lookup(answers["gram"].to_pylist(), *(answers[c].to_numpy() for c in ("p", "back")), unseen, order, Lookup(*hot.value[0]))
         out = []
         for data in texts["data"].to_pylist():
             table, counts, grams = unpacked(data)
