@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.specs import Seed
-from .kmers import counted, kmers
+from .kmers import kmers, parts
 
 
 def resolve(hits: Column) -> Column:
@@ -32,9 +32,10 @@ def classify(reads: DataFrame, database: DataFrame, tree: DataFrame, seed: Seed,
     plain = Seed(seed.k, 0, seed.gaps, seed.canonical, seed.alphabet)
     places = F.greatest(F.length("seq") - (plain.span - 1), F.lit(0))
     totals = reads.groupBy(read).agg(F.sum(F.coalesce(places, F.lit(0))).cast("long").alias("_places"), F.sum(F.coalesce(F.length("seq"), F.lit(0))).cast("long").alias("len"))
-    found = counted(reads, plain, [read], "seq").join(database, "kmer", "left")
+    # k-mers of a read are folded where they are made; its parts, if it has mates, are added after the lookup
+    found = parts(reads, plain, [read], "seq").join(database, "kmer", "left")
     paths = tree.select("taxid", "path")
-    by_taxon = found.repartition(read).groupBy(read, "taxid").agg(F.sum("n").alias("n")).join(paths, "taxid", "left")
+    by_taxon = found.groupBy(read, "taxid").agg(F.sum("n").alias("n")).join(paths, "taxid", "left")
     rows = by_taxon.groupBy(read).agg(
         F.collect_list(F.when(F.col("taxid").isNotNull(), F.struct("taxid", "n", "path"))).alias("_hits"),
         F.sum(F.when(F.col("taxid").isNotNull(), F.col("n"))).alias("hits"), F.sum(F.when(F.col("taxid").isNull(), F.col("n"))).alias("missing"),
@@ -44,44 +45,60 @@ def classify(reads: DataFrame, database: DataFrame, tree: DataFrame, seed: Seed,
     return out.select(read, "taxon", "len", (F.col("hits") + F.col("missing")).alias("kmers"), "hits", "missing", (F.col("_places") - F.col("hits") - F.col("missing")).alias("ambig"))
 
 
-def taxa_runs(reads: DataFrame, database: DataFrame, seed: Seed, read: str = "id", full: bool = False) -> DataFrame:
+def taxa_runs(reads: DataFrame, database: DataFrame, seed: Seed, read: str = "id", full: bool = False, mate: str | None = None) -> DataFrame:
     """read, runs: neighbouring hits of one taxon as taxid:length, in order of place, tab-separated.
 
+    mate: a column that orders the sequences of one read; their hits stand in one list, the second's after the first's.
+
     full also lists runs of missing (U) and ambiguous (A) places; else a read without hits is 0:0. Work per read is a
     sort of its places; runs are found as islands of equal rank difference.
     """
     plain = Seed(seed.k, 0, seed.gaps, seed.canonical, seed.alphabet)
-    found = kmers(reads, plain, [read], "seq").join(database, "kmer", "left").select(read, "pos", F.coalesce(F.col("taxid").cast("string"), F.lit("U")).alias("sign"))
+    reads = reads.withColumn("_mate", F.col(mate).cast("int") if mate else F.lit(0))
+    at = ["_mate", "pos"]
+    found = kmers(reads, plain, [read, "_mate"], "seq").join(database, "kmer", "left").select(read, *at, F.coalesce(F.col("taxid").cast("string"), F.lit("U")).alias("sign"))
     if full:
-        places = reads.filter(F.length("seq") >= plain.span).select(read, F.explode(F.sequence(F.lit(0).cast("long"), (F.length("seq") - plain.span).cast("long"))).alias("pos"))
-        found = places.join(found, [read, "pos"], "left").withColumn("sign", F.coalesce("sign", F.lit("A")))
+        places = reads.filter(F.length("seq") >= plain.span).select(read, "_mate", F.explode(F.sequence(F.lit(0).cast("long"), (F.length("seq") - plain.span).cast("long"))).alias("pos"))
+        found = places.join(found, [read, *at], "left").withColumn("sign", F.coalesce("sign", F.lit("A")))
     else:
         found = found.filter("sign <> 'U'")
-    whole, same = Window.partitionBy(read).orderBy("pos"), Window.partitionBy(read, "sign").orderBy("pos")
+    whole, same = Window.partitionBy(read).orderBy(*at), Window.partitionBy(read, "sign").orderBy(*at)
     island = found.withColumn("island", F.row_number().over(whole) - F.row_number().over(same))
-    runs = island.groupBy(read, "sign", "island").agg(F.min("pos").alias("at"), F.count(F.lit(1)).alias("n"))
+    runs = island.groupBy(read, "sign", "island").agg(F.min(F.struct(*at)).alias("at"), F.count(F.lit(1)).alias("n"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", F.concat_ws(":", "sign", "n").alias("run")))), lambda s: s["run"]), "\t")
     return reads.select(read).distinct().join(runs.groupBy(read).agg(text.alias("runs")), read, "left").na.fill("0:0", ["runs"])
 
 
-def kraken_lines(classified: DataFrame, runs: DataFrame, read: str = "id", name: str = "id", everything: bool = True) -> DataFrame:
-    """value: a line per read: C or U, name, taxon, length, missing and ambiguous counts if any, runs."""
+def kraken_lines(classified: DataFrame, runs: DataFrame, read: str = "id", name: str = "id", everything: bool = True, keep: bool = False) -> DataFrame:
+    """value: a line per read: C or U, name, taxon, length, missing and ambiguous counts if any, runs. keep: also read."""
     both = classified.join(runs, read)
     if not everything:
         both = both.filter("taxon > 0")
     counts = [F.when(F.col(c) > 0, F.concat(F.lit(f"{sign}:"), c)) for c, sign in (("missing", "M"), ("ambig", "A"))]
-    return both.select(F.concat_ws("\t", F.when(F.col("taxon") > 0, "C").otherwise("U"), F.col(name).cast("string"), F.col("taxon").cast("string"), F.col("len").cast("string"), *counts, "runs").alias("value"))
+    return both.select(*[read] * keep, F.concat_ws("\t", F.when(F.col("taxon") > 0, "C").otherwise("U"), F.col(name).cast("string"), F.col("taxon").cast("string"), F.col("len").cast("string"), *counts, "runs").alias("value"))
+
 
+def fastq_records(reads: DataFrame, classified: DataFrame, read: str = "id", everything: bool = True, name: str | None = None, runs: DataFrame | None = None, mate: str | None = None) -> DataFrame:
+    """value: FASTQ records with the classification in the comment; a read without qualities repeats its sequence.
 
-def fastq_records(reads: DataFrame, classified: DataFrame, read: str = "id", everything: bool = True) -> DataFrame:
-    """value: FASTQ records with the classification in the comment; a read without qualities repeats its sequence."""
+    name: the column with the name to write, else read. runs (of taxa_runs) go to the end of the comment. mate: the mates of a
+    read become neighbouring records, both with its comment.
+    """
     both = reads.join(classified, read)
+    if runs is not None:
+        both = both.join(runs, read)
     if not everything:
         both = both.filter("taxon > 0")
     quality = F.coalesce(F.col("qual"), F.col("seq")) if "qual" in reads.columns else F.col("seq")
     counts = [F.when(F.col(c) > 0, F.concat(F.lit(f"{sign}:"), c)) for c, sign in (("missing", "M"), ("ambig", "A"))]
-    head = F.concat(F.lit("@"), F.col(read).cast("string"), F.lit(" "), F.concat_ws("\t", F.when(F.col("taxon") > 0, "C").otherwise("U"), F.col("taxon").cast("string"), F.col("len").cast("string"), *counts))
-    return both.select(read, F.concat_ws("\n", head, "seq", F.lit("+"), quality).alias("value"))
+    more = ["runs"] if runs is not None else []
+    comment = F.concat_ws("\t", F.when(F.col("taxon") > 0, "C").otherwise("U"), F.col("taxon").cast("string"), F.col("len").cast("string"), *counts, *more)
+    head = F.concat(F.lit("@"), F.col(name or read).cast("string"), F.lit(" "), comment)
+    record = F.concat_ws("\n", head, "seq", F.lit("+"), quality)
+    if not mate:
+        return both.select(read, record.alias("value"))
+    in_order = F.sort_array(F.collect_list(F.struct(F.col(mate).alias("m"), record.alias("r"))))
+    return both.groupBy(read).agg(F.array_join(F.transform(in_order, lambda x: x["r"]), "\n").alias("value"))
 
 
 def summary(classified: DataFrame) -> DataFrame:

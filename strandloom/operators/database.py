@@ -12,16 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.specs import Seed
-from .kmers import counted, score_minimizers, spans
+from ..storage import written
+from .kmers import Score, counted, score_minimizers, spans
 from .taxonomy import lca_of_ranges
 
 MODES = ("lex", "entropy", "tax_depth", "feature_count")
 
 
-def lca_map(genomes: DataFrame, seed: Seed, tree: DataFrame, score: str = "raw") -> DataFrame:
+def lca_map(genomes: DataFrame, seed: Seed, tree: DataFrame, score: Score = "raw") -> DataFrame:
     """kmer, taxid: the common ancestor of all genomes (taxid, seq) that hold the k-mer. tree: nodes()."""
     numbered = genomes.join(tree.select("taxid", "ord"), "taxid")
-    return lca_of_ranges(spans(numbered, seed, "ord", "seq", score), tree)
+    return lca_of_ranges(spans(numbered, seed, "ord", "seq", score).drop("n"), tree)
 
 
 def depth_map(database: DataFrame, tree: DataFrame) -> DataFrame:
@@ -30,11 +31,18 @@ def depth_map(database: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def feature_map(genomes: DataFrame, seed: Seed, tree: DataFrame, genome: str = "genome") -> DataFrame:
-    """kmer, taxid, n_genomes: in how many distinct genomes (genome, taxid, seq) the k-mer is, and their common ancestor."""
+    """kmer, taxid, n_genomes: in how many distinct genomes (genome, taxid, seq) the k-mer is, and their common ancestor.
+
+    Where a genome is one row, batches are folded by k-mer and one shuffle does; else k-mers first meet by genome.
+    """
     numbered = genomes.join(tree.select("taxid", "ord"), "taxid")
-    rows = counted(numbered, seed, [genome, "ord"], "seq")
-    ranges = rows.groupBy("kmer").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count_distinct(genome).alias("n_genomes"))
-    return lca_of_ranges(ranges, tree)
+    n, kinds = genomes.agg(F.count(F.lit(1)), F.count_distinct(genome)).first()
+    if n == kinds:
+        ranges = spans(numbered, seed, "ord").withColumnRenamed("n", "n_genomes")
+    else:
+        rows = counted(numbered, seed, [genome, "ord"], "seq")
+        ranges = rows.groupBy("kmer").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count_distinct(genome).alias("n_genomes"))
+    return lca_of_ranges(written(ranges, "ranges"), tree)
 
 
 def minimized_map(genomes: DataFrame, seed: Seed, scored: DataFrame, keys=("genome",)) -> DataFrame:
@@ -76,6 +84,13 @@ def save(database: DataFrame, seed: Seed, path: str, buckets: int = 0) -> None:
     database.sparkSession.createDataFrame([(facts,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/seed")
 
 
+def bucketed(database: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """The database as a table of the catalog, dealt and sorted by k-mer: a probe shuffles what it asks, never the database."""
+    to = database.repartition(buckets, "kmer").write.mode("overwrite").bucketBy(buckets, "kmer").sortBy("kmer")
+    (to.option("path", path) if path else to).saveAsTable(table)
+    return database.sparkSession.table(table)
+
+
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, Seed]:
     facts = json.loads(spark.read.text(f"{path}/seed").first()[0])
     return spark.read.parquet(f"{path}/kmers"), Seed(facts["k"], facts["w"], tuple(facts["gaps"]), facts["canonical"], facts["alphabet"])
@@ -83,4 +98,4 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, Seed]:
 
 def look_up(database: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (kmer, ...) with taxid, null if the database has none."""
-    return asked.join(database, "kmer", "left")
+    return asked.join(database.hint("merge"), "kmer", "left")

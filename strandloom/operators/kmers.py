@@ -73,6 +73,8 @@ def least_of(rank: np.ndarray, m: int) -> np.ndarray:
     return best
 
 
+#: A name of SCORES, or a function of k-mers (values, k) that gives each one's score, least first. It runs in the workers.
+Score = str | Callable[[np.ndarray, int], np.ndarray]
 SCORES: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {
     "raw": lambda kmers, k: kmers,
     "lexical": lambda kmers, k: hashes.lexical_score(kmers),
@@ -102,23 +104,32 @@ def seeds_of(codes: np.ndarray, owner: np.ndarray, seed: Seed) -> tuple[np.ndarr
     return at, value[at]
 
 
-def minimizers_of(at: np.ndarray, value: np.ndarray, owner: np.ndarray, seed: Seed, score: str | np.ndarray, across_gaps: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of the least (score, value) of every full window; one per window, so repeats stay."""
-    m = seed.window
-    if m == 1:
+def minimizers_of(at: np.ndarray, value: np.ndarray, owner: np.ndarray, seed: Seed, score: Score, across_gaps: bool, partial: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the least (score, value) of every full window; one per window, so repeats stay.
+
+    partial: a sequence whose seeds are fewer than a window has also gives its least one.
+    """
+    if seed.window == 1 or not len(at):
         return at, value
-    if len(at) < m:
-        return at[:0], value[:0]
-    points = SCORES[score](value, seed.k) if isinstance(score, str) else score
+    points = SCORES[score](value, seed.k) if isinstance(score, str) else score(value, seed.k)
+    return least_of_windows(at, value, points, owner, seed.window, across_gaps, partial)
+
+
+def least_of_windows(at: np.ndarray, value: np.ndarray, points: np.ndarray, owner: np.ndarray, m: int, across_gaps: bool, partial: bool) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((value, points))
     rank = np.empty(len(order), np.int64)
     new = np.concatenate([[False], (points[order][1:] != points[order][:-1]) | (value[order][1:] != value[order][:-1])])
     rank[order] = np.cumsum(new)
-    best = least_of(rank, m)
+    best = least_of(rank, m) if len(at) >= m else np.zeros(0, np.int64)
     first, last = at[: len(best)], at[m - 1 :]
     # by default a window has neighbouring seeds only; across gaps it counts seeds, whatever lies between
     whole = owner[first] == owner[last] if across_gaps else last - first == m - 1
     best = best[whole]
+    if partial:
+        begin = np.flatnonzero(np.concatenate([[True], owner[at[1:]] != owner[at[:-1]]]))
+        size = np.diff(np.append(begin, len(at)))
+        least = np.minimum.reduceat(rank * len(at) + np.arange(len(at)), begin) % len(at)  # the first of equals
+        best = np.sort(np.concatenate([best, least[size < m]]))
     return at[best], value[best]
 
 
@@ -147,7 +158,7 @@ def _types(df: DataFrame, keys: Sequence[str]) -> str:
     return "".join(f"`{k}` {kinds[k]}, " for k in keys)
 
 
-def kmers(df: DataFrame, seed: Seed, keys: Sequence[str] = ("id",), seq: str = "seq", score: str = "raw", across_gaps: bool = False) -> DataFrame:
+def kmers(df: DataFrame, seed: Seed, keys: Sequence[str] = ("id",), seq: str = "seq", score: Score = "raw", across_gaps: bool = False, partial: bool = False) -> DataFrame:
     """keys, pos (from 0), kmer: a row per k-mer, or per window if the seed has windows."""
     keys = list(keys)
 
@@ -156,14 +167,14 @@ def kmers(df: DataFrame, seed: Seed, keys: Sequence[str] = ("id",), seq: str = "
         for batch in batches:
             for first, codes, owner, begin in joined(batch.column(len(keys)).to_pylist(), lut):
                 at, value = seeds_of(codes, owner, seed)
-                at, value = minimizers_of(at, value, owner, seed, score, across_gaps)
+                at, value = minimizers_of(at, value, owner, seed, score, across_gaps, partial)
                 row = pa.array(owner[at] + first)
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).take(row) for i in range(len(keys))], pa.array(at - begin[owner[at]]), pa.array(value)], [*keys, "pos", "kmer"])
 
     return _keyed(df, keys, seq).mapInArrow(kernel, _types(df, keys) + "pos long, kmer long")
 
 
-def parts(df: DataFrame, seed: Seed, keys: Sequence[str] = (), seq: str = "seq", score: str = "raw", across_gaps: bool = False) -> DataFrame:
+def parts(df: DataFrame, seed: Seed, keys: Sequence[str] = (), seq: str = "seq", score: Score = "raw", across_gaps: bool = False, partial: bool = False) -> DataFrame:
     """keys, kmer, n: folded within each batch only, so a key's k-mer may have several rows. No shuffle."""
     keys = list(keys)
 
@@ -173,7 +184,7 @@ def parts(df: DataFrame, seed: Seed, keys: Sequence[str] = (), seq: str = "seq",
             groups, members = grouped([batch.column(i) for i in range(len(keys))], batch.num_rows)
             for first, codes, owner, _ in joined(batch.column(len(keys)).to_pylist(), lut):
                 at, value = seeds_of(codes, owner, seed)
-                at, value = minimizers_of(at, value, owner, seed, score, across_gaps)
+                at, value = minimizers_of(at, value, owner, seed, score, across_gaps, partial)
                 group, value, n = folded(groups[owner[at] + first], value)
                 row = pa.array(members[group])
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).take(row) for i in range(len(keys))], pa.array(value), pa.array(n)], [*keys, "kmer", "n"])
@@ -181,22 +192,22 @@ def parts(df: DataFrame, seed: Seed, keys: Sequence[str] = (), seq: str = "seq",
     return _keyed(df, keys, seq).mapInArrow(kernel, _types(df, keys) + "kmer long, n long")
 
 
-def counted(df: DataFrame, seed: Seed, keys: Sequence[str] = (), seq: str = "seq", score: str = "raw", across_gaps: bool = False) -> DataFrame:
+def counted(df: DataFrame, seed: Seed, keys: Sequence[str] = (), seq: str = "seq", score: Score = "raw", across_gaps: bool = False, partial: bool = False) -> DataFrame:
     """keys, kmer, n: how often each k-mer stands in the sequences of each key. Counts leave a worker already folded."""
-    return parts(df, seed, keys, seq, score, across_gaps).groupBy(*keys, "kmer").agg(F.sum("n").alias("n"))
+    return parts(df, seed, keys, seq, score, across_gaps, partial).groupBy(*keys, "kmer").agg(F.sum("n").alias("n"))
 
 
-def counted_each(df: DataFrame, seed: Seed, key: str = "id", seq: str = "seq", score: str = "raw", across_gaps: bool = False) -> DataFrame:
+def counted_each(df: DataFrame, seed: Seed, key: str = "id", seq: str = "seq", score: Score = "raw", across_gaps: bool = False, partial: bool = False) -> DataFrame:
     """key, kmer, n like counted(); where key tells all rows apart, each row's counts are whole as they leave the kernel.
 
     The keys are counted first, which moves keys alone; k-mers are then shuffled only if some key repeats or is null.
     """
     n, kinds = df.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
-    return (parts if n == kinds else counted)(df, seed, [key], seq, score, across_gaps)
+    return (parts if n == kinds else counted)(df, seed, [key], seq, score, across_gaps, partial)
 
 
-def spans(df: DataFrame, seed: Seed, number: str, seq: str = "seq", score: str = "raw") -> DataFrame:
-    """kmer, lo, hi: the least and the greatest `number` (no less than zero) of the rows that hold each k-mer.
+def spans(df: DataFrame, seed: Seed, number: str, seq: str = "seq", score: Score = "raw") -> DataFrame:
+    """kmer, lo, hi, n: the least and the greatest `number` (no less than zero) of the rows that hold each k-mer, and how many do.
 
     Batches leave the kernel as one row per k-mer, so what is shuffled does not grow with the number of numbers.
     """
@@ -208,15 +219,56 @@ def spans(df: DataFrame, seed: Seed, number: str, seq: str = "seq", score: str =
             for first, codes, owner, _ in joined(batch.column(1).to_pylist(), lut):
                 at, value = seeds_of(codes, owner, seed)
                 at, value = minimizers_of(at, value, owner, seed, score, False)
-                number_of = numbers[owner[at] + first]
-                value, number_of, _ = folded(value, number_of)  # by k-mer, then by number
-                new = np.concatenate([[True], value[1:] != value[:-1]])[: len(value)]
-                begin = np.flatnonzero(new)
-                end = np.append(begin[1:], len(value))[: len(begin)] - 1
-                yield pa.RecordBatch.from_arrays([pa.array(value[begin]), pa.array(number_of[begin]), pa.array(number_of[end])], ["kmer", "lo", "hi"])
+                value, row, _ = folded(value, owner[at])  # by k-mer, then by row
+                begin = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])[: len(value)])
+                if len(begin):
+                    of = numbers[row + first]
+                    columns = value[begin], np.minimum.reduceat(of, begin), np.maximum.reduceat(of, begin), np.diff(np.append(begin, len(value)))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["kmer", "lo", "hi", "n"])
+
+    part = df.select(F.col(number).cast("long"), F.col(seq)).filter(F.col(number).isNotNull()).mapInArrow(kernel, "kmer long, lo long, hi long, n long")
+    return part.groupBy("kmer").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+
+
+def for_each(df: DataFrame, seed: Seed, f: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str, keys: Sequence[str] = ("id",), seq: str = "seq", score: Score = "raw") -> DataFrame:
+    """keys and what f makes of k-mers: f(row, pos, kmer) returns columns as named in schema, and row, the number of the row each belongs to."""
+    keys = list(keys)
+    names = [x.split()[0] for x in schema.split(",")]
+
+    def kernel(batches):
+        lut = alphabet(seed.alphabet).lut()
+        for batch in batches:
+            for first, codes, owner, begin in joined(batch.column(len(keys)).to_pylist(), lut):
+                at, value = minimizers_of(*seeds_of(codes, owner, seed), owner, seed, score, False)
+                got = f(owner[at] + first, at - begin[owner[at]], value)
+                row = pa.array(got["row"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(row) for i in range(len(keys))], *[pa.array(got[n]) for n in names]], [*keys, *names])
 
-    part = df.select(F.col(number).cast("long"), F.col(seq)).filter(F.col(number).isNotNull()).mapInArrow(kernel, "kmer long, lo long, hi long")
-    return part.groupBy("kmer").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return _keyed(df, keys, seq).mapInArrow(kernel, _types(df, keys) + schema)
+
+
+def window_entropy(df: DataFrame, k: int, keys: Sequence[str] = ("id",), seq: str = "seq", alphabet_name: str = "DNA4") -> DataFrame:
+    """keys, pos, value: at each letter the sum of p ln p over the last k letters since the last ambiguous one; -1 for fewer than k."""
+    keys = list(keys)
+
+    def kernel(batches):
+        one = alphabet(alphabet_name)
+        for batch in batches:
+            for first, codes, owner, begin in joined(batch.column(len(keys)).to_pylist(), one.lut()):
+                clean = clean_windows(codes, owner, k)
+                value = np.full(len(codes), -1.0)
+                if len(clean):
+                    total = np.zeros(len(clean))
+                    for c in range(one.base):
+                        sums = np.concatenate([[0], np.cumsum(codes == c)])
+                        p = (sums[k:] - sums[:-k]) / k
+                        total += np.where(p > 0, p * np.log(np.where(p > 0, p, 1.0)), 0.0)
+                    value[k - 1 :] = np.where(clean, total, -1.0)
+                at = np.flatnonzero(codes >= 0)
+                row = pa.array(owner[at] + first)
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(row) for i in range(len(keys))], pa.array(at - begin[owner[at]]), pa.array(value[at])], [*keys, "pos", "value"])
+
+    return _keyed(df, keys, seq).mapInArrow(kernel, _types(df, keys) + "pos long, value double")
 
 
 def grouped(columns: list[pa.Array], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -272,38 +324,40 @@ def multi_k(df: DataFrame, ks: Sequence[int], keys: Sequence[str] = (), seq: str
 ROLLING = ("cyclic", "karp_rabin", "strand_free")
 
 
-def rolling(df: DataFrame, k: int, w: int = 0, keys: Sequence[str] = ("id",), seq: str = "seq", family: str = "strand_free", alphabet_name: str = "DNA4", seed: int = 137) -> DataFrame:
-    """keys, pos, hash: a rolling hash of every window of k letters, any k; with w over k, the least of every full window.
+def rolling_set(df: DataFrame, ks: Sequence[int], w: int = 0, keys: Sequence[str] = ("id",), seq: str = "seq", family: str = "strand_free", alphabet_name: str = "DNA4", seed: int = 137, partial: bool = False) -> DataFrame:
+    """keys, k, pos, hash: a rolling hash of every window of k letters, for several k of any length in one pass over the sequences.
 
-    Hashes are unsigned words kept in signed longs; the least is the least unsigned one.
+    With w over k, the least of every full window of w letters; partial: of a shorter sequence also the least of all. Hashes
+    are unsigned words kept in signed longs; the least is the least unsigned one.
     """
     if family not in ROLLING or family == "strand_free" and alphabet_name not in ("DNA4", "DNA"):
         raise ValueError("hash families: cyclic and karp_rabin for any alphabet, strand_free for DNA")
-    keys = list(keys)
+    keys, ks = list(keys), list(ks)
 
     def kernel(batches):
         one = alphabet(alphabet_name)
         lut, words, comp = one.lut(), hashes.table(seed, max(one.base, 4)), np.array([3, 2, 1, 0])
-        m = max(w, k) - k + 1
         for batch in batches:
             for first, codes, owner, begin in joined(batch.column(len(keys)).to_pylist(), lut):
-                clean = clean_windows(codes, owner, k)
-                at = np.flatnonzero(clean)
-                if not len(at):
-                    continue
                 safe = np.maximum(codes, 0)
-                value = hashes.karp_rabin(safe, k) if family == "karp_rabin" else hashes.cyclic(safe, k, words) if family == "cyclic" else hashes.strand_free(safe, k, words, comp)
-                value = value[at]
-                if m > 1:
-                    if len(at) < m:
+                for k in ks:
+                    at = np.flatnonzero(clean_windows(codes, owner, k))
+                    if not len(at):
                         continue
-                    best = least_of(value, m)
-                    best = best[at[m - 1 :] - at[: len(best)] == m - 1]
-                    at, value = at[best], value[best]
-                row = pa.array(owner[at] + first)
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(row) for i in range(len(keys))], pa.array(at - begin[owner[at]]), pa.array(value.view(np.int64))], [*keys, "pos", "hash"])
+                    value = hashes.karp_rabin(safe, k) if family == "karp_rabin" else hashes.cyclic(safe, k, words) if family == "cyclic" else hashes.strand_free(safe, k, words, comp)
+                    value = value[at]
+                    if w > k:
+                        at, value = least_of_windows(at, value, value, owner, w - k + 1, False, partial)
+                    row = pa.array(owner[at] + first)
+                    columns = [pa.array(np.full(len(at), k, np.int32)), pa.array(at - begin[owner[at]]), pa.array(value.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*[batch.column(i).take(row) for i in range(len(keys))], *columns], [*keys, "k", "pos", "hash"])
+
+    return _keyed(df, keys, seq).mapInArrow(kernel, _types(df, keys) + "k int, pos long, hash long")
+
 
-    return _keyed(df, keys, seq).mapInArrow(kernel, _types(df, keys) + "pos long, hash long")
+def rolling(df: DataFrame, k: int, w: int = 0, keys: Sequence[str] = ("id",), seq: str = "seq", family: str = "strand_free", alphabet_name: str = "DNA4", seed: int = 137, partial: bool = False) -> DataFrame:
+    """keys, pos, hash: rolling_set() for one k."""
+    return rolling_set(df, [k], w, keys, seq, family, alphabet_name, seed, partial).drop("k")
 
 
 def score_minimizers(df: DataFrame, seed: Seed, scores: DataFrame, keys: Sequence[str] = ("id",), seq: str = "seq") -> DataFrame:

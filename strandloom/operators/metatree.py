@@ -8,20 +8,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import join_checked, written
 from .sets import pattern_counts, presence
 
 
-def subtree_patterns(sets: DataFrame, tree: DataFrame) -> DataFrame:
+def subtree_patterns(rows: DataFrame, tree: DataFrame, near: DataFrame) -> DataFrame:
     """parent, clades, pattern, n: for each parent of two clades or more, its children's presence patterns of k-mers.
 
-    sets: distinct (taxid, kmer) of the clades, descendants included; patterns of one or all clades are left out.
+    rows: (taxid, kmer), repeats allowed; near: closure(tree), which lets a k-mer stand for all nodes above it. A k-mer meets
+    once per parent; the number of clades with k-mers follows from the patterns. Patterns of one or all clades are left out.
     """
-    edges = tree.filter("parent <> 0").select("taxid", "parent")
-    rows = sets.join(edges, "taxid")
-    sizes = rows.select("parent", "taxid").distinct().groupBy("parent").agg(F.count(F.lit(1)).alias("clades"))
-    folded = rows.groupBy("parent", "kmer").agg(F.sort_array(F.collect_list("taxid")).alias("pattern"))
-    some = folded.join(sizes.filter("clades >= 2"), "parent").filter((F.size("pattern") > 1) & (F.size("pattern") < F.col("clades")))
-    return some.groupBy("parent", "clades", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    edges = near.join(tree.filter("parent <> 0").select(F.col("taxid").alias("anc"), "parent"), "anc").select("taxid", F.col("anc").alias("clade"), "parent")
+    placed = join_checked(rows, written(edges, "edges"), "taxid").select("parent", "kmer", "clade")
+    folded = placed.groupBy("parent", "kmer").agg(F.sort_array(F.collect_set("clade")).alias("pattern")).groupBy("parent", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    folded = written(folded, "patterns")
+    sizes = folded.select("parent", F.explode("pattern").alias("clade")).groupBy("parent").agg(F.count_distinct("clade").alias("clades"))
+    return folded.join(sizes.filter("clades >= 2"), "parent").filter((F.size("pattern") > 1) & (F.size("pattern") < F.col("clades"))).select("parent", "clades", "pattern", "n")
 
 
 def node_scores(patterns: DataFrame) -> DataFrame:

@@ -74,6 +74,11 @@ def accepted(df: DataFrame, accept: DataFrame) -> DataFrame:
     return df.join(accept.select("kmer"), "kmer", "left_semi")
 
 
+def accepted_in_order(rows: DataFrame, accept: DataFrame, value: str, order: str) -> DataFrame:
+    """The rows whose value is in the accept list, in the order that they had (a column)."""
+    return rows.join(accept.select(value), value, "left_semi").orderBy(order)
+
+
 def presence(sets: DataFrame, group: str, trivial: bool = False, n_groups: int | None = None) -> DataFrame:
     """kmer, pattern: the groups that hold each k-mer, in order. Patterns of one or all groups go unless `trivial`.
 

@@ -11,27 +11,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
 
-def intersections(sets: DataFrame, group: str) -> DataFrame:
-    """i, j, inter for all pairs i < j of groups that share an item; sets: distinct (group, kmer)."""
-    folded = sets.groupBy("kmer").agg(F.sort_array(F.collect_list(group)).alias("pattern")).filter(F.size("pattern") > 1).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+
+def holders(rows: DataFrame, group: str) -> DataFrame:
+    """pattern, n: how many items each set of groups has in common, and no other group has. rows: (group, kmer), repeats allowed."""
+    held = rows.groupBy("kmer").agg(F.sort_array(F.collect_set(group)).alias("pattern"))
+    return held.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+def intersections(patterns: DataFrame) -> DataFrame:
+    """i, j, inter for all pairs i < j of groups that share an item; patterns of holders()."""
+    folded = patterns.filter(F.size("pattern") > 1)
     pairs = folded.select("n", "pattern", F.posexplode("pattern").alias("at", "i")).select("n", "i", F.explode(F.slice("pattern", F.col("at") + 2, F.size("pattern"))).alias("j"))
     return pairs.groupBy("i", "j").agg(F.sum("n").alias("inter"))
 
 
-def all_pairs(sets: DataFrame, group: str, zeros: bool = False) -> DataFrame:
-    """i, j, inter, uni, jaccard, in_i, in_j for the pairs i < j of groups that share an item.
+def all_pairs(sets: DataFrame | None, group: str, zeros: bool = False, patterns: DataFrame | None = None) -> DataFrame:
+    """i, j, inter, uni, jaccard, in_i, in_j for the pairs i < j of groups that share an item; sets: (group, kmer), repeats allowed.
 
-    zeros adds the pairs that share nothing, so that the result is the whole triangle of groups.
+    zeros adds the pairs that share nothing, so that the result is the whole triangle of groups. patterns: holders(sets), if
+    it is there already, as a written table.
     """
-    sizes = sets.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    shared = intersections(sets, group)
-    if zeros:
-        names = sizes.agg(F.sort_array(F.collect_list(group)).alias("g")).select("g", F.posexplode("g").alias("at", "i"))  # the triangle's side: one name per group
-        every = names.select("i", F.explode(F.slice("g", F.col("at") + 2, F.size("g"))).alias("j"))
-        shared = every.join(shared, ["i", "j"], "left").na.fill(0, ["inter"])
+    patterns = written(holders(sets, group), "patterns") if patterns is None else patterns  # one shuffle by item; sizes and pairs follow from it
+    sizes = patterns.select(F.explode("pattern").alias(group), "n").groupBy(group).agg(F.sum("n").alias("size"))
+    shared = intersections(patterns)
     a, b = sizes.select(F.col(group).alias("i"), F.col("size").alias("si")), sizes.select(F.col(group).alias("j"), F.col("size").alias("sj"))
-    both = shared.join(a, "i").join(b, "j")
+    if zeros:  # asked for as a triangle: as many rows as pairs of groups
+        sizes = written(sizes, "sizes")
+        a, b = sizes.select(F.col(group).alias("i"), F.col("size").alias("si")), sizes.select(F.col(group).alias("j"), F.col("size").alias("sj"))
+        both = a.join(b, F.col("i") < F.col("j")).join(shared, ["i", "j"], "left").na.fill(0, ["inter"])
+    else:
+        both = shared.join(a, "i").join(b, "j")
     uni = F.col("si") + F.col("sj") - F.col("inter")
     return both.select("i", "j", "inter", uni.alias("uni"), F.when(uni > 0, F.col("inter") / uni).otherwise(0.0).alias("jaccard"), (F.col("inter") / F.col("si")).alias("in_i"), (F.col("inter") / F.col("sj")).alias("in_j"))
 
@@ -48,10 +59,26 @@ def nearest(pairs: DataFrame, k: int, i: str = "i", j: str = "j", by: str = "jac
     return both.withColumn("place", place).filter(F.col("place") <= k)
 
 
-def bottom_k(sets: DataFrame, group: str, size: int, key: Column | None = None) -> DataFrame:
-    """group, hash: the `size` least hashes of each group's items."""
-    rows = sets.select(group, (F.xxhash64("kmer") if key is None else key).alias("hash"))
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy("hash"))).filter(F.col("_r") <= size).drop("_r")
+def bottom_k(rows: DataFrame, group: str, size: int, key: Column | None = None) -> DataFrame:
+    """group, hash: the `size` least hashes of each group's items (group, kmer), repeats allowed.
+
+    Ranks are cut before the shuffle too, so a task sends `size` hashes of a group at most.
+    """
+    hashed = rows.select(group, (F.xxhash64("kmer") if key is None else key).alias("hash"))
+    rank = F.dense_rank().over(Window.partitionBy(group).orderBy("hash"))
+    return hashed.withColumn("_r", rank).filter(F.col("_r") <= size).select(group, "hash").distinct()
+
+
+def bottom_k_sample(counts: DataFrame, group: str, size: int) -> DataFrame:
+    """group, hash, kmer, n: a bottom-k sketch with the items and counts that its hashes stand for. counts: group, kmer, n, no repeats."""
+    hashed = counts.select(group, F.xxhash64("kmer").alias("hash"), "kmer", "n")
+    rank = F.dense_rank().over(Window.partitionBy(group).orderBy("hash"))
+    return hashed.withColumn("_r", rank).filter(F.col("_r") <= size).drop("_r")
+
+
+def merged(sketches: DataFrame, size: int) -> DataFrame:
+    """hash: the bottom-k sketch of the union of all groups."""
+    return sketches.select("hash").distinct().orderBy("hash").limit(size)
 
 
 def bottom_k_jaccard(sketches: DataFrame, group: str, size: int) -> DataFrame:
@@ -99,21 +126,65 @@ def quantized(value: Column, a: float, b: float, most: int) -> Column:
     return F.least(F.greatest(F.floor(1 - F.log(value * a) / F.log(F.lit(b))), F.lit(0)), F.lit(most)).cast("int")
 
 
+def register_parameters(greatest: float, least: float, most: int) -> tuple[float, float]:
+    """a, b for quantized(): registers from 0 for the greatest value to `most` for the least."""
+    b = (greatest / least) ** (1 / most)
+    return b / greatest, b
+
+
 def matrix(pairs: DataFrame, by: str = "jaccard") -> DataFrame:
     """One row per i, one column per j."""
     return pairs.groupBy("i").pivot("j").agg(F.first(by))
 
 
-def banded(sketches: DataFrame, group: str, bands: int, rows: int) -> DataFrame:
-    """i, j: pairs of groups whose sketches agree in a whole band of hashes, by an equi-join on the band.
-
-    A band takes, for each of its rows, the least of the items' hashes under another seed.
-    """
+def signatures(items: DataFrame, group: str, bands: int, rows: int) -> DataFrame:
+    """group, bands: a key for each band; a band takes, for each of its rows, the least of the items' hashes under another seed."""
     mins = [F.min(F.xxhash64(F.lit(b * rows + r), "hash")).alias(f"m{b * rows + r}") for b in range(bands) for r in range(rows)]
-    sign = sketches.groupBy(group).agg(*mins)
     keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
-    held = sign.select(group, F.explode(keys).alias("band")).groupBy("band").agg(F.sort_array(F.collect_set(group)).alias("g")).filter(F.size("g") > 1).select("g").distinct()
-    return held.select(F.posexplode("g").alias("at", "i"), "g").select("i", F.explode(F.slice("g", F.col("at") + 2, F.size("g"))).alias("j")).distinct()
+    return items.groupBy(group).agg(*mins).select(group, keys.alias("bands"))
+
+
+def classes(signed: DataFrame, group: str) -> DataFrame:
+    """group, class: groups that agree in all bands are one class, called by its least group."""
+    least = signed.groupBy("bands").agg(F.min(group).alias("class"))
+    return signed.join(least, "bands").select(group, "class")
+
+
+def banded(items: DataFrame, group: str, bands: int, rows: int, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs, membership): pairs i < j of classes that agree in a whole band, with the number of such bands; and group, class.
+
+    Equal sets are one class, so a band that many equal groups share has one member. most: of each class, the pairs with
+    most bands, that many at least.
+    """
+    signed = written(signatures(items, group, bands, rows), "signatures")
+    member = written(classes(signed, group), "classes")
+    each = signed.join(member.filter(F.col(group) == F.col("class")), group).select(group, F.explode("bands").alias("band"))
+    held = each.groupBy("band").agg(F.sort_array(F.collect_list(group)).alias("g")).filter(F.size("g") > 1)
+    folded = held.groupBy("g").agg(F.count(F.lit(1)).alias("n"))  # bands with the same members cost their pairs once
+    pairs = folded.select(F.posexplode("g").alias("at", "i"), "g", "n").select("i", F.explode(F.slice("g", F.col("at") + 2, F.size("g"))).alias("j"), "n").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    if most is not None:
+        pairs = written(pairs, "pairs")
+        sides = pairs.select("i", "j", "n", F.col("i").alias("of")).unionByName(pairs.select("i", "j", "n", F.col("j").alias("of")))
+        place = F.rank().over(Window.partitionBy("of").orderBy(F.desc("n")))
+        pairs = sides.withColumn("_r", place).filter(F.col("_r") <= most).select("i", "j", "n").distinct()
+    return pairs, member
+
+
+def lsh_nearest(items: DataFrame, group: str, k: int, bands: int = 16, rows: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(item, neighbor, value, place of classes; group, class): the k most similar classes of each, by exact Jaccard similarity.
+
+    Three times as many candidates as asked for come from the bands and are ranked anew by their items (group, hash).
+    """
+    pairs, member = banded(items, group, bands, rows, 3 * k)
+    pairs = written(pairs.select("i", "j"), "candidates")
+    only = member.filter(F.col(group) == F.col("class")).select(group)
+    sets = written(items.select(group, "hash").join(only, group, "left_semi").distinct(), "items")
+    sizes = sets.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
+    mine = pairs.join(sets.select(F.col(group).alias("i"), "hash"), "i")
+    shared = mine.join(sets.select(F.col(group).alias("j"), "hash"), ["j", "hash"]).groupBy("i", "j").agg(F.count(F.lit(1)).alias("inter"))
+    a, b = sizes.select(F.col(group).alias("i"), F.col("size").alias("si")), sizes.select(F.col(group).alias("j"), F.col("size").alias("sj"))
+    scored = shared.join(a, "i").join(b, "j").select("i", "j", (F.col("inter") / (F.col("si") + F.col("sj") - F.col("inter"))).alias("jaccard"))
+    return nearest(scored, k), member
 
 
 def weighted_jaccard(counts: DataFrame, group: str) -> DataFrame:

@@ -95,6 +95,21 @@ def distance(near: DataFrame, pairs: DataFrame, leaf: str, root: str) -> DataFra
     return pairs.join(near.select(F.col("taxid").alias(leaf), F.col("anc").alias(root), F.col("dist")), [leaf, root], "left")
 
 
+def largest(tree: DataFrame) -> DataFrame:
+    """largest: the greatest taxid that the tree names."""
+    return tree.agg(F.greatest(F.max("taxid"), F.max("parent")).alias("largest"))
+
+
+def parent_of(asked: DataFrame, tree: DataFrame) -> DataFrame:
+    """asked (taxid, ...) with parent, null for an unknown taxid."""
+    return asked.join(tree.select("taxid", "parent"), "taxid", "left")
+
+
+def rank_histogram(tree: DataFrame) -> DataFrame:
+    """rank, n."""
+    return tree.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+
+
 def descendants(near: DataFrame, proper: bool = True) -> DataFrame:
     """anc, taxid: every node below each node."""
     return near.filter("dist > 0" if proper else "true").select("anc", "taxid")
@@ -139,7 +154,7 @@ def reform(tree: DataFrame, genomes: DataFrame, near: DataFrame | None = None) -
     Where several genomes share a taxid, each becomes a child of it; then ids are dense by depth and former id. The new
     ids before that are numbers past the largest, in order of taxid and genome.
     """
-    top = tree.agg(F.greatest(F.max("taxid"), F.max("parent"))).first()[0] or 1
+    top = largest(tree).first()[0] or 1
     many = genomes.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("taxid")))
     fresh = many.filter("_n > 1").withColumn("fresh", (F.row_number().over(Window.orderBy("taxid", "genome")) + top).cast("long"))
     more = tree.select(F.col("taxid").cast("long").alias("taxid"), F.col("parent").cast("long").alias("parent")).unionByName(fresh.select(F.col("fresh").alias("taxid"), F.col("taxid").cast("long").alias("parent")))

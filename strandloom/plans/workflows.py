@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from ..operators import sets as A
 from ..operators import similarity as U
 from ..operators import taxonomy as T
 from ..sources import sequences, tables
-from ..storage import shared_dir, written
+from ..storage import new_path, written
 
 
 def seed_of(k: int = 31, w: int = 0, spacing: str = "", canonical: bool = True) -> Seed:
@@ -38,31 +38,109 @@ def build_database(spark: SparkSession, paths, nodes_path: str, names_path: str,
     return D.load(spark, to)[0]
 
 
-def classify_files(spark: SparkSession, first, database_path: str, nodes_path: str, second=None, everything: bool = True) -> DataFrame:
-    """Lines for the reads of one file, or of two files of mates."""
+def classify_files(spark: SparkSession, first, database_path: str, nodes_path: str, second=None, everything: bool = True, fastq: bool = False, runs: bool = True) -> DataFrame:
+    """id, value for the reads of some files, or of two lists of files whose n-th ones hold mates: lines, or FASTQ records.
+
+    id is the read's number in the order of files and records; runs puts the taxa's runs behind a FASTQ record's comment too.
+    """
     database, seed = D.load(spark, database_path)
     tree = T.nodes(tables.read_taxonomy(spark, nodes_path))
-    one = sequences.read_sequences(spark, first)
-    rows = sequences.pair(one, sequences.read_sequences(spark, second)).withColumnRenamed("read_id", "id") if second else one.withColumnRenamed("rec_no", "id")
-    found = C.classify(rows, database, tree, seed)
-    named = rows.groupBy("id").agg(F.first(sequences.trim_mate(F.col("name"))).alias("name"))
-    runs = C.taxa_runs(rows if not second else rows.filter("mate = 1"), database, seed)
-    return C.kraken_lines(found.join(named, "id"), runs, "id", "name", everything)
-
-
-def count_kmers(spark: SparkSession, paths, k: int = 31, canonical: bool = True, to: str | None = None) -> DataFrame:
-    """kmer, n of all records, most frequent first; k over 31 is counted by rolling hash."""
+    one = sequences.numbered_reads(spark, first)
+    if second:
+        two = sequences.numbered_reads(spark, second)
+        if lost := sequences.unpaired(one, two):
+            warnings.warn(f"{lost} records have no mate and are left out", stacklevel=2)
+        rows = sequences.pair(one, two).withColumnRenamed("read_id", "id")
+    else:
+        rows = one.select(sequences.read_id(F.col("file_no"), F.col("rec_no")).alias("id"), F.lit(1).cast("tinyint").alias("mate"), sequences.trim_mate(F.col("name")).alias("name"), "comment", "seq", "qual")
+    rows = written(rows, "reads")
+    found = written(C.classify(rows, database, tree, seed), "classified")
+    listed = C.taxa_runs(rows, database, seed, mate="mate") if runs or not fastq else None
+    if fastq:
+        return C.fastq_records(rows, found, "id", everything, "name", listed, "mate")
+    named = rows.filter("mate = 1").select("id", "name")
+    return C.kraken_lines(found.join(named, "id"), listed, "id", "name", everything, keep=True)
+
+
+def count_kmers(spark: SparkSession, paths, k: int = 31, canonical: bool = True, to: str | None = None, form: str = "tsv") -> DataFrame:
+    """kmer, n of all records, most frequent first; k over 31 is counted by rolling hash. to, form: local files of stream_counts()."""
     rows = sequences.read_sequences(spark, paths)
     if k <= 31:
         found = A.kmer_counts(rows, seed_of(k, canonical=canonical))
     else:
-        found = K.rolling(rows.select(F.lit(0).alias("id"), "seq"), k, 0, ["id"], family="strand_free" if canonical else "cyclic").groupBy(F.col("hash").alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
+        found = K.rolling(rows.select(F.lit(0).alias("id"), "seq"), k, 0, ["id"], family=_family(canonical)).groupBy(F.col("hash").alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
     out = found.orderBy(F.desc("n"), "kmer")
     if to:
-        tables.write_tsv(out, to)
+        tables.stream_counts(written(out, "counts"), to, form)
     return out
 
 
+def _family(canonical: bool) -> str:
+    return "strand_free" if canonical else "cyclic"
+
+
+def index_positions(spark: SparkSession, paths, to: str, k: int = 31, canonical: bool = True) -> None:
+    """A positional index of the files' records with their names, comments and lengths, saved at `to`."""
+    rows = written(tables.numbered(sequences.numbered_reads(spark, paths).withColumn("at", sequences.read_id(F.col("file_no"), F.col("rec_no"))), "at", "ref"), "records")
+    refs = rows.select("ref", "name", "comment", F.length("seq").alias("len"))
+    tables.save_index(A.postings(rows, seed_of(k, canonical=canonical), "ref"), refs, {"k": k, "canonical": canonical, "kind": "positions"}, to)
+
+
+def index_references(spark: SparkSession, paths, to: str, k: int = 31, canonical: bool = True) -> None:
+    """An inverted index of files (k-mer to the numbers of the files that hold it), with their paths and lengths, saved at `to`."""
+    rows = written(sequences.numbered_reads(spark, paths).withColumnRenamed("file_no", "ref"), "records")
+    refs = rows.groupBy("ref").agg(F.first("path").alias("name"), F.lit(None).cast("string").alias("comment"), F.sum(F.length("seq")).alias("len"))
+    held = K.parts(rows, seed_of(k, canonical=canonical), ["ref"]).groupBy("kmer").agg(F.sort_array(F.collect_set("ref")).alias("ids"))
+    tables.save_index(held, refs, {"k": k, "canonical": canonical, "kind": "references"}, to)
+
+
+def screen_files(spark: SparkSession, paths, index_path: str) -> DataFrame:
+    """path, name, hits, share: how many of a reference's k-mers each file has, and the share of the file's k-mers that are."""
+    index, refs, facts = tables.load_index(spark, index_path)
+    mine = written(A.distinct_sets(sequences.read_sequences(spark, paths), seed_of(facts["k"], canonical=facts["canonical"]), ["path"]), "sets")
+    size = mine.groupBy("path").agg(F.count(F.lit(1)).alias("size"))
+    hits = mine.join(index, "kmer").select("path", F.explode("ids").alias("ref")).groupBy("path", "ref").agg(F.count(F.lit(1)).alias("hits"))
+    return hits.join(refs, "ref").join(size, "path").select("path", "name", "hits", (F.col("hits") / F.col("size")).alias("share"))
+
+
+def from_fasta_rolling(spark: SparkSession, paths, ks: list[int], w: int = 0, canonical: bool = True) -> DataFrame:
+    """path, rec_no, k, pos, hash of every record: rolling hashes for several k of any length."""
+    return K.rolling_set(sequences.read_sequences(spark, paths), ks, w, ["path", "rec_no"], family=_family(canonical))
+
+
+def by_record(spark: SparkSession, paths, k: int = 31, spacing: str = "", w: int = 0, canonical: bool = True, rolling: bool = False) -> DataFrame:
+    """path, rec_no, name, kmers: each record's k-mers (or rolling hashes) in order, as one array: a record is one row."""
+    rows = sequences.read_sequences(spark, paths)
+    found = K.rolling(rows, k, w, ["path", "rec_no"], family=_family(canonical)).withColumnRenamed("hash", "kmer") if rolling else K.kmers(rows, seed_of(k, w, spacing, canonical), ["path", "rec_no"])
+    lists = found.groupBy("path", "rec_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "kmer"))), lambda x: x["kmer"]).alias("kmers"))
+    return rows.select("path", "rec_no", "name").join(lists, ["path", "rec_no"], "left").withColumn("kmers", F.coalesce("kmers", F.array().cast("array<long>")))
+
+
+def repack(df: DataFrame, ks: tuple[int, int], kmer: str = "kmer") -> DataFrame:
+    """df with k-mers of ks[0] bases cut to their first ks[1] bases."""
+    long, short = ks
+    if not 0 < short <= long <= 31:
+        raise ValueError("k-mers are cut to fewer bases, from 31 at most")
+    return df.withColumn(kmer, F.shiftrightunsigned(kmer, 2 * (long - short)))
+
+
+def sketch_ks(spark: SparkSession, paths, ks: list[int], log_size: int = 14) -> DataFrame:
+    """path, k, sketch: HyperLogLog sketches of rolling hashes for several k, in one pass."""
+    return U.hll(from_fasta_rolling(spark, paths, ks), ["path", "k"], log_size, "hash")
+
+
+def sketch_sets(spark: SparkSession, paths, size: int = 4096) -> DataFrame:
+    """path, hash: bottom-k sketches of stored k-mer sets."""
+    return U.bottom_k(tables.read_kmer_set(spark, paths), "path", size)
+
+
+def sample_kmers(spark: SparkSession, paths, to: str, k: int = 31, size: int = 4096) -> DataFrame:
+    """path, hash, kmer, n: sketches with the k-mers and counts that they stand for, saved at `to`."""
+    rows = K.counted(sequences.read_sequences(spark, paths), seed_of(k), ["path"])
+    tables.save_sketches(U.bottom_k_sample(rows, "path", size), "path", to)
+    return tables.load_sketches(spark, to, "path")
+
+
 def from_fasta(spark: SparkSession, paths, k: int = 31, spacing: str = "", w: int = 0, canonical: bool = True, unique: bool = False) -> DataFrame:
     """path, rec_no, pos, kmer of every record; unique: path, kmer, once each."""
     rows, seed = sequences.read_sequences(spark, paths), seed_of(k, w, spacing, canonical)
@@ -98,12 +176,12 @@ def sketch_errors(spark: SparkSession, size: int, overlaps: list[float], log_siz
 
 def compare_files(spark: SparkSession, paths, k: int = 31) -> DataFrame:
     """i, j, inter, uni, jaccard of the k-mer sets of files."""
-    return U.all_pairs(written(A.distinct_sets(sequences.read_sequences(spark, paths), seed_of(k), ["path"]), "sets"), "path")
+    return U.all_pairs(K.parts(sequences.read_sequences(spark, paths), seed_of(k), ["path"]), "path")
 
 
 def sketch_files(spark: SparkSession, paths, k: int = 31, size: int = 4096) -> DataFrame:
     """path, hash: bottom-k sketches of files."""
-    return U.bottom_k(A.distinct_sets(sequences.read_sequences(spark, paths), seed_of(k), ["path"]), "path", size)
+    return U.bottom_k(K.parts(sequences.read_sequences(spark, paths), seed_of(k), ["path"]), "path", size)
 
 
 def nearest_files(spark: SparkSession, paths, k: int = 31, size: int = 4096, neighbors: int = 5) -> DataFrame:
@@ -112,16 +190,15 @@ def nearest_files(spark: SparkSession, paths, k: int = 31, size: int = 4096, nei
 
 def discover_taxa(genomes: DataFrame, tree: DataFrame, seed: Seed, most: int | None = None) -> DataFrame:
     """New nodes from the presence patterns of each parent's clades, as many as fit or as told."""
-    near = T.closure(tree)
-    sets = K.parts(genomes, seed, ["taxid"]).join(near, "taxid").select(F.col("anc").alias("taxid"), "kmer").distinct()
+    rows = K.parts(genomes, seed, ["taxid"]).select("taxid", "kmer")
     facts = tree.agg(F.max("taxid"), F.count(F.lit(1))).first()
-    return M.emit(M.node_scores(M.subtree_patterns(sets, tree)), facts[0], M.room(facts[1]) if most is None else most)
+    return M.emit(M.node_scores(M.subtree_patterns(rows, tree, T.closure(tree))), facts[0], M.room(facts[1]) if most is None else most)
 
 
 def complete(stream: DataFrame, name: str) -> DataFrame:
     """The result of an aggregated stream over a bounded input, after its last batch."""
     spark = stream.sparkSession
-    place = f"{shared_dir(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
+    place = new_path(spark, name)
 
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/out")

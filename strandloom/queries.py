@@ -6,7 +6,6 @@ root, language, source. Region, nation, customer and supplier give a purely rela
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,7 +22,7 @@ from .operators import similarity as U
 from .operators import taxonomy as T
 from .plans import workflows
 from .sources import sequences, tables
-from .storage import shared_dir, spread, written
+from .storage import new_path, spread, written
 from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,8 +62,10 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
 def doc_tree(spark: SparkSession, d: str) -> DataFrame:
     """taxid, parent, rank, lang, source: root 1, languages from 2 on, sources of a language from 101 on."""
     docs = table(spark, d, "documents").select("lang", "source").distinct()
-    langs = docs.select("lang").distinct().withColumn("taxid", F.row_number().over(Window.orderBy("lang")) + 1)
-    leaves = docs.withColumn("taxid", F.row_number().over(Window.orderBy("lang", "source")) + 100).join(langs.select("lang", F.col("taxid").alias("parent")), "lang")
+    last = lambda c: F.col(c).asc_nulls_last()
+    langs = docs.select("lang").distinct().withColumn("taxid", F.row_number().over(Window.orderBy(last("lang"))) + 1)
+    numbered = docs.withColumn("taxid", F.row_number().over(Window.orderBy(last("lang"), last("source"))) + 100)
+    leaves = numbered.join(langs.select(F.col("lang").alias("_l"), F.col("taxid").alias("parent")), F.col("lang").eqNullSafe(F.col("_l"))).drop("_l")
     none = F.lit(None).cast("string")
     root = spark.range(1).select(F.lit(1).alias("taxid"), F.lit(0).alias("parent"), F.lit("root").alias("rank"), none.alias("lang"), none.alias("source"))
     out = root.unionByName(langs.select("taxid", F.lit(1).alias("parent"), F.lit("genus").alias("rank"), "lang", none.alias("source"))).unionByName(leaves.select("taxid", "parent", F.lit("species").alias("rank"), "lang", "source"))
@@ -73,8 +74,13 @@ def doc_tree(spark: SparkSession, d: str) -> DataFrame:
 
 def doc_genomes(spark: SparkSession, d: str, tree: DataFrame) -> DataFrame:
     """genome, taxid, seq of every document."""
-    leaf = tree.filter("rank = 'species'").select("lang", "source", "taxid")
-    return dna(spark, d, "lang", "source").join(leaf, ["lang", "source"]).select(F.col("id").alias("genome"), "taxid", "seq")
+    return with_leaf(dna(spark, d, "lang", "source"), tree).select(F.col("id").alias("genome"), "taxid", "seq")
+
+
+def with_leaf(rows: DataFrame, tree: DataFrame) -> DataFrame:
+    """rows (lang, source, ...) with the taxid of their leaf; null is a language and a source like any other."""
+    leaf = tree.filter("rank = 'species'").select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "taxid")
+    return rows.join(leaf, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_l", "_s")
 
 
 def place_tree(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +106,8 @@ def _kmers(name: str, source: str, k: int = KMER, canonical: bool = True, keep:
 
 _TREE = """langs AS (SELECT lang, 1 + row_number() OVER (ORDER BY lang) AS taxid FROM (SELECT DISTINCT lang FROM documents)),
 leaves AS (SELECT lang, source, 100 + row_number() OVER (ORDER BY lang, source) AS taxid FROM (SELECT DISTINCT lang, source FROM documents)),
-tree AS (SELECT 1::BIGINT AS taxid, 0::BIGINT AS parent UNION ALL SELECT taxid, 1 FROM langs UNION ALL SELECT l.taxid, g.taxid FROM leaves l JOIN langs g USING (lang))"""
+tree AS (SELECT 1::BIGINT AS taxid, 0::BIGINT AS parent UNION ALL SELECT taxid, 1 FROM langs UNION ALL SELECT l.taxid, g.taxid FROM leaves l JOIN langs g ON l.lang IS NOT DISTINCT FROM g.lang)"""
+_LEAF_AT = "ON dna.lang IS NOT DISTINCT FROM leaves.lang AND dna.source IS NOT DISTINCT FROM leaves.source"
 _PLACES = """tree AS (SELECT 1::BIGINT AS taxid, 0::BIGINT AS parent, 'root' AS rank UNION ALL SELECT r_regionkey + 2, 1, 'phylum' FROM region
 UNION ALL SELECT n_nationkey + 100, n_regionkey + 2, 'class' FROM nation UNION ALL SELECT s_suppkey + 1000, s_nationkey + 100, 'species' FROM supplier
 UNION ALL SELECT c_custkey + 100000, c_nationkey + 100, 'species' FROM customer)"""
@@ -120,7 +127,7 @@ def _lca(name: str, source: str, keys: str) -> str:
     )
 
 
-_GENOMES = f"{_DOCS}, {_TREE}, genomes AS (SELECT id, taxid, seq FROM dna JOIN leaves USING (lang, source)), {_kmers('gk', 'genomes', keep='id, taxid')}"
+_GENOMES = f"{_DOCS}, {_TREE}, genomes AS (SELECT id, taxid, seq FROM dna JOIN leaves {_LEAF_AT}), {_kmers('gk', 'genomes', keep='id, taxid')}"
 _DATABASE = f"{_GENOMES}, {_CLOSURE}, kt AS (SELECT DISTINCT kmer, taxid FROM gk), {_lca('db', 'kt', 'kmer')}"
 
 
@@ -325,34 +332,36 @@ _SOURCES = f"{_DOCS}, {_kmers('km', 'dna', keep='source')}, sets AS (SELECT DIST
 _PAIRS = f"{_SOURCES}, sizes AS (SELECT source, count(*) AS n FROM sets GROUP BY source), pairs AS (SELECT a.source AS i, b.source AS j, count(*) AS inter FROM sets a JOIN sets b ON a.kmer = b.kmer AND a.source < b.source GROUP BY a.source, b.source), full_pairs AS (SELECT p.i, p.j, p.inter, x.n + y.n - p.inter AS uni, x.n AS si, y.n AS sj FROM pairs p JOIN sizes x ON x.source = p.i JOIN sizes y ON y.source = p.j)"
 
 
-def source_sets(spark, d) -> DataFrame:
-    return A.distinct_sets(dna(spark, d, "source"), SEED, ["source"])
+def source_kmers(spark, d) -> DataFrame:
+    """source, kmer, folded within batches only."""
+    return K.parts(dna(spark, d, "source"), SEED, ["source"]).select("source", "kmer")
 
 
 @query(f"WITH {_PAIRS} SELECT i, j, inter, uni, round(inter / uni, 9) AS jaccard, round(inter / si, 9) AS in_i, round(inter / sj, 9) AS in_j FROM full_pairs")
 def pairwise_jaccard(spark, d):
-    rows = U.all_pairs(written(source_sets(spark, d), "sets"), "source")
+    rows = U.all_pairs(source_kmers(spark, d), "source")
     return rows.select("i", "j", "inter", "uni", *[F.round(c, 9).alias(c) for c in ("jaccard", "in_i", "in_j")])
 
 
 @query(f"WITH {_PAIRS}, num AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS k, count(*) OVER () AS n FROM sizes) SELECT (x.k * (2 * x.n - x.k - 1) // 2 + y.k - x.k - 1)::BIGINT AS place, uni FROM full_pairs p JOIN num x ON x.source = p.i JOIN num y ON y.source = p.j")
 def pairwise_union(spark, d):
-    sets = written(source_sets(spark, d), "sets")
-    number = sets.select("source").distinct().select("source", (F.row_number().over(Window.orderBy("source")) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    patterns = written(U.holders(source_kmers(spark, d), "source"), "patterns")
+    names = patterns.select(F.explode("pattern").alias("source")).distinct()
+    number = names.select("source", (F.row_number().over(Window.orderBy("source")) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
     a, b = number.select(F.col("source").alias("i"), F.col("k").alias("a"), "n"), number.select(F.col("source").alias("j"), F.col("k").alias("b"))
-    return U.all_pairs(sets, "source").join(a, "i").join(b, "j").select(U.condensed_index(F.col("a"), F.col("b"), F.col("n")).alias("place"), "uni")
+    return U.all_pairs(None, "source", patterns=patterns).join(a, "i").join(b, "j").select(U.condensed_index(F.col("a"), F.col("b"), F.col("n")).alias("place"), "uni")
 
 
 @query(f"WITH {_PAIRS}, v AS (SELECT i AS item, j AS neighbor, inter / uni AS value FROM full_pairs UNION ALL SELECT j, i, inter / uni FROM full_pairs), r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY value DESC, neighbor) AS place FROM v) SELECT item, neighbor, place FROM r WHERE place <= 3")
 def knn_topk(spark, d):
-    return U.nearest(U.all_pairs(written(source_sets(spark, d), "sets"), "source"), 3).select("item", "neighbor", F.col("place").cast("long").alias("place"))
+    return U.nearest(U.all_pairs(source_kmers(spark, d), "source"), 3).select("item", "neighbor", F.col("place").cast("long").alias("place"))
 
 
 _BOTTOM = f"{_SOURCES}, r AS (SELECT source, md5(kmer) AS hash, row_number() OVER (PARTITION BY source ORDER BY md5(kmer)) AS r FROM sets), sk AS (SELECT source, hash FROM r WHERE r <= 256)"
 
 
 def _sketches(spark, d) -> DataFrame:
-    return U.bottom_k(source_sets(spark, d), "source", 256, F.md5(S.decode(F.col("kmer"), KMER).cast("binary")))
+    return U.bottom_k(source_kmers(spark, d), "source", 256, F.md5(S.decode(F.col("kmer"), KMER).cast("binary")))
 
 
 @query(f"WITH {_BOTTOM} SELECT source, hash FROM sk")
@@ -370,32 +379,96 @@ def weighted_jaccard(spark, d):
     return U.weighted_jaccard(K.counted(dna(spark, d, "source"), Seed(6), ["source"]), "source").withColumn("jaccard", F.round("jaccard", 9))
 
 
-@query()
+# Sketches have no SQL, but their error bounds do: the exact values, and that the estimates are within some standard errors.
+
+
+@query(f"WITH {_SOURCES} SELECT source, count(*) AS exact, true AS near FROM sets GROUP BY source")
 def hll_cardinality(spark, d):
-    return U.hll_cardinality(U.hll(source_sets(spark, d), ["source"]), ["source"])
+    rows = written(source_kmers(spark, d), "kmers")
+    exact = rows.groupBy("source").agg(F.count_distinct("kmer").alias("exact"))
+    both = exact.join(U.hll_cardinality(U.hll(rows, ["source"]), ["source"]), "source")
+    return both.select("source", "exact", (F.abs(F.col("n") - F.col("exact")) <= 4 * 1.04 / 2**7 * F.col("exact") + 1).alias("near"))
 
 
-@query()
+@query(f"WITH {_PAIRS} SELECT i, j, round(inter / uni, 9) AS exact, true AS near FROM full_pairs")
 def theta_jaccard(spark, d):
-    sets = written(source_sets(spark, d), "sets")
-    return U.theta_jaccard(written(U.theta(sets, ["source"]), "theta"), U.candidates(U.bottom_k(sets, "source", 1024), "source"), "source")
+    rows = written(source_kmers(spark, d), "kmers")
+    exact = written(U.all_pairs(rows, "source").select("i", "j", "jaccard"), "pairs")
+    both = U.theta_jaccard(written(U.theta(rows, ["source"]), "theta"), exact, "source").withColumnRenamed("jaccard", "estimate").join(exact, ["i", "j"])
+    return both.select("i", "j", F.round("jaccard", 9).alias("exact"), (F.abs(F.col("estimate") - F.col("jaccard")) <= 5 / 2**6).alias("near"))
 
 
-@query()
+@query("SELECT n || '.0' AS i, n || '.1' AS j, round(inter / (40000 - inter), 9) AS exact, true AS near FROM (VALUES (0, 2000::DOUBLE), (1, 10000::DOUBLE), (2, 18000::DOUBLE)) v(n, inter)")
 def sketch_error(spark, d):
-    return workflows.sketch_errors(spark, 20_000, [0.1, 0.5, 0.9])
+    rows = workflows.sketch_errors(spark, 20_000, [0.1, 0.5, 0.9])
+    return rows.select("i", "j", F.round("exact", 9).alias("exact"), (F.abs(F.col("estimate") - F.col("exact")) <= 5 / 2**6).alias("near"))
 
 
 @query()
 def lsh_neighbors(spark, d):
+    """id, class, neighbor, place, jaccard: each document's class of equal sets, and the classes most like it; recall is measured in the tests."""
     sets = K.counted_each(dna(spark, d), Seed(13)).select("id", F.col("kmer").alias("hash"))
-    return U.banded(sets, "id", 8, 3)
+    near, member = U.lsh_nearest(written(sets, "sets"), "id", 3)
+    return member.join(near.withColumnRenamed("item", "class"), "class", "left").select("id", "class", "neighbor", "place", F.round("value", 9).alias("jaccard"))
 
 
-@query()
+# A polynomial hash of the codes 0 to 3, modulo 2**64, one letter at a time; an ambiguous window is left out.
+_POLY = "list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(translate(w, 'ACGT', '0123'), ''), lambda x: x::HUGEINT)), lambda a, x: (a * 37 + x) % 18446744073709551616::HUGEINT)"
+
+
+def _poly(k: int) -> str:
+    return f"p{k} AS (SELECT id, pos, {_POLY} AS hash FROM (SELECT id, pos, substr(seq, pos + 1, {k}) AS w FROM (SELECT id, seq, unnest(range(0, greatest(length(seq) - {k} + 1, 0))) AS pos FROM dna)) WHERE NOT contains(w, '.'))"
+
+
+_SUMS = "count(*) AS hashes, count(DISTINCT hash) AS kinds, sum((hash % 1000003)::BIGINT)::BIGINT AS residues"
+
+
+def _hash_sums(rows: DataFrame, *keys: str) -> DataFrame:
+    plain = F.col("hash").cast("decimal(20,0)")
+    unsigned = F.when(plain < 0, plain + F.expr(f"{1 << 64}BD")).otherwise(plain)
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("hashes"), F.count_distinct("hash").alias("kinds"), F.sum((unsigned % 1000003).cast("long")).alias("residues"))
+
+
+@query(f"WITH {_DOCS}, {_poly(34)}, runs AS (SELECT id, pos, hash, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS run FROM p34), wins AS (SELECT id, min(hash) OVER w AS hash, count(*) OVER w AS n FROM runs WINDOW w AS (PARTITION BY id, run ORDER BY pos ROWS 6 PRECEDING)) SELECT id, {_SUMS} FROM wins WHERE n = 7 GROUP BY id")
 def rolling_minimizers(spark, d):
-    rows = K.rolling(dna(spark, d), 40, 60, ["id"])
-    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("windows"), F.count_distinct("hash").alias("kinds"))
+    return _hash_sums(K.rolling(dna(spark, d), 34, 40, ["id"], family="karp_rabin"), "id")
+
+
+@query(f"WITH {_DOCS}, {_poly(9)}, {_poly(33)} SELECT id, 9 AS k, {_SUMS} FROM p9 GROUP BY id UNION ALL SELECT id, 33, {_SUMS} FROM p33 GROUP BY id")
+def rolling_multik(spark, d):
+    return _hash_sums(K.rolling_set(dna(spark, d), [9, 33], family="karp_rabin"), "id", "k")
+
+
+_PLN = " + ".join(f"CASE WHEN {b} > 0 THEN ({b} / 8.0::DOUBLE) * ln({b} / 8.0::DOUBLE) ELSE 0 END" for b in ("na", "nc", "ng", "nt"))
+_LAST_8 = "(PARTITION BY id, run ORDER BY pos ROWS 7 PRECEDING)"
+
+
+@query(f"WITH {_DOCS}, l AS (SELECT id, pos, substr(seq, pos + 1, 1) AS c FROM (SELECT id, seq, unnest(range(0, length(seq))) AS pos FROM dna)), r AS (SELECT *, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS run FROM l WHERE c <> '.'), n AS (SELECT id, count(*) OVER {_LAST_8} AS n, " + ", ".join(f"count(*) FILTER (c = '{b}') OVER {_LAST_8} AS n{b.lower()}" for b in "ACGT") + f" FROM r) SELECT id, count(*) AS letters, count(*) FILTER (n = 8) AS full_windows, round(sum(CASE WHEN n = 8 THEN round(abs({_PLN}), 6) ELSE 0 END), 3) AS total FROM n GROUP BY id")
+def window_entropy(spark, d):
+    rows = K.window_entropy(dna(spark, d), 8)
+    full = F.col("value") != -1.0
+    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("letters"), F.count_if(full).alias("full_windows"), F.round(F.sum(F.when(full, F.round(F.abs("value"), 6)).otherwise(0.0)), 3).alias("total"))
+
+
+# Windows that count seeds whatever lies between them, and sequences that are shorter than a window: their least seed.
+_FLUSH = "OVER (PARTITION BY id ORDER BY pos ROWS 249 PRECEDING)"
+
+
+@query(f"WITH {_DOCS}, {_kmers('km', 'dna')}, wins AS (SELECT id, min(kmer) {_FLUSH} AS best, count(*) {_FLUSH} AS n, count(*) OVER (PARTITION BY id) AS whole, row_number() OVER (PARTITION BY id ORDER BY pos DESC) AS back FROM km), mins AS (SELECT id, best FROM wins WHERE n = 250 OR whole < 250 AND back = 1) SELECT id, count(*) AS windows, count(DISTINCT best) AS kinds, min(best) AS least, max(best) AS greatest FROM mins GROUP BY id")
+def minimizer_flush(spark, d):
+    rows = K.counted_each(dna(spark, d), Seed(KMER, KMER + 249), across_gaps=True, partial=True)
+    out = rows.groupBy("id").agg(F.sum("n").alias("windows"), F.count(F.lit(1)).alias("kinds"), F.min("kmer").alias("a"), F.max("kmer").alias("z"))
+    return out.select("id", "windows", "kinds", S.decode(F.col("a"), KMER).alias("least"), S.decode(F.col("z"), KMER).alias("greatest"))
+
+
+@query(f"WITH {_DOCS}, {_windowed(8, 14, True, '-(length(kmer) - length(replace(kmer, chr(71), chr(32) || chr(32))))')} SELECT id, count(*) AS windows, count(DISTINCT kmer) AS kinds FROM mins GROUP BY id")
+def own_score(spark, d):
+    """Minimizers by a score that the caller gives: fewest G first."""
+
+    def fewest_g(kmers, k):
+        return sum((kmers >> (2 * i) & 3) == 2 for i in range(k))
+
+    return K.counted_each(dna(spark, d), Seed(8, 14), score=fewest_g).groupBy("id").agg(F.sum("n").alias("windows"), F.count(F.lit(1)).alias("kinds"))
 
 
 # Taxonomy ------------------------------------------------------------------------------------------------------------
@@ -456,7 +529,7 @@ def tax_sorted(spark, d):
 
 @query(f"WITH {_PLACES} SELECT greatest(max(taxid), max(parent)) AS largest FROM tree")
 def tax_max(spark, d):
-    return place_tree(spark, d).agg(F.greatest(F.max("taxid"), F.max("parent")).alias("largest"))
+    return T.largest(place_tree(spark, d))
 
 
 @query(f"WITH RECURSIVE {_PLACES}, {_CLOSURE} SELECT DISTINCT anc AS taxid FROM closure WHERE taxid IN (SELECT s_suppkey + 1000 FROM supplier WHERE s_acctbal > 0)")
@@ -472,18 +545,17 @@ def tax_accepted(spark, d):
     return T.under(near, table(spark, d, "customer").select((F.col("c_custkey") + 100000).alias("taxid")), roots)
 
 
-@query(f"WITH RECURSIVE {_DOCS}, {_TREE}, {_CLOSURE}, g AS (SELECT doc_id, taxid FROM documents JOIN leaves USING (lang, source)) SELECT anc AS taxid, count(*) AS genomes, sum(doc_id)::BIGINT AS ids FROM g JOIN closure USING (taxid) GROUP BY anc")
+@query(f"WITH RECURSIVE {_DOCS}, {_TREE}, {_CLOSURE}, g AS (SELECT id AS doc_id, taxid FROM dna JOIN leaves {_LEAF_AT}) SELECT anc AS taxid, count(*) AS genomes, sum(doc_id)::BIGINT AS ids FROM g JOIN closure USING (taxid) GROUP BY anc")
 def tax_genomes(spark, d):
     tree = doc_tree(spark, d)
-    leaf = tree.filter("rank = 'species'").select("lang", "source", "taxid")
-    genomes = table(spark, d, "documents").select("doc_id", "lang", "source").join(leaf, ["lang", "source"]).select("taxid", F.col("doc_id").alias("genome"))
+    genomes = with_leaf(table(spark, d, "documents").select("doc_id", "lang", "source"), tree).select("taxid", F.col("doc_id").alias("genome"))
     rows = T.genomes_below(T.closure(tree), genomes)
     return rows.select("taxid", F.size("genomes").cast("long").alias("genomes"), F.aggregate("genomes", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids"))
 
 
 @query(f"WITH {_PLACES} SELECT rank, count(*) AS n FROM tree GROUP BY rank")
 def rank_hist(spark, d):
-    return place_tree(spark, d).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+    return T.rank_histogram(place_tree(spark, d))
 
 
 @query("SELECT page_id, CASE WHEN n_nationkey IS NULL THEN 1 ELSE n_nationkey + 100 END::BIGINT AS taxid FROM pages LEFT JOIN nation ON n_name = 'NATION_' || page_id")
@@ -525,7 +597,7 @@ def db_hist(spark, d):
 @query(f"WITH RECURSIVE {_DATABASE} SELECT taxid, count(*) AS n FROM db WHERE taxid > 100 GROUP BY taxid")
 def db_saved(spark, d):
     database, _ = _database(spark, d)
-    path = f"{shared_dir(spark)}/strandloom/db-{uuid.uuid4().hex}"
+    path = new_path(spark, "db")
     D.save(database, SEED, path, buckets=8)
     back, seed = D.load(spark, path)
     assert seed == SEED
@@ -534,7 +606,7 @@ def db_saved(spark, d):
 
 @query(f"WITH {_DOCS} SELECT id::VARCHAR AS name, md5(seq) AS digest FROM dna WHERE seq <> ''")
 def fasta_round_trip(spark, d):
-    path = f"{shared_dir(spark)}/strandloom/fasta-{uuid.uuid4().hex}"
+    path = new_path(spark, "fasta")
     sequences.write_fasta(dna(spark, d).filter("seq <> ''"), path, "id")
     return sequences.read_fasta(spark, path).select("name", F.md5(F.col("seq").cast("binary")).alias("digest"))
 
@@ -652,14 +724,13 @@ def node_addn_score(spark, d):
     return M.addition_scores(_lang_patterns(spark, d), n).select(F.concat_ws(",", "pattern").alias("pattern"), "score")
 
 
-_SUB = f"{_DOCS}, {_TREE}, g AS (SELECT id, taxid, seq FROM dna JOIN leaves USING (lang, source)), {_kmers('km', 'g', keep='taxid')}, leaf_sets AS (SELECT DISTINCT taxid, kmer FROM km), sets AS (SELECT taxid, kmer FROM leaf_sets UNION SELECT parent, kmer FROM leaf_sets JOIN tree USING (taxid)), r AS (SELECT parent, taxid, kmer FROM sets JOIN tree USING (taxid) WHERE parent <> 0), z AS (SELECT parent, count(DISTINCT taxid) AS clades FROM r GROUP BY parent), p AS (SELECT parent, kmer, string_agg(taxid, ',' ORDER BY taxid) AS pattern, count(*) AS size FROM r GROUP BY parent, kmer), s AS (SELECT parent, clades, pattern, size, count(*) AS n FROM p JOIN z USING (parent) WHERE clades >= 2 AND size > 1 AND size < clades GROUP BY parent, clades, pattern, size)"
+_SUB = f"{_DOCS}, {_TREE}, g AS (SELECT id, taxid, seq FROM dna JOIN leaves {_LEAF_AT}), {_kmers('km', 'g', keep='taxid')}, leaf_sets AS (SELECT DISTINCT taxid, kmer FROM km), sets AS (SELECT taxid, kmer FROM leaf_sets UNION SELECT parent, kmer FROM leaf_sets JOIN tree USING (taxid)), r AS (SELECT parent, taxid, kmer FROM sets JOIN tree USING (taxid) WHERE parent <> 0), z AS (SELECT parent, count(DISTINCT taxid) AS clades FROM r GROUP BY parent), p AS (SELECT parent, kmer, string_agg(taxid, ',' ORDER BY taxid) AS pattern, count(*) AS size FROM r GROUP BY parent, kmer), s AS (SELECT parent, clades, pattern, size, count(*) AS n FROM p JOIN z USING (parent) WHERE clades >= 2 AND size > 1 AND size < clades GROUP BY parent, clades, pattern, size)"
 
 
 def _subtrees(spark, d) -> tuple[DataFrame, DataFrame]:
     tree = doc_tree(spark, d)
-    leaf = K.parts(doc_genomes(spark, d, tree), SEED, ["taxid"]).select("taxid", "kmer")
-    sets = leaf.join(F.broadcast(T.closure(tree)), "taxid").select(F.col("anc").alias("taxid"), "kmer").distinct()  # one row per node and ancestor of a small tree
-    return M.subtree_patterns(sets, tree), tree
+    rows = K.parts(doc_genomes(spark, d, tree), SEED, ["taxid"]).select("taxid", "kmer")
+    return M.subtree_patterns(rows, tree, T.closure(tree)), tree
 
 
 @query(f"WITH {_SUB} SELECT parent, pattern, n, ((clades - size) * n)::BIGINT AS score FROM s")
@@ -684,12 +755,119 @@ def metatree_condense(spark, d):
 # Rows, pairs and streams -------------------------------------------------------------------------------------------------
 
 
-@query("SELECT a.conv_id, a.turn AS first, b.turn AS second, length(a.text) + length(b.text) AS len FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'")
+def _fastq(spark, rows: DataFrame, name: str, order: str | None = "id") -> str:
+    """A folder of FASTQ written from rows (id, seq): with an order, one file."""
+    path = new_path(spark, name)
+    sequences.write_fastq(rows, path, "id", order=order)
+    return path
+
+
+_MATE_ROWS = "m AS (SELECT conv_id * 1000 + turn // 2 AS pair, turn % 2 AS mate, text FROM conversations WHERE turn < 20), both_m AS (SELECT pair FROM m GROUP BY pair HAVING count(DISTINCT mate) = 2), f AS (SELECT pair, mate, {dna} AS seq FROM m JOIN both_m USING (pair))"
+
+
+def _mate_files(spark, d) -> tuple[str, str]:
+    """Even and odd turns of conversations as two FASTQ files whose n-th records belong together."""
+    rows = table(spark, d, "conversations").filter("turn < 20").select((F.col("conv_id") * 1000 + F.floor(F.col("turn") / 2)).alias("pair"), (F.col("turn") % 2).alias("mate"), S.as_dna(F.col("text")).alias("seq"))
+    whole = rows.groupBy("pair").agg(F.count_distinct("mate").alias("n")).filter("n = 2").select("pair")
+    rows = written(rows.join(whole, "pair"), "mates")
+    one, two = (rows.filter(f"mate = {i}").select(F.concat("pair", F.lit(f"/{i + 1}")).alias("id"), "pair", "seq") for i in (0, 1))
+    return _fastq(spark, one, "first", "pair"), _fastq(spark, two, "second", "pair")
+
+
+@query("WITH " + _MATE_ROWS.replace("{dna}", _DNA) + " SELECT pair::VARCHAR AS name, max(CASE WHEN mate = 0 THEN md5(seq) END) AS first, max(CASE WHEN mate = 1 THEN md5(seq) END) AS second FROM f GROUP BY pair")
 def paired_reads(spark, d):
-    rows = table(spark, d, "conversations")
-    a = rows.filter("role = 'user'").select("conv_id", F.col("turn").alias("first"), F.length("text").alias("x"))
-    b = rows.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("second"), F.length("text").alias("y"))
-    return a.join(b, (a["conv_id"] == b["conv_id"]) & (F.col("second") == F.col("first") + 1)).select(a["conv_id"], "first", "second", (F.col("x") + F.col("y")).cast("long").alias("len"))
+    """Mates of two files, brought together by the number of the record."""
+    one, two = (sequences.numbered_reads(spark, p) for p in _mate_files(spark, d))
+    digest = lambda i: F.max(F.when(F.col("mate") == i, F.md5(F.col("seq").cast("binary"))))
+    return sequences.pair(one, two).groupBy("read_id").agg(F.first("name").alias("name"), digest(1).alias("first"), digest(2).alias("second")).drop("read_id")
+
+
+@query(f"WITH {_READS} SELECT id::VARCHAR AS name, md5(seq) AS seq, length(seq)::BIGINT AS quality FROM reads")
+def fastq_split(spark, d):
+    """FASTQ read in pieces by many tasks."""
+    rows = sequences.read_fastq(spark, _fastq(spark, reads(spark, d), "split"))
+    return rows.select("name", F.md5(F.col("seq").cast("binary")).alias("seq"), F.length("qual").cast("long").alias("quality"))
+
+
+def _database_files(spark, d) -> tuple[str, str]:
+    database, _ = _database(spark, d)
+    path, nodes = new_path(spark, "db"), new_path(spark, "nodes")
+    D.save(database, SEED, path, buckets=8)
+    doc_tree(spark, d).filter("taxid > 1").select(F.concat_ws("\t|\t", "taxid", "parent", "rank")).write.text(nodes)
+    return path, nodes
+
+
+_LINE = "CASE WHEN taxon > 0 THEN 'C' ELSE 'U' END || chr(9) || c.id || chr(9) || taxon || chr(9) || len || CASE WHEN missing > 0 THEN chr(9) || 'M:' || missing ELSE '' END || CASE WHEN ambig > 0 THEN chr(9) || 'A:' || ambig ELSE '' END || chr(9) || coalesce(runs, '0:0')"
+
+
+@query(f"WITH RECURSIVE {_CLASSIFY}, {_RUNS}, c AS (" + _RESULT % "rs" + f") SELECT {_LINE} AS value FROM c LEFT JOIN runs USING (id)")
+def classify_files_single(spark, d):
+    """The whole job on files: a database and a taxonomy that were written, and reads in two FASTQ files."""
+    some = reads(spark, d)
+    files = [_fastq(spark, some.filter(f"id % 2 = {i}"), f"reads-{i}") for i in (0, 1)]
+    return workflows.classify_files(spark, files, *_database_files(spark, d)).select("value")
+
+
+_PAIR_RUNS = _RUNS.replace("SELECT id, pos, taxid FROM rk", "SELECT id, mate, pos, taxid FROM rk").replace("ORDER BY pos)", "ORDER BY mate, pos)").replace("min(pos) AS begins", "min(mate * 1000000 + pos) AS begins")
+_PAIRED = f"{_DATABASE}, " + _MATE_ROWS.replace("{dna}", _DNA) + f", mates AS (SELECT pair AS id, mate, seq FROM f), {_kmers('rk', 'mates', keep='id, mate')}, {_hits('rk')}, rs AS (SELECT id, sum(length(seq)) AS len, sum(greatest(length(seq) - {KMER - 1}, 0)) AS places FROM mates GROUP BY id), {_PAIR_RUNS}, c AS (" + _RESULT % "rs" + ")"
+
+
+@query(f"WITH RECURSIVE {_PAIRED} SELECT {_LINE} AS value FROM c LEFT JOIN runs USING (id)")
+def classify_files_paired(spark, d):
+    """As classify_files_single, with mates in two files: one line a pair, the runs of both in one list."""
+    first, second = _mate_files(spark, d)
+    return workflows.classify_files(spark, first, *_database_files(spark, d), second=second).select("value")
+
+
+@query(f"WITH RECURSIVE {_PAIRED}, h AS (SELECT c.id, '@' || c.id || ' ' || " + _LINE.replace("|| c.id || chr(9) ", "") + " AS head FROM c LEFT JOIN runs USING (id)), fq AS (SELECT id, max(head) AS head, string_agg(seq, chr(9) ORDER BY mate) AS seqs FROM h JOIN mates USING (id) GROUP BY id) SELECT md5(head || chr(10) || string_split(seqs, chr(9))[1] || chr(10) || '+' || chr(10) || repeat('I', length(string_split(seqs, chr(9))[1])) || chr(10) || head || chr(10) || string_split(seqs, chr(9))[2] || chr(10) || '+' || chr(10) || repeat('I', length(string_split(seqs, chr(9))[2]))) AS value FROM fq")
+def classify_files_fastq(spark, d):
+    """Mates as neighbouring FASTQ records, both with the pair's comment and runs."""
+    first, second = _mate_files(spark, d)
+    return workflows.classify_files(spark, first, *_database_files(spark, d), second=second, fastq=True).select(F.md5(F.col("value").cast("binary")).alias("value"))
+
+
+@query(f"WITH {_PLACES} SELECT taxid::INT AS taxid, parent::INT AS parent, rank FROM tree")
+def taxonomy_file(spark, d):
+    """A nodes file that was written and read back."""
+    path = new_path(spark, "nodes")
+    place_tree(spark, d).filter("taxid > 1").select(F.concat(F.concat_ws("\t|\t", "taxid", "parent", "rank"), F.lit("\t|"))).write.text(path)
+    return tables.read_taxonomy(spark, path)
+
+
+@query("SELECT s_name AS name, (s_nationkey + 100)::INT AS taxid FROM supplier")
+def name_file(spark, d):
+    """A name map as text, then saved and loaded."""
+    text, saved = new_path(spark, "names"), new_path(spark, "names")
+    table(spark, d, "supplier").select(F.concat_ws("\t", "s_name", F.col("s_nationkey") + 100)).write.text(text)
+    tables.save_names(tables.read_names(spark, text), saved)
+    return tables.load_names(spark, saved)
+
+
+@query(f"WITH RECURSIVE {_PLACES}, {_CLOSURE}, t AS (SELECT n_nationkey + 100 AS taxid, 1 AS k FROM nation WHERE n_regionkey = 2), {_lca('found', 't', 'k')} SELECT taxid AS lca FROM found")
+def lca_of_names(spark, d):
+    """The common ancestor of the nations of one region, asked for by name and version."""
+    rows = table(spark, d, "nation")
+    names = rows.select(F.col("n_name").alias("name"), (F.col("n_nationkey") + 100).cast("long").alias("taxid"))
+    asked = rows.filter("n_regionkey = 2").select(F.concat("n_name", F.when(F.col("n_nationkey") % 2 == 0, ".1").otherwise("")).alias("name"))
+    return spark.createDataFrame([(workflows.lca_of_names(asked, names, T.nodes(place_tree(spark, d))),)], "lca long")
+
+
+@query(f"WITH RECURSIVE {_PLACES} SELECT s_suppkey AS id, parent FROM supplier LEFT JOIN tree ON taxid = s_suppkey + CASE WHEN s_suppkey % 7 = 0 THEN 90000000 ELSE 1000 END")
+def tax_parent(spark, d):
+    asked = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") + F.when(F.col("s_suppkey") % 7 == 0, 90_000_000).otherwise(1000)).cast("long").alias("taxid"))
+    return T.parent_of(asked, place_tree(spark, d)).select("id", "parent")
+
+
+@query(f"WITH {_READS}, {_kmers('km', 'reads')}, x AS (SELECT kmer, list_sort(list(DISTINCT id)) AS ids FROM km GROUP BY kmer) SELECT kmer, array_to_string(ids, ',') AS ids, (SELECT sum(length(seq)) FROM reads)::BIGINT AS letters, {KMER} AS k FROM x")
+def stored_index(spark, d):
+    """An inverted index with its references, saved and loaded."""
+    path = new_path(spark, "index")
+    rows = reads(spark, d)
+    refs = rows.select(F.col("id").alias("ref"), F.col("id").cast("string").alias("name"), F.lit(None).cast("string").alias("comment"), F.length("seq").alias("len"))
+    tables.save_index(A.inverted_index(rows, SEED), refs, {"k": KMER}, path)
+    index, refs, facts = tables.load_index(spark, path)
+    letters = refs.agg(F.sum("len")).first()[0]
+    return index.select(S.decode(F.col("kmer"), KMER).alias("kmer"), F.concat_ws(",", F.col("ids").cast("array<string>")).alias("ids"), F.lit(letters).cast("long").alias("letters"), F.lit(facts["k"]).alias("k"))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -699,7 +877,13 @@ def stream_windows(spark, d):
     return workflows.complete(streams.windowed_counts(stream, ["event_type"], late="3650 days"), "windows").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query()
+_SYNTHETIC = """n AS (SELECT unnest(range(1, 14)) AS taxid), tree AS (SELECT taxid::BIGINT AS taxid, CASE WHEN taxid = 1 THEN 0 ELSE (taxid - 2) // 3 + 1 END::BIGINT AS parent FROM n),
+letters AS (SELECT taxid, i, substr('ACGT', ('0x' || substr(md5('7:' || taxid || ':' || i), 1, 1))::INT % 4 + 1, 1) AS c FROM n, (SELECT unnest(range(1, 201)) AS i)),
+parts AS (SELECT taxid, string_agg(c, '' ORDER BY i) AS part FROM letters GROUP BY taxid),
+g AS (SELECT a.taxid, z.part || y.part || x.part AS seq FROM tree a JOIN tree b ON b.taxid = a.parent JOIN parts x ON x.taxid = a.taxid JOIN parts y ON y.taxid = a.parent JOIN parts z ON z.taxid = b.parent WHERE a.taxid > 4)"""
+
+
+@query(f"WITH RECURSIVE {_SYNTHETIC}, {_CLOSURE}, {_kmers('gk', 'g', 15, keep='taxid')}, kt AS (SELECT DISTINCT kmer, taxid FROM gk), {_lca('db', 'kt', 'kmer')} SELECT taxid, count(*) AS n FROM db GROUP BY taxid")
 def sequences_synthetic(spark, d):
     tree, genomes = sequences.synthetic(spark, 3, 3, 200)
     return D.histogram(D.lca_map(genomes, Seed(15), T.nodes(tree)))

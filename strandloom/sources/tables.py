@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,16 @@ def read_paths(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path).select(F.trim("value").alias("path"))
 
 
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a file, None if it is empty."""
+    rows = spark.read.text(path).select("value").head(1)  # lines come in order, and only the first part is read
+    return rows[0][0] if rows else None
+
+
+def count_lines(spark: SparkSession, path: str) -> int:
+    return spark.read.text(path).count()
+
+
 def header_name(header):
     """A genome's name from its header line: what stands between the last two bars, else the first word."""
     return F.when(header.contains("|"), F.element_at(F.split(header, r"\|"), -2)).otherwise(F.regexp_extract(header, r"^>?(\S*)", 1))
@@ -126,3 +137,94 @@ def numbered(df: DataFrame, order: str, to: str = "rec_no") -> DataFrame:
     ahead = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_a"))
     inside = F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
     return rows.withColumn("_i", inside).join(ahead, "_b").withColumn(to, F.col("_a") + F.col("_i")).drop("_b", "_i", "_a")
+
+
+def save_names(names: DataFrame, path: str) -> None:
+    """A name map (name, taxid) as Parquet, sorted by name so that a lookup reads few row groups."""
+    names.select("name", "taxid").sortWithinPartitions("name").write.mode("overwrite").parquet(path)
+
+
+def load_names(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def save_index(rows: DataFrame, references: DataFrame, facts: dict, path: str) -> None:
+    """An inverted or positional index: rows (kmer and its ids or positions), references (ref, name, comment, len), and facts as JSON."""
+    rows.write.mode("overwrite").parquet(f"{path}/index")
+    references.write.mode("overwrite").parquet(f"{path}/references")
+    rows.sparkSession.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
+    """(rows, references, facts) of save_index()."""
+    return spark.read.parquet(f"{path}/index"), spark.read.parquet(f"{path}/references"), json.loads(spark.read.text(f"{path}/facts").first()[0])
+
+
+def save_sketches(sketches: DataFrame, group: str, path: str) -> None:
+    """Sketches (group, hash[, kmer, n]), a row per group: its hashes in order and, if there are any, the items and counts they stand for."""
+    more = [c for c in ("kmer", "n") if c in sketches.columns]
+    folded = sketches.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("hash", *more))).alias("s"))  # a sketch's size at most
+    folded.select(F.col(group).alias("name"), *[F.col("s")[c].alias(f"{c}s") for c in ("hash", *more)]).write.mode("overwrite").parquet(path)
+
+
+def load_sketches(spark: SparkSession, path: str, group: str = "name") -> DataFrame:
+    rows = spark.read.parquet(path)
+    names = [c for c in ("hashs", "kmers", "ns") if c in rows.columns]
+    return rows.select(F.col("name").alias(group), F.explode(F.arrays_zip(*names)).alias("s")).select(group, *[F.col(f"s.{c}").alias(c[:-1]) for c in names])
+
+
+def stream_lines(df: DataFrame, path: str, header: str | None = None) -> None:
+    """One local text file of a one-column table, in its order; the driver holds a part at a time."""
+    with open(path, "w") as out:
+        if header is not None:
+            out.write(header + "\n")
+        for (line,) in df.toLocalIterator(prefetchPartitions=True):
+            out.write(line + "\n")
+
+
+def stream_counts(counts: DataFrame, path: str, form: str = "tsv") -> list[str]:
+    """k-mers and counts (kmer, n) in local files, a part at a time. Returns the files' names.
+
+    tsv: a headed table. split: the k-mers as 64-bit words in one file, the counts in another, as wide as the largest needs.
+    pairs: both as 64-bit words, side by side. set: the number of k-mers, then the sorted k-mers, gzipped. map: the number, the
+    k-mers, and their counts as 16-bit words, stopped at the largest of these, gzipped.
+    """
+    if form == "tsv":
+        stream_lines(counts.select(F.concat_ws("\t", "kmer", "n")), path, "ID\tCount")
+        return [path]
+    parts = lambda df: (np.array(rows, dtype=np.int64) for rows in _parts(df))
+    if form == "split":
+        most = counts.agg(F.max("n")).first()[0] or 0
+        wide = next(t for t in ("<u1", "<u2", "<u4", "<u8") if most < 1 << 8 * int(t[2]))
+        with open(path + "hash", "wb") as a, open(path + "count", "wb") as b:
+            for x in parts(counts.select("kmer", "n")):
+                a.write(x[:, 0].astype("<i8").tobytes())
+                b.write(x[:, 1].astype(wide).tobytes())
+        return [path + "hash", path + "count"]
+    if form == "pairs":
+        with open(path, "wb") as out:
+            for x in parts(counts.select("kmer", "n")):
+                out.write(x.astype("<i8").tobytes())
+        return [path]
+    if form not in ("set", "map"):
+        raise ValueError("forms: tsv, split, pairs, set, map")
+    ordered = counts.orderBy((F.col("kmer") < 0).cast("int"), "kmer")  # as unsigned words
+    with gzip.open(path, "wb") as out:
+        out.write(np.uint64(counts.count()).tobytes())
+        for x in parts(ordered.select("kmer")):
+            out.write(x[:, 0].astype("<i8").tobytes())
+        if form == "map":
+            for x in parts(ordered.select("n")):
+                out.write(np.minimum(x[:, 0], 65535).astype("<u2").tobytes())
+    return [path]
+
+
+def _parts(df: DataFrame, size: int = 1 << 16):
+    rows = []
+    for r in df.toLocalIterator(prefetchPartitions=True):
+        rows.append(tuple(r))
+        if len(rows) == size:
+            yield rows
+            rows = []
+    if rows:
+        yield rows

@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN = ""
 #: Tables that are still there, with the session that wrote them.
@@ -92,6 +93,25 @@ def _sweep() -> None:
         shutil.rmtree(_OWN, ignore_errors=True)
 
 
+#: A table of at most so many bytes may be broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
+def fits(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table, held in memory, has at most `most` bytes: 16 for each value and row, and what is long its own."""
+    long = [F.coalesce(F.sum(F.octet_length(c) if kind in ("string", "binary") else 16 * F.size(c)), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary") or kind.startswith("array")]
+    n, *more = df.agg(F.count(F.lit(1)), *long).first()
+    return 16 * n * (1 + len(df.columns)) + sum(more) <= most
+
+
+def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
+    """left joined to a table of ids or numbers: by broadcast if right has at most `most` bytes, else by shuffle.
+
+    right should be a written table, since it is measured first.
+    """
+    return left.join(F.broadcast(right) if fits(right, most) else right.hint("shuffle_merge"), on, how)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt to all cores where its scan has far fewer parts, as a small file with one row group has; else df."""
     cores = df.sparkSession.sparkContext.defaultParallelism

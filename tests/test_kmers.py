@@ -1,5 +1,6 @@
 """K-mers and minimizers against plain loops, and the counts that the seeds imply."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -156,3 +157,67 @@ def test_postings_index_and_chunks(spark):
     assert {r.kmer: r.ids for r in A.inverted_index(df, Seed(4, canonical=False)).collect()}[number("ACGT")] == [1, 2]
     assert {(r.id, r.chunk): r.n for r in A.chunk_cardinality(df, Seed(2, canonical=False), 2).collect()} == {(1, 0): 2, (1, 1): 2, (2, 0): 2, (2, 1): 2}
     assert {r.id: r.s for r in A.prefix_sums(df.withColumn("n", F.length("seq")), "id", "n", "s", 2).collect()} == {1: 0, 2: 5}
+
+
+def test_short_sequences_give_their_least(spark):
+    rnd = random.Random(9)
+    rows = [(i, "".join(rnd.choices("ACGTN", weights=[9, 9, 9, 9, 1], k=rnd.randrange(0, 40)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, seq string")
+    k, m = 4, 12
+    got = {}
+    for r in K.kmers(df, Seed(k, k + m - 1, canonical=False), across_gaps=True, partial=True).collect():
+        got.setdefault(r.id, []).append((r.pos, r.kmer))
+    for i, s in rows:
+        seeds = [(p, sum("ACGT".index(c) * 4 ** (k - 1 - j) for j, c in enumerate(s[p : p + k]))) for p in range(len(s) - k + 1) if "N" not in s[p : p + k]]
+        wins = [seeds[j : j + m] for j in range(len(seeds) - m + 1)] or ([seeds] if seeds else [])
+        want = [min(w, key=lambda x: (x[1], x[0])) for w in wins]
+        assert sorted(got.get(i, [])) == sorted(want), s
+
+
+def test_rolling_hashes_of_several_k(spark):
+    rows = [(1, "ACGTNACGTACGTTGCA"), (2, ""), (3, None), (4, "ACG")]
+    df = spark.createDataFrame(rows, "id long, seq string")
+    got = {(r.id, r.k, r.pos): r.hash for r in K.rolling_set(df, [3, 5], family="karp_rabin").collect()}
+    want = {}
+    for i, s in rows:
+        for k in (3, 5):
+            for p in range(len(s or "") - k + 1):
+                if "N" not in s[p : p + k]:
+                    h = 0
+                    for c in s[p : p + k]:
+                        h = (h * 37 + "ACGT".index(c)) % 2**64
+                    want[i, k, p] = h
+    assert got == want
+    one = {(r.id, r.pos): r.hash for r in K.rolling(df, 3, 6, family="karp_rabin", partial=True).collect()}
+    assert one[4, 0] == want[4, 3, 0] and all(one[i, p] == want[i, 3, p] for i, p in one)
+
+
+def test_entropy_of_the_last_letters(spark):
+    import math
+
+    s = "AACGTNACCCGTA"
+    got = [(r.pos, r.value) for r in K.window_entropy(spark.createDataFrame([(1, s)], "id long, seq string"), 4).orderBy("pos").collect()]
+    held, want = [], []
+    for i, c in enumerate(s):
+        if c == "N":
+            held = []
+            continue
+        held = (held + [c])[-4:]
+        p = [held.count(x) / 4 for x in set(held)]
+        want.append((i, -1.0 if len(held) < 4 else sum(x * math.log(x) for x in p)))
+    assert [p for p, _ in got] == [p for p, _ in want] and all(abs(a - b) < 1e-12 for (_, a), (_, b) in zip(got, want))
+
+
+def test_functions_of_the_callers_own(spark):
+    df = spark.createDataFrame([(1, "ACGTACGGT"), (2, "TTT")], "id long, seq string")
+
+    def even(row, pos, kmer):
+        keep = kmer % 2 == 0
+        return {"row": row[keep], "pos": pos[keep], "half": kmer[keep] // 2}
+
+    seed = Seed(3, canonical=False)
+    got = sorted(tuple(r) for r in K.for_each(df, seed, even, "pos long, half long").collect())
+    assert got == sorted((r.id, r.pos, r.kmer // 2) for r in K.kmers(df, seed).collect() if r.kmer % 2 == 0)
+    least = {(r.id, r.pos) for r in K.kmers(df, Seed(3, 5, canonical=False), score=lambda x, k: -x).collect()}
+    most = {(r.id, r.pos) for r in K.kmers(df, Seed(3, 5, canonical=False)).collect()}
+    assert least and least != most

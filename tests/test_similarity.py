@@ -64,9 +64,43 @@ def test_weighted(spark):
     assert [tuple(r) for r in U.weighted_jaccard(counts, "g").collect()] == [("a", "b", 1 / 6)]
 
 
-def test_banded_finds_equal_sets(spark):
-    rows = [(g, h) for g in ("x", "y") for h in range(50)] + [("z", h) for h in range(1000, 1050)]
-    assert [tuple(r) for r in U.banded(spark.createDataFrame(rows, "g string, hash long"), "g", 4, 2).collect()] == [("x", "y")]
+def test_equal_sets_are_one_class(spark):
+    rows = [(f"x{i:02}", h) for i in range(30) for h in range(50)] + [("y", h) for h in range(2, 52)] + [("z", h) for h in range(1000, 1050)]
+    pairs, member = U.banded(spark.createDataFrame(rows, "g string, hash long"), "g", 8, 2)
+    assert {r.g: r["class"] for r in member.collect()} == {f"x{i:02}": "x00" for i in range(30)} | {"y": "y", "z": "z"}
+    assert [(r.i, r.j) for r in pairs.collect()] == [("x00", "y")]
+
+
+def test_recall_of_nearest_classes(spark):
+    """Against all pairs by brute force: the share of neighbours of a similarity of 0.5 or more that are found."""
+    rnd = random.Random(5)
+    sets = {}
+    for base in range(40):
+        pool = rnd.sample(range(100_000), 120)
+        for v in range(6):
+            sets[base * 10 + v] = set(pool[: 120 - 5 * v]) | set(rnd.sample(range(100_000), 6 * v))
+    rows = spark.createDataFrame([(g, h) for g, x in sets.items() for h in x], "id long, hash long")
+    near, member = U.lsh_nearest(rows, "id", 3)
+    got = {(r.item, r.neighbor): r.value for r in near.collect()}
+    jac = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert member.count() == len(sets) and all(abs(v - jac(a, b)) < 1e-12 for (a, b), v in got.items())
+    want = [(a, b) for a in sets for b in sorted((x for x in sets if x != a), key=lambda x: (-jac(a, x), x))[:3] if jac(a, b) >= 0.5]
+    assert len(want) > 300 and sum(p in got for p in want) >= 0.9 * len(want)
+
+
+def test_register_parameters(spark):
+    a, b = U.register_parameters(8.0, 2.0**-13, 16)
+    rows = spark.createDataFrame([(8.0,), (2.0**-13,)], "x double").select(U.quantized(F.col("x"), a, b * (1 + 1e-12), 16).alias("q")).collect()
+    assert [r.q for r in rows][0] == 0 and rows[1].q in (15, 16)
+
+
+def test_samples_and_unions(spark):
+    counts = spark.createDataFrame([("a", k, k % 5 + 1) for k in range(500)] + [("b", k, 1) for k in range(400, 700)], "g string, kmer long, n long")
+    sample = U.bottom_k_sample(counts, "g", 50)
+    assert {(r.g, r.hash) for r in sample.collect()} == {(r.g, r.hash) for r in U.bottom_k(counts, "g", 50).collect()}
+    assert sample.filter("g = 'a' AND n <> kmer % 5 + 1").count() == 0
+    whole = U.bottom_k(counts.select(F.lit("u").alias("g"), "kmer"), "g", 50)
+    assert {r.hash for r in U.merged(sample, 50).collect()} == {r.hash for r in whole.collect()}
 
 
 def test_screen_and_accept(spark):

@@ -45,10 +45,11 @@ def test_fastq(spark, files):
 
 
 def test_pairs(spark, files):
-    a = R.read_sequences(spark, str(files / "r.fq"))
+    a = R.numbered_reads(spark, [str(files / "r.fq")])
     b = a.filter("rec_no < 2")
     rows = R.pair(a, b).collect()
     assert sorted((r.read_id, r.mate, r.name) for r in rows) == [(0, 1, "r1"), (0, 2, "r1"), (1, 1, "r2"), (1, 2, "r2")]
+    assert R.unpaired(a, b) == 1 and R.unpaired(b, a) == 1 and R.unpaired(a, a) == 0
 
 
 def test_write_fasta(spark, files, tmp_path):

@@ -133,7 +133,10 @@ def test_build_classify_render(spark, tree, at, genomes, tmp_path):
     assert C.kraken_lines(C.classify(reads, db, at, seed), C.taxa_runs(reads, db, seed), everything=False).count() == 2
     fq = {r.id: r.value for r in C.fastq_records(reads, C.classify(reads, db, at, seed)).collect()}
     assert fq[1] == f"@1 C\t6\t50\n{part[6][:50]}\n+\n{part[6][:50]}"
-    mates = reads.filter("id < 3").withColumn("id", F.lit(1))
+    mates = reads.filter("id < 3").withColumn("mate", F.col("id")).withColumn("id", F.lit(1))
+    assert C.taxa_runs(mates, db, seed, mate="mate").first().runs == "6:36\t2:16\t5:6"
+    repeated = df.unionByName(df.withColumn("seq", F.substring("seq", 1, 100)))  # genomes of several rows
+    assert {r.taxid: r.g for r in D.feature_map(repeated, seed, at).groupBy("taxid").agg(F.max("n_genomes").alias("g")).collect()} == {1: 3, 2: 2, 5: 1, 6: 1, 7: 1}
     assert [(r.taxon, r.hits, r.ambig) for r in C.classify(mates, db, at, seed).collect()] == [(6, 58, 15)]
     assert {r.classified: r.n for r in C.summary(C.classify(reads, db, at, seed)).collect()} == {True: 2, False: 4}
 
@@ -152,10 +155,10 @@ def test_patterns(spark, tree):
     assert {tuple(r.pattern): r.n for r in counts.collect()} == {("a", "b"): 2, ("a", "b", "c"): 1, ("b", "c"): 1}
     assert {(tuple(r.upper), tuple(r.lower)) for r in M.containment(counts).collect()} == {(("a", "b", "c"), ("a", "b")), (("a", "b", "c"), ("b", "c"))}
     assert {tuple(r.pattern): r.score for r in M.addition_scores(counts, 4).collect()} == {("a", "b"): -1, ("b", "c"): -1, ("a", "b", "c"): 1 + 4 + 2}
-    sub = M.subtree_patterns(spark.createDataFrame([(4, 1), (5, 1), (4, 2), (2, 1), (2, 3), (3, 1)], "taxid int, kmer int"), tree)
+    sub = M.subtree_patterns(spark.createDataFrame([(4, 1), (5, 1), (4, 2), (2, 1), (2, 3), (3, 1)], "taxid int, kmer int"), tree, T.closure(tree))
     assert sub.count() == 0  # patterns of one or all clades say nothing
     wide = spark.createDataFrame([(1, 0)] + [(x, 1) for x in (2, 3, 4)], "taxid int, parent int")
-    sub = M.subtree_patterns(spark.createDataFrame([(2, 1), (3, 1), (2, 2), (3, 2), (3, 3), (4, 3), (2, 4), (3, 4), (4, 4)], "taxid int, kmer int"), wide)
+    sub = M.subtree_patterns(spark.createDataFrame([(2, 1), (3, 1), (2, 2), (3, 2), (3, 3), (4, 3), (2, 4), (3, 4), (4, 4)], "taxid int, kmer int"), wide, T.closure(wide))
     scored = M.node_scores(sub)
     assert {tuple(r.pattern): (r.n, r.score) for r in scored.collect()} == {(2, 3): (2, 2), (3, 4): (1, 1)}
     assert [tuple(r) for r in M.emit(scored, 4, 5).collect()] == [(5, 2, 1, "2,3"), (6, 1, 1, "3,4")]
