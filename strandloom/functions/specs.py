@@ -10,23 +10,23 @@ import numpy as np
 
 # The classes of each alphabet; a class's place is its code. One letter may stand in one class only.
 ALPHABETS = {
-    "AMINO20": "A,C,D,E,F,G,H,I,K,L,M,N,P,Q,R,S,T,V,W,Y",
-    "SEB14": "A,C,D,EQ,FY,G,H,IV,KR,LM,N,P,ST,W",
-    "SEB10": "AST,C,DN,EQ,FY,G,HW,ILMV,KR,P",
-    "SEV10": "AST,C,DEN,FY,G,H,ILMV,KQR,P,W",
-    "SOLISD": "AM,C,DNS,EKQR,F,GP,HT,IV,LY,W",
-    "SOLISG": "AEFIKLMQRVW,C,D,G,H,N,P,S,T,Y",
-    "MURPHY": "A,C,DENQ,FWY,G,H,ILMV,KR,P,ST",
-    "LIA10": "AC,DE,FWY,G,HN,IV,KQR,LM,P,ST",
-    "LIB10": "AST,C,DEQ,FWY,G,HN,IV,KR,LM,P",
-    "SEB8": "AST,C,DHN,EKQR,FWY,G,ILMV,P",
-    "SEB6": "AST,CP,DHNEKQR,FWY,G,ILMV",
-    "DAYHOFF": "AGPST,C,DENQ,FWY,HKR,ILMV",
-    "DNA4": "A,C,G,T",
-    "DNA5": "A,C,G,T,NMRWSYKVHDB",
-    "DNA2KETAMINE": "ACM,KGT",
-    "DNA2PYRPUR": "AGR,YCT",
-    "DNA2METHYL": "C,AGT",
+    "AMINO20": ["A", "C", "D", "E", "F", "G", "H", "I", "K", "L", "M", "N", "P", "Q", "R", "S", "T", "V", "W", "Y"],
+    "SEB14": ["A", "C", "D", "EQ", "FY", "G", "H", "IV", "KR", "LM", "N", "P", "ST", "W"],
+    "SEB10": ["AST", "C", "DN", "EQ", "FY", "G", "HW", "ILMV", "KR", "P"],
+    "SEV10": ["AST", "C", "DEN", "FY", "G", "H", "ILMV", "KQR", "P", "W"],
+    "SOLISD": ["AM", "C", "DNS", "EKQR", "F", "GP", "HT", "IV", "LY", "W"],
+    "SOLISG": ["AEFIKLMQRVW", "C", "D", "G", "H", "N", "P", "S", "T", "Y"],
+    "MURPHY": ["A", "C", "DENQ", "FWY", "G", "H", "ILMV", "KR", "P", "ST"],
+    "LIA10": ["AC", "DE", "FWY", "G", "HN", "IV", "KQR", "LM", "P", "ST"],
+    "LIB10": ["AST", "C", "DEQ", "FWY", "G", "HN", "IV", "KR", "LM", "P"],
+    "SEB8": ["AST", "C", "DHN", "EKQR", "FWY", "G", "ILMV", "P"],
+    "SEB6": ["AST", "CP", "DHNEKQR", "FWY", "G", "ILMV"],
+    "DAYHOFF": ["AGPST", "C", "DENQ", "FWY", "HKR", "ILMV"],
+    "DNA4": ["A", "C", "G", "T"],
+    "DNA5": ["A", "C", "G", "T", "NMRWSYKVHDB"],
+    "DNA2KETAMINE": ["ACM", "KGT"],
+    "DNA2PYRPUR": ["AGR", "YCT"],
+    "DNA2METHYL": ["C", "AGT"],
 }
 # Other names of the same alphabets.
 ALIASES = {"DNA": "DNA4", "AMINO": "AMINO20", "PROTEIN": "AMINO20", "PROTEIN20": "AMINO20", "PROTEIN_3BIT": "SEB8", "PROTEIN8": "SEB8", "PROTEIN_14": "SEB14", "PROTEIN_6": "SEB6", "KETO": "DNA2KETAMINE", "DNA2": "DNA2KETAMINE", "PURPYR": "DNA2PYRPUR", "DNAMETH": "DNA2METHYL", "DNAC": "DNA2METHYL"}
@@ -81,7 +81,7 @@ def alphabet(name: str) -> Alphabet:
         return Alphabet(name, ())
     if name not in ALPHABETS:
         raise ValueError(f"no alphabet is called {name}")
-    return Alphabet(name, tuple(ALPHABETS[name].split(",")))
+    return Alphabet(name, tuple(ALPHABETS[name]))
 
 
 def parse_spacing(text: str, k: int) -> tuple[int, ...]:

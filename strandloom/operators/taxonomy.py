@@ -16,10 +16,11 @@ from ..storage import written
 
 # The ranks in order, from the top; a rank's place is its level.
 RANKS = (
-    "no rank,root,superkingdom,kingdom,subkingdom,superphylum,phylum,subphylum,superclass,class,subclass,infraclass,cohort,"
-    "superorder,order,suborder,infraorder,parvorder,superfamily,family,subfamily,tribe,subtribe,genus,subgenus,species group,"
-    "species subgroup,species,subspecies,varietas,forma"
-).split(",")
+    "no rank", "root", "superkingdom", "kingdom", "subkingdom", "superphylum", "phylum", "subphylum", "superclass",
+    "class", "subclass", "infraclass", "cohort", "superorder", "order", "suborder", "infraorder", "parvorder",
+    "superfamily", "family", "subfamily", "tribe", "subtribe", "genus", "subgenus", "species group", "species subgroup",
+    "species", "subspecies", "varietas", "forma",
+)
 
 #: Doublings before a tree is taken for a cycle.
 MOST_DOUBLINGS = 20
