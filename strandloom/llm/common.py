@@ -8,15 +8,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import drop, scope, shared_dir, written  # noqa: F401
+from ..storage import BROADCAST_BYTES, drop, join_checked, written  # noqa: F401
 
 #: The six ASCII white-space characters that separate words, and the upper-case letters that are lowered.
 WHITE = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: A table of at most so many bytes may be broadcast; larger ones are joined by shuffle.
-BROADCAST_BYTES = 64 << 20
 #: A key is hot if it has at least one in so many of the rows, so there are at most so many hot keys.
 HOT_SHARE = 1_000
 #: Bytes of one Arrow batch; keeps a worker's memory bounded however long the texts are.
@@ -51,21 +49,6 @@ def fresh(taken: Iterable[str], *bases: str) -> list[str]:
     return out
 
 
-def fits(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
-    """Whether a written table, held in memory, has at most `most` bytes: 16 for each value and row, and its strings' own."""
-    long = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
-    n, *more = df.agg(F.count(F.lit(1)), *long).first()
-    return 16 * n * (1 + len(df.columns)) + sum(more) <= most
-
-
-def join_checked(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str, most: int = BROADCAST_BYTES) -> DataFrame:
-    """left joined to a table of ids or numbers: by broadcast if right has at most `most` bytes, else by shuffle.
-
-    right should be a written table, since it is measured first.
-    """
-    return left.join(F.broadcast(right) if fits(right, most) else right.hint("shuffle_merge"), on, how)
-
-
 def join_groups(left: DataFrame, groups: DataFrame, key: str, n: str) -> DataFrame:
     """left joined to one row per group, of a few numbers or digests; n counts the group's rows in left.
 

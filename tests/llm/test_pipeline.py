@@ -3,10 +3,10 @@
 from collections import Counter
 
 import corpus_pipeline as C
-from strandloom.llm import exact_dedup, perplexity, simhash, vocab
+from strandloom.llm import exact_dedup, perplexity, simhash, vocab  # noqa: F401
 from strandloom.llm.common import written
 
-from .test_dedup import brute_components, brute_fingerprint, lower
+from .test_dedup import brute_near, lower
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,9 +23,8 @@ def test_stages(spark):
         best[lower(r.text)] = max(best.get(lower(r.text), -1), r.doc_id)
     assert sorted(r.doc_id for r in exact.collect()) == sorted(best.values())
     near = written(C.no_near_copies(spark, exact, SF), "t")
-    fps = {r.doc_id: brute_fingerprint(r.text) for r in exact.collect()}
-    group = brute_components(list(fps.values()))
-    assert sorted(r.doc_id for r in near.collect()) == sorted({min(j for j, g in fps.items() if g in group[f]) for f in fps.values()})
+    group = brute_near([(r.doc_id, r.text) for r in exact.collect()])
+    assert sorted(r.doc_id for r in near.collect()) == sorted({min(g) for g in group.values()})
     mixed = written(C.mixed(spark, near, SF), "t")
     assert mixed.columns == docs.columns and max(Counter(r.doc_id for r in mixed.collect()).values()) <= 2
     out = C.packed(spark, mixed, SF).collect()
