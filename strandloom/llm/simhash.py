@@ -335,8 +335,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one = distinct.select(F.lit(0).alias("trie"), F.col("fp").alias("code"), F.col("fp").alias("node"), F.lit(b"").alias("print"))
     named = written(components(links(one.select("trie", "code"), one, budget, 64, first=STEP)), "components")
     rooted = written(distinct.join(named.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    chosen = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = written(rooted.select("fp", "n", "root").join(chosen, "root").drop("root"), "groups")
+    chosen = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes")), "chosen")
+    groups = written(join_groups(rooted.select("fp", "n", "root"), chosen, "root", "nodes").drop("root", "nodes"), "groups")
     return join_groups(rows, groups, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -380,7 +380,9 @@ def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bits = max(b - a for a, b in zip([0, *segment_ends()], segment_ends()))
     named = written(components(links(segmented(distinct, False), segmented(distinct), SEGMENT_BUDGET, bits, most)), "components")
     rooted = written(distinct.drop("print").join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    groups = written(rooted.join(rooted.groupBy("root").agg(F.min("top").alias("chosen")), "root").select("node", "n", "chosen.at_file", "chosen.at_place").toDF("node", "n", "keep_file", "keep_place"), "groups")
+    best = rooted.groupBy("root").agg(F.min("top").alias("best"), F.count(F.lit(1)).alias("nodes"))
+    chosen = written(best.select("root", "nodes", F.col("best.at_file").alias("keep_file"), F.col("best.at_place").alias("keep_place")), "chosen")
+    groups = written(join_groups(rooted.select("node", "n", "root"), chosen, "root", "nodes").drop("root", "nodes"), "groups")
     kept = (F.col("at_file") == F.col("keep_file")) & (F.col("at_place") == F.col("keep_place"))
     return at.keep(join_groups(rows.drop("print"), groups, "node", "n").select("at_file", "at_place", kept.alias("kept")))
 
