@@ -36,9 +36,10 @@ from pyspark.sql import functions as F
 from .common import map_arrow, written
 from .simhash import NEAR_WIDTH, shingle_hashes
 
-FIT_ROWS, FOLDS = 40_000, 2
-#: Share of the counts that the prior adds; standard errors that a ratio is shrunk by; cost of a word; chance level.
-PRIOR, SHRINK, COST, CHANCE = 0.02, 3.0, 0.25, 1.0
+FIT_ROWS, FOLDS = 40_000, 5
+#: What the prior adds to every count, and the share of a word's counts that it adds to that; standard errors that a ratio is
+#: shrunk by; cost of a word; chance level.
+LEAST_PRIOR, PRIOR, SHRINK, COST, CHANCE = 0.5, 0.02, 3.0, 0.25, 1.0
 THRESHOLD = 0.3
 _TOKEN = re.compile(r"\w+")
 _UNIT = 100  # scores are kept in hundredths
@@ -182,11 +183,11 @@ def word_counts(sample: DataFrame, folds: int = FOLDS) -> DataFrame:
 
 def scores_of(counts: DataFrame) -> dict[str, int]:
     """The shrunk log-odds of words, less their cost, from (word, y0, y1)."""
-    n0, n1 = (x or 0 for x in counts.agg(F.sum("y0"), F.sum("y1")).first())
+    n0, n1, words = (x or 0 for x in counts.agg(F.sum("y0"), F.sum("y1"), F.count(F.lit(1))).first())
     if not n0 or not n1:
         return {}
-    prior = PRIOR * (F.col("y0") + F.col("y1"))
-    whole = PRIOR * (n0 + n1)
+    prior = LEAST_PRIOR + PRIOR * (F.col("y0") + F.col("y1"))
+    whole = LEAST_PRIOR * words + PRIOR * (n0 + n1)
     a, b = F.col("y1") + prior, F.col("y0") + prior
     ratio = F.log(a / (n1 + whole - a)) - F.log(b / (n0 + whole - b))
     shrunk = F.signum(ratio) * F.greatest(F.abs(ratio) - SHRINK * F.sqrt(1 / a + 1 / b), F.lit(0.0))

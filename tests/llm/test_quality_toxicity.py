@@ -68,8 +68,9 @@ def test_counts_and_scores_by_their_definition(spark, table):
     all_ = [sum(c.values()) for c in n]
     want = {}
     for w in n[0] | n[1]:
-        a, b = (n[i][w] + 0.02 * (n[0][w] + n[1][w]) for i in (1, 0))
-        ratio = math.log(a / (all_[1] + 0.02 * sum(all_) - a)) - math.log(b / (all_[0] + 0.02 * sum(all_) - b))
+        a, b = (n[i][w] + 0.5 + 0.02 * (n[0][w] + n[1][w]) for i in (1, 0))
+        whole = 0.5 * len(n[0] | n[1]) + 0.02 * sum(all_)
+        ratio = math.log(a / (all_[1] + whole - a)) - math.log(b / (all_[0] + whole - b))
         score = round(100 * (math.copysign(max(0.0, abs(ratio) - 3 * math.sqrt(1 / a + 1 / b)), ratio) - 0.25))
         if score != -25:
             want[w] = score
