@@ -8,9 +8,11 @@ forest of the links it finds, which is what components need, so a dense group ne
 joined by alternating stars.
 
 A short fingerprint is one trie (op6: 64 bits, budget 2). A similarity of 0.8 needs more bits than one trie can search, so
-`dedup_near` takes 512 of them as 26 segments with a trie each: texts within 77 differing bits agree within 2 bits in one
-of the segments, so the tries together lose none. 77 bits are what a similarity of 0.8 gives; a task compares the whole
-fingerprints of what its trie finds. The estimate's standard error is 0.04.
+`dedup_near` takes 512 of them as 26 segments: texts within 77 differing bits agree within 2 bits in one of the segments,
+so the segments together lose none. 77 bits are what a similarity of 0.8 gives. Here the fingerprints are dealt to blocks,
+and each pair of blocks is one task: it goes through all segments, looks up the codes within 2 bits of each code, and
+compares the whole fingerprints of what it finds. So a fingerprint is moved once for each block, whatever the number of
+segments, and a task holds two blocks at most, however alike the texts are. The estimate's standard error is 0.04.
 
 Defined results. Null or empty text: fingerprint zero, linked as any other. Null doc_id: grouped, never a component's id
 unless it has no other. Repeated rows: rows of their own, of which dedup_near keeps one. Texts of fewer words than a
@@ -19,7 +21,7 @@ shingle: one shingle of all words. Empty table: no rows. Other columns are not r
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import combinations, count, product, repeat
 from math import acos, pi
 
 import numpy as np
@@ -34,6 +36,12 @@ from .exact_dedup import normal_bytes
 WIDTH, BUDGET, SEED = 3, 2, 42
 #: The pipeline's near-dedup: words of a shingle, least similarity, and the segments of the long fingerprint.
 NEAR_WIDTH, NEAR_LEAST, LONG_BITS, SEGMENTS, SEGMENT_BUDGET = 5, 0.8, 512, 26, 2
+#: Most long fingerprints in one task, of two blocks together; blocks are smaller where that gives the cores a few tasks each, but for so few.
+NEAR_ROWS, NEAR_FEWEST = 1 << 19, 1 << 12
+#: So many fingerprints of one code are first joined along their order, and left out where they are joined already.
+MANY = 16
+#: Fingerprints of a block that are looked up at once, so that what they meet stays in a core's cache.
+AT_ONCE = 1 << 14
 #: Bits that a step of the upper traversal goes down, and the most fingerprints of a node pair's sides together in one task.
 STEP, TASK_ROWS = 4, 1 << 18
 #: A node pair is compared outright from so many pairs of fingerprints down; node pairs that a task holds at once.
@@ -101,11 +109,13 @@ def segment_ends(bits: int = LONG_BITS, n: int = SEGMENTS) -> list[int]:
     return [bits * (i + 1) // n for i in range(n)]
 
 
-def segments(prints: np.ndarray, n: int = SEGMENTS) -> list[np.ndarray]:
-    """The n segments of fingerprints (rows, bytes) as numbers."""
-    bits = np.unpackbits(prints, axis=1, bitorder="little")
-    ends = segment_ends(bits.shape[1], n)
-    return [(bits[:, a:b].astype(np.int64) << np.arange(b - a)).sum(axis=1) for a, b in zip([0, *ends], ends)]
+def segment_codes(words: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """The bits from begin to end of fingerprints (rows of 64-bit words) as numbers."""
+    at, shift = divmod(begin, 64)
+    code = words[:, at] >> np.uint64(shift)
+    if shift + end - begin > 64:
+        code |= words[:, at + 1] << np.uint64(64 - shift)
+    return (code & np.uint64((1 << (end - begin)) - 1)).astype(np.int64)
 
 
 def limit_of(least: float, bits: int) -> int:
@@ -352,17 +362,113 @@ def long_prints(texts: DataFrame, width: int) -> DataFrame:
     return map_arrow(texts, kernel, "doc_id long, at_file long, at_place long, node long, print binary")
 
 
-def segmented(distinct: DataFrame, with_print: bool = True) -> DataFrame:
-    """trie, code of each segment of each print; with_print adds node and print. Cheap to make again, so not written."""
+class Side:
+    """The rows of fingerprints from `first` to `last` in the order of a segment's codes, and three words apart from the segment."""
+
+    def __init__(self, words: np.ndarray, first: int, last: int, begin: int, end: int):
+        code = segment_codes(words[first:last], begin, end)
+        order = np.argsort(code)
+        self.code, self.row = code[order], order + first
+        self.some = [words[first:last, ((end - 1) // 64 + k) % words.shape[1]][order] for k in (1, 2, 3)]
+
+
+def block_links(words: np.ndarray, ahead: int | None, most: int) -> list[tuple[int, int]]:
+    """Links (row numbers) that join what all links of the first `ahead` rows to the others join; None: of all rows to each other.
+
+    words: fingerprints as rows of 64-bit words; they link if they differ in at most `most` bits.
+    """
+    forest = Forest(len(words))
+    seen, roots = 0, forest.parent.copy()
+
+    def link(x: Side, i: np.ndarray, y: Side, j: np.ndarray) -> None:
+        differ = np.bitwise_count(x.some[0][i] ^ y.some[0][j])
+        for p, q in zip(x.some[1:], y.some[1:]):
+            differ += np.bitwise_count(p[i] ^ q[j])  # 192 at most
+        maybe = differ <= most
+        u, v = x.row[i[maybe]], y.row[j[maybe]]
+        apart = forest.roots(u) != forest.roots(v) if len(u) else maybe[:0]
+        u, v = u[apart], v[apart]
+        near = np.bitwise_count(words[u] ^ words[v]).sum(axis=1, dtype=np.int32) <= most
+        forest.add(u[near], v[near])
+
+    for begin, end in zip([0, *segment_ends()], segment_ends()):
+        a = Side(words, 0, len(words) if ahead is None else ahead, begin, end)
+        b = a if ahead is None else Side(words, ahead, len(words), begin, end)
+        counts = np.bincount(b.code, minlength=1 << (end - begin))
+        there = counts > 0
+        start = np.concatenate([[0], np.cumsum(counts)])
+        if counts.max() >= MANY:
+            j = np.flatnonzero((b.code[1:] == b.code[:-1]) & (counts[b.code[1:]] >= MANY))
+            link(b, j, b, j + 1)
+        flips = [sum(1 << x for x in bits) for n in range(SEGMENT_BUDGET + 1) for bits in combinations(range(end - begin), n)]
+        for at, flip in product(range(0, len(a.code), AT_ONCE), flips):
+            code = a.code[at : at + AT_ONCE]
+            other = code ^ flip
+            hit = there[other]
+            if a is b and flip:
+                hit &= other > code
+            i = np.flatnonzero(hit)
+            other = other[i]
+            i, j, last = i + at, start[other], start[other + 1]
+            if a is b and not flip:
+                j = i + 1
+                i, j, last = (x[j < last] for x in (i, j, last))
+            step = 0
+            while len(i):  # each row meets the first of its run, then each the second, and so on
+                if (step == 1 or step % MANY == 0) and (long := last - j >= MANY).any():
+                    if seen != len(forest.links):
+                        seen, roots = len(forest.links), forest.roots(np.arange(len(words)))
+                        forest.parent = roots.copy()
+                    own = roots[b.row]
+                    change = np.append(np.flatnonzero(own[1:] != own[:-1]) + 1, len(own))
+                    joined = long & (roots[a.row[i]] == own[j]) & (change[np.searchsorted(change, j, side="right")] >= last)
+                    i, j, last = (x[~joined] for x in (i, j, last))
+                link(a, i, b, j)
+                j, step = j + 1, step + 1
+                i, j, last = (x[j < last] for x in (i, j, last))
+    return forest.links
+
+
+def blocks_for(rows: int, cores: int) -> int:
+    """Among how many blocks so many fingerprints are dealt."""
+    enough = next(b for b in count(1) if b * (b + 1) // 2 >= 4 * cores)
+    return max(1, -(-2 * rows // NEAR_ROWS), min(enough, rows // NEAR_FEWEST))
+
+
+def block_pairs(distinct: DataFrame, blocks: int) -> DataFrame:
+    """a, b, side, prints: of every pair a <= b of blocks the fingerprints of a (side 0) and b (1), many to a row; a partition each."""
+
+    def kernel(batches):
+        for batch in batches:
+            block = batch.column(0).to_numpy().view(np.uint64) % np.uint64(blocks)
+            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, LONG_BITS // 8)
+            which = np.unique(block)
+            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array([prints[block == k].tobytes() for k in which], pa.binary())], ["block", "prints"])
+
+    rows = map_arrow(distinct.select("node", "print"), kernel, "block int, prints binary").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = rows.select(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), (F.col("block") > F.col("other")).cast("int").alias("side"), "prints")
+    return pairs.repartitionById(blocks * (blocks + 1) // 2, (F.col("b") * (F.col("b") + 1) / 2 + F.col("a")).cast("int"))
+
+
+def near_links(distinct: DataFrame, most: int) -> DataFrame:
+    """u > v: links among the nodes of distinct (node, print) that join what all prints within `most` bits of each other join."""
 
     def kernel(batches):
+        held: dict[tuple[int, int], tuple[list, list]] = {}
         for batch in batches:
-            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            for k, code in enumerate(segments(prints) if batch.num_rows else ()):
-                columns = [pa.array(np.full(batch.num_rows, k, np.int32)), pa.array(code), *batch.columns]
-                yield pa.RecordBatch.from_arrays(columns if with_print else columns[:2], ["trie", "code", "node", "print"][: 4 if with_print else 2])
+            for a, b, side, prints in zip(*[c.to_pylist() for c in batch.columns]):
+                held.setdefault((a, b), ([], []))[side].append(prints)
+        for a, b in list(held):
+            sides = held.pop((a, b))
+            ahead = None if a == b else sum(map(len, sides[0])) * 8 // LONG_BITS
+            words = np.frombuffer(b"".join(sides[0] + sides[1]), "<u8").reshape(-1, LONG_BITS // 64)
+            del sides
+            ends = np.array(block_links(words, ahead, most), np.int64).reshape(-1, 2)
+            nodes = [np.array([xxhash.xxh64_intdigest(words[i].tobytes(), SEED) for i in x], np.uint64).view(np.int64) for x in ends.T.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(*nodes)), pa.array(np.minimum(*nodes))], ["u", "v"])
 
-    return map_arrow(distinct.select("node", "print"), kernel, "trie int, code long" + ", node long, print binary" * with_print)
+    blocks = blocks_for(distinct.count(), distinct.sparkSession.sparkContext.defaultParallelism)
+    return map_arrow(block_pairs(distinct, blocks), kernel, "u long, v long")
 
 
 def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NEAR_WIDTH, least: float = NEAR_LEAST) -> DataFrame:
@@ -377,8 +483,7 @@ def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = written(long_prints(at.select(doc_id=F.col(id_col).cast("long"), text=F.col(text_col)), width), "prints")
     top = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "at_file", "at_place")
     distinct = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(top).alias("top"), F.first("print").alias("print")), "distinct")
-    bits = max(b - a for a, b in zip([0, *segment_ends()], segment_ends()))
-    named = written(components(links(segmented(distinct, False), segmented(distinct), SEGMENT_BUDGET, bits, most)), "components")
+    named = written(components(written(near_links(distinct, most), "links")), "components")
     rooted = written(distinct.drop("print").join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     best = rooted.groupBy("root").agg(F.min("top").alias("best"), F.count(F.lit(1)).alias("nodes"))
     chosen = written(best.select("root", "nodes", F.col("best.at_file").alias("keep_file"), F.col("best.at_place").alias("keep_place")), "chosen")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -230,6 +231,74 @@ def test_similar_texts_go(table, monkeypatch, task_rows):
     assert S.limit_of(0.8, 512) == 77 and S.SEGMENTS * (S.SEGMENT_BUDGET + 1) > 77
 
 
+def noisy_prints(rnd, groups, differ):
+    """Fingerprints in chains whose neighbours differ in so many bits."""
+    out = []
+    for _ in range(groups):
+        x = rnd.getrandbits(512)
+        for _ in range(rnd.randrange(1, 5)):
+            out.append(x)
+            for b in rnd.sample(range(512), rnd.choice(differ)):
+                x ^= 1 << b
+    rnd.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("many,at_once", [(16, 1 << 14), (2, 5)])
+def test_links_of_blocks(monkeypatch, many, at_once):
+    """Of one block, and of one with another: joined is what all pairs join, up to the last bit and in dense groups."""
+    monkeypatch.setattr(S, "MANY", many)
+    monkeypatch.setattr(S, "AT_ONCE", at_once)
+    rnd = random.Random(5)
+    dense = rnd.getrandbits(512)
+    for prints in (noisy_prints(rnd, 60, (76, 77, 78)), noisy_prints(rnd, 60, (1, 30, 90)), [dense ^ (1 << b) for b in range(100)] + noisy_prints(rnd, 20, (77,)), [dense]):
+        words = np.frombuffer(b"".join(x.to_bytes(64, "little") for x in prints), "<u8").reshape(-1, 8)
+        for ahead in (None, 0, len(prints) // 3, len(prints)):
+            want, got = S.Forest(len(prints)), S.Forest(len(prints))
+            pairs = [(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if (prints[i] ^ prints[j]).bit_count() <= 77]
+            for i, j in pairs:
+                if ahead is None or i < ahead <= j:
+                    want.add(np.array([i]), np.array([j]))
+            found = S.block_links(words, ahead, 77)
+            for i, j in found:
+                got.add(np.array([i]), np.array([j]))
+            assert len(got.links) == len(found) and all((prints[i] ^ prints[j]).bit_count() <= 77 for i, j in found)
+            if ahead is None:
+                assert got.roots(np.arange(len(prints))).tolist() == want.roots(np.arange(len(prints))).tolist()
+            else:  # rows that follow each other in one block may be joined too
+                assert all(got.root(i) == got.root(j) for i, j in want.links)
+
+
+def test_a_task_holds_two_blocks(spark):
+    """Each pair of blocks is one partition, and a fingerprint moves once for each block, however many share a segment."""
+    rng = np.random.default_rng(6)
+    prints = [b"same" + rng.bytes(60) for _ in range(600)]
+    rows = spark.createDataFrame([(int(np.frombuffer(rng.bytes(8), np.int64)[0]), p) for p in prints], "node long, print binary")
+    found = S.block_pairs(rows, 5).groupBy(F.spark_partition_id().alias("part"), "a", "b").agg(F.sum(F.length("prints")).alias("bytes")).collect()
+    assert sorted((r.a, r.b) for r in found) == [(a, b) for a in range(5) for b in range(a, 5)] and len({r.part for r in found}) == 15
+    assert sum(r.bytes for r in found) == 5 * 600 * 64 and max(r.bytes for r in found) < 600 * 64 * 0.6
+    assert S.blocks_for(0, 8) == 1 and S.blocks_for(10**9, 8) == -(-(10**9) * 2 // S.NEAR_ROWS) and S.blocks_for(200_000, 6) == 7
+
+
+@pytest.mark.parametrize("most", [1 << 19, 40])
+def test_blocks_of_similar_texts(table, monkeypatch, most):
+    monkeypatch.setattr(S, "NEAR_ROWS", most)
+    rows = near_rows()
+    want = sorted({min(g) for g in brute_near(rows).values()})
+    assert sorted(r.doc_id for r in S.dedup_near(table(rows)).collect()) == want
+
+
+def test_near_dedup_moves_less_than_its_segments(spark, table):
+    """A fingerprint that moved with each of its 26 segments took more disk than the texts on larger tables."""
+    rnd = random.Random(12)
+    docs = table([(i, " ".join(rnd.choices("abcdefghij", k=30))) for i in range(1500)])
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = sent()
+    assert S.dedup_near(docs).count() > 1400
+    time.sleep(1)  # the listener follows
+    assert sent() - before < 1500 * 64 * 13
+
+
 def test_estimate_of_similarity():
     """Differing bits of pairs of texts stand for their similarity, within a few standard errors."""
     rnd = random.Random(4)
