@@ -396,7 +396,8 @@ def block_links(words: np.ndarray, ahead: int | None, most: int) -> list[tuple[i
         b = a if ahead is None else Side(words, ahead, len(words), begin, end)
         counts = np.bincount(b.code, minlength=1 << (end - begin))
         there = counts > 0
-        start = np.concatenate([[0], np.cumsum(counts)])
+        start = np.zeros(len(counts) + 1, np.int64)
+        np.cumsum(counts, out=start[1:])
         if counts.max() >= MANY:
             j = np.flatnonzero((b.code[1:] == b.code[:-1]) & (counts[b.code[1:]] >= MANY))
             link(b, j, b, j + 1)

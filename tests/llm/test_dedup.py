@@ -3,6 +3,7 @@
 import hashlib
 import random
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -269,6 +270,18 @@ def test_links_of_blocks(monkeypatch, many, at_once):
                 assert all(got.root(i) == got.root(j) for i, j in want.links)
 
 
+def test_memory_of_a_task_follows_its_rows():
+    """Not the pairs that it looks at: here all fingerprints agree in one segment, and none are similar."""
+    rng = np.random.default_rng(7)
+    words = np.frombuffer(b"".join(b"same" + rng.bytes(60) for _ in range(4000)), "<u8").reshape(-1, 8)
+    for ahead in (None, 2000):
+        tracemalloc.start()
+        assert not S.block_links(words, ahead, 77)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 3 * 8 * (1 << 20) + 1000 * len(words)  # three tables by code, and the rows'
+
+
 def test_a_task_holds_two_blocks(spark):
     """Each pair of blocks is one partition, and a fingerprint moves once for each block, however many share a segment."""
     rng = np.random.default_rng(6)
