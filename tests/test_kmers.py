@@ -221,3 +221,21 @@ def test_functions_of_the_callers_own(spark):
     least = {(r.id, r.pos) for r in K.kmers(df, Seed(3, 5, canonical=False), score=lambda x, k: -x).collect()}
     most = {(r.id, r.pos) for r in K.kmers(df, Seed(3, 5, canonical=False)).collect()}
     assert least and least != most
+
+
+def test_sums_of_rolling_hashes_move_no_hashes(spark):
+    rows = [(1, "ACGTACGTNACGTTT"), (2, "AC"), (None, "GGGGGGGG"), (3, "TTACGATT"), (4, None)]
+
+    def expected(rows):
+        df = spark.createDataFrame(rows, "id long, seq string")
+        out = {}
+        for r in K.rolling_set(df, [3, 5], family="karp_rabin").collect():
+            out.setdefault((r.id, r.k), []).append(r.hash % (1 << 64))
+        return df, {x: (len(h), len(set(h)), sum(v % 1_000_003 for v in h)) for x, h in out.items()}
+
+    got = lambda df: {(r.id, r.k): (r.hashes, r.kinds, r.residues) for r in K.rolling_sums(df, [3, 5], family="karp_rabin").collect()}
+    df, want = expected(rows)
+    assert got(df) == want and (None, 3) in want
+    assert "Exchange" not in K.rolling_sums(df, [3, 5], family="karp_rabin")._jdf.queryExecution().executedPlan().toString()
+    df, want = expected([*rows, (3, "ACGATTA"), (None, "GGGGC")])  # repeated keys
+    assert got(df) == want
