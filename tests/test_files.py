@@ -222,3 +222,44 @@ def test_written_tables_go(spark, tmp_path):
     kept = storage.written(df, "kept")
     storage._delete(kept._strandloom_path)  # as the sweep at exit does, which needs no session for local folders
     assert not os.path.exists(kept._strandloom_path.removeprefix("file:"))
+
+
+def test_runs_are_found_without_windows(spark, world, tmp_path, monkeypatch):
+    from strandloom.operators import classify as C
+
+    place, seqs = world
+    a, b = list(seqs)[:2]
+    database, seed = D.load(spark, str(place / "db"))
+    rows = [(1, 1, seqs[a][-60:] + "N" + seqs[b][-50:]), (1, 2, seqs[b][-40:]), (2, 1, "ACGT"), (3, 1, seqs[a][-30:])]
+    reads = spark.createDataFrame(rows, "id long, mate int, seq string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # runs go on from batch to batch
+    try:
+        out = C.taxa_runs(reads, database, seed, mate="mate")
+        assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {r.id: r.runs for r in out.collect()} == {1: f"{a}:40\t{b}:50", 2: "0:0", 3: f"{a}:10"}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_files_of_mates_are_parsed_once(spark, world, tmp_path, monkeypatch):
+    place, seqs = world
+    for i in (1, 2):
+        (tmp_path / f"{i}.fq").write_text(fastq([(f"x/{i}", None, list(seqs.values())[0][-60:], "I" * 60)]))
+    seen, pair = [], R.pair
+    monkeypatch.setattr(R, "pair", lambda one, two: seen.append(one.inputFiles() + two.inputFiles()) or pair(one, two))
+    W.classify_files(spark, str(tmp_path / "1.fq"), str(place / "db"), str(place / "nodes.dmp"), str(tmp_path / "2.fq"))
+    assert seen and not any(f.endswith(".fq") for f in seen[0])
+
+
+def test_a_database_is_broadcast_by_its_size_in_memory_only(spark, world, tmp_path, monkeypatch):
+    """Its files are small enough for Spark's own threshold; 2 million k-mers in 8 MB of files took a driver of 1 GB down."""
+    from strandloom import storage
+
+    place, seqs = world
+    for i in (1, 2):
+        (tmp_path / f"{i}.fq").write_text(fastq([(f"x/{i}", None, list(seqs.values())[0][-60:], "I" * 60)]))
+    plan = lambda: W.classify_files(spark, str(tmp_path / "1.fq"), str(place / "db"), str(place / "nodes.dmp"), str(tmp_path / "2.fq"), fastq=True)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [kmer" in plan()
+    fits = storage.fits
+    monkeypatch.setattr(storage, "fits", lambda df, most: "kmer" not in df.columns and fits(df, most))
+    assert "SortMergeJoin [kmer" in plan() and "BroadcastHashJoin [kmer" not in plan()
