@@ -6,6 +6,7 @@ import os
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -263,3 +264,18 @@ def test_a_database_is_broadcast_by_its_size_in_memory_only(spark, world, tmp_pa
     fits = storage.fits
     monkeypatch.setattr(storage, "fits", lambda df, most: "kmer" not in df.columns and fits(df, most))
     assert "SortMergeJoin [kmer" in plan() and "BroadcastHashJoin [kmer" not in plan()
+
+
+def test_mates_of_late_turns_are_classified(spark, tmp_path):
+    """A conversation of 26 turns: 13 records, each of both mates; the SQL has no bound on turns either."""
+    from strandloom import queries as Q
+
+    d = str(tmp_path)
+    spark.createDataFrame([(7, t, f"turn number {t} says some words") for t in range(26)], "conv_id long, turn long, text string").write.parquet(f"{d}/conversations.parquet")
+    spark.createDataFrame([(1, "turn number some words of a document", "en", "web"), (2, "other words that it says", "de", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    got = sorted(r.value for r in Q.classify_files_fastq(spark, d).collect())
+    con = duckdb.connect()
+    for name in ("conversations", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet/*.parquet'")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    assert len(got) == 13 and got == sorted(r[0] for r in con.execute(Q.ORACLE_SQL["classify_files_fastq"]).fetchall())
