@@ -6,7 +6,7 @@ k-mer that many share costs its pairs once per pattern, not once per k-mer.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -170,13 +170,16 @@ def banded(items: DataFrame, group: str, bands: int, rows: int, most: int | None
     return pairs, member
 
 
-def lsh_nearest(items: DataFrame, group: str, k: int, bands: int = 16, rows: int = 2) -> tuple[DataFrame, DataFrame]:
+def lsh_nearest(items: DataFrame, group: str, k: int, bands: int = 16, rows: int = 2, score: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(item, neighbor, value, place of classes; group, class): the k most similar classes of each, by exact Jaccard similarity.
 
-    Three times as many candidates as asked for come from the bands and are ranked anew by their items (group, hash).
+    Three times as many candidates as asked for come from the bands and are ranked anew by their items (group, hash), which
+    move once for each candidate. score: makes i, j, jaccard of candidates (i, j) where what the items come from moves cheaper.
     """
     pairs, member = banded(items, group, bands, rows, 3 * k)
     pairs = written(pairs.select("i", "j"), "candidates")
+    if score:
+        return nearest(written(score(pairs), "scored"), k), member
     only = member.filter(F.col(group) == F.col("class")).select(group)
     sets = written(items.select(group, "hash").join(only, group, "left_semi").distinct(), "items")
     sizes = sets.groupBy(group).agg(F.count(F.lit(1)).alias("size"))

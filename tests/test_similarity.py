@@ -111,3 +111,50 @@ def test_screen_and_accept(spark):
     got = {(r.id, r.ref): r.hits for r in A.screen(spark.createDataFrame([(9, "ACGTAAAA")], "id long, seq string"), index, Seed(4)).collect()}
     assert got[(9, 1)] >= 2 and got[(9, 2)] == 1
     assert A.accepted(index, index.limit(1)).count() == 1
+
+
+def test_candidates_are_scored_from_their_sequences(spark, monkeypatch):
+    """As from their items, with what is written bounded by the sequences: k-mers, eight bytes a letter, are not."""
+    from strandloom import storage
+    from strandloom.functions.specs import Seed
+    from strandloom.operators import kmers as K
+
+    rnd = random.Random(9)
+    base = ["".join(rnd.choices("ACGT", k=3000)) for _ in range(12)]
+    rows = [(i * 10 + v, x[200 * v :] + "." + "".join(rnd.choices("ACGT", k=200 * v))) for i, x in enumerate(base) for v in range(5)]
+    rows += [(500, base[0]), (501, ""), (502, None), (503, "ACGT"), (None, base[1][:900])]
+    docs, seed = spark.createDataFrame(rows, "id long, seq string"), Seed(13)
+    items = K.counted_each(docs, seed).select("id", F.col("kmer").alias("hash")).cache()
+    tell = lambda near, member: (sorted(map(tuple, near.collect())), sorted(tuple(r) for r in member.collect() if r.id is not None))
+    want = tell(*U.lsh_nearest(items, "id", 3))
+    held = []
+    for module in (U, K):
+        monkeypatch.setattr(module, "written", lambda df, name, instead=None: held.append(df.columns) or storage.written(df, name, instead))
+    assert tell(*U.lsh_nearest(items, "id", 3, score=lambda pairs: K.jaccards(pairs, docs, seed))) == want and len(want[0]) > 100
+    assert not any(c in ("hash", "kmer") for x in held for c in x)
+
+
+def test_scores_of_repeated_keys(spark):
+    """Rows of one key are one set; pairs that share nothing have no row."""
+    from strandloom.functions.specs import Seed
+    from strandloom.operators import kmers as K
+
+    docs = spark.createDataFrame([("a", "ACCCA"), ("a", "GATTA"), ("b", "GATTACC"), ("c", "CTCTC")], "id string, seq string")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c")], "i string, j string")
+    sets = {k: {s[p : p + 4] for n, s in (("a", "ACCCA"), ("a", "GATTA"), ("b", "GATTACC"), ("c", "CTCTC")) if n == k for p in range(len(s) - 3)} for k in "abc"}
+    got = [({r.i, r.j}, r.jaccard) for r in K.jaccards(pairs, docs, Seed(4, canonical=False)).collect()]
+    assert got == [({"a", "b"}, len(sets["a"] & sets["b"]) / len(sets["a"] | sets["b"]))]
+
+
+def test_the_query_writes_no_kmers(spark, tmp_path, monkeypatch):
+    from strandloom import queries as Q
+    from strandloom import storage
+    from strandloom.operators import kmers as K
+
+    held = []
+    for module in (Q, U, K):
+        monkeypatch.setattr(module, "written", lambda df, name, instead=None: held.append(df.columns) or storage.written(df, name, instead))
+    text = "one text of some words that are long enough for a set of many"
+    spark.createDataFrame([(1, text), (2, text + " more"), (3, text + " more")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["id"], r["class"], r.neighbor, r.place) for r in Q.lsh_neighbors(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 2, 1), (2, 2, 1, 1), (3, 2, 1, 1)} and not any("hash" in x for x in held)
