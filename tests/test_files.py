@@ -279,3 +279,12 @@ def test_mates_of_late_turns_are_classified(spark, tmp_path):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet/*.parquet'")
     con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
     assert len(got) == 13 and got == sorted(r[0] for r in con.execute(Q.ORACLE_SQL["classify_files_fastq"]).fetchall())
+
+
+def test_lines_of_mates_broadcast_no_large_database(spark, world, tmp_path, monkeypatch):
+    place, seqs = world
+    for i in (1, 2):
+        (tmp_path / f"{i}.fq").write_text(fastq([(f"x/{i}", None, list(seqs.values())[0][-60:], "I" * 60)]))
+    monkeypatch.setattr(storage, "fits", lambda df, most: "kmer" not in df.columns)
+    plan = W.classify_files(spark, str(tmp_path / "1.fq"), str(place / "db"), str(place / "nodes.dmp"), str(tmp_path / "2.fq"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [kmer" in plan and "BroadcastHashJoin [kmer" not in plan
